@@ -6,16 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from volumetra.llm import linededup
+from volumetra.llm import hostrules, linededup, mixing, tokencount
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": linededup.query,
+        "op3_source_mix": mixing.query,
+        "op5_host_rules": hostrules.query,
+        "op6_token_counts": tokencount.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": linededup.SQL,
+        "op3_source_mix": mixing.SQL,
+        "op5_host_rules": hostrules.SQL,
     }
