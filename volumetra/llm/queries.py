@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from volumetra.llm import hostrules, linededup, mixing, tokencount
+from volumetra.llm import hostrules, licences, linededup, mixing, packing, tokencount, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_source_mix": mixing.query,
         "op5_host_rules": hostrules.query,
         "op6_token_counts": tokencount.query,
+        "op8_window_packing": packing.query,
+        "op9_licence_scan": licences.query,
+        "op10_exact_topk": topk.query,
     }
 
 
@@ -23,4 +26,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_line_dedup": linededup.SQL,
         "op3_source_mix": mixing.SQL,
         "op5_host_rules": hostrules.SQL,
+        "op10_exact_topk": topk.SQL,
     }
