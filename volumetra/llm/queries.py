@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from volumetra.llm import hostrules, licences, linededup, mixing, packing, tokencount, topk
+from volumetra.llm import hostrules, licences, linededup, mixing, ngramjoin, packing, quality, tokencount, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": linededup.query,
         "op3_source_mix": mixing.query,
+        "op4_ngram_join": ngramjoin.query,
         "op5_host_rules": hostrules.query,
         "op6_token_counts": tokencount.query,
+        "op7_quality_classifier": quality.query,
         "op8_window_packing": packing.query,
         "op9_licence_scan": licences.query,
         "op10_exact_topk": topk.query,
