@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from volumetra.llm import hostrules, licences, linededup, mixing, ngramjoin, packing, quality, tokencount, topk
+from volumetra.llm import hostrules, htmltext, licences, linededup, mixing, ngramjoin, packing, quality, tokencount, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": linededup.query,
+        "op2_html_text": htmltext.query,
         "op3_source_mix": mixing.query,
         "op4_ngram_join": ngramjoin.query,
         "op5_host_rules": hostrules.query,
