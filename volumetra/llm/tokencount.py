@@ -14,7 +14,9 @@ ignored; strings of special tokens inside a text are read as the library reads t
 
 from __future__ import annotations
 
+import os
 import re
+import uuid
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SAMPLE_DOCS, TABLE_ROWS, CACHE_ROWS = 512, 60_000, 300_000
+SAMPLE_DOCS, TABLE_ROWS, CACHE_ROWS, BATCH_CHARS, MISSES = 512, 60_000, 150_000, 200_000, 4096
 #: Where a text is not a plain run of words parted by single spaces and line feeds; such texts are cut by _CAREFUL.
 _ODD = re.compile(r"\s\s|^\s|\s$|[^\S \n]")
 #: A piece that stands alone wherever it is: a run without white space, with its one space, or all the rest.
@@ -36,18 +38,38 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def open_tokenizer(path: str):
+    """The library's tokenizer, on the one core of its task."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+_OPEN: dict[tuple, object] = {}
+
+
+def of_worker(key: tuple, make: Callable[[], object]):
+    """What this worker process made for ``key``; only the last key's is kept."""
+    if key not in _OPEN:
+        _OPEN.clear()
+        _OPEN[key] = make()
+    return _OPEN[key]
+
+
 class PieceCounter:
     """Counts tokens with the table first and its own cache second."""
 
     def __init__(self, path: str, table: dict[str, int]):
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
+        self.library = open_tokenizer(path)
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.table, self.known = table, dict(table)
 
     def encode(self, texts: list[str]) -> list[int]:
-        return [len(e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        out: list[int] = []
+        for i in range(0, len(texts), MISSES):
+            out += [len(e.ids) for e in self.library.encode_batch_fast(texts[i : i + MISSES], add_special_tokens=False)]
+        return out
 
     def pieces(self, text: str) -> list[str] | None:
         """Pieces whose counts add up to the text's; None if the text has to be encoded whole."""
@@ -109,16 +131,16 @@ def small_batches(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
 def with_token_counts(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "n_tokens") -> DataFrame:
     """``docs`` with ``out_col``, the number of tokens of ``text_col``."""
     spark = docs.sparkSession
-    table = spark.sparkContext.broadcast(frequent_pieces(docs, text_col, path))
+    table, key = spark.sparkContext.broadcast(frequent_pieces(docs, text_col, path)), uuid.uuid4().hex
     names = [c for c in docs.columns if c != out_col]
     at = names.index(text_col)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PieceCounter(path, table.value)
+        counter = of_worker((path, key), lambda: PieceCounter(path, table.value))
         for batch in batches:
             texts = [t or "" for t in batch.column(at).to_pylist()]
             n = np.zeros(len(texts), np.int64)
-            for a, b in small_batches(texts, 500_000):
+            for a, b in small_batches(texts, BATCH_CHARS):
                 n[a:b] = counter.count(texts[a:b])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n)], [*names, out_col])
 
@@ -129,14 +151,14 @@ def with_token_counts(docs: DataFrame, path: str, text_col: str = "text", out_co
 def count_query(path: str, limit: int = 1024) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-        table = spark.sparkContext.broadcast(frequent_pieces(docs, "text", path))
+        table, key = spark.sparkContext.broadcast(frequent_pieces(docs, "text", path)), uuid.uuid4().hex
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            counter = PieceCounter(path, table.value)
+            counter = of_worker((path, key), lambda: PieceCounter(path, table.value))
             for batch in batches:
                 texts = batch.column(1).to_pylist()
                 n = np.zeros(len(texts), np.int64)
-                for a, b in small_batches(texts, 500_000):
+                for a, b in small_batches(texts, BATCH_CHARS):
                     n[a:b] = counter.count(texts[a:b])
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n)], ["doc_id", "n_bytes", "n_tokens"])
 
