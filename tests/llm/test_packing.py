@@ -49,7 +49,7 @@ def check(rows, texts, window):
 def test_pack_odd_texts(spark):
     texts = dict(enumerate(ODD))
     docs = spark.createDataFrame([(i, t, 7) for i, t in texts.items()], "doc_id long, text string, length int")
-    check(pack(docs, PATH).drop("ids").collect(), texts, WINDOW)
+    check(pack(docs, PATH).collect(), texts, WINDOW)
 
 
 def test_pack_small_window(spark):
@@ -61,7 +61,7 @@ def test_pack_small_window(spark):
 
 def test_pack_whole_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    check(pack(docs, PATH).drop("ids").collect(), {r.doc_id: r.text for r in docs.collect()}, WINDOW)
+    check(pack(docs, PATH).collect(), {r.doc_id: r.text for r in docs.collect()}, WINDOW)
 
 
 def test_pack_empty(spark):

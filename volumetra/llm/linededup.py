@@ -102,14 +102,26 @@ def _kept(lines: Column, runs: Column) -> Column:
     return scratch.let(F.struct(lines.alias("lines"), runs.alias("runs")), join)
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_lines, n_dropped, runs, kept) of each row: the bitmaps joined to the texts they belong to."""
-    base = _prepared(docs, id_col, text_col)
+def with_kept_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with n_lines, n_dropped, runs and kept: the bitmaps joined to the texts they belong to.
+
+    Columns of docs by these names are replaced.
+    """
+    new = ("n_lines", "n_dropped", "runs", "kept")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    base = docs.select(
+        F.coalesce(F.col(id_col), F.lit(NO_ID)).cast("long").alias("d"),
+        F.xxhash64(text).alias("rid"),
+        text.alias("text"),
+        F.struct(*(c for c in docs.columns if c not in (*new, text_col))).alias("row"),
+        F.col(text_col).isNull().alias("none"),
+    )
     marked = base.join(line_bitmaps(docs, min_chars, min_docs, id_col, text_col), ["d", "rid"], "left")
     lines = F.split("text", "\n")
     gone = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["last"] - r["first"] + 1)
     return marked.select(
-        "doc_id",
+        "row.*",
+        F.when(~F.col("none"), F.col("text")).alias(text_col),
         F.size(lines).cast("long").alias("n_lines"),
         F.coalesce(gone, F.lit(0)).cast("long").alias("n_dropped"),
         "runs",
@@ -118,7 +130,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = with_kept_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 

@@ -6,28 +6,30 @@ documents and a fraction of one: the documents in the order of a seeded hash up
 them in part, so that the words taken meet the target within one word.
 
 Scale and skew: rows are narrow (id, size, source, hash). The seeded order is cut into 4096 hash slices; sums by source
-and slice are pre-aggregated, and only the one slice in which a source's share ends is sorted (1/4096 of a source). The
-water level comes from prefix sums over the sources, which are the rows of a mixture's recipe, not of its data.
+and slice are pre-aggregated, and only the one slice in which a source's share ends is sorted (1/4096 of a source). What
+each row takes then follows from its own hash and the row of its source. The water level comes from prefix sums over the sources, which are the rows of a mixture's recipe, not of its data.
 
 Defined results: null text has size 0, a null source is a source of its own, last in order; documents of size 0 take
-nothing; repeated rows are taken one by one; an empty table gives an empty table; extra columns are ignored.
+nothing; repeated rows share what is left at
+their place in the order; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from volumetra.llm import scratch
+from volumetra.llm.hostrules import words
 
 WEIGHTS, MAX_EPOCHS, SEED, BROADCAST_SOURCES = (5, 2, 1), 3, "mix-1", 100_000
 
 
-def sizes(docs: DataFrame, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, source, size, h) of each row: size in words, h its place in the seeded order."""
+def sizes(docs: DataFrame, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, size, h) and the columns ``keep`` of each row: size in words, h its place in the seeded order."""
     n = F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     h = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n.alias("size"), h.alias("h"))
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n.alias("size"), h.alias("h"), *keep)
 
 
 def water_levels(by_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -52,48 +54,76 @@ def water_levels(by_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_e
     return s.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The operator: (doc_id, source, size, h, source_size, target, whole, part) of each row.
+def mixture(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """The recipe, one row per source: (source, source_size, target, epochs, end_h, rest, tied), from ``sizes``.
 
-    ``whole`` full copies of the document and its first ``part`` words go into the mix.
+    Every document is taken ``epochs`` times, once more where its h is below end_h; the documents at end_h, ``tied``
+    words together, share the ``rest`` words that are left.
     """
-    rows = scratch.table(sizes(docs, seed, id_col, text_col, source_col), "sizes").withColumn("slice", F.substring("h", 1, 3))
+    rows = rows.withColumn("slice", F.substring("h", 1, 3))
     by_slice = rows.groupBy("source", "slice").agg(F.sum("size").alias("n"))
     by_source = by_slice.groupBy("source").agg(F.sum("n").alias("source_size"))
-    plan = scratch.table(water_levels(by_source, weights, max_epochs), "mixture")
+    levels = water_levels(by_source, weights, max_epochs)
     # A target within rounding of whole epochs has no fraction.
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(F.lit(0))
     extra = F.when(F.col("source_size") > 0, F.round(F.col("target") - epochs * F.col("source_size"))).otherwise(F.lit(0))
-    plan = plan.select("source", "source_size", "target", epochs.cast("long").alias("epochs"), F.greatest(extra, F.lit(0)).cast("long").alias("extra"))
-
-    def with_plan(df: DataFrame, on: DataFrame) -> DataFrame:
-        p = on.withColumnRenamed("source", "its_source")
-        p = F.broadcast(p) if n_sources <= BROADCAST_SOURCES else p
-        return df.join(p, df["source"].eqNullSafe(F.col("its_source"))).drop("its_source")
+    plan = levels.select("source", "source_size", "target", epochs.cast("long").alias("epochs"), F.greatest(extra, F.lit(0)).cast("long").alias("extra"))
+    plan = scratch.table(plan, "mixture")
+    few = plan.count() <= BROADCAST_SOURCES
 
-    n_sources = plan.count()
     upto = F.sum("n").over(Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, 0))
-    slices = with_plan(by_slice.withColumn("upto", upto), plan.select("source", "extra"))
+    slices = joined(by_slice.withColumn("upto", upto), plan.select("source", "extra"), few)
     ends = slices.filter((F.col("upto") >= F.col("extra")) & (F.col("upto") - F.col("n") < F.col("extra")))
     ends = ends.select("source", F.col("slice").alias("end_slice"), (F.col("extra") - F.col("upto") + F.col("n")).alias("budget"))
-    # One row for each source at most, by construction: the slice whose running sum reaches the share.
-    p, e = plan.withColumnRenamed("source", "s1"), ends.withColumnRenamed("source", "s2")
-    plan = p.join(e, F.col("s1").eqNullSafe(F.col("s2")), "left").drop("s2").withColumnRenamed("s1", "source")
-    marked = with_plan(rows, plan)
-    last = F.col("slice") == F.col("end_slice")
-    ending = marked.filter(last)
-    run = F.sum("size").over(Window.partitionBy("source", "slice").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
-    ending = ending.withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("budget") - run + F.col("size"))).cast("long"))
-    others = marked.filter(~F.coalesce(last, F.lit(False)))
-    whole_extra = F.coalesce((F.col("extra") > 0) & (F.col("slice") < F.col("end_slice")), F.lit(False))
-    others = others.withColumn("part", F.when(whole_extra, F.col("size")).otherwise(F.lit(0)).cast("long"))
-    out = others.unionByName(ending)
-    full = (F.col("part") == F.col("size")) & (F.col("size") > 0)
-    return out.select(
-        "doc_id", "source", "size", "h", "source_size", "target",
-        (F.col("epochs") + full.cast("int")).cast("long").alias("whole"),
-        F.when(full, F.lit(0)).otherwise(F.col("part")).cast("long").alias("part"),
-    )
+    # The one slice of each source in which its share ends.
+    inside = joined(rows, ends, few).filter(F.col("slice") == F.col("end_slice")).groupBy("source", "budget", "h").agg(F.sum("size").alias("tied"))
+    run = F.sum("tied").over(Window.partitionBy("source").orderBy("h").rowsBetween(Window.unboundedPreceding, 0))
+    last = inside.withColumn("run", run).filter((F.col("run") >= F.col("budget")) & (F.col("run") - F.col("tied") < F.col("budget")))
+    last = last.select("source", F.col("h").alias("end_h"), (F.col("budget") - F.col("run") + F.col("tied")).alias("rest"), "tied")
+    p = plan.drop("extra").withColumnRenamed("source", "s1")
+    return scratch.table(p.join(last.withColumnRenamed("source", "s2"), F.col("s1").eqNullSafe(F.col("s2")), "left").drop("s2").withColumnRenamed("s1", "source"), "mixture")
+
+
+def joined(rows: DataFrame, plan: DataFrame, few: bool) -> DataFrame:
+    """``rows`` with the columns of ``plan`` for their source; broadcast if the sources were counted to be few."""
+    p = plan.withColumnRenamed("source", "its_source")
+    return rows.join(F.broadcast(p) if few else p, F.col("source").eqNullSafe(F.col("its_source"))).drop("its_source")
+
+
+def take(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """``rows`` (source, size, h and more) with source_size, target, ``whole`` repetitions and first words ``part``."""
+    out = joined(rows, plan, plan.count() <= BROADCAST_SOURCES)
+    extra = F.when(F.col("h") < F.col("end_h"), F.col("size"))
+    extra = F.coalesce(extra.when(F.col("h") == F.col("end_h"), F.floor(F.col("rest") * F.col("size") / F.col("tied"))), F.lit(0)).cast("long")
+    full = (extra == F.col("size")) & (F.col("size") > 0)
+    whole = (F.col("epochs") + full.cast("int")).cast("long")
+    return out.withColumns({"whole": whole, "part": F.when(full, F.lit(0)).otherwise(extra).cast("long")}).drop("epochs", "end_h", "rest", "tied")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The operator: (doc_id, source, size, h, source_size, target, whole, part) of each row.
+
+    ``whole`` full copies of the document and its first ``part`` words go into the mix. Texts are read once.
+    """
+    rows = scratch.table(sizes(docs, seed, id_col, text_col, source_col), "sizes")
+    return take(rows, mixture(rows, weights, max_epochs))
+
+
+def repeated(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+    """The mix itself: the rows of ``docs`` (doc_id, text, source and more) once for each repetition, with their text in
+    ``mixed``, and for a part once with its first words there. Texts are read twice and never shuffled."""
+    plan = mixture(scratch.table(sizes(docs, seed), "sizes"), weights, max_epochs)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *(F.col(c).alias(c) for c in ("doc_id", "text", "source")))
+    sized = sizes(rows, seed, keep=("row",))
+    text = F.coalesce(F.col("row.text"), F.lit(""))
+    part = F.when(F.col("part") > 0, F.array(_first_words(text, F.col("part")))).otherwise(F.array().cast("array<string>"))
+    copies = F.concat(F.array_repeat(text, F.col("whole").cast("int")), part)
+    return take(sized, plan).select("row", F.explode(copies).alias("mixed")).select("row.*", "mixed")
+
+
+def _first_words(text: Column, n: Column) -> Column:
+    """The first ``n`` words, parted by single spaces."""
+    return F.array_join(F.slice(words(text), F.lit(1), n.cast("int")), " ")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +27,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from volumetra.llm import scratch
-from volumetra.llm.tokencount import small_batches, vocabulary
+from volumetra.llm.tokencount import BATCH_CHARS, MISSES, of_worker, open_tokenizer, small_batches, vocabulary
 
-WINDOW, END_ID, CACHE_ROWS, MAX_REPEAT, BROADCAST_OFFSETS = 4096, 2, 300_000, 8, 1_000_000
+WINDOW, END_ID, CACHE_ROWS, MAX_REPEAT, BROADCAST_OFFSETS = 4096, 2, 150_000, 8, 1_000_000
 #: str.split() parts words here too, the tokenizer's own \s does not.
 _NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 
@@ -37,20 +38,21 @@ class WordEncoder:
     """Ids as little-endian uint16 bytes. Words parted by white space are independent for this kind of vocabulary."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.library, self.known = Tokenizer.from_file(path), {}
+        self.library, self.known = open_tokenizer(path), {}
         if self.library.get_vocab_size() > 65536:
             raise ValueError("ids of this vocabulary do not fit two bytes")
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u2").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        out: list[bytes] = []
+        for i in range(0, len(texts), MISSES):
+            out += [np.array(e.ids, "<u2").tobytes() for e in self.library.encode_batch_fast(texts[i : i + MISSES], add_special_tokens=False)]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHE_ROWS:
             self.known.clear()
         cut = [None if any(c in t for c in _NOT_SPACE) else t.split() for t in texts]
-        misses = list({w for c in cut if c for w in c} - self.known.keys())
+        misses = list(set(chain.from_iterable(c for c in cut if c)) - self.known.keys())
         if misses:
             self.known.update(zip(misses, self._ids(misses), strict=True))
         of = self.known.__getitem__
@@ -61,11 +63,11 @@ def tokenized(docs: DataFrame, path: str, end_id: int = END_ID, window: int = WI
     """(doc_id, task, left, rank, ids) of each row; rank counts the rows of this task with the same left-over length."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = WordEncoder(path), np.array([end_id], "<u2").tobytes()
+        encoder, end = of_worker((path,), lambda: WordEncoder(path)), np.array([end_id], "<u2").tobytes()
         task, seen = TaskContext.get().partitionId(), np.zeros(window, np.int64)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a, b in small_batches(texts, 500_000):
+            for a, b in small_batches(texts, BATCH_CHARS):
                 ids = [x + end for x in encoder.encode(texts[a:b])]
                 left = [len(x) // 2 % window for x in ids]
                 rank = []
@@ -161,8 +163,9 @@ def _residue_pieces(start: int, length: int, plan: dict[str, np.ndarray], window
     return out
 
 
-def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The operator: one row per piece with doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids."""
+def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """The operator: one row per piece with doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if
+    asked for, its ids as little-endian unsigned 32-bit numbers."""
     spark = docs.sparkSession
     rows = scratch.table(tokenized(docs, path, end_id, window, id_col, text_col), "ids")
     counts = rows.groupBy("task", "left").agg(F.count("*").alias("n"))
@@ -182,7 +185,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID,
         slots = p["slots"]
         keys = slots[:, 0] * (1 << 44) + slots[:, 1]
         base = (TaskContext.get().partitionId() + 1) << 40
-        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
         for batch in batches:
             out: list[list] = [[] for _ in names]
             for doc, left, rank, ids in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
@@ -201,13 +204,14 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID,
                     pieces += [(at + x, at + y, q, o) for x, y, q, o in _residue_pieces(start, left, p, window)]
                 for x, y, q, o in pieces:
                     part = tokens[x:y].astype("<u4").tobytes()
-                    for column, v in zip(out, (doc, x, y - x, zlib.crc32(part), n, q, o, part), strict=True):
+                    for column, v in zip(out, (doc, x, y - x, zlib.crc32(part), n, q, o, part), strict=False):
                         column.append(v)
-            kinds = [pa.int64()] * 7 + [pa.binary()]
+            kinds = [pa.int64()] * 7 + [pa.binary()] * with_ids
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
 
-    return numbered.mapInArrow(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    return numbered.mapInArrow(place, schema + ", ids binary" * with_ids)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary("word_bpe_49k.json")).drop("ids")
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary("word_bpe_49k.json"))
