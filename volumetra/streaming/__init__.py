@@ -1,0 +1 @@
+"""Empty on purpose: everything here is bounded (projects, images, points), so there are no streaming operators."""
