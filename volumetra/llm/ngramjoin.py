@@ -32,7 +32,7 @@ from volumetra.llm import scratch
 from volumetra.llm.hostrules import words
 from volumetra.llm.linededup import LOWER, NO_ID, UPPER
 
-SHINGLE, TREES, DEPTH, RECALL, SMALL, BLOCK, BROADCAST_IDS = 5, 20, 8, 0.9995, 8, 256, 500_000
+SHINGLE, TREES, DEPTH, RECALL, SMALL, BLOCK, BROADCAST_IDS, TASK_EDGES = 5, 20, 8, 0.9995, 8, 256, 500_000, 500_000
 #: Similarity as a fraction of whole numbers, so that the test is exact.
 THRESHOLD = (4, 5)
 
@@ -162,7 +162,7 @@ def similar(a: list[np.ndarray], b: list[np.ndarray], threshold: tuple[int, int]
 def connected(edges: DataFrame) -> DataFrame:
     """(c, comp) of each node of ``edges`` (a, b): comp is the smallest node of its component.
 
-    Star contraction: each node's larger neighbours move to its smallest neighbour, then all its smaller ones do, until
+    Tasks first contract up to TASK_EDGES edges each. Then star contraction: each node's larger neighbours move to its smallest neighbour, then all its smaller ones do, until
     nothing moves. Minima are pre-aggregated, so a hub is one row from each task.
     """
 
@@ -179,8 +179,11 @@ def connected(edges: DataFrame) -> DataFrame:
         return out.filter("u <> v").distinct()
 
     e = scratch.table(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
+    # First every task contracts the edges it holds; where one task holds them all, that is the result.
+    tasks = max(1, -(-e.count() // TASK_EDGES))
+    e = scratch.table(e.coalesce(tasks).mapInPandas(_contract, "u long, v long"), "edges")
     state = lambda t: tuple(t.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    before = state(e)
+    before = state(e) if tasks > 1 else (0,)
     while before[0]:
         e = scratch.table(star(star(e, True), False), "edges")
         now = state(e)
@@ -191,6 +194,28 @@ def connected(edges: DataFrame) -> DataFrame:
     return nodes.union(e.select(F.col("v").alias("c"), F.col("v").alias("comp"))).distinct()
 
 
+def _contract(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The edges of a task as stars: every node with the smallest of its component, in whole arrays."""
+    edges = [p.to_numpy(np.int64) for p in parts]
+    both = np.concatenate(edges) if edges else np.zeros((0, 2), np.int64)
+    nodes, at = np.unique(both, return_inverse=True)
+    u, v = at.reshape(-1, 2).T
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[u], label[v])
+        new = label.copy()
+        # Roots hook to the smaller root, then every node jumps to its root.
+        np.minimum.at(new, label[u], low)
+        np.minimum.at(new, label[v], low)
+        while (new != new[new]).any():
+            new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    far = label != np.arange(len(nodes))
+    yield pd.DataFrame({"u": nodes[far], "v": nodes[label[far]]})
+
+
 def _small(df: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
     """``df`` marked for broadcast if it was counted to have at most ``most`` rows."""
     return F.broadcast(df) if df.count() <= most else df
