@@ -144,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN, label_col: st
     from volumetra.llm import scratch
 
     rows = scratch.table(training_rows(docs, labels, most, label_col), "training")
-    parts = rows.repartition(FIT_PARTS, "doc_id")
+    parts = rows.coalesce(FIT_PARTS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
