@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from volumetra.llm.tokencount import small_batches
 
-MAX_DEPTH, TREES, TREE_DEPTH, RATE, TRAIN_PAGES, SEED = 400, 40, 4, 0.3, 260, 5
+MAX_DEPTH, TREES, TREE_DEPTH, RATE, TRAIN_PAGES, SEED = 400, 40, 4, 0.3, 320, 5
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
 _ATTRIBUTE = re.compile(r"(?:class|id|role|aria-label|itemprop|itemtype)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
@@ -357,12 +357,13 @@ def sample_page(seed: int) -> tuple[str, list[int]]:
         else:
             element(r.choice(["div", "section", "div"]), 1, article, WORD_KINDS["main"])
 
-    has = r.random() < 0.95
+    has, fragment = r.random() < 0.85, r.random() < 0.15
 
     def body() -> None:
-        before = r.sample(["menu", "header", "ad", "notice", "side", "form", "share"], r.randint(0, 4))
-        after = r.sample(["comment", "footer", "side", "ad", "form", "notice", "menu", "share"], r.randint(0, 5))
-        wrapped = r.random() < 0.3
+        most = 1 if fragment else 5  # fragments are a part or two of a page, without its frame
+        before = r.sample(["menu", "header", "ad", "notice", "side", "form", "share"], r.randint(0, min(4, most)))
+        after = r.sample(["comment", "footer", "side", "ad", "form", "notice", "menu", "share"], r.randint(0, most))
+        wrapped = not fragment and r.random() < 0.3
 
         def inside() -> None:
             for k in before:
@@ -378,6 +379,9 @@ def sample_page(seed: int) -> tuple[str, list[int]]:
         element("head", 0, lambda: out.append(f"<title>{text(1, 9)}</title><style>p{{}}</style><script>var a='<p>';</script>"))
         element("body", int(has), body)
 
+    if fragment:
+        body()
+        return "".join(out), roles
     out.append("<!DOCTYPE html>")
     element("html", int(has), whole, "", ' lang="xx"')
     return "".join(out), roles
