@@ -214,9 +214,10 @@ def fuse_views(blocks: DataFrame, views: DataFrame, chunks: DataFrame, strategy:
     from volumetra.functions import geometry as g
 
     volume = ["t_index", "c_index"]
-    v = views.select("tp", "setup", *volume, "m", "nx", "ny", "nz", *[f"{x}{i}" for x in "xyz" for i in (0, 1)])
+    # Inverses are made below the join, once for each view.
+    v = views.select("tp", "setup", *volume, g.invert(F.col("m")).alias("back"), "nx", "ny", "nz", *[f"{x}{i}" for x in "xyz" for i in (0, 1)])
     met = spatial.box_join(blocks.select(*volume, "gx", "gy", "gz", *[f"{x}{i}" for x in "xyz" for i in (0, 1)]), v, cell, volume, expand=2)
-    back = g.invert(F.col("m_b"))
+    back = F.col("back_b")
     lo, hi = g.bounds(back, [F.col(f"{x}0") - max(0, o) for x, o in zip("xyz", mask_offset, strict=True)], [F.col(f"{x}1") + max(0, o) for x, o in zip("xyz", mask_offset, strict=True)])
     need = {f"c{x}{i}": (F.floor(a) - 1 if i == 0 else F.ceil(b) + 1).cast("long") for x, a, b in zip("xyz", lo, hi, strict=True) for i in (0, 1)}
     met = met.select(*volume, "gx", "gy", "gz", *[F.col(f"{x}{i}").alias(f"w{x}{i}") for x in "xyz" for i in (0, 1)], F.col("tp_b").alias("tp"), F.col("setup_b").alias("setup"), back.alias("back"), *[F.col(f"n{x}_b").alias(f"n{x}") for x in "xyz"], *[c.alias(n) for n, c in need.items()])
@@ -300,9 +301,9 @@ def fuse_nonrigid(blocks: DataFrame, views: DataFrame, chunks: DataFrame, points
     from volumetra.functions import geometry as g
 
     b = blocks.select("gx", "gy", "gz", *[f"{x}{i}" for x in "xyz" for i in (0, 1)])
-    v = views.select("tp", "setup", "m", "nx", "ny", "nz", *[f"{x}{i}" for x in "xyz" for i in (0, 1)])
+    v = views.select("tp", "setup", "m", g.invert(F.col("m")).alias("back"), "nx", "ny", "nz", *[f"{x}{i}" for x in "xyz" for i in (0, 1)])
     met = spatial.box_join(b, v, cell, expand=near)
-    back = g.invert(F.col("m_b"))
+    back = F.col("back_b")
     lo, hi = g.bounds(back, [F.col(f"{x}0") - near for x in "xyz"], [F.col(f"{x}1") + near for x in "xyz"])
     need = {f"c{x}{i}": (F.floor(a) if i == 0 else F.ceil(c)).cast("long") for x, a, c in zip("xyz", lo, hi, strict=True) for i in (0, 1)}
     met = met.select("gx", "gy", "gz", *[F.col(f"{x}{i}").alias(f"w{x}{i}") for x in "xyz" for i in (0, 1)], F.col("tp_b").alias("tp"), F.col("setup_b").alias("setup"), F.col("m_b").alias("m"), *[F.col(f"n{x}_b").alias(f"n{x}") for x in "xyz"], *[c.alias(n) for n, c in need.items()])
