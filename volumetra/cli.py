@@ -420,7 +420,7 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("--lambda", type=float, default=0.1)
         for o, kw in opts.items():
             short, _, long = o.partition("__")
-            names = [f"-{short}", f"--{long}"] if long else [f"--{short}" if len(short) > 1 else f"-{short}"]
+            names = [f"-{short}", f"--{long}"] if long else [f"--{short}" if len(short) > 2 else f"-{short}"]
             c.add_argument(*names, **kw)
 
     def of(kind, default=None, **kw) -> dict:
