@@ -39,4 +39,4 @@ def test_range_joins_are_equi_joins(spark):
 
 @pytest.mark.parametrize("name", ["detect_dog", "stitch_phase", "match_ransac", "match_icp", "merge_points", "solve_global", "fuse_affine_blocks", "resave_pyramid"])
 def test_kernel_queries_run(spark, name):
-    assert jobs.QUERIES[name](spark, SF).count() > 0
+    assert jobs.QUERIES[name](spark, "/root/testdata/sf0.01").count() > 0

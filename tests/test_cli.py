@@ -42,6 +42,8 @@ def test_register_and_fuse(spark, data, capsys):
     assert pts.count() > 40 and pts.filter("intensity is null").count() == 0
     run("match-interestpoints", "-x", p, "-l", "blobs", "-m", "ICP", "-tm", "TRANSLATION", "-rm", "NONE")
     assert projects.load(spark, str(p))["correspondences"].count() >= 8
+    run("match-interestpoints", "-x", p, "-l", "blobs", "-m", "ICP", "-tm", "TRANSLATION", "-rm", "NONE", "--groupChannels", "--clearCorrespondences")
+    assert projects.load(spark, str(p))["correspondences"].count() >= 8
     run("solver", "-x", p, "-s", "IP", "-l", "blobs", "-tm", "TRANSLATION", "-rm", "NONE")
     assert abs({r.setup: r.m for r in projects.models(projects.load(spark, str(p))).collect()}[1][3] - 41) < 0.2
 

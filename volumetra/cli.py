@@ -130,10 +130,21 @@ def match_interestpoints(spark: SparkSession, a: argparse.Namespace) -> None:
     if a.interestpointsForReg == "OVERLAPPING_ONLY":
         pts = points.in_other_views(pts, boxes.select("setup", *FACES), 512)
     pairs = registration_pairs(overlap_pairs(boxes, all_pairs=a.viewReg == "ALL_AGAINST_ALL"), a)
-    # A view and label are named by one number here.
-    code = pts.select("tp", "setup", "label").distinct().select("*", F.xxhash64("tp", "setup", "label").alias("v"))
+    # Groups of views and a label are named by one number; without grouping every view is a group.
+    attributes = [c for c, off in (("angle", a.splitTimepoints), ("channel", a.groupChannels or a.splitTimepoints), ("illum", a.groupIllums or a.splitTimepoints), ("tile", a.groupTiles or a.splitTimepoints)) if not off]
+    grouping = len(attributes) < 4
+    name = ["tp", *attributes] if grouping else ["tp", "setup"]
+    of_view = boxes.select("tp", "setup", F.xxhash64(*name).alias("g"))
+    pts = pts.join(F.broadcast(of_view), ["tp", "setup"]).withColumn("v", F.xxhash64("g", "label"))
+    if grouping:
+        members = points.grouped(pts, a.interestPointMergeDistance, ["v"])
+    else:
+        members = pts.select("*", F.col("id").alias("gid"), *[F.col(x).alias(f"m{x}") for x in XYZ])
+    code = members.select("g", "label", "v").distinct()
     left, right = code.select(*[F.col(c).alias(f"{c}_1") for c in code.columns]), code.select(*[F.col(c).alias(f"{c}_2") for c in code.columns])
-    tasks = pairs.select("tp", "setup", "tp_b", "setup_b").join(left, (F.col("tp") == F.col("tp_1")) & (F.col("setup") == F.col("setup_1"))).join(right, (F.col("tp_b") == F.col("tp_2")) & (F.col("setup_b") == F.col("setup_2")))
+    ends = pairs.select("tp", "setup", "tp_b", "setup_b").join(of_view.withColumnRenamed("g", "g_1"), ["tp", "setup"])
+    ends = ends.join(of_view.select(F.col("tp").alias("tp_b"), F.col("setup").alias("setup_b"), F.col("g").alias("g_2")), ["tp_b", "setup_b"])
+    tasks = ends.filter("g_1 <> g_2").select(F.least("g_1", "g_2").alias("g_1"), F.greatest("g_1", "g_2").alias("g_2")).distinct().join(left, "g_1").join(right, "g_2")
     if not a.matchAcrossLabels:
         tasks = tasks.filter("label_1 = label_2")
     ransac = {"iterations": a.ransacIterations or (200 if a.method == "ICP" else 10_000), "max_error": a.ransacMaxError or (2.5 if a.method == "ICP" else 5.0), "min_ratio": a.ransacMinInlierRatio, "min_inliers": a.ransacMinNumInliers}
@@ -142,11 +153,11 @@ def match_interestpoints(spark: SparkSession, a: argparse.Namespace) -> None:
         kw = common | {"max_error": a.icpMaxError, "iterations": a.icpIterations, "use_ransac": a.icpUseRANSAC}
     else:
         kw = common | ransac | {"significance": a.significance, "redundancy": a.redundancy, "neighbours": a.numNeighbors, "search_radius": a.searchRadius, "multi": a.ransacMultiConsensus}
-    coded = pts.join(code, ["tp", "setup", "label"]).select(F.col("v").alias("setup"), "id", *XYZ)
+    coded = members.select(F.col("v").alias("setup"), F.col("gid").alias("id"), *[F.col(f"m{x}").alias(x) for x in XYZ]).distinct()
     found = registration.match_points(tasks.select(F.col("v_1").alias("setup"), F.col("v_2").alias("setup_b")), coded, a.method, **kw)
-    one = found.join(left, found["setup"] == left["v_1"]).join(right, found["setup_b"] == right["v_2"])
-    pick = lambda s, t: [F.col(f"tp_{s}").alias("tp_a"), F.col(f"setup_{s}").alias("setup_a"), F.col(f"label_{s}").alias("label_a"), F.col("id" if s == 1 else "id_b").alias("id_a"), F.col(f"tp_{t}").alias("tp_b"), F.col(f"setup_{t}").alias("setup_b"), F.col(f"label_{t}").alias("label_b"), F.col("id" if t == 1 else "id_b").alias("id_b")]
-    both = one.select(*pick(1, 2)).unionByName(one.select(*pick(2, 1)))
+    names = ["tp", "setup", "label", "id"]
+    one = points.ungrouped(found, members, names)
+    both = one.unionByName(one.select(*[F.col(f"{c}_{t}").alias(f"{c}_{s}") for s, t in (("a", "b"), ("b", "a")) for c in names]))
     p["correspondences"] = both if a.clearCorrespondences else p["correspondences"].unionByName(both).distinct()
     p.save(a.xml, a.dryRun)
 

@@ -100,6 +100,31 @@ def merged(points: DataFrame, radius: float, by: list[str]) -> DataFrame:
     return points.groupBy(*by).applyInPandas(run, f"{kinds}, id long, x double, y double, z double, n long")
 
 
+def grouped(points: DataFrame, radius: float, by: list[str]) -> DataFrame:
+    """Points with the cluster of their group they fall into: ``gid`` and its mean (mx, my, mz). ``merged`` keeps the clusters
+    alone; here the members stay, so that matches of clusters can be handed back to the points of each view."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        from volumetra.operators.kernels.models import clusters
+
+        pdf = pdf.sort_values(["tp", "setup", "id"]).reset_index(drop=True)
+        label = clusters(pdf[["x", "y", "z"]].to_numpy(float), radius)
+        _, number = np.unique(label, return_inverse=True)
+        means = pdf.groupby(number)[["x", "y", "z"]].mean().to_numpy()[number]
+        return pdf.assign(gid=number, mx=means[:, 0], my=means[:, 1], mz=means[:, 2])
+
+    schema = ", ".join(f"{c} {k}" for c, k in points.dtypes) + ", gid long, mx double, my double, mz double"
+    return points.groupBy(*by).applyInPandas(run, schema)
+
+
+def ungrouped(matches: DataFrame, members: DataFrame, columns: list[str]) -> DataFrame:
+    """Matches (setup, id, setup_b, id_b) of groups' clusters as matches of their members' points: columns with _a and _b."""
+    m = matches.select(F.col("setup").alias("__v"), F.col("id").alias("__i"), F.col("setup_b").alias("__w"), F.col("id_b").alias("__j"))
+    a = members.select(F.col("v").alias("__v"), F.col("gid").alias("__i"), *[F.col(c).alias(f"{c}_a") for c in columns])
+    b = members.select(F.col("v").alias("__w"), F.col("gid").alias("__j"), *[F.col(c).alias(f"{c}_b") for c in columns])
+    return m.join(a, ["__v", "__i"]).join(b, ["__w", "__j"]).select(*[f"{c}_{s}" for s in "ab" for c in columns])
+
+
 def in_other_views(points: DataFrame, views: DataFrame, cell: int) -> DataFrame:
     """Points that lie in the box of another view than their own."""
     hits = spatial.points_in_boxes(points, views, cell, F.col("setup") != F.col("setup_b")).select("setup", "id").distinct()
