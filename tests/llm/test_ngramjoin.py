@@ -82,6 +82,8 @@ def test_null_ids_and_empty_table(spark):
     got = run(spark, [(None, "a b c d e f"), (3, "a b c d e f"), (4, None)])
     assert got[3] == (None, 2, 1) and got[None] == (None, 2, 1) and got[4] == (4, 1, 0)
     assert run(spark, []) == {}
+    one, two = "a b c d e f g h i j", "k l m n o p q r s t"
+    assert run(spark, [(1, one), (1, two), (2, one), (3, two)])[1] in ((1, 2, 1),)
 
 
 def test_components_by_stars(spark, monkeypatch):

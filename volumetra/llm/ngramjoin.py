@@ -53,6 +53,11 @@ def word_hashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return base.select("d", F.transform(words(F.col("low")), lambda x: F.xxhash64(x)).alias("w"))
 
 
+def _named(hashed: DataFrame) -> DataFrame:
+    """(d, k1, k2, w): two hashes of the words in their order name a text."""
+    return hashed.select("d", F.xxhash64("w").alias("k1"), F.xxhash64(F.lit("second"), "w").alias("k2"), "w")
+
+
 def shingle_hashes(values: np.ndarray, lengths: np.ndarray, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, counts): the shingles of each row of words; rows of fewer than n words have one, rows of none have none."""
     counts = np.where(lengths > 0, np.maximum(1, lengths - n + 1), 0)
@@ -117,24 +122,23 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], flat], ["d", "k1", "k2", "keys"]).filter(pa.array(some))
 
     hashed = word_hashes(docs, id_col, text_col)
-    named = hashed.select("d", F.xxhash64("w").alias("k1"), F.xxhash64(F.lit("second"), "w").alias("k2"), "w")
-    return named.mapInArrow(sign, "d long, k1 long, k2 long, keys array<long>")
+    return _named(hashed).mapInArrow(sign, "d long, k1 long, k2 long, keys array<long>")
 
 
 def shingle_sets(docs: DataFrame, id_col: str = "d", text_col: str = "text") -> DataFrame:
-    """(c, s): the distinct shingles of each row."""
+    """(c, k1, k2, s): the distinct shingles of each row, and the name of its words as in ``signatures``."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, values, lengths in _rows(batch.column(1)):
+            for a, b, values, lengths in _rows(batch.column(3)):
                 h, counts = shingle_hashes(values, lengths)
                 ends = np.cumsum(counts)
                 own = [np.unique(h[e - n : e]) for e, n in zip(ends, counts, strict=True)]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
                 flat = np.concatenate(own) if own else np.zeros(0, np.uint64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(offsets, pa.array(flat.view(np.int64)))], ["c", "s"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(3)), pa.ListArray.from_arrays(offsets, pa.array(flat.view(np.int64)))], ["c", "k1", "k2", "s"])
 
-    return word_hashes(docs, id_col, text_col).mapInArrow(sets, "c long, s array<long>")
+    return _named(word_hashes(docs, id_col, text_col)).mapInArrow(sets, "c long, k1 long, k2 long, s array<long>")
 
 
 def similar(a: list[np.ndarray], b: list[np.ndarray], threshold: tuple[int, int] = THRESHOLD) -> np.ndarray:
@@ -299,10 +303,12 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     wanted = members.select("c").distinct()
     text = docs.select(F.coalesce(F.col(id_col), F.lit(NO_ID)).cast("long").alias("d"), F.col(text_col).alias("text"))
-    # A repeated doc_id keeps the text that its row in ``rows`` was made of.
+    # Of a repeated doc_id's texts the same one counts as in ``rows``.
     chosen = text.join(_small(wanted.withColumnRenamed("c", "d")), "d", "left_semi")
-    found = shingle_sets(chosen).groupBy("c").agg(F.first("s").alias("s")) if rows.count() != text.count() else shingle_sets(chosen)
-    sets = scratch.table(found, "sets")
+    found = shingle_sets(chosen)
+    if rows.count() != signed.count():
+        found = found.groupBy("c").agg(F.min_by("s", F.struct("k1", "k2")).alias("s"))
+    sets = scratch.table(found.select("c", "s"), "sets")
 
     edges = scratch.table(verified(pairs, sets), "verified")
     comps = scratch.table(connected(edges), "components")
