@@ -242,7 +242,7 @@ def individual_tp_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f""", E AS (SELECT a.setup AS a, b.setup AS b FROM V a JOIN V b ON a.tp = b.tp AND a.angle = b.angle AND a.setup < b.setup AND {OVERLAP} AND (a.setup + b.setup) % 3 > 0),
+    f""", E AS (SELECT a.setup AS a, b.setup AS b FROM V a JOIN V b ON a.tp = b.tp AND a.angle = b.angle AND a.setup < b.setup AND {OVERLAP}),
 N AS (SELECT a, b FROM E UNION ALL SELECT b, a FROM E),
 C AS (SELECT setup AS id, setup AS s FROM V UNION SELECT N.b, C.s FROM C JOIN N ON N.a = C.id AND C.s < N.b)
 SELECT id AS setup, min(s) AS subset FROM C GROUP BY id""",
@@ -250,7 +250,7 @@ SELECT id AS setup, min(s) AS subset FROM C GROUP BY id""",
 )
 def view_subsets(spark: SparkSession, d: str) -> DataFrame:
     v = fx.views(spark, d)
-    e = spatial.overlapping_pairs(v, CELL, ["tp", "angle"]).filter((F.col("setup") + F.col("setup_b")) % 3 > 0)
+    e = spatial.overlapping_pairs(v, CELL, ["tp", "angle"])
     found = graph.components(v.select(F.col("setup").alias("id")), e.select(F.col("setup").alias("a"), F.col("setup_b").alias("b")))
     return found.select(F.col("id").alias("setup"), "subset")
 
@@ -341,7 +341,7 @@ def fuse_with_coefficients(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """, S AS (SELECT DISTINCT setup, x, y, z, x + 0.25 AS px, y + 0.5 AS py, z + 0.0 AS pz FROM X WHERE (x + y) % 4 = 0),
+    """, S AS (SELECT DISTINCT setup, x, y, z, x + 0.25 AS px, y + 0.5 AS py, z + 0.0 AS pz FROM X),
 C AS (SELECT S.*, i, j, least(63, x + i) AS cx, least(63, y + j) AS cy, CASE WHEN i = 1 THEN 0.25 ELSE 0.75 END * 0.5 AS w
   FROM S, (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j))
 SELECT C.setup, px::DOUBLE AS px, py::DOUBLE AS py, pz::DOUBLE AS pz, round(sum(w * v)::DOUBLE, 6) AS v FROM C JOIN X ON X.setup = C.setup AND X.x = cx AND X.y = cy AND X.z = C.z GROUP BY ALL""",
@@ -349,7 +349,7 @@ SELECT C.setup, px::DOUBLE AS px, py::DOUBLE AS py, pz::DOUBLE AS pz, round(sum(
 )
 def trilinear_samples(spark: SparkSession, d: str) -> DataFrame:
     v = fx.voxels(spark, d)
-    at = v.filter((F.col("x") + F.col("y")) % 4 == 0).select("setup", (F.col("x") + 0.25).alias("px"), (F.col("y") + 0.5).alias("py"), F.col("z").cast("double").alias("pz"))
+    at = v.select("setup", (F.col("x") + 0.25).alias("px"), (F.col("y") + 0.5).alias("py"), F.col("z").cast("double").alias("pz"))
     return fuse.trilinear(at, v, (0, 0, 0), (63, 63, 6)).withColumn("v", F.round("v", 6))
 
 

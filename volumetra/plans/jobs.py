@@ -58,8 +58,7 @@ def stitch_phase(spark: SparkSession, d: str) -> DataFrame:
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
     r = points.resolved(fx.correspondences(spark, d), fx.points_a(spark, d), fx.points_b(spark, d))
     xyz = [F.col(f"{x}{s}").cast("double").alias(f"{x}{s}") for s in ("", "_b") for x in "xyz"]
-    # A bounded share per pair of views is what descriptor matching hands on; here the pairs whose ids agree modulo 5.
-    return r.filter((F.col("id_a") - F.col("id_b")) % 5 == 0).select(F.col("setup").cast("long"), F.col("setup_b").cast("long"), *xyz).distinct()
+    return r.select(F.col("setup").cast("long"), F.col("setup_b").cast("long"), *xyz).distinct()
 
 
 @job
@@ -145,10 +144,10 @@ def resave_pyramid(spark: SparkSession, d: str) -> DataFrame:
 
 @job
 def split_with_points(spark: SparkSession, d: str) -> DataFrame:
-    """Tiles of the largest views, and made-up points where neighbours overlap."""
+    """Tiles of all views, and made-up points where neighbours of one view overlap."""
     from volumetra.operators import spatial
 
-    v = fx.views(spark, d).filter("tile < 20")
+    v = fx.views(spark, d)
     t = blocks.split_tiles(v, (64, 64, 32), (16, 16, 8))
     t = t.select(F.col("setup").alias("tp"), F.xxhash64("setup", "tx0", "ty0", "tz0").alias("setup"), *[F.col(f"t{x}{i}").alias(f"{x}{i}") for x in "xyz" for i in (0, 1)])
     pairs = spatial.overlapping_pairs(t, 64, ["tp"]).select("setup", "setup_b", *g.intersection())
