@@ -80,6 +80,18 @@ def test_dedupe_and_merge(spark):
     assert merged == [(1, 3, 0.133), (4, 2, 5.1)]
 
 
+def test_components(spark, monkeypatch):
+    from volumetra.operators import graph
+
+    edges = [(i, i + 1) for i in range(1, 60) if i % 20] + [(7, 70), (90, 80)]
+    e = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    n = spark.range(100)
+    want = {r.id: r.subset for r in graph.components(n, e).collect()}
+    assert len(want) == 100 and want[20] == 1 and want[21] == 21 and want[70] == 1 and want[90] == 80 and want[0] == 0
+    monkeypatch.setattr(graph, "TASK_EDGES", 15)
+    assert {r.id: r.subset for r in graph.components(n, e).collect()} == want
+
+
 XML = """<Any version="0.2"><SequenceDescription><ViewSetups>
 <ViewSetup><id>0</id><name>a</name><size>10 20 5</size><voxelSize><unit>um</unit><size>1 1 2.5</size></voxelSize><attributes><illumination>0</illumination><channel>1</channel><tile>2</tile><angle>0</angle></attributes></ViewSetup>
 <ViewSetup><id>1</id><size>10 20 5</size><attributes><tile>3</tile></attributes></ViewSetup></ViewSetups>

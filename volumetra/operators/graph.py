@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Edges that one task contracts at a time.
+TASK_EDGES = 500_000
+
 
 def _written(df: DataFrame) -> DataFrame:
     """Cut the lineage of a loop's state with a table in the folder all executors share."""
@@ -18,12 +24,36 @@ def _written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def contracted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The edges (a, b) of one task as stars: each node with the smallest node it is connected to here."""
+    edges = [p[["a", "b"]].to_numpy(np.int64) for p in parts]
+    ids, at = np.unique(np.concatenate(edges) if edges else np.zeros((0, 2), np.int64), return_inverse=True)
+    a, b = at.reshape(-1, 2).T
+    root = np.arange(len(ids))
+    while True:
+        low, new = np.minimum(root[a], root[b]), root.copy()
+        for side in (a, b):
+            np.minimum.at(new, root[side], low)
+        while (new != new[new]).any():
+            new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    moved = root != np.arange(len(ids))
+    yield pd.DataFrame({"a": ids[moved], "b": ids[root[moved]]})
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, subset): the smallest id of each node's component. ``nodes`` has id, ``edges`` has a and b.
 
-    Every round a node takes the smallest label of its neighbours and then the label of that label; labels only fall,
+    Tasks first contract up to TASK_EDGES edges each. Then every round a node takes the smallest label of its neighbours and then the label of that label; labels only fall,
     so the loop ends when their sum stands still, after about the logarithm of the longest path.
     """
+    edges = _written(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")))
+    tasks = max(1, -(-edges.count() // TASK_EDGES))
+    edges = _written(edges.coalesce(tasks).mapInPandas(contracted, "a long, b long"))
+    if tasks == 1:  # one task has seen all edges: the stars are the components
+        return nodes.select("id").distinct().join(edges.select(F.col("a").alias("id"), F.col("b").alias("s")), "id", "left").select("id", F.coalesce("s", "id").alias("subset"))
     both = _written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     label = _written(nodes.select("id", F.col("id").alias("subset")).distinct())
     before = None
