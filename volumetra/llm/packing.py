@@ -16,6 +16,8 @@ one; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -30,15 +32,26 @@ from volumetra.llm import scratch
 from volumetra.llm.tokencount import BATCH_CHARS, MISSES, of_worker, open_tokenizer, small_batches, vocabulary
 
 WINDOW, END_ID, CACHE_ROWS, MAX_REPEAT, BROADCAST_OFFSETS = 4096, 2, 150_000, 8, 1_000_000
+#: Letters, then ASCII punctuation without the apostrophe.
+_WORD_AND_TAIL = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
 #: str.split() parts words here too, the tokenizer's own \s does not.
 _NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
+def _all_letters(word: str) -> bool:
+    """Whether the tokenizer's normal form of a word has letters alone: some letters lose a mark to it."""
+    return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
+
+
 class WordEncoder:
     """Ids as little-endian uint16 bytes. Words parted by white space are independent for this kind of vocabulary."""
 
     def __init__(self, path: str):
-        self.library, self.known = open_tokenizer(path), {}
+        self.library, self.known, self.older = open_tokenizer(path), {}, {}
+        names = self.library.get_vocab()
+        #: Whether an id ends a pre-token.
+        self.ends = np.zeros(max(names.values()) + 1, bool)
+        self.ends[[i for t, i in names.items() if t.endswith("</w>")]] = True
         if self.library.get_vocab_size() > 65536:
             raise ValueError("ids of this vocabulary do not fit two bytes")
 
@@ -48,15 +61,53 @@ class WordEncoder:
             out += [np.array(e.ids, "<u2").tobytes() for e in self.library.encode_batch_fast(texts[i : i + MISSES], add_special_tokens=False)]
         return out
 
+    def _ids_of_letters(self, words: list[str]) -> list[bytes]:
+        """Words of letters alone are one pre-token each, so many are encoded as one text and parted at the pre-tokens' ends."""
+        out: list[bytes] = []
+        for i in range(0, len(words), MISSES):
+            some = words[i : i + MISSES]
+            ids = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u2")
+            at = np.flatnonzero(self.ends[ids]) + 1
+            if len(at) != len(some):  # normalization has parted a word
+                out += self._ids(some)
+                continue
+            data, cuts = ids.tobytes(), [0, *(2 * at).tolist()]
+            out += [data[x:y] for x, y in zip(cuts, cuts[1:])]
+        return out
+
+    def _learn(self, words: set[str]) -> None:
+        """Ids of words that are not known: from the older half of the cache, or from the library."""
+        again = words & self.older.keys()
+        self.known.update((w, self.older[w]) for w in again)
+        rest = words - again
+        letters = [w for w in rest if w.isalpha()]
+        self.known.update(zip(letters, self._ids_of_letters(letters), strict=True))
+        others = [w for w in rest if not w.isalpha()]
+        self.known.update(zip(others, self._ids(others), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHE_ROWS:
-            self.known.clear()
-        cut = [None if any(c in t for c in _NOT_SPACE) else t.split() for t in texts]
-        misses = list(set(chain.from_iterable(c for c in cut if c)) - self.known.keys())
+            self.known, self.older = {}, self.known
+        known, cut = self.known, [None if any(c in t for c in _NOT_SPACE) else t.split() for t in texts]
+        found = [c and list(map(known.get, c)) for c in cut]
+        misses = {w for c, f in zip(cut, found, strict=True) if f and None in f for w, v in zip(c, f, strict=True) if v is None}
+        if again := misses & self.older.keys():
+            known.update((w, self.older[w]) for w in again)
+            misses -= again
         if misses:
-            self.known.update(zip(misses, self._ids(misses), strict=True))
-        of = self.known.__getitem__
-        return [self._ids([t])[0] if c is None else b"".join(map(of, c)) for t, c in zip(texts, cut, strict=True)]
+            # A word and the punctuation behind it are pre-tokens of their own: new words are encoded without it.
+            parts = {w: (m[1], m[2]) for w in misses if (m := _WORD_AND_TAIL.fullmatch(w)) and _all_letters(m[1])}
+            self._learn(((misses - parts.keys()) | set(chain.from_iterable(parts.values()))) - known.keys())
+            known.update((w, known[a] + known[b]) for w, (a, b) in parts.items())
+        out = []
+        for t, c, f in zip(texts, cut, found, strict=True):
+            if c is None:
+                out.append(self._ids([t])[0])
+            elif f and None in f:
+                out.append(b"".join([known[w] if v is None else v for w, v in zip(c, f, strict=True)]))
+            else:
+                out.append(b"".join(f))
+        return out
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int = END_ID, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
