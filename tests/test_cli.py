@@ -47,6 +47,8 @@ def test_register_and_fuse(spark, data, capsys):
     run("solver", "-x", p, "-s", "IP", "-l", "blobs", "-tm", "TRANSLATION", "-rm", "NONE")
     assert abs({r.setup: r.m for r in projects.models(projects.load(spark, str(p))).collect()}[1][3] - 41) < 0.2
 
+    run("solver", "-x", p, "-s", "IP", "-l", "blobs", "-tm", "TRANSLATION", "-rm", "NONE", "--method", "TWO_ROUND_SIMPLE", "--groupTiles", "--dryRun")
+
     out = top / "fused"
     run("create-fusion-container", "-x", p, "-o", out, "--blockSize", "32,32,16", "-ds", "1,1,1;2,2,1")
     props = container.read(spark, str(out))

@@ -207,6 +207,17 @@ def solver(spark: SparkSession, a: argparse.Namespace) -> None:
         links = rows.groupBy(F.array("tp_a", "setup_a").alias("a"), F.array("tp_b", "setup_b").alias("b"), weight.alias("weight")).agg(F.collect_list("p").alias("p"), F.collect_list("q").alias("q"))
     links = links.withColumns({c: F.concat_ws(",", c) for c in ("a", "b")})
     name = lambda t: f"{t[0]},{t[1]}"
+    # Views of a group move as one tile, named by the group's first view; links within a group say nothing.
+    attributes = [c for c, off in (("angle", a.splitTimepoints), ("channel", a.groupChannels or a.splitTimepoints), ("illum", a.groupIllums or a.splitTimepoints), ("tile", a.groupTiles or a.splitTimepoints)) if not off]
+    leader = {name(t): name(t) for t in tiles}
+    if len(attributes) < 4:
+        first: dict = {}
+        for r in views.orderBy("tp", "setup").collect():
+            leader[name((r["tp"], r["setup"]))] = first.setdefault((r["tp"], *[r[c] for c in attributes]), name((r["tp"], r["setup"])))
+        named = spark.createDataFrame(list(leader.items()), "view string, tile string")
+        for side in ("a", "b"):
+            links = links.join(F.broadcast(named), F.col(side) == F.col("view")).withColumn(side, F.col("tile")).drop("view", "tile")
+        links = links.filter("a <> b")
     if a.disableFixedViews:
         fixed = set()
     elif a.fixedViews:
@@ -214,6 +225,7 @@ def solver(spark: SparkSession, a: argparse.Namespace) -> None:
     else:
         by = ["tp"] if a.registrationTP == "TIMEPOINTS_INDIVIDUALLY" else []
         fixed = {name((r["tp"], r["setup"])) for r in select.fixed_views(views.filter(F.col("tp") == a.referenceTP) if a.registrationTP == "REFERENCE_TIMEPOINT" else views, by).collect()}
+    fixed = {leader[t] for t in fixed if t in leader}
     weak = []
     if a.method.startswith("TWO_ROUND"):
         from volumetra.operators.kernels.solving import Link
@@ -222,10 +234,12 @@ def solver(spark: SparkSession, a: argparse.Namespace) -> None:
 
         for r in overlap_pairs(projects.view_boxes(p)).select("tp", "setup", "tp_b", "setup_b").collect():
             corner = np.array([[0.0, 0, 0], [100, 0, 0], [0, 100, 0], [0, 0, 100]])
-            weak.append(Link(name((r["tp"], r["setup"])), name((r["tp_b"], r["setup_b"])), corner, corner))
-    found, error = registration.solve_links(links, [name(t) for t in tiles], fixed, a.method, weak, a.relativeThreshold, a.absoluteThreshold, model=a.transformationModel, regularizer=a.regularizationModel, blend=getattr(a, "lambda"), max_error=a.maxError, iterations=a.maxIterations, plateau=a.maxPlateauwidth)
+            one, two = leader.get(name((r["tp"], r["setup"]))), leader.get(name((r["tp_b"], r["setup_b"])))
+            if one and two and one != two:
+                weak.append(Link(one, two, corner, corner))
+    found, error = registration.solve_links(links, sorted(set(leader.values())), fixed, a.method, weak, a.relativeThreshold, a.absoluteThreshold, model=a.transformationModel, regularizer=a.regularizationModel, blend=getattr(a, "lambda"), max_error=a.maxError, iterations=a.maxIterations, plateau=a.maxPlateauwidth)
     print(f"error {error:.4f}")
-    rows = [(*map(int, k.split(",")), f"{a.transformationModel} solved", [float(x) for x in m.ravel()]) for k, m in found.items()]
+    rows = [(*t, f"{a.transformationModel} solved", [float(x) for x in found[leader[name(t)]].ravel()]) for t in tiles]
     new = spark.createDataFrame(rows, "tp int, setup long, name string, affine array<double>")
     p["transforms"] = points.prepended(p["transforms"], new, ["tp", "setup"])
     p.save(a.xml, a.dryRun)
