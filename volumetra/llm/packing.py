@@ -89,24 +89,32 @@ class WordEncoder:
         if len(self.known) > CACHE_ROWS:
             self.known, self.older = {}, self.known
         known, cut = self.known, [None if any(c in t for c in _NOT_SPACE) else t.split() for t in texts]
-        found = [c and list(map(known.get, c)) for c in cut]
-        misses = {w for c, f in zip(cut, found, strict=True) if f and None in f for w, v in zip(c, f, strict=True) if v is None}
+        words = list(chain.from_iterable(c for c in cut if c))
+        ids = list(map(known.get, words))
+        gaps = [i for i, v in enumerate(ids) if v is None]
+        misses = {words[i] for i in gaps}
         if again := misses & self.older.keys():
             known.update((w, self.older[w]) for w in again)
             misses -= again
         if misses:
-            # A word and the punctuation behind it are pre-tokens of their own: new words are encoded without it.
-            parts = {w: (m[1], m[2]) for w in misses if (m := _WORD_AND_TAIL.fullmatch(w)) and _all_letters(m[1])}
-            self._learn(((misses - parts.keys()) | set(chain.from_iterable(parts.values()))) - known.keys())
+            # A word and the punctuation behind it are pre-tokens of their own, and ASCII letters count as lower case.
+            parts = {}
+            for w in misses:
+                low = w.lower() if w.isascii() and "<|" not in w else w
+                if (m := _WORD_AND_TAIL.fullmatch(low)) and _all_letters(m[1]):
+                    parts[w] = m[1], m[2]
+                elif low != w:
+                    parts[w] = low, ""
+            needed = (misses - parts.keys()) | set(chain.from_iterable(parts.values())) - {""}
+            known[""] = b""  # never a word
+            self._learn(needed - known.keys())
             known.update((w, known[a] + known[b]) for w, (a, b) in parts.items())
-        out = []
-        for t, c, f in zip(texts, cut, found, strict=True):
-            if c is None:
-                out.append(self._ids([t])[0])
-            elif f and None in f:
-                out.append(b"".join([known[w] if v is None else v for w, v in zip(c, f, strict=True)]))
-            else:
-                out.append(b"".join(f))
+        for i in gaps:
+            ids[i] = known[words[i]]
+        out, at = [], 0
+        for t, c in zip(texts, cut, strict=True):
+            out.append(self._ids([t])[0] if c is None else b"".join(ids[at : at + len(c)]))
+            at += len(c or ())
         return out
 
 
@@ -118,7 +126,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int = END_ID, window: int = WI
         task, seen = TaskContext.get().partitionId(), np.zeros(window, np.int64)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a, b in small_batches(texts, BATCH_CHARS):
+            for a, b in small_batches(texts, 4 * BATCH_CHARS):
                 ids = [x + end for x in encoder.encode(texts[a:b])]
                 left = [len(x) // 2 % window for x in ids]
                 rank = []
