@@ -40,3 +40,18 @@ def test_range_joins_are_equi_joins(spark):
 @pytest.mark.parametrize("name", ["detect_dog", "stitch_phase", "match_ransac", "match_icp", "merge_points", "solve_global", "fuse_affine_blocks", "resave_pyramid"])
 def test_kernel_queries_run(spark, name):
     assert jobs.QUERIES[name](spark, "/root/testdata/sf0.01").count() > 0
+
+
+def test_point_queries_see_every_point_and_pair(spark, monkeypatch):
+    sf = "/root/testdata/sf0.01"
+    assert jobs.QUERIES["merge_points"](spark, sf).agg({"n": "sum"}).first()[0] == 10_000
+    seen = {}
+
+    def spy(pairs, points, method, **options):
+        seen[method] = (pairs.count(), points.count())
+        return points
+
+    monkeypatch.setattr(jobs.registration, "match_points", spy)
+    for name in ("match_icp", "match_fast_rotation", "match_precise_translation"):
+        jobs.QUERIES[name](spark, sf)
+    assert seen == dict.fromkeys(("ICP", "FAST_ROTATION", "PRECISE_TRANSLATION"), (28, 10_000))

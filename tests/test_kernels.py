@@ -167,3 +167,12 @@ def test_deformation():
     own = np.array([[x, y, z] for x in (5, 35) for y in (5, 35) for z in (3, 17)], float)
     out = deformation.fuse_block([{"array": a, "own": own, "common": own + [4, 0, 0]}], (0, 0, 0), (39, 39, 19))
     assert np.unravel_index(out.argmax(), out.shape) == (24, 20, 10)
+
+
+@pytest.mark.parametrize("k", [1, 6])
+def test_nearest_of_many_points_is_exact(k):
+    for p, q in ((RNG.integers(0, 12, (700, 3)), RNG.integers(0, 12, (900, 3))), (RNG.normal(size=(300, 9)), RNG.normal(size=(2000, 9)))):
+        d = ((p[:, None] - q[None]) ** 2).sum(axis=2)
+        want = np.argsort(d, axis=1, kind="stable")[:, :k]
+        dist, found = models.nearest(p.astype(float), q.astype(float), k)
+        assert (found == want).all() and np.allclose(dist, np.sqrt(np.take_along_axis(d, want, 1)))

@@ -6,9 +6,13 @@ A model is a 3x4 matrix that maps points p to q. Rigid fits use the SVD of the c
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 
 NEEDED = {"TRANSLATION": 1, "RIGID": 3, "AFFINE": 4}
+#: Points of a group in the search for nearest ones.
+LEAF = 128
 
 
 def apply(m: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -110,19 +114,67 @@ def clusters(points: np.ndarray, radius: float) -> np.ndarray:
 
     cells: dict[tuple[int, ...], list[int]] = {}
     for i, c in enumerate(map(tuple, np.floor(points / max(radius, 1e-9)).astype(int).tolist())):
-        for dx in (-1, 0, 1):
-            for dy in (-1, 0, 1):
-                for dz in (-1, 0, 1):
-                    for j in cells.get((c[0] + dx, c[1] + dy, c[2] + dz), ()):
-                        if ((points[i] - points[j]) ** 2).sum() <= radius * radius:
-                            parent[find(i)] = find(j)
+        around = [cells.get((c[0] + dx, c[1] + dy, c[2] + dz), ()) for dx in (-1, 0, 1) for dy in (-1, 0, 1) for dz in (-1, 0, 1)]
+        near = np.fromiter(itertools.chain.from_iterable(around), int)
+        for j in near[((points[i] - points[near]) ** 2).sum(axis=1) <= radius * radius].tolist():
+            parent[find(i)] = find(j)
         cells.setdefault(c, []).append(i)
     return np.array([find(i) for i in range(len(points))], int)
 
 
+def _top(p: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(squared distances, indices) of the k nearest of q for each of p, ties to the smaller index."""
+    d = np.maximum(0, (p**2).sum(axis=1)[:, None] + (q**2).sum(axis=1) - 2 * p @ q.T)
+    rows, d_out, i_out = np.arange(len(p)), np.zeros((len(p), k)), np.zeros((len(p), k), int)
+    for n in range(k):
+        i_out[:, n] = at = d.argmin(axis=1)
+        d_out[:, n] = d[rows, at]
+        d[rows, at] = np.inf
+    return d_out, i_out
+
+
+def leaves(p: np.ndarray, size: int) -> list[np.ndarray]:
+    """The rows of p in groups of up to ``size`` that lie close together: halved at the median of the widest axis."""
+    out, todo = [], [np.arange(len(p))]
+    while todo:
+        i = todo.pop()
+        if len(i) <= size:
+            out.append(np.sort(i))
+            continue
+        x = p[i][:, np.argmax(np.ptp(p[i], axis=0))]
+        order, half = np.argpartition(x, len(i) // 2), len(i) // 2
+        todo += [i[order[:half]], i[order[half:]]]
+    return out
+
+
+def _nearest_by_leaves(p: np.ndarray, q: np.ndarray, k: int, size: int) -> np.ndarray:
+    """The indices of ``nearest``: a group of p meets only those groups of q whose boxes are not beyond its k-th distance so far."""
+    i_out = np.zeros((len(p), k), int)
+    groups = leaves(q, size)
+    lo, hi = (np.array([f(q[g], axis=0) for g in groups]) for f in (np.min, np.max))
+    scale = (np.abs(q).max() + np.abs(p).max()) ** 2 * q.shape[1]
+    for g in leaves(p, size):
+        own = p[g]
+        gap = (np.maximum(0, np.maximum(lo - own.max(axis=0), own.min(axis=0) - hi)) ** 2).sum(axis=1)
+        # The groups of q nearest to the middle give a first bound.
+        mid = own.mean(axis=0)
+        first = np.argsort((np.maximum(0, np.maximum(lo - mid, mid - hi)) ** 2).sum(axis=1), kind="stable")[: 2 + k // (size // 2)]
+        far = _top(own, q[np.concatenate([groups[x] for x in first])], k)[0].max()
+        near = np.sort(np.concatenate([groups[x] for x in np.flatnonzero(gap <= far + 1e-9 * scale)]))
+        i_out[g] = near[_top(own, q[near], k)[1]]
+    return i_out
+
+
 def nearest(p: np.ndarray, q: np.ndarray, k: int = 1, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """(distances, indices) of the k nearest of q for each of p; in blocks of rows."""
+    """(distances, indices) of the k nearest of q for each of p, ties to the smaller index; many points by groups."""
     k = min(k, len(q))
+    if k and k <= 16 and len(q) > 4 * LEAF and len(p) > LEAF:
+        rows, back = np.unique(p, axis=0, return_inverse=True)
+        i_out = _nearest_by_leaves(rows, q, k, LEAF)[back.reshape(-1)]
+        # Differences instead of products: what is equally far gets the same distance.
+        d_out = np.sqrt(((p[:, None, :] - q[i_out]) ** 2).sum(axis=2))
+        order = np.lexsort((i_out, d_out), axis=1)
+        return np.take_along_axis(d_out, order, 1), np.take_along_axis(i_out, order, 1)
     d_out, i_out = np.zeros((len(p), k)), np.zeros((len(p), k), int)
     qq = (q**2).sum(axis=1)
     for i in range(0, len(p), block):

@@ -124,10 +124,11 @@ def stitch_pairs(pairs: DataFrame, chunks: DataFrame, peaks: int = 5, subpixel:
 MATCHES = "setup long, setup_b long, consensus int, id long, id_b long, x double, y double, z double, x_b double, y_b double, z_b double, model array<double>"
 
 
-def match_points(pairs: DataFrame, points: DataFrame, method: str = "FAST_ROTATION", **options) -> DataFrame:
+def match_points(pairs: DataFrame, points: DataFrame, method: str = "FAST_ROTATION", tasks: int | None = None, **options) -> DataFrame:
     """Corresponding points of each pair (setup, setup_b) of views; ``points`` has setup, id, x, y, z in world coordinates.
 
-    Every pair gets its views' points: its size is that of two views, whatever the project's.
+    Every pair gets its views' points: its size is that of two views, whatever the project's. ``tasks``: deal the pairs
+    over so many tasks, as their cost lies in the kernel and not in their bytes.
     """
     sides = [pairs.select(F.col("setup").alias("pa"), F.col("setup_b").alias("pb"), F.lit(s).alias("side"), F.col(c).alias("setup")) for s, c in ((0, "setup"), (1, "setup_b"))]
     rows = sides[0].unionByName(sides[1]).join(points.select("setup", "id", *[F.col(x).cast("double").alias(x) for x in "xyz"]), "setup")
@@ -146,6 +147,7 @@ def match_points(pairs: DataFrame, points: DataFrame, method: str = "FAST_ROTATI
                 out.append((*key, n, int(a["id"].iat[i]), int(b["id"].iat[j]), *p[i], *q[j], m.ravel().tolist()))
         return pd.DataFrame(out, columns=[c.split()[0] for c in MATCHES.split(", ")])
 
+    rows = rows.repartition(tasks, "pa", "pb") if tasks else rows
     return rows.groupBy("pa", "pb").applyInPandas(run, MATCHES)
 
 

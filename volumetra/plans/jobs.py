@@ -14,6 +14,8 @@ from volumetra.sources import chunks as ch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+#: So many that few of the 28 pairs of views share a task.
+PAIR_TASKS = 96
 
 
 def job(f: Query) -> Query:
@@ -66,33 +68,34 @@ def match_ransac(spark: SparkSession, d: str) -> DataFrame:
     return registration.robust_models(_candidates(spark, d), "TRANSLATION", iterations=500, max_error=10.0, min_ratio=0.01, min_inliers=5)
 
 
-def _bright(spark: SparkSession, d: str) -> DataFrame:
-    p = points.brightest(fx.points(spark, d), 150, ["setup"]).select("setup", F.col("new_id").cast("long").alias("id"), "x", "y", "z")
-    return p.dropDuplicates(["setup", "x", "y", "z"])
+def _places_of_points(spark: SparkSession, d: str) -> DataFrame:
+    """All points; of points at one place of a view the one with the smallest id."""
+    return fx.points(spark, d).groupBy("setup", "x", "y", "z").agg(F.min("id").alias("id")).select("setup", "id", "x", "y", "z")
 
 
 def _pairs(spark: SparkSession) -> DataFrame:
-    return spark.range(7).select(F.col("id").alias("setup"), (F.col("id") + 1).alias("setup_b"))
+    """All pairs of the eight views: their points lie in the same box."""
+    return spark.range(64).selectExpr("id div 8 as setup", "id % 8 as setup_b").filter("setup < setup_b")
 
 
 @job
 def match_icp(spark: SparkSession, d: str) -> DataFrame:
-    return registration.match_points(_pairs(spark), _bright(spark, d), "ICP", model="RIGID", max_error=5.0, iterations=50)
+    return registration.match_points(_pairs(spark), _places_of_points(spark, d), "ICP", tasks=PAIR_TASKS, model="RIGID", max_error=5.0, iterations=50)
 
 
 @job
 def match_fast_rotation(spark: SparkSession, d: str) -> DataFrame:
-    return registration.match_points(_pairs(spark), _bright(spark, d), "FAST_ROTATION", significance=1.5, model="RIGID", min_inliers=5, iterations=500)
+    return registration.match_points(_pairs(spark), _places_of_points(spark, d), "FAST_ROTATION", tasks=PAIR_TASKS, significance=1.5, model="RIGID", min_inliers=5, iterations=500)
 
 
 @job
 def match_precise_translation(spark: SparkSession, d: str) -> DataFrame:
-    return registration.match_points(_pairs(spark), _bright(spark, d), "PRECISE_TRANSLATION", significance=1.5, model="TRANSLATION", min_inliers=3, iterations=500, search_radius=60.0)
+    return registration.match_points(_pairs(spark), _places_of_points(spark, d), "PRECISE_TRANSLATION", tasks=PAIR_TASKS, significance=1.5, model="TRANSLATION", min_inliers=3, iterations=500, search_radius=60.0)
 
 
 @job
 def merge_points(spark: SparkSession, d: str) -> DataFrame:
-    return points.merged(_bright(spark, d), 5.0, ["setup"])
+    return points.merged(fx.points(spark, d).select("setup", "id", "x", "y", "z").repartition(32, "setup"), 5.0, ["setup"])
 
 
 @job
