@@ -40,13 +40,19 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram join: of each class of linked documents the one with the smallest id stays."""
+    """N-gram join: of each class of linked documents the one with the smallest id stays; where ids repeat, rows are documents."""
     scratch.clear(spark)
     docs = docs.select(*COLUMNS)
-    classes = ngramjoin.similarity_classes(docs)
-    gone = scratch.table(classes.filter(~F.col("class_id").eqNullSafe(F.col("doc_id"))).select("doc_id"), "copies")
+    key = "doc_id"
+    if ngramjoin.ids_repeat(docs):
+        key, docs = "row", ngramjoin.with_rows(docs)
+        found, least = ngramjoin.row_classes(docs)
+        gone = found.join(least.select("least.row"), "row", "left_anti")
+    else:
+        gone = ngramjoin.similarity_classes(docs).filter(~F.col("class_id").eqNullSafe(F.col("doc_id")))
+    gone = scratch.table(gone.select(key), "copies")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return docs.join(gone.withColumnRenamed(key, "gone"), F.col(key).eqNullSafe(F.col("gone")), "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

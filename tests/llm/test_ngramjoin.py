@@ -103,3 +103,16 @@ def test_prefix_and_similar():
     assert similar(a, b).tolist() == [[True, False, False], [False, False, False]]
     with pytest.raises(ValueError):
         similar([], [])
+
+
+def test_rows_of_repeated_ids_are_documents(spark):
+    import corpus_pipeline as cp
+
+    one, two, three = ("a b c d e f g h i j", "k l m n o p q r s t", "u v w x y z u v w x")
+    rows = [(1, one), (5, one), (5, two), (5, three), (7, two), (8, three), (8, three), (None, "n " * 9), (None, "n " * 9), (None, "only here")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted((r.doc_id or -1, r.text) for r in cp.drop_near_copies(spark, docs, "").collect())
+    assert kept == sorted([(1, one), (5, two), (5, three), (-1, "n " * 9), (-1, "only here")])
+    got = sorted((r.doc_id or -1, r.class_id or -1, r.n_copies, r.n_links) for r in similarity_classes(docs).collect())
+    want = [(1, 1, 2, 1), (5, 1, 2, 1), (5, 5, 2, 1), (5, 5, 3, 2), (7, 5, 2, 1), (8, 5, 3, 2), (8, 5, 3, 2), (-1, -1, 2, 1), (-1, -1, 2, 1), (-1, -1, 1, 0)]
+    assert got == sorted(want)

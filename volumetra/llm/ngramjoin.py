@@ -14,8 +14,8 @@ Groups are never expanded into all pairs of rows:
 Nothing but counts, and ids below a stated number for a broadcast, reaches the driver.
 
 Words are runs of non-white-space with A-Z lower-cased. Defined results: a text of one to four words is one shingle; null
-or empty texts, or texts of white space, have no shingles and no links; rows that repeat a doc_id are one document, the
-text with the smallest hash counts; a null doc_id is a document like any other; extra columns are ignored.
+or empty texts, or texts of white space, have no shingles and no links; where a doc_id (or null) repeats, every row is a document of its
+own (``row_classes``) and has a row in the result; a null doc_id is the smallest; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -280,16 +280,10 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return tested.filter(THRESHOLD[1] * F.col("i") >= THRESHOLD[0] * F.col("u")).select("a", "b")
 
 
-def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The operator: (doc_id, class_id, n_copies, n_links), one row per document.
-
-    class_id is the smallest doc_id of its connected class (its own without links), n_copies counts the documents with
-    the same words, itself too, and n_links the other documents at the similarity or above, copies too.
-    """
+def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, class_id, n_copies, n_links) where no id repeats."""
     signed = scratch.table(signatures(docs, id_col, text_col), "signatures")
-    one = signed.groupBy("d").agg(F.min(F.struct("k1", "k2", "keys")).alias("x")).select("d", "x.*")
-    rows = scratch.table(one, "documents")
-    classes = scratch.table(rows.groupBy("k1", "k2").agg(F.min("d").alias("c"), F.count("*").alias("n"), F.first("keys").alias("keys")), "classes")
+    classes = scratch.table(signed.groupBy("k1", "k2").agg(F.min("d").alias("c"), F.count("*").alias("n"), F.first("keys").alias("keys")), "classes")
 
     entries = classes.select("c", F.posexplode("keys").alias("tree", "key"))
     buckets = entries.groupBy("tree", "key").agg(F.count("*").alias("m"), F.min("c").alias("least")).filter("m > 1")
@@ -303,12 +297,8 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     wanted = members.select("c").distinct()
     text = docs.select(F.coalesce(F.col(id_col), F.lit(NO_ID)).cast("long").alias("d"), F.col(text_col).alias("text"))
-    # Of a repeated doc_id's texts the same one counts as in ``rows``.
     chosen = text.join(_small(wanted.withColumnRenamed("c", "d")), "d", "left_semi")
-    found = shingle_sets(chosen)
-    if rows.count() != signed.count():
-        found = found.groupBy("c").agg(F.min_by("s", F.struct("k1", "k2")).alias("s"))
-    sets = scratch.table(found.select("c", "s"), "sets")
+    sets = scratch.table(shingle_sets(chosen).select("c", "s"), "sets")
 
     edges = scratch.table(verified(pairs, sets), "verified")
     comps = scratch.table(connected(edges), "components")
@@ -338,8 +328,8 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     info = info.select("k1", "k2", F.coalesce("comp", "c").alias("class_id"), "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
     info = scratch.table(info.filter("n > 1 or n_links > 0"), "classes")
 
-    everyone = docs.select(F.coalesce(F.col(id_col), F.lit(NO_ID)).cast("long").alias("d")).distinct()
-    named = rows.select("d", "k1", "k2").join(info, ["k1", "k2"]).select("d", "class_id", "n", "n_links")
+    everyone = docs.select(F.coalesce(F.col(id_col), F.lit(NO_ID)).cast("long").alias("d"))
+    named = signed.select("d", "k1", "k2").join(info, ["k1", "k2"]).select("d", "class_id", "n", "n_links")
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return everyone.join(named, "d", "left").select(
         real("d").alias("doc_id"),
@@ -349,5 +339,40 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
 
 
+def ids_repeat(docs: DataFrame, id_col: str = "doc_id") -> bool:
+    """Whether an id, or null, is that of several rows."""
+    return (docs.groupBy(id_col).count().agg(F.max("count")).first()[0] or 0) > 1
+
+
+def with_rows(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``row``, a key of each row; written, so that the keys stay."""
+    return scratch.table(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+
+
+def row_classes(keyed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The rows of ``with_rows`` as documents of their own: (row, doc_id, c, n_copies, n_links), where c names the class,
+    and of each class (c, least): its smallest doc_id (null before all), of equal ones the smallest row."""
+    own = keyed.select("row", F.col(id_col).cast("long").alias("doc_id"))
+    found = _classes(keyed, "row", text_col).withColumnsRenamed({"doc_id": "row", "class_id": "c"})
+    found = scratch.table(found.join(own, "row"), "rows")
+    return found, found.groupBy("c").agg(F.min(F.struct("doc_id", "row")).alias("least"))
+
+
+def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The operator: (doc_id, class_id, n_copies, n_links), one row per document.
+
+    class_id is the smallest doc_id of its connected class (its own without links), n_copies counts the documents with
+    the same words, itself too, and n_links the other documents at the similarity or above, copies too.
+    """
+    if not ids_repeat(docs, id_col):
+        return _classes(docs, id_col, text_col)
+    found, least = row_classes(with_rows(docs.select(id_col, text_col)), id_col, text_col)
+    # Only classes of several rows need their smallest id; they may be as large as they like, each is one row here.
+    many = found.filter(F.col("row") != F.col("c")).select("c").distinct()
+    named = _small(scratch.table(least.join(many, "c", "left_semi").select("c", F.col("least.doc_id").alias("class_id"), F.lit(True).alias("many")), "least"))
+    out = found.join(named, "c", "left")
+    return out.select("doc_id", F.when(F.col("many"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), "n_copies", "n_links")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
