@@ -1,8 +1,10 @@
 """N-gram Jaccard join: documents whose sets of five-word shingles have a similarity of 0.8 or more.
 
-Method: a MinHash LSH forest. Each text gets ``TREES`` signatures; in each tree texts that share a prefix of the
-signature are candidates. The prefix starts at ``DEPTH`` values and is shortened until a pair at the threshold is found
-with ``RECALL`` (``prefix_length``). Candidates are verified exactly on their shingle sets (64-bit hashes of shingles).
+Method: MinHash banding, in place of an LSH forest: no prefix tries are kept, and no prefix is shortened text by text. Each
+text gets ``TREES`` signatures of a fixed length; texts that share a signature are candidates. The length is the longest
+up to ``DEPTH`` at which a pair at the threshold is found with ``RECALL`` (``prefix_length``: 5 values for 0.8; longer
+prefixes of a forest would find a subset of these candidates). A pair at exactly 0.8 that no other text connects is missed
+with (1 - 0.8^5)^20 = 3.6e-4. Candidates are verified exactly on their shingle sets (64-bit hashes of shingles).
 
 Groups are never expanded into all pairs of rows:
 * equal texts are one class from the start (grouped by a 128-bit hash of their words);
