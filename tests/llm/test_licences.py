@@ -58,3 +58,20 @@ def test_table(spark):
     assert got[3] == got[4] == (4, 50_002, 1, 50_000, 50_000, "cc-by", "cc-by", 0.6)
     assert got[5][6] == "cc-by,cc-by-nc"
     assert scan_licences(docs.limit(0)).count() == 0
+
+
+def test_long_expressions_keep_choice_and_with():
+    text = " AND ".join(f"(A{i} OR B{i})" for i in range(40)) + " AND X WITH Y"
+    labels, parses = expression_labels(text)
+    assert parses and labels == {f"spdx:{x}{i}" for i in range(40) for x in "ab"} | {"spdx:x-with-y", "spdx:choice"}
+
+
+def test_labels_against_listed_choices():
+    rng = random.Random(9)
+    for _ in range(500):
+        text = "A"
+        for _ in range(rng.randrange(5)):
+            text = f"({text}) {rng.choice(['AND', 'OR'])} ({rng.choice('ABC')} {rng.choice(['AND', 'OR', 'WITH'])} {rng.choice('ABC')})"
+        sets = choices(postfix(text))
+        want = {f"spdx:{x}" for s in sets for x in s} | ({"spdx:choice"} if len(sets) > 1 else set())
+        assert expression_labels(text) == (want, True), text

@@ -3,8 +3,8 @@
 Words are runs of ASCII letters and digits (A-Z lower-cased) and non-ASCII characters. One Aho-Corasick automaton holds
 all phrases, padded by spaces, and runs over the words joined by single spaces, so that a phrase is found wherever its
 words stand one after the other. Behind a ``SPDX-License-Identifier`` tag stands an expression: it is read from the text
-as it is, and a shunting-yard parser turns it into postfix order (WITH binds before AND, AND before OR) and evaluates it:
-its labels, and how free the strictest choice is. A broken expression gives the labels of the ids it names.
+as it is, and a shunting-yard parser turns it into postfix order (WITH binds before AND, AND before OR), which gives its
+labels and whether there is a choice. A broken expression gives the labels of the ids it names.
 
 Score: 0 without finding; 0.4 with a phrase that only reserves rights; 0.6 and 0.1 more for every further label, up to
 0.9, with notices; 1 with an expression that parses.
@@ -117,15 +117,33 @@ def choices(order: list[str], most: int = 64) -> list[frozenset[str]] | None:
     return stack[0]
 
 
+def summary(order: list[str]) -> tuple[frozenset[str], frozenset[str]] | None:
+    """(licences of some choice, licences of every choice), without listing ``choices``; they differ if there are several.
+    None if WITH joins more than two ids."""
+    stack: list[tuple[frozenset[str], frozenset[str]]] = []
+    for token in order:
+        if token not in _RANK:
+            stack.append((frozenset([token]),) * 2)
+            continue
+        b, a = stack.pop(), stack.pop()
+        if token == "with":
+            if a[0] != a[1] or b[0] != b[1] or len(a[0]) != 1 or len(b[0]) != 1:
+                return None
+            stack.append((frozenset([f"{min(a[0])}-with-{min(b[0])}"]),) * 2)
+        else:
+            stack.append((a[0] | b[0], a[1] | b[1] if token == "and" else a[1] & b[1]))
+    return stack[0]
+
+
 def expression_labels(expression: str) -> tuple[set[str], bool]:
     """(labels, parses): ``spdx:id`` of every licence named, ``spdx:choice`` where one of several may be taken."""
     text = _COMMENT_END.sub("", expression)
     order = postfix(text)
-    found = choices(order) if order else None
+    found = summary(order) if order else None
     if found is None:
         ids = {t.lower() for t in _TOKEN.findall(text)} - {"(", ")", *_RANK}
         return {f"spdx:{i}" for i in ids if re.search("[a-z]", i)} if order is None else {f"spdx:{t}" for t in order if t not in _RANK}, order is not None
-    return {f"spdx:{i}" for s in found for i in s} | ({"spdx:choice"} if len(found) > 1 else set()), True
+    return {f"spdx:{i}" for i in found[0]} | ({"spdx:choice"} if found[0] != found[1] else set()), True
 
 
 class Scanner:
