@@ -242,6 +242,15 @@ def test_quality_odd_tables(spark):
     assert a == b
 
 
+def test_elements_below_depth_400_are_their_own():
+    page = htmltext.Page("<div>" * 450 + "<section>deep<section>inner</section>after</section>" + "</div>" * 449 + "outer</div>end")
+    at = {text: (page.tag[node], page.depth[node]) for node, text in page.blocks}
+    assert at == {"deep": ("section", 451), "inner": ("section", 452), "after": ("section", 451), "outer": ("div", 1), "end": ("#root", 0)}
+    many = htmltext.Page("<div>x</p>" * 50_000)
+    assert len(many.parent) == 50_001 and many.depth[-1] == 50_000
+    assert len(htmltext.decode(many.parent, np.ones(50_001))) == len(many.features()) == 50_001
+
+
 # --- the pipeline ------------------------------------------------------------------------------------------------
 
 

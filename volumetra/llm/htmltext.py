@@ -10,8 +10,8 @@ The trees are trained here, on pages that ``sample_page`` composes with known ro
 a few kilobytes and is broadcast. The job is one scan and one Arrow map of whole pages.
 
 Defined results: null or empty html gives an empty text; white space (Unicode's) inside a block is one space; pages
-without article give an empty text; repeated rows are extracted one by one; extra columns are ignored. Elements nested
-deeper than ``MAX_DEPTH`` are taken as children of the element at that depth.
+without article give an empty text; repeated rows are extracted one by one; extra columns are ignored. Elements may
+be nested to any depth.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import html as entities
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from volumetra.llm.tokencount import small_batches
 
-MAX_DEPTH, TREES, TREE_DEPTH, RATE, TRAIN_PAGES, SEED = 400, 40, 4, 0.3, 320, 5
+TREES, TREE_DEPTH, RATE, TRAIN_PAGES, SEED = 40, 4, 0.3, 320, 5
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
 _ATTRIBUTE = re.compile(r"(?:class|id|role|aria-label|itemprop|itemtype)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
@@ -85,6 +86,12 @@ class Page:
 
     def _parse(self, source: str) -> None:
         stack: list[tuple[str, int]] = [("#root", 0)]  # open block elements
+        opened: Counter[str] = Counter()  # how many of each tag: a deep stack is not searched for a tag that it lacks
+
+        def cut(i: int) -> None:
+            opened.subtract(t for t, _ in stack[i:])
+            del stack[i:]
+
         run, at, end = self._run, 0, len(source)
         match = _MARKUP.search
         while True:
@@ -116,23 +123,23 @@ class Page:
                 self._flush(node)
                 self._links = 0
                 if closing:
-                    for i in range(len(stack) - 1, 0, -1):
+                    for i in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                         if stack[i][0] == tag:
-                            del stack[i:]
+                            cut(i)
                             break
                     continue
                 if tag in CLOSES_P and any(t == "p" for t, _ in stack[-3:]):
                     for i in range(len(stack) - 1, 0, -1):
                         if stack[i][0] == "p":
-                            del stack[i:]
+                            cut(i)
                             break
                 if tag in CLOSES:
                     ends, scope = CLOSES[tag]
-                    for i in range(len(stack) - 1, 0, -1):
+                    for i in range(len(stack) - 1, 0, -1) if any(opened[t] for t in ends.split()) else ():
                         if stack[i][0] in scope:
                             break
                         if stack[i][0] in ends.split():
-                            del stack[i:]
+                            cut(i)
                             break
                 if tag == "hr":
                     continue
@@ -144,8 +151,8 @@ class Page:
                 self.depth.append(self.depth[parent] + 1)
                 self.chars.append(0)
                 self.linked.append(0)
-                if len(stack) < MAX_DEPTH:
-                    stack.append((tag, len(self.parent) - 1))
+                stack.append((tag, len(self.parent) - 1))
+                opened[tag] += 1
         self._flush(stack[-1][1])
         del run
 
