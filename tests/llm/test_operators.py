@@ -163,6 +163,13 @@ def test_mixing_odd_tables(spark):
     assert len(same) == 4 and len({(r.whole, r.part) for r in same if r.doc_id == 1}) == 1
 
 
+def test_mixing_takes_whole_documents_of_one_id(spark):
+    rows = [(None, f"{i} " * (3 + i % 5), "s") for i in range(40)] + [(i, "x " * 7, "t") for i in range(20)]
+    out = [r for r in mixing.mix(table(spark, rows)).collect() if r.source == "s"]
+    assert sum(r.part > 0 for r in out) <= 1 and len({r.whole for r in out}) == 2
+    assert abs(sum(r.whole * r["size"] + r.part for r in out) - out[0].target) <= 1
+
+
 # --- 5: rules ----------------------------------------------------------------------------------------------------
 
 

@@ -10,7 +10,7 @@ and slice are pre-aggregated, and only the one slice in which a source's share e
 each row takes then follows from its own hash and the row of its source. The water level comes from prefix sums over the sources, which are the rows of a mixture's recipe, not of its data.
 
 Defined results: null text has size 0, a null source is a source of its own, last in order; documents of size 0 take
-nothing; repeated rows share what is left at
+nothing; rows of one id are ordered by a hash of the text; identical rows share what is left at
 their place in the order; an empty table gives an empty table; extra columns are ignored.
 """
 
@@ -26,10 +26,10 @@ WEIGHTS, MAX_EPOCHS, SEED, BROADCAST_SOURCES = (5, 2, 1), 3, "mix-1", 100_000
 
 
 def sizes(docs: DataFrame, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, source, size, h) and the columns ``keep`` of each row: size in words, h its place in the seeded order."""
+    """(doc_id, source, size, h, t) and the columns ``keep`` of each row: size in words, h its place in the seeded order, t among equal h."""
     n = F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     h = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n.alias("size"), h.alias("h"), *keep)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n.alias("size"), h.alias("h"), F.xxhash64(F.col(text_col)).alias("t"), *keep)
 
 
 def water_levels(by_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -55,14 +55,12 @@ def water_levels(by_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_e
 
 
 def mixture(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """The recipe, one row per source: (source, source_size, target, epochs, end_h, rest, tied), from ``sizes``.
+    """The recipe, one row per source: (source, source_size, target, epochs, end_h, end_t, rest, tied), from ``sizes``.
 
-    Every document is taken ``epochs`` times, once more where its h is below end_h; the documents at end_h, ``tied``
-    words together, share the ``rest`` words that are left.
+    Every document is taken ``epochs`` times, once more where its h is below end_h, or at end_h and its t below end_t; the
+    documents at both, ``tied`` words together (one document or identical rows), share the ``rest`` words that are left.
     """
-    rows = rows.withColumn("slice", F.substring("h", 1, 3))
-    by_slice = rows.groupBy("source", "slice").agg(F.sum("size").alias("n"))
-    by_source = by_slice.groupBy("source").agg(F.sum("n").alias("source_size"))
+    by_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     levels = water_levels(by_source, weights, max_epochs)
     # A target within rounding of whole epochs has no fraction.
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(F.lit(0))
@@ -71,17 +69,30 @@ def mixture(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int
     plan = scratch.table(plan, "mixture")
     few = plan.count() <= BROADCAST_SOURCES
 
+    last = _end(rows, plan.select("source", "extra"), "h", F.substring("h", 1, 3), few)
+    last = scratch.table(last.select("source", F.col("end").alias("end_h"), "rest"), "ends")
+    # Where several documents are at end_h, the same among them by text.
+    there = joined(rows, last.select("source", "end_h"), few).filter(F.col("h") == F.col("end_h")).drop("end_h")
+    among = _end(there, last.select("source", F.col("rest").alias("extra")), "t", F.shiftright("t", 52), few)
+    among = among.select(F.col("source").alias("s3"), F.col("end").alias("end_t"), F.col("rest").alias("rest_t"), "tied")
+    last = last.join(among, F.col("source").eqNullSafe(F.col("s3"))).select("source", "end_h", "end_t", F.col("rest_t").alias("rest"), "tied")
+    p = plan.drop("extra").withColumnRenamed("source", "s1")
+    return scratch.table(p.join(last.withColumnRenamed("source", "s2"), F.col("s1").eqNullSafe(F.col("s2")), "left").drop("s2").withColumnRenamed("s1", "source"), "mixture")
+
+
+def _end(rows: DataFrame, plan: DataFrame, key: str, part: Column, few: bool) -> DataFrame:
+    """(source, end, rest, tied): in the order of ``key``, cut into the slices ``part``, where each source's ``extra`` words end."""
+    rows = rows.withColumn("slice", part)
+    by_slice = rows.groupBy("source", "slice").agg(F.sum("size").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, 0))
-    slices = joined(by_slice.withColumn("upto", upto), plan.select("source", "extra"), few)
+    slices = joined(by_slice.withColumn("upto", upto), plan, few)
     ends = slices.filter((F.col("upto") >= F.col("extra")) & (F.col("upto") - F.col("n") < F.col("extra")))
     ends = ends.select("source", F.col("slice").alias("end_slice"), (F.col("extra") - F.col("upto") + F.col("n")).alias("budget"))
     # The one slice of each source in which its share ends.
-    inside = joined(rows, ends, few).filter(F.col("slice") == F.col("end_slice")).groupBy("source", "budget", "h").agg(F.sum("size").alias("tied"))
-    run = F.sum("tied").over(Window.partitionBy("source").orderBy("h").rowsBetween(Window.unboundedPreceding, 0))
+    inside = joined(rows, ends, few).filter(F.col("slice") == F.col("end_slice")).groupBy("source", "budget", key).agg(F.sum("size").alias("tied"))
+    run = F.sum("tied").over(Window.partitionBy("source").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
     last = inside.withColumn("run", run).filter((F.col("run") >= F.col("budget")) & (F.col("run") - F.col("tied") < F.col("budget")))
-    last = last.select("source", F.col("h").alias("end_h"), (F.col("budget") - F.col("run") + F.col("tied")).alias("rest"), "tied")
-    p = plan.drop("extra").withColumnRenamed("source", "s1")
-    return scratch.table(p.join(last.withColumnRenamed("source", "s2"), F.col("s1").eqNullSafe(F.col("s2")), "left").drop("s2").withColumnRenamed("s1", "source"), "mixture")
+    return last.select("source", F.col(key).alias("end"), (F.col("budget") - F.col("run") + F.col("tied")).alias("rest"), "tied")
 
 
 def joined(rows: DataFrame, plan: DataFrame, few: bool) -> DataFrame:
@@ -93,11 +104,11 @@ def joined(rows: DataFrame, plan: DataFrame, few: bool) -> DataFrame:
 def take(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """``rows`` (source, size, h and more) with source_size, target, ``whole`` repetitions and first words ``part``."""
     out = joined(rows, plan, plan.count() <= BROADCAST_SOURCES)
-    extra = F.when(F.col("h") < F.col("end_h"), F.col("size"))
-    extra = F.coalesce(extra.when(F.col("h") == F.col("end_h"), F.floor(F.col("rest") * F.col("size") / F.col("tied"))), F.lit(0)).cast("long")
+    extra = F.when((F.col("h") < F.col("end_h")) | (F.col("h") == F.col("end_h")) & (F.col("t") < F.col("end_t")), F.col("size"))
+    extra = F.coalesce(extra.when((F.col("h") == F.col("end_h")) & (F.col("t") == F.col("end_t")), F.floor(F.col("rest") * F.col("size") / F.col("tied"))), F.lit(0)).cast("long")
     full = (extra == F.col("size")) & (F.col("size") > 0)
     whole = (F.col("epochs") + full.cast("int")).cast("long")
-    return out.withColumns({"whole": whole, "part": F.when(full, F.lit(0)).otherwise(extra).cast("long")}).drop("epochs", "end_h", "rest", "tied")
+    return out.withColumns({"whole": whole, "part": F.when(full, F.lit(0)).otherwise(extra).cast("long")}).drop("epochs", "end_h", "end_t", "rest", "tied", "t")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
