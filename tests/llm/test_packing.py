@@ -1,9 +1,12 @@
+import random
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
+from volumetra.llm import packing
 from volumetra.llm.packing import WINDOW, WordEncoder, combinations, pack, plan_windows, solve_counts
 from volumetra.llm.tokencount import vocabulary
 
@@ -11,12 +14,30 @@ PATH = vocabulary("word_bpe_49k.json")
 ODD = [None, "", " ", "Ω ΣΣ É ´́x", "a\x1cb c\x85d", "x<|endoftext|>y z", "it's 12  34\n\nok", "word " * 9000, "word " * 9000, "ﬁ İI", "é ́e"]
 
 
-def test_encoder_equals_library():
-    texts = [t or "" for t in ODD]
+def same_ids(texts, encoder=None):
     library = Tokenizer.from_file(PATH)
-    got = WordEncoder(PATH).encode(texts)
-    for text, ids in zip(texts, got, strict=True):
-        assert np.frombuffer(ids, "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
+    ids, bounds = (encoder or WordEncoder(PATH)).encode(pa.array(texts, pa.string()), 2)
+    for text, x, y in zip(texts, bounds[:-1], bounds[1:], strict=True):
+        assert ids[x:y].tolist() == library.encode(text, add_special_tokens=False).ids + [2], text
+
+
+def test_encoder_equals_library():
+    same_ids([t or "" for t in ODD])
+    same_ids([])
+
+
+def test_encoder_equals_library_on_random_texts():
+    r = random.Random(5)
+    some = ["'", "s", "T", "ll", "LL", "ré", "Ω", "Σ", "ς", "ſ", "ß", "ẞ", "İ", "ı", "7", "½", "²", "!", "<|", "|>", "<|endoftext|>", "_", "-", "中文", "한", "\u0301", "\u200b", "\x1c", "\x85", "\xa0", "ǅ", "ﬁ", "Ж", "ѐ", "ͅ", "ʰ", "Ấ", "ạ̀", "🙂", "\x00", " ", " ", "\n"]
+    texts = ["".join(r.choices(some, k=r.randint(0, 12))) for _ in range(4000)] + ["".join(chr(r.choice([r.randint(1, 0x52F), r.randint(0x1E00, 0x20FF), r.randint(0x2100, 0xD7FF)])) for _ in range(9)) for _ in range(4000)]
+    same_ids(texts)
+
+
+def test_encoder_with_a_small_cache(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_ROWS", 20)
+    encoder = WordEncoder(PATH)
+    for i in range(30):
+        same_ids([" ".join(f"word{j} It's, {'long' * 40}{j % 3}" for j in range(i, i + 9)), "it's"], encoder)
 
 
 def check(rows, texts, window):

@@ -4,7 +4,7 @@
    after whole windows and a rank among the rows of that length in the same task. Whole windows fill a sequence alone.
 2. The histogram of left-over lengths (as many bins as a window has tokens) is all the driver sees. Shallow combinations
    that fill a window exactly, k times a and once b, are enumerated; non-negative least squares finds how often each is
-   to be used; counts are rounded down to what the histogram holds.
+   to be used; counts are rounded to the nearest and kept within what the histogram holds.
 3. Left-overs of a length are numbered across tasks by prefix sums over (task, length) counts, so a number determines its
    sequence and offset by binary search in small arrays: nothing is collected and no key is hot.
 4. What the combinations leave over is packed greedily, longest first, one after the other and cut where a window ends.
@@ -17,43 +17,59 @@ one; extra columns are ignored.
 from __future__ import annotations
 
 import re
-import unicodedata
 import zlib
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from volumetra.llm import scratch
-from volumetra.llm.tokencount import BATCH_CHARS, MISSES, of_worker, open_tokenizer, small_batches, vocabulary
+from volumetra.llm.tokencount import MISSES, of_worker, open_tokenizer, runs_of, vocabulary
 
-WINDOW, END_ID, CACHE_ROWS, MAX_REPEAT, BROADCAST_OFFSETS = 4096, 2, 150_000, 8, 1_000_000
-#: Letters, then ASCII punctuation without the apostrophe.
-_WORD_AND_TAIL = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
-#: str.split() parts words here too, the tokenizer's own \s does not.
-_NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
-
-
-def _all_letters(word: str) -> bool:
-    """Whether the tokenizer's normal form of a word has letters alone: some letters lose a mark to it."""
-    return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
+WINDOW, END_ID, CACHE_ROWS, MAX_REPEAT, BROADCAST_OFFSETS = 4096, 2, 400_000, 8, 1_000_000
+BATCH_BYTES, KEPT_CHARS = 8_000_000, 64
+#: Arrow and str.split() part words here too, the tokenizer's own \\s does not.
+_NOT_SPACE = "[\x1c-\x1f]"
+_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: ASCII punctuation and symbols.
+_SIGNS = r"!-/:-@\[-`{-~"
+#: Code points whose letters are looked at one by one when an encoder opens.
+_LETTERS = (*range(0x80, 0x530), *range(0x1E00, 0x1F00))
 
 
 class WordEncoder:
-    """Ids as little-endian uint16 bytes. Words parted by white space are independent for this kind of vocabulary."""
+    """Ids as little-endian uint16. Words parted by white space are independent for this kind of vocabulary.
+
+    Arrow parts a batch of texts into words and numbers the distinct ones; only these are looked up, and the ids of all
+    words are gathered by number. Unknown words made of letters, digits and ASCII signs are cut into pre-tokens here, in
+    the normal form and byte letters that the library itself gives for each letter, and merged by the library's model
+    in one call; every other word goes to the library as it is.
+    """
 
     def __init__(self, path: str):
-        self.library, self.known, self.older = open_tokenizer(path), {}, {}
+        self.library, self.model, self.known, self.older = open_tokenizer(path), open_tokenizer(path), {"": b""}, {}
+        self.model.normalizer = self.model.pre_tokenizer = None
         names = self.library.get_vocab()
+        if max(names.values()) > 65535:
+            raise ValueError("ids of this vocabulary do not fit two bytes")
         #: Whether an id ends a pre-token.
         self.ends = np.zeros(max(names.values()) + 1, bool)
         self.ends[[i for t, i in names.items() if t.endswith("</w>")]] = True
-        if self.library.get_vocab_size() > 65536:
-            raise ValueError("ids of this vocabulary do not fit two bytes")
+        #: Byte letters of the normal form of each plain letter.
+        self.form = {c: chr(c).lower() for c in range(0x21, 0x7F)}
+        for c in map(chr, _LETTERS):
+            one = self.library.normalizer.normalize_str(f"a{c}a")
+            cut = self.library.pre_tokenizer.pre_tokenize_str(one) if c.isalpha() and len(one) == 3 else ()
+            if len(cut) == 1:
+                self.form[ord(c)] = cut[0][0][1:-1]
+        letters = "A-Za-z" + "".join(chr(c) for c in self.form if c > 0x7F)
+        self.plain = re.compile(f"[{letters}0-9{_SIGNS}]+").fullmatch
+        self.cut = re.compile(f"'(?:[sStTmMdD]|[rR][eE]|[vV][eE]|[lL][lL])|[{letters}]+|[0-9]|[{_SIGNS}]+").findall
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -61,79 +77,103 @@ class WordEncoder:
             out += [np.array(e.ids, "<u2").tobytes() for e in self.library.encode_batch_fast(texts[i : i + MISSES], add_special_tokens=False)]
         return out
 
-    def _ids_of_letters(self, words: list[str]) -> list[bytes]:
-        """Words of letters alone are one pre-token each, so many are encoded as one text and parted at the pre-tokens' ends."""
+    def _ids_of_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pre-tokens, of many in one call, parted at the pre-tokens' ends."""
         out: list[bytes] = []
-        for i in range(0, len(words), MISSES):
-            some = words[i : i + MISSES]
-            ids = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u2")
+        for i in range(0, len(pieces), MISSES):
+            some = pieces[i : i + MISSES]
+            ids = np.array(self.model.encode_batch_fast([some], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u2")
             at = np.flatnonzero(self.ends[ids]) + 1
-            if len(at) != len(some):  # normalization has parted a word
-                out += self._ids(some)
-                continue
+            if len(at) != len(some):
+                raise ValueError("every pre-token of this kind of vocabulary ends in a token of its own")
             data, cuts = ids.tobytes(), [0, *(2 * at).tolist()]
             out += [data[x:y] for x, y in zip(cuts, cuts[1:])]
         return out
 
-    def _learn(self, words: set[str]) -> None:
-        """Ids of words that are not known: from the older half of the cache, or from the library."""
-        again = words & self.older.keys()
-        self.known.update((w, self.older[w]) for w in again)
-        rest = words - again
-        letters = [w for w in rest if w.isalpha()]
-        self.known.update(zip(letters, self._ids_of_letters(letters), strict=True))
-        others = [w for w in rest if not w.isalpha()]
-        self.known.update(zip(others, self._ids(others), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _learn(self, words: list[str]) -> None:
+        known, form, parts, others = self.known, self.form, {}, []
+        pieces, rest = [], []
+        for w in words:  # words of lower-case ASCII letters are pre-tokens as they are
+            (pieces if w.isascii() and w.isalpha() and w.islower() else rest).append(w)
+        for w in rest:
+            if self.plain(w) and "<|" not in w:
+                parts[w] = [x.lower() if x.isascii() else x.translate(form) for x in self.cut(w)]
+            else:
+                others.append(w)
+        new = set(chain.from_iterable(parts.values())).difference(pieces) - known.keys()
+        if again := new & self.older.keys():
+            known.update((x, self.older[x]) for x in again)
+            new -= again
+        pieces += new
+        known.update(zip(pieces, self._ids_of_pieces(pieces), strict=True))
+        known.update((w, b"".join(map(known.__getitem__, p))) for w, p in parts.items())
+        known.update(zip(others, self._ids(others), strict=True))
+
+    def _bytes_of(self, words: list[str]) -> list[bytes]:
         if len(self.known) > CACHE_ROWS:
-            self.known, self.older = {}, self.known
-        known, cut = self.known, [None if any(c in t for c in _NOT_SPACE) else t.split() for t in texts]
-        words = list(chain.from_iterable(c for c in cut if c))
+            self.known, self.older = {"": b""}, self.known
+        known = self.known
         ids = list(map(known.get, words))
         gaps = [i for i, v in enumerate(ids) if v is None]
-        misses = {words[i] for i in gaps}
-        if again := misses & self.older.keys():
-            known.update((w, self.older[w]) for w in again)
-            misses -= again
-        if misses:
-            # A word and the punctuation behind it are pre-tokens of their own, and ASCII letters count as lower case.
-            parts = {}
-            for w in misses:
-                low = w.lower() if w.isascii() and "<|" not in w else w
-                if (m := _WORD_AND_TAIL.fullmatch(low)) and _all_letters(m[1]):
-                    parts[w] = m[1], m[2]
-                elif low != w:
-                    parts[w] = low, ""
-            needed = (misses - parts.keys()) | set(chain.from_iterable(parts.values())) - {""}
-            known[""] = b""  # never a word
-            self._learn(needed - known.keys())
-            known.update((w, known[a] + known[b]) for w, (a, b) in parts.items())
+        misses = []
+        for i in gaps:
+            w = words[i]
+            if (v := self.older.get(w)) is None:
+                misses.append(w)
+            else:
+                known[w] = v
+        self._learn(misses)
         for i in gaps:
             ids[i] = known[words[i]]
-        out, at = [], 0
-        for t, c in zip(texts, cut, strict=True):
-            out.append(self._ids([t])[0] if c is None else b"".join(ids[at : at + len(c)]))
-            at += len(c or ())
-        return out
+        for w in misses:  # the cache holds short words alone, so that its rows bound its bytes
+            if len(w) > KEPT_CHARS:
+                for x in (w, w.lower(), *(self.cut(w) if self.plain(w) else ())):
+                    known.pop(x, None)
+                    known.pop(x.translate(self.form), None)
+        return ids
+
+    def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, bounds): the ids of all texts and where each text's begin; ``end`` follows each text if given."""
+        # Lower case of ASCII saves words; special tokens would lose their case by it.
+        texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        cut = pc.utf8_split_whitespace(texts)
+        if odd := pc.indices_nonzero(pc.match_substring_regex(texts, _NOT_SPACE)).to_pylist():
+            lists = cut.to_pylist()
+            for i in odd:
+                lists[i] = _SPACE.split(texts[i].as_py())
+            cut = pa.array(lists, pa.list_(pa.string()))
+        per_text = cut.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        named = cut.flatten().dictionary_encode()
+        number = named.indices.to_numpy()
+        parts = self._bytes_of(named.dictionary.to_pylist())
+        if end is not None:
+            number = np.insert(number, np.cumsum(per_text), len(parts))
+            parts, per_text = [*parts, np.array([end], "<u2").tobytes()], per_text + 1
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 2
+        begin, data = np.cumsum(size) - size, np.frombuffer(b"".join(parts), "<u2")
+        n = size[number]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        ids = data[np.arange(upto[-1]) + np.repeat(begin[number] - upto[:-1], n)]
+        return ids, upto[np.concatenate([[0], np.cumsum(per_text)])]
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int = END_ID, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, task, left, rank, ids) of each row; rank counts the rows of this task with the same left-over length."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = of_worker((path,), lambda: WordEncoder(path)), np.array([end_id], "<u2").tobytes()
-        task, seen = TaskContext.get().partitionId(), np.zeros(window, np.int64)
+        encoder = of_worker((path,), lambda: WordEncoder(path))
+        task, seen = TaskContext.get().partitionId(), [0] * window
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in small_batches(texts, 4 * BATCH_CHARS):
-                ids = [x + end for x in encoder.encode(texts[a:b])]
-                left = [len(x) // 2 % window for x in ids]
+            sizes = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)
+            for a, b in runs_of(sizes, BATCH_BYTES):
+                ids, bounds = encoder.encode(batch.column(1).slice(a, b - a), end_id)
+                left = np.diff(bounds) % window
                 rank = []
-                for n in left:
-                    rank.append(int(seen[n]))
+                for n in left.tolist():
+                    rank.append(seen[n])
                     seen[n] += 1
-                cols = [batch.column(0).slice(a, b - a), pa.array([task] * (b - a), pa.int32()), pa.array(left, pa.int32()), pa.array(rank, pa.int64()), pa.array(ids, pa.binary())]
+                data = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((2 * bounds).astype(np.int32)), pa.py_buffer(ids)])
+                cols = [batch.column(0).slice(a, b - a), pa.array([task] * (b - a), pa.int32()), pa.array(left, pa.int32()), pa.array(rank, pa.int64()), data]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "task", "left", "rank", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

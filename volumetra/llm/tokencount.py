@@ -17,7 +17,7 @@ from __future__ import annotations
 import os
 import re
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -116,16 +116,21 @@ def frequent_pieces(docs: DataFrame, text_col: str, path: str) -> dict[str, int]
     return {r["piece"]: r["n"] for r in rows}
 
 
-def small_batches(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
-    """Bounds of runs of rows with about ``most`` characters each, so that long texts don't pile up."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
+def runs_of(sizes: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of rows whose sizes sum up to about ``most``, so that long texts don't pile up."""
+    start = size = i = 0
+    for i, n in enumerate(sizes, 1):
+        size += int(n)
         if size >= most:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+            yield start, i
+            start, size = i, 0
+    if start < i:
+        yield start, i
+
+
+def small_batches(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of rows with about ``most`` characters each."""
+    return runs_of(map(len, texts), most)
 
 
 def with_token_counts(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "n_tokens") -> DataFrame:
