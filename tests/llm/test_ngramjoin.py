@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 
 from volumetra.llm import ngramjoin
-from volumetra.llm.ngramjoin import connected, prefix_length, similar, similarity_classes
+from volumetra.llm.ngramjoin import connected, forest, prefix_length, similar, similarity_classes
+from volumetra.operators import graph
 
 
 def brute(rows):
@@ -92,7 +93,7 @@ def test_components_by_stars(spark, monkeypatch):
     df = spark.createDataFrame(edges, "a long, b long").repartition(7)
     want = {r.c: r.comp for r in connected(df).collect()}
     assert all(want[i] == 0 for i in range(41)) and all(want[100 + i] == 100 for i in range(40))
-    monkeypatch.setattr(ngramjoin, "TASK_EDGES", 60)
+    monkeypatch.setattr(graph, "TASK_EDGES", 60)
     assert {r.c: r.comp for r in connected(df).collect()} == want
 
 
@@ -116,3 +117,44 @@ def test_rows_of_repeated_ids_are_documents(spark):
     got = sorted((r.doc_id or -1, r.class_id or -1, r.n_copies, r.n_links) for r in similarity_classes(docs).collect())
     want = [(1, 1, 2, 1), (5, 1, 2, 1), (5, 5, 2, 1), (5, 5, 3, 2), (7, 5, 2, 1), (8, 5, 3, 2), (8, 5, 3, 2), (-1, -1, 2, 1), (-1, -1, 2, 1), (-1, -1, 1, 0)]
     assert got == sorted(want)
+
+
+def test_recall_on_the_table(spark):
+    """Classes and numbers of links of whole documents at sf0.01, against all pairs."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    want, got = brute(rows), run(spark, rows)
+    assert sum(n for _, _, n in want.values()) > 100
+    assert sum(got[i] == want[i] for i in want) >= 0.99 * len(want)
+    linked = [i for i in want if want[i][2]]
+    assert sum(got[i] == want[i] for i in linked) >= 0.99 * len(linked)
+
+
+def test_forest_over_partition_borders(spark):
+    """Whatever shares a prefix in a small node is a candidate, and large nodes are named with all their members."""
+    rng = np.random.default_rng(4)
+    trees, depth, need = 2, 6, 3
+    keys = rng.integers(0, 3, (400, trees * depth)).astype(">u2")
+    keys[:60, :depth] = keys[0, :depth]
+    rows = [(i, k.tobytes()) for i, k in enumerate(keys)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "37")
+    try:
+        found = forest(spark.createDataFrame(rows, "c long, keys binary"), need, trees, depth).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    pairs, nodes = {(r.a, r.b) for r in found if r.b is not None}, defaultdict(set)
+    for r in found:
+        if r.node is not None:
+            nodes[r.node].add(r.a)
+    groups = defaultdict(list)
+    for i, k in enumerate(keys):
+        for t in range(trees):
+            groups[t, tuple(k[t * depth : t * depth + need])].append(i)
+    for g in groups.values():
+        if len(g) <= ngramjoin.SMALL:
+            assert all((a, b) in pairs for n, a in enumerate(g) for b in g[n + 1 :])
+        else:
+            assert set(g) in nodes.values()
+    assert max(map(len, groups.values())) >= 60

@@ -1,18 +1,25 @@
 """N-gram Jaccard join: documents whose sets of five-word shingles have a similarity of 0.8 or more.
 
-Method: MinHash banding, in place of an LSH forest: no prefix tries are kept, and no prefix is shortened text by text. Each
-text gets ``TREES`` signatures of a fixed length; texts that share a signature are candidates. The length is the longest
-up to ``DEPTH`` at which a pair at the threshold is found with ``RECALL`` (``prefix_length``: 5 values for 0.8; longer
-prefixes of a forest would find a subset of these candidates). A pair at exactly 0.8 that no other text connects is missed
-with (1 - 0.8^5)^20 = 3.6e-4. Candidates are verified exactly on their shingle sets (64-bit hashes of shingles).
+Method: a MinHash LSH forest. Each text has a signature of ``DEPTH`` values in each of ``TREES`` trees. A tree's signatures
+lie sorted, range-partitioned over the cluster; the common prefixes of neighbours in that order are its trie. A text's
+prefix is shortened value by value from its full depth:
+* to the length at which a pair at the threshold meets in some tree with ``RECALL`` (``prefix_length``: 5 values for 0.8);
+  texts of a node that has up to ``SMALL`` entries there are all candidates of each other;
+* further, to ``SPARSE`` values, where the node is still as small: in thin regions a pair at exactly 0.8 is missed with
+  (1 - 0.8^4)^20 = 3e-5, in dense ones with (1 - 0.8^5)^20 = 3.6e-4 (higher similarity: less);
+* in larger nodes only neighbours in the sorted order are candidates: there prefixes stay as deep as they match, and what
+  this leaves apart in the node is compared exactly, see below.
+Candidates are verified exactly on their shingle sets (64-bit hashes of shingles).
 
 Groups are never expanded into all pairs of rows:
 * equal texts are one class from the start (grouped by a 128-bit hash of their words);
-* a bucket of up to ``SMALL`` classes gives its pairs; a larger one gives each member's pair with the smallest member;
-* connected components of the verified pairs are found by star contraction on tables in the shared folder;
-* larger buckets that still hold several components are compared exhaustively, block against block in numpy, so that no
-  link between different texts is lost; a bucket within one component needs no more pairs;
-* the number of links of each text is then counted within its component, again block against block.
+* nodes that cross the border of two partitions are stitched from a few rows of each partition, so no node, however many
+  texts it holds, has to meet in one task;
+* connected components of the verified pairs are found by contraction on tables in the shared folder;
+* large nodes that still hold several components, and components whose links are not all verified yet, are compared block
+  against block in numpy (``_meetings``): blocks gather about ``BLOCK`` texts of similar size and equal smallest shingle, and
+  two blocks meet only if their sizes allow the similarity and some of their texts share a shingle among their smallest
+  fifth (prefix filter: exact). So no link between different texts is lost, and a chain costs in proportion to its length.
 Nothing but counts, and ids below a stated number for a broadcast, reaches the driver.
 
 Words are runs of non-white-space with A-Z lower-cased. Defined results: a text of one to four words is one shingle; null
@@ -33,8 +40,11 @@ from pyspark.sql import functions as F
 from volumetra.llm import scratch
 from volumetra.llm.hostrules import words
 from volumetra.llm.linededup import LOWER, NO_ID, UPPER
+from volumetra.operators import graph
 
-SHINGLE, TREES, DEPTH, RECALL, SMALL, BLOCK, BROADCAST_IDS, TASK_EDGES = 5, 20, 8, 0.9995, 8, 256, 500_000, 500_000
+SHINGLE, TREES, DEPTH, RECALL, SPARSE, SMALL, NEAR, BLOCK, BROADCAST_IDS = 5, 20, 8, 0.9995, 4, 8, 2, 256, 500_000
+#: Entries of a tree that a task looks at together, and blocks of one shingle that are listed.
+CHUNK, LISTED = 200_000, 64
 #: Similarity as a fraction of whole numbers, so that the test is exact.
 THRESHOLD = (4, 5)
 
@@ -95,16 +105,15 @@ def _rows(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         yield a, b, values[ends[a] : ends[b]], lengths[a:b]
 
 
-def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trees: int = TREES, prefix: int | None = None) -> DataFrame:
-    """(d, k1, k2, keys): k1 and k2 name the words in their order, keys has a hash of the signature's prefix per tree."""
-    k = prefix or prefix_length(THRESHOLD[0] / THRESHOLD[1])
+def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trees: int = TREES, depth: int = DEPTH) -> DataFrame:
+    """(d, k1, k2, keys): k1 and k2 name the words in their order, keys has the signatures of all trees, two bytes a value."""
     rng = np.random.default_rng(11)
-    factors = rng.integers(0, 2**63, trees * k, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    adds = rng.integers(0, 2**63, trees * k, dtype=np.uint64)
+    factors = rng.integers(0, 2**63, trees * depth, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    adds = rng.integers(0, 2**63, trees * depth, dtype=np.uint64)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = np.zeros((batch.num_rows, trees), np.int64)
+            keys = np.zeros((batch.num_rows, trees * depth), ">u2")
             some = np.zeros(batch.num_rows, bool)
             for a, b, values, lengths in _rows(batch.column(3)):
                 h, counts = shingle_hashes(values, lengths)
@@ -112,19 +121,89 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     continue
                 full = np.flatnonzero(counts)
                 starts = (np.cumsum(counts) - counts)[full]
-                for t in range(trees):
-                    key = np.full(len(full), t + 1, np.uint64)
-                    for i in range(t * k, t * k + k):
-                        v = ((h * factors[i] + adds[i]) >> np.uint64(32)).astype(np.uint32)
-                        key = (key ^ np.minimum.reduceat(v, starts)) * np.uint64(0xFF51AFD7ED558CCD)
-                        key ^= key >> np.uint64(29)
-                    keys[a + full, t] = key.view(np.int64)
+                for i in range(trees * depth):
+                    v = ((h * factors[i] + adds[i]) >> np.uint64(32)).astype(np.uint32)
+                    keys[a + full, i] = np.minimum.reduceat(v, starts) & 0xFFFF
                 some[a + full] = True
-            flat = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, trees, dtype=np.int32), pa.array(keys.ravel()))
+            offsets = np.arange(batch.num_rows + 1, dtype=np.int32) * (2 * trees * depth)
+            flat = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(offsets), pa.py_buffer(keys)])
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], flat], ["d", "k1", "k2", "keys"]).filter(pa.array(some))
 
     hashed = word_hashes(docs, id_col, text_col)
-    return _named(hashed).mapInArrow(sign, "d long, k1 long, k2 long, keys array<long>")
+    return _named(hashed).mapInArrow(sign, "d long, k1 long, k2 long, keys binary")
+
+
+def forest(classes: DataFrame, need: int, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
+    """The trees over the signatures ``keys`` of ``c``: rows (a, b) are candidates, rows (a, node) say that a is in a large
+    node of depth ``need``; the other columns are null. A row may come twice."""
+    width = 2 * depth
+    each = F.array(*[F.struct(F.lit(t).alias("tree"), F.substring("keys", t * width + 1, width).alias("sig")) for t in range(trees)])
+    entries = classes.select("c", F.explode(each).alias("e")).select("e.tree", "e.sig", "c")
+    ordered = entries.repartitionByRange("tree", "sig", "c").sortWithinPartitions("tree", "sig", "c")
+    schema = "a long, b long, node long, tree int, sig binary"
+    found = scratch.table(ordered.mapInArrow(lambda parts: _climb(parts, need, depth, True), schema), "forest")
+    # What lies at the borders of partitions, a few rows of each, once more together.
+    borders = found.filter("tree is not null").select("tree", "sig", F.col("a").alias("c"))
+    joined = borders.repartition(1).sortWithinPartitions("tree", "sig", "c").mapInArrow(lambda parts: _climb(parts, need, depth, False), schema)
+    return found.filter("tree is null").unionAll(joined).select("a", "b", "node")
+
+
+def _climb(batches: Iterator[pa.RecordBatch], need: int, depth: int, inner: bool) -> Iterator[pa.RecordBatch]:
+    """Candidates, members of large nodes and border entries (if ``inner``) of sorted entries (tree, sig, c)."""
+    least, held, first = min(need, SPARSE), [], True
+    names = ["a", "b", "node", "tree", "sig"]
+
+    def out(a: np.ndarray, b=None, node=None, of=None) -> pa.RecordBatch:
+        none = lambda kind: pa.nulls(len(a), kind)
+        tree, sig = (none(pa.int32()), none(pa.binary())) if of is None else (pa.array(of.column("tree").to_pylist(), pa.int32()), pa.array(of.column("sig").to_pylist(), pa.binary()))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), none(pa.int64()) if b is None else pa.array(b), none(pa.int64()) if node is None else pa.array(node), tree, sig], names)
+
+    def look(t: pa.Table, last: bool) -> tuple[list[pa.RecordBatch], pa.Table]:
+        nonlocal first
+        n, c = t.num_rows, t.column("c").to_numpy()
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), ">u2").reshape(n, depth)
+        m = np.column_stack([t.column("tree").to_numpy().astype(np.int64), sig])
+        common = np.logical_and.accumulate(m[1:] == m[:-1], axis=1).sum(axis=1) - 1  # -1 across trees
+        run = {d: np.concatenate([[0], np.cumsum(common < d)]) for d in (need, least)}
+        size = {d: np.bincount(r)[r] for d, r in run.items()}
+        rows = []
+        for gap in range(1, SMALL):
+            if gap >= n:
+                break
+            same = {d: r[gap:] == r[:-gap] for d, r in run.items()}
+            yes = same[least] & (size[least][gap:] <= SMALL) | same[need] & ((size[need][gap:] <= SMALL) | (gap <= NEAR))
+            a, b = c[:-gap][yes], c[gap:][yes]
+            rows.append(out(np.minimum(a, b), np.maximum(a, b)))
+        if inner:
+            large = size[need] > SMALL
+            # Nodes at a border may go on in another partition.
+            large |= (run[need] == 0) & first
+            large |= (run[need] == run[need][-1]) & last
+            node = _mixed_hash(m[:, : need + 1])
+            rows.append(out(c[large], node=node[large]))
+            edge = (run[least] == 0) & (np.arange(n) < SMALL) & first
+            edge |= (run[least] == run[least][-1]) & (np.arange(n) >= n - SMALL) & last
+            rows.append(out(c[edge], of=t.filter(pa.array(edge))))
+        first = False
+        tail = max(n - SMALL, int(np.searchsorted(run[least], run[least][-1])))
+        return [r for r in rows if r.num_rows], t.slice(tail)
+
+    for batch in batches:
+        held.append(pa.Table.from_batches([batch]))
+        if sum(t.num_rows for t in held) >= CHUNK:
+            rows, tail = look(pa.concat_tables(held), False)
+            yield from rows
+            held = [tail]
+    if held and (t := pa.concat_tables(held)).num_rows:
+        yield from look(t, True)[0]
+
+
+def _mixed_hash(m: np.ndarray) -> np.ndarray:
+    h = np.full(len(m), 0x9E3779B97F4A7C15, np.uint64)
+    for col in m.T:
+        h = (h ^ col.astype(np.uint64)) * np.uint64(0xFF51AFD7ED558CCD)
+        h ^= h >> np.uint64(29)
+    return h.view(np.int64)
 
 
 def shingle_sets(docs: DataFrame, id_col: str = "d", text_col: str = "text") -> DataFrame:
@@ -166,60 +245,10 @@ def similar(a: list[np.ndarray], b: list[np.ndarray], threshold: tuple[int, int]
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """(c, comp) of each node of ``edges`` (a, b): comp is the smallest node of its component.
-
-    Tasks first contract up to TASK_EDGES edges each. Then star contraction: each node's larger neighbours move to its smallest neighbour, then all its smaller ones do, until
-    nothing moves. Minima are pre-aggregated, so a hub is one row from each task.
-    """
-
-    def star(e: DataFrame, large: bool) -> DataFrame:
-        """e holds (u, v) with u > v; the result too."""
-        n = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else e
-        least = n.groupBy("u").agg(F.min("v").alias("m"))
-        least = least.select(F.col("u").alias("x"), F.least("u", "m").alias("m"))
-        moved = n.join(least, n["u"] == least["x"]).select("u", "v", "m")
-        if large:
-            out = moved.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        else:
-            out = moved.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select(F.col("x").alias("u"), F.col("m").alias("v")))
-        return out.filter("u <> v").distinct()
-
-    e = scratch.table(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
-    # First every task contracts the edges it holds; where one task holds them all, that is the result.
-    tasks = max(1, -(-e.count() // TASK_EDGES))
-    e = scratch.table(e.coalesce(tasks).mapInPandas(_contract, "u long, v long"), "edges")
-    state = lambda t: tuple(t.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    before = state(e) if tasks > 1 else (0,)
-    while before[0]:
-        e = scratch.table(star(star(e, True), False), "edges")
-        now = state(e)
-        if now == before:
-            break
-        before = now
-    nodes = e.select(F.col("u").alias("c"), F.col("v").alias("comp"))
-    return nodes.union(e.select(F.col("v").alias("c"), F.col("v").alias("comp"))).distinct()
-
-
-def _contract(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The edges of a task as stars: every node with the smallest of its component, in whole arrays."""
-    edges = [p.to_numpy(np.int64) for p in parts]
-    both = np.concatenate(edges) if edges else np.zeros((0, 2), np.int64)
-    nodes, at = np.unique(both, return_inverse=True)
-    u, v = at.reshape(-1, 2).T
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[u], label[v])
-        new = label.copy()
-        # Roots hook to the smaller root, then every node jumps to its root.
-        np.minimum.at(new, label[u], low)
-        np.minimum.at(new, label[v], low)
-        while (new != new[new]).any():
-            new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    far = label != np.arange(len(nodes))
-    yield pd.DataFrame({"u": nodes[far], "v": nodes[label[far]]})
+    """(c, comp) of each node of ``edges`` (a, b): comp is the smallest node of its component."""
+    nodes = edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id")))
+    found = graph.components(nodes, edges, lambda t: scratch.table(t, "components"))
+    return found.select(F.col("id").alias("c"), F.col("subset").alias("comp"))
 
 
 def _small(df: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
@@ -227,12 +256,37 @@ def _small(df: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def _blocks(rows: DataFrame, group: list[str], size: str) -> DataFrame:
-    """Each row once for every block of its group it meets: (group, bi, bj) with bi <= bj, and its own block."""
-    n = F.greatest(F.ceil(F.col(size) / F.lit(BLOCK)), F.lit(1)).cast("int")
-    own = rows.withColumn("own", F.pmod(F.xxhash64("c", *group), n).cast("int"))
-    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
-    return met.withColumn("bi", F.least("own", "other")).withColumn("bj", F.greatest("own", "other")).drop("other")
+def _meetings(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows (g, c and more) dealt to pairs of blocks: (bi, bj, own, s) and the columns of ``rows``, once for each block that
+    the row's own block meets. Any two texts of a group g at the similarity are in one of these pairs."""
+    # Sizes at the similarity are in the same class of the logarithm or in the next; s[0] is the smallest shingle.
+    level = F.floor(F.log(F.size("s").cast("double")) / F.lit(float(np.log(THRESHOLD[1] / THRESHOLD[0] * 1.0001)))).cast("int")
+    prefix = F.slice("s", 1, F.size("s") - F.expr(f"({THRESHOLD[0]} * size(s) + {THRESHOLD[1] - 1}) div {THRESHOLD[1]}") + 1)
+    own = rows.join(sets, "c").select(*rows.columns, level.alias("level"), F.xxhash64(F.col("s")[0]).alias("like"), prefix.alias("prefix"))
+    own = scratch.table(own, "members")
+    parts = F.ceil(F.col("m") / F.lit(BLOCK)).cast("long")
+    for name, by, of in (("u", ["g", "level"], F.col("like")), ("v", ["g", "level", "u"], F.xxhash64("c", F.lit(1)))):
+        n = own.groupBy(*by).agg(F.count("*").alias("m"))
+        own = own.join(_small(scratch.table(n.filter(F.col("m") > BLOCK).select(*by, parts.alias("parts")), "sizes")), by, "left")
+        own = own.withColumn(name, F.coalesce(F.pmod(of, F.col("parts")), F.lit(0))).drop("parts")
+    own = scratch.table(own.withColumn("own", F.xxhash64("g", "level", "u", "v")), "members")
+
+    blocks = own.groupBy("g", "level", "own").agg(F.count("*").alias("m"))
+    shared = scratch.table(own.select("g", "level", "own", F.explode("prefix").alias("p")).distinct(), "prefixes")
+    wide = shared.groupBy("g", "p").agg(F.count("*").alias("m")).filter(F.col("m") > 1)
+    few = shared.join(wide.filter(F.col("m") <= LISTED).drop("m"), ["g", "p"])
+    lists = few.groupBy("g", "p").agg(F.sort_array(F.collect_list(F.struct("own", "level"))).alias("l"))
+    each = F.flatten(F.transform("l", lambda x, i: F.transform(F.slice("l", i + 2, F.lit(LISTED)), lambda y: F.struct(x["own"].alias("bi"), y["own"].alias("bj"), F.abs(x["level"] - y["level"]).alias("far")))))
+    met = lists.select(F.explode(each).alias("x")).select("x.*").filter("far <= 1").select("bi", "bj")
+    # Blocks of a shingle that more of them share meet wherever their sizes allow.
+    many = scratch.table(shared.join(_small(scratch.table(wide.filter(F.col("m") > LISTED).drop("m"), "wide")), ["g", "p"], "left_semi").select("g", "level", "own").distinct(), "wide")
+    other = many.select("g", F.explode(F.array("level", F.col("level") - 1)).alias("level"), F.col("own").alias("bj"), F.col("level").alias("theirs"))
+    dense = many.join(other, ["g", "level"]).filter((F.col("level") < F.col("theirs")) | (F.col("own") < F.col("bj")))
+    met = met.union(dense.select(F.least("own", "bj").alias("bi"), F.greatest("own", "bj").alias("bj"))).distinct()
+    met = met.union(blocks.filter("m > 1").select(F.col("own").alias("bi"), F.col("own").alias("bj")))
+    met = scratch.table(met, "met")
+    sides = met.select("bi", "bj", F.col("bi").alias("own")).union(met.filter("bi <> bj").select("bi", "bj", F.col("bj").alias("own")))
+    return own.select(*rows.columns, "own").join(sides, "own").join(sets, "c")
 
 
 def _two_blocks(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray]:
@@ -287,17 +341,11 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     signed = scratch.table(signatures(docs, id_col, text_col), "signatures")
     classes = scratch.table(signed.groupBy("k1", "k2").agg(F.min("d").alias("c"), F.count("*").alias("n"), F.first("keys").alias("keys")), "classes")
 
-    entries = classes.select("c", F.posexplode("keys").alias("tree", "key"))
-    buckets = entries.groupBy("tree", "key").agg(F.count("*").alias("m"), F.min("c").alias("least")).filter("m > 1")
-    members = scratch.table(entries.join(buckets, ["tree", "key"]), "members")
-    # At most SMALL ids in a list.
-    lists = members.filter(F.col("m") <= SMALL).groupBy("tree", "key").agg(F.sort_array(F.collect_list("c")).alias("l"))
-    each = F.flatten(F.transform("l", lambda x, i: F.transform(F.slice("l", i + 2, F.lit(SMALL)), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    pairs = lists.select(F.explode(each).alias("p")).select("p.a", "p.b")
-    stars = members.filter((F.col("m") > SMALL) & (F.col("c") != F.col("least"))).select(F.col("least").alias("a"), F.col("c").alias("b"))
-    pairs = scratch.table(pairs.union(stars).distinct(), "pairs")
-
-    wanted = members.select("c").distinct()
+    found = forest(classes.select("c", "keys"), prefix_length(THRESHOLD[0] / THRESHOLD[1]))
+    pairs = scratch.table(found.filter("b is not null").select("a", "b").distinct(), "pairs")
+    large = scratch.table(found.filter("node is not null").select(F.col("node").alias("g"), F.col("a").alias("c")).distinct(), "nodes")
+
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
     text = docs.select(F.coalesce(F.col(id_col), F.lit(NO_ID)).cast("long").alias("d"), F.col(text_col).alias("text"))
     chosen = text.join(_small(wanted.withColumnRenamed("c", "d")), "d", "left_semi")
     sets = scratch.table(shingle_sets(chosen).select("c", "s"), "sets")
@@ -305,12 +353,13 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     edges = scratch.table(verified(pairs, sets), "verified")
     comps = scratch.table(connected(edges), "components")
 
-    big = members.filter(F.col("m") > SMALL).join(comps, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
-    mixed = big.groupBy("tree", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("tree", "key")
-    open_rows = scratch.table(big.join(mixed, ["tree", "key"]).select("tree", "key", "c", "m"), "open")
+    # Large nodes that the verified pairs leave in several components.
+    big = large.join(comps, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+    mixed = big.groupBy("g").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    mixed = _small(scratch.table(mixed.filter((F.col("m") > SMALL) & (F.col("lo") < F.col("hi"))).select("g"), "mixed"))
+    open_rows = scratch.table(large.join(mixed, "g"), "open")
     if not open_rows.isEmpty():
-        dealt = _blocks(open_rows, ["tree", "key"], "m").join(sets, "c")
-        more = dealt.groupBy("tree", "key", "bi", "bj").applyInPandas(_block_edges, "a long, b long")
+        more = _meetings(open_rows, sets).groupBy("bi", "bj").applyInPandas(_block_edges, "a long, b long")
         edges = scratch.table(edges.union(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct(), "verified")
         comps = scratch.table(connected(edges), "components")
 
@@ -323,15 +372,15 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     ends = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     known = sized.filter("complete").select("c", "n")
     direct = ends.join(known.withColumnRenamed("c", "b"), "b").groupBy(F.col("a").alias("c")).agg(F.sum("n").alias("links"))
-    dealt = _blocks(sized.filter(~F.col("complete")), ["comp"], "m").join(sets, "c")
-    counted = dealt.groupBy("comp", "bi", "bj").applyInPandas(_block_links, "c long, links long")
+    dealt = _meetings(sized.filter(~F.col("complete")).select(F.col("comp").alias("g"), "c", "n"), sets)
+    counted = dealt.groupBy("bi", "bj").applyInPandas(_block_links, "c long, links long")
     links = direct.union(counted.groupBy("c").agg(F.sum("links").alias("links")))
     info = classes.select("k1", "k2", "c", "n").join(comps, "c", "left").join(links, "c", "left")
     info = info.select("k1", "k2", F.coalesce("comp", "c").alias("class_id"), "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
     info = scratch.table(info.filter("n > 1 or n_links > 0"), "classes")
 
     everyone = docs.select(F.coalesce(F.col(id_col), F.lit(NO_ID)).cast("long").alias("d"))
-    named = signed.select("d", "k1", "k2").join(info, ["k1", "k2"]).select("d", "class_id", "n", "n_links")
+    named = signed.select("d", "k1", "k2").join(_small(info), ["k1", "k2"]).select("d", "class_id", "n", "n_links")
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return everyone.join(named, "d", "left").select(
         real("d").alias("doc_id"),
