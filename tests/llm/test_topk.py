@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 import numpy as np
 
+from volumetra.llm import topk
 from volumetra.llm.topk import BallTree, top_k
 
 
@@ -46,3 +47,38 @@ def test_tree_skips_leaves():
     at, ids, scores = tree.search(np.array([-1]), q, np.array([-np.inf]), 5)
     want = sorted((-int(x[i, 0]), i) for i in range(1500))[:5]
     assert [(-int(s), int(i)) for i, s in zip(ids, scores)] == want
+
+
+def test_components_and_scores_beyond_a_long(spark):
+    rows = [(0, [1e18, 0.0]), (100, [3e9, 1.0]), (1, [2e9, -1.0]), (2, [-3e9, 5.0]), (3, [0.5, 0.5]), (4, [1e15, 2.0]), (5, [-1e15, 0.0])]
+    got = run(spark, rows)
+    assert {r[0] for r in got} == {100} and all(r[2] != 0 for r in got)  # 1e18 * 1024 is beyond 2**62
+    exact = {c: sum(math.floor(1024 * float(np.float32(a))) * math.floor(1024 * float(np.float32(b))) for a, b in zip(dict(rows)[100], v)) for c, v in rows[2:]}
+    want = sorted((-max(-(2**63), min(2**63 - 1, s)), c) for c, s in exact.items())
+    assert [(-r[3], r[2]) for r in got] == want
+
+
+def test_descent_leaves_subtrees_out():
+    rng = np.random.default_rng(2)
+    x = (rng.normal(size=(64, 3))[rng.integers(0, 64, 6400)] * 1000 + rng.normal(size=(6400, 3))).astype(np.int64)
+    tree = BallTree(np.arange(6400), x, 32)
+    q = (rng.normal(size=(3, 3)) * 100).astype(np.int64)
+    at, ids, scores = tree.search(np.array([-1, -2, -3]), q, np.full(3, -(2**63), np.int64), 5)
+    for i in range(3):
+        assert sorted(zip(-scores[at == i], ids[at == i])) == sorted(zip(-(x @ q[i]), range(6400)))[:5]
+    assert tree.visited < len(tree.radii) / 2
+    before = tree.visited
+    floor = np.array([scores[at == i].min() for i in range(3)])
+    again = tree.search(np.array([-1, -2, -3]), q, floor.copy(), 5)
+    assert sorted(again[2]) == sorted(scores) and tree.visited - before <= before
+
+
+def test_shards_are_not_multiplied_by_query_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_QUERIES", 8)
+    rng = np.random.default_rng(7)
+    rows = [(100 * i if i < 40 else 100 * i + 1, [float(np.float32(x)) for x in rng.normal(size=5)]) for i in range(600)]
+    built = []
+    real = topk.stored_trees
+    monkeypatch.setattr(topk, "stored_trees", lambda dealt, leaf_rows: built.append(real(dealt, leaf_rows)) or built[0])
+    assert run(spark, rows, shard_rows=100, leaf_rows=16) == brute(rows, 10)
+    assert built[0].count() == 6
