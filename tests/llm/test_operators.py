@@ -88,6 +88,23 @@ def test_pages(spark):
     assert htmltext.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+WRITTEN = {
+    "closes itself": ("<article><p>Before <svg class=icon/> after the icon.</p><p>And <math/> more <svg><path d='M0'/><title/></svg>text.</p></article>", "Before after the icon.\n\nAnd more text."),
+    "comments": ("<main><article><h1>Head line of it</h1><!-- a --!><p>Text one.</p><!--><p>Text two.</p><!---><p>Text three.</p><!-- - -- x --></article></main>", "Head line of it\n\nText one.\n\nText two.\n\nText three."),
+    "references": ("<article><p>&am<b>p;</b> &lt<i>x</i> &amp;lt; &#x41;&#66;&copy &unknown; a&am<!-- -->p;b</p></article>", "&amp; <x &lt; AB© &unknown; a&amp;b"),
+    "fallbacks": ("<article><h2>Formula</h2><p>We know <math><mi>a</mi><mo>=</mo><mi>b</mi></math> well.</p><p><object data=x>An object</object> and <canvas>a canvas</canvas>.</p><noscript><p>Without scripts.</p></noscript></article>", "Formula\n\nWe know a=b well.\n\nAn object and a canvas.\n\nWithout scripts."),
+    "raw": ("<article><p>One</p><script>document.write('</p><p>no')</script><style>p{}</style><textarea>no <p></textarea><p>Two > one</p><template><p>no</p></template></article>", "One\n\nTwo > one"),
+    "no article": ("<nav><a href=/>a</a></nav><footer>Copyright</footer>", ""),
+    "other frame": ("<html><body><div id=header>Site</div><div class='post-content'><h1>Of things that are</h1><p>First paragraph, long enough to be a text of its own.</p><blockquote>Quoted words of another</blockquote><p>Second paragraph, which goes on for some more words.</p></div><div id=comments><p>Nice!</p></div><div class=sidebar>More</div></body></html>", "Of things that are\n\nFirst paragraph, long enough to be a text of its own.\n\nQuoted words of another\n\nSecond paragraph, which goes on for some more words."),
+}
+
+
+@pytest.mark.parametrize("name", WRITTEN)
+def test_written_pages(name):
+    source, want = WRITTEN[name]
+    assert htmltext.extract([source], htmltext.trained()) == [want]
+
+
 def test_trees_and_decoding():
     model = htmltext.trained()
     right = total = lost = kept = 0
@@ -159,8 +176,18 @@ def test_mixing_odd_tables(spark):
     assert mixing.mix(table(spark, [(1, "a", "s")]).limit(0)).count() == 0
     rows = [(1, None, "s"), (2, "", None)]
     assert all(r.target == 0 and r.whole + r.part == 0 or r["size"] == 0 for r in mixing.mix(table(spark, rows)).collect())
-    same = mixing.mix(table(spark, [(1, "a b c d", "s")] * 3 + [(2, "x " * 7, "t")])).collect()
-    assert len(same) == 4 and len({(r.whole, r.part) for r in same if r.doc_id == 1}) == 1
+    assert mixing.repeated(table(spark, rows)).count() == 0
+
+
+@pytest.mark.parametrize("words", [1, 7])
+def test_mixing_meets_targets_among_equal_rows(spark, words):
+    rows = [(None, "w " * words, "s")] * 50 + [(7, "v " * words, "s")] * 9 + [(i, "x " * 9, "t") for i in range(20)]
+    for docs in (table(spark, rows), table(spark, rows).repartition(5)):
+        out = [r for r in mixing.mix(docs).collect() if r.source == "s"]
+        assert sum(r.part > 0 for r in out) <= 1 and all(r.whole * r["size"] + r.part <= 3 * r["size"] for r in out)
+        assert abs(sum(r.whole * r["size"] + r.part for r in out) - out[0].target) <= 1
+        mixed = [r for r in mixing.repeated(docs).collect() if r.source == "s"]
+        assert abs(sum(len(r.mixed.split()) for r in mixed) - out[0].target) <= 1
 
 
 def test_mixing_takes_whole_documents_of_one_id(spark):
@@ -211,6 +238,16 @@ def test_host_verdicts(spark):
     assert hostrules.judge(table(spark, rows).limit(0)).count() == 0
 
 
+def test_hosts_fail_by_each_rule(spark):
+    fine = " ".join(f"word{i}" for i in range(60))
+    bad = {"symbols": fine + " #" * 20, "lines": fine + "\nx" * 20, "short": " ".join(random.Random(1).choices("abcdefghijklmnopqrstuvwxyz", k=60)), "long": " ".join(f"{i}{'w' * 30}" for i in range(60))}
+    rows = [(i, fine, f"h{i % 20}") for i in range(400)] + [(1000 * (n + 1) + i, t, h) for n, (h, t) in enumerate(bad.items()) for i in range(40)]
+    out = hostrules.judge(table(spark, rows)).collect()
+    kept = {r.host: r.kept for r in out}
+    assert not any(r.base_failed for r in out) and len(kept) == 24
+    assert all(kept[h] == h.startswith("h") for h in kept)
+
+
 # --- 6: tokens ---------------------------------------------------------------------------------------------------
 
 

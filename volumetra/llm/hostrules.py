@@ -1,8 +1,10 @@
 """Quality rules for documents, with a verdict on the host they come from.
 
-Each text gets its counts from array functions (nothing is exploded, no Python). Rule failures are aggregated by host,
-each host's failure rate is shrunk towards a beta prior fitted to all hosts by the method of moments, and a host whose
-shrunken rate lies above ``MAX_HOST_RATE`` is rejected with all its documents; its verdict is joined back.
+Each text gets its counts from array functions (nothing is exploded, no Python). Four rules read them (``failures``): the
+base rule, too many symbols, too many repeated lines, words of odd length. Failures are aggregated by host. For each rule a
+beta prior is fitted to the rates of all hosts by the method of moments, and every host's rate is shrunk towards it. A
+host is rejected with all its documents if a shrunken rate lies above the rule's limit: two standard deviations above the
+prior's mean, but from ``MAX_HOST_RATE`` to ``TOP_LIMIT``. The verdict is joined back.
 
 Scale and skew: the counts are written once, so texts are read once. The aggregation is partial, so a host with a third
 of all rows sends one row from each task. Rejected hosts are broadcast only if at most ``BROADCAST_HOSTS`` were counted;
@@ -20,7 +22,9 @@ from pyspark.sql import functions as F
 from volumetra.llm import scratch
 from volumetra.llm.scratch import let
 
-MIN_WORDS, MAX_REPEAT_PERCENT, MAX_HOST_RATE, BROADCAST_HOSTS = 50, 50, 0.5, 100_000
+MIN_WORDS, MAX_REPEAT_PERCENT, MAX_HOST_RATE, TOP_LIMIT, BROADCAST_HOSTS = 50, 50, 0.5, 0.9, 100_000
+#: Symbols and repeated lines per hundred words, and characters per word, beyond which a text fails a rule of its host.
+MAX_SYMBOLS, MAX_DUP_LINES, WORD_LENGTH = 20, 10, (2, 20)
 # White space, and the symbols that are counted.
 SPACE, SYMBOLS = r"[\x20\x09-\x0D]", r"[#*$%&|<>]"
 #: Bits for the position when a hash and a position share a long.
@@ -97,19 +101,34 @@ def rule_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return m.withColumn("base_failed", failed)
 
 
+def failures() -> dict[str, Column]:
+    """Rules over the counts of a text; true where it fails."""
+    n = F.col("n_words")
+    return {
+        "base": F.col("base_failed"),
+        "symbols": 100 * F.col("n_symbols") > MAX_SYMBOLS * n,
+        "lines": 100 * F.col("n_dup_lines") > MAX_DUP_LINES * n,
+        "lengths": (F.col("word_chars") < WORD_LENGTH[0] * n) | (F.col("word_chars") > WORD_LENGTH[1] * n),
+    }
+
+
 def host_verdicts(counts: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """(host, n, failed, rate, rejected) of each host; rate is shrunk by the prior fitted to all hosts.
+    """(host, n, failed, rate, rejected) of each host; failed and rate are those of the base rule.
 
-    With mean m and variance v of the hosts' rates (each host counts once), the prior is beta(m k, (1-m) k) with
-    k = m (1-m) / v - 1, at least 1; without spread or with one host k is 1.
+    With mean m and variance v of a rule's rates over the hosts (each host counts once), its prior is beta(m k, (1-m) k)
+    with k = m (1-m) / v - 1, at least 1; without spread or with one host k is 1.
     """
-    hosts = counts.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
-    hosts = hosts.withColumn("raw", F.col("failed") / F.col("n"))
-    prior = hosts.agg(F.avg("raw").alias("m"), F.var_pop("raw").alias("v")).first()
-    m, v = prior["m"] or 0.0, prior["v"] or 0.0
-    k = max(1.0, m * (1 - m) / v - 1) if v > 0 else 1.0
-    rate = (F.col("failed") + F.lit(m * k)) / (F.col("n") + F.lit(k))
-    return hosts.select("host", "n", "failed", rate.alias("rate"), (rate > max_rate).alias("rejected"))
+    rules = failures()
+    hosts = counts.groupBy("host").agg(F.count("*").alias("n"), *[F.sum(c.cast("long")).alias(r) for r, c in rules.items()])
+    raw = {r: F.col(r) / F.col("n") for r in rules}
+    prior = hosts.agg(*[f(c).alias(f"{r}_{x}") for r, c in raw.items() for x, f in (("m", F.avg), ("v", F.var_pop))]).first()
+    rate, rejected = {}, F.lit(False)
+    for r in rules:
+        m, v = prior[f"{r}_m"] or 0.0, prior[f"{r}_v"] or 0.0
+        k = max(1.0, m * (1 - m) / v - 1) if v > 0 else 1.0
+        rate[r] = (F.col(r) + F.lit(m * k)) / (F.col("n") + F.lit(k))
+        rejected = rejected | (rate[r] > max(max_rate, min(TOP_LIMIT, m + 2 * v**0.5)))
+    return hosts.select("host", "n", F.col("base").alias("failed"), rate["base"].alias("rate"), rejected.alias("rejected"))
 
 
 def judge(docs: DataFrame, max_rate: float = MAX_HOST_RATE, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -141,10 +160,13 @@ m AS (SELECT b.doc_id, b.source, len(b.w)::BIGINT AS n_words, length(array_to_st
     coalesce(c.n, 0)::BIGINT AS n_repeat_words
   FROM base b LEFT JOIN dups d ON b.doc_id = d.doc_id LEFT JOIN covered c ON b.doc_id = c.doc_id),
 f AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM m),
-h AS (SELECT source, count(*) AS n, sum(base_failed::INT)::DOUBLE AS failed FROM f GROUP BY source),
-p AS (SELECT avg(failed / n) AS m, var_pop(failed / n) AS v FROM h),
-k AS (SELECT m, CASE WHEN v > 0 THEN greatest(1.0, m * (1 - m) / v - 1) ELSE 1.0 END AS k FROM p),
-bad AS (SELECT source, (failed + m * k) / (n + k) > 0.5 AS rejected FROM h, k)
+h AS (SELECT source, count(*) AS n, unnest(['base', 'symbols', 'lines', 'lengths']) AS rule,
+    unnest([sum(base_failed::INT), sum((100 * n_symbols > 20 * n_words)::INT), sum((100 * n_dup_lines > 10 * n_words)::INT),
+      sum((word_chars < 2 * n_words OR word_chars > 20 * n_words)::INT)])::DOUBLE AS failed FROM f GROUP BY source),
+p AS (SELECT rule, avg(failed / n) AS m, var_pop(failed / n) AS v FROM h GROUP BY rule),
+k AS (SELECT rule, m, CASE WHEN v > 0 THEN greatest(1.0, m * (1 - m) / v - 1) ELSE 1.0 END AS k,
+    greatest(0.5, least(0.9, m + 2 * sqrt(v))) AS top FROM p),
+bad AS (SELECT source, bool_or((failed + m * k) / (n + k) > top) AS rejected FROM h JOIN k USING (rule) GROUP BY source)
 SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   (NOT base_failed AND NOT rejected) AS kept
 FROM f JOIN bad ON f.source IS NOT DISTINCT FROM bad.source

@@ -9,8 +9,9 @@ that nothing is kept below a dropped element, so ancestors and descendants never
 The trees are trained here, on pages that ``sample_page`` composes with known roles (own layouts, seeded); the model is
 a few kilobytes and is broadcast. The job is one scan and one Arrow map of whole pages.
 
-Defined results: null or empty html gives an empty text; white space (Unicode's) inside a block is one space; pages
-without article give an empty text; repeated rows are extracted one by one; extra columns are ignored. Elements may
+Defined results: null or empty html gives an empty text; white space (Unicode's) inside a block is one space; character
+references are decoded run by run of text; inline, foreign and fallback content (math, svg, object, canvas, noscript) is text
+of the block it stands in, and goes or stays with it; pages without article give an empty text; repeated rows are extracted one by one; extra columns are ignored. Elements may
 be nested to any depth.
 """
 
@@ -33,13 +34,14 @@ from volumetra.llm.tokencount import small_batches
 
 TREES, TREE_DEPTH, RATE, TRAIN_PAGES, SEED = 40, 4, 0.3, 320, 5
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
+_MARKUP = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
 _ATTRIBUTE = re.compile(r"(?:class|id|role|aria-label|itemprop|itemtype)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _PART = re.compile(r"[a-z]+")
 
 # What HTML says of its elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math object canvas xmp noembed noframes".split())
+RAW = frozenset("script style template iframe textarea title noembed noframes".split())
+FOREIGN = frozenset("svg math".split())
 BLOCKS = frozenset("html head body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th nav header footer aside form fieldset legend blockquote pre figure figcaption address details summary dialog hr menu center hgroup search select option button label".split())
 CLOSES_P = BLOCKS - frozenset("html head body td th tr li dt dd option select button label".split())
 CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",)), "tbody": ("thead tbody tr td th", ("table",)), "tfoot": ("tbody tr td th", ("table",))}
@@ -79,7 +81,7 @@ class Page:
         if self._run:
             text = "".join(self._run)
             self._run = []
-            text = " ".join((entities.unescape(text) if "&" in text else text).split())
+            text = " ".join(text.split())
             if text:
                 self.blocks.append((node, text))
                 self.chars[node] += len(text)
@@ -92,14 +94,15 @@ class Page:
             opened.subtract(t for t, _ in stack[i:])
             del stack[i:]
 
-        run, at, end = self._run, 0, len(source)
+        at, end, foreign = 0, len(source), 0
         match = _MARKUP.search
         while True:
             m = match(source, at)
             stop = m.start() if m else end
             if stop > at:
                 piece = source[at:stop]
-                self._run.append(piece)
+                # References end with their run of text: what markup parts is not one reference.
+                self._run.append(entities.unescape(piece) if "&" in piece else piece)
                 if self._links:
                     self.linked[stack[-1][1]] += len(piece)
             if not m:
@@ -109,7 +112,11 @@ class Page:
             if not tag:
                 continue
             tag, closing = tag.lower(), bool(m[1] or m[4])
+            if tag in FOREIGN:
+                foreign = 0 if closing or (m[3] or m[6] or "").endswith("/") else 1
             if tag in RAW and not closing:
+                if foreign and (m[3] or m[6] or "").endswith("/"):
+                    continue  # inside foreign elements a tag may close itself
                 # Up to its end tag; without one, all the rest.
                 low = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(source, at)
                 at = low.end() if low else end
@@ -154,7 +161,6 @@ class Page:
                 stack.append((tag, len(self.parent) - 1))
                 opened[tag] += 1
         self._flush(stack[-1][1])
-        del run
 
     @staticmethod
     def _attribute_words(attributes: str) -> int:

@@ -4,13 +4,15 @@ Words are runs of ASCII letters and digits (A-Z lower-cased) and non-ASCII chara
 all phrases, padded by spaces, and runs over the words joined by single spaces, so that a phrase is found wherever its
 words stand one after the other. Behind a ``SPDX-License-Identifier`` tag stands an expression: it is read from the text
 as it is, and a shunting-yard parser turns it into postfix order (WITH binds before AND, AND before OR), which gives its
-labels and whether there is a choice. A broken expression gives the labels of the ids it names.
+labels, whether there is a choice, and its freedom: AND is as free as its less free side, OR as its freer side, as one may
+choose, and WITH halves what its licence lacks. A broken expression gives the labels of the ids it names.
 
 Score: 0 without finding; 0.4 with a phrase that only reserves rights; 0.6 and 0.1 more for every further label, up to
-0.9, with notices; 1 with an expression that parses.
+0.9, with notices; 1 with an expression that parses. ``freedom`` is the least of the text's expressions, from 0 to 1, null
+if none parses (``FREEDOM``; an unknown id counts ``UNKNOWN``).
 
-Defined results: null or empty text has no words, no labels (empty strings), null first and last word, score 0; repeated
-rows are scanned one by one; extra columns are ignored. One scan and one Arrow map, no shuffle.
+Defined results: null or empty text has no words, no labels (empty strings), null first and last word and freedom, score 0;
+repeated rows are scanned one by one; extra columns are ignored. One scan and one Arrow map, no shuffle.
 """
 
 from __future__ import annotations
@@ -49,9 +51,18 @@ TAG = "spdx license identifier"
 _TAG = re.compile(r"spdx-license-identifier\s*:[ \t]*([^\r\n]*)", re.I)
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _TOKEN = re.compile(r"\s*([()]|[A-Za-z0-9.+:-]+)")
+_ID = re.compile(r"[A-Za-z0-9.+:-]+")
 _RANK = {"or": 1, "and": 2, "with": 3}
 #: Endings of comments that may follow a tag in its line.
-_COMMENT_END = re.compile(r"\s*(?:\*/|-->|#}|\"\"\"|''').*$")
+_COMMENT_END = re.compile(r"\*/|-->|#}|\"\"\"|'''")
+#: How freely what stands under a licence may be used, by the beginning of its id; the longest that fits counts.
+FREEDOM = {
+    "cc0": 1.0, "unlicense": 1.0, "0bsd": 1.0, "wtfpl": 1.0, "pddl": 1.0,
+    "mit": 0.9, "bsd": 0.9, "isc": 0.9, "zlib": 0.9, "apache": 0.9, "python": 0.9, "psf": 0.9, "bsl-1.0": 0.9, "cc-by": 0.9,
+    "mpl": 0.7, "lgpl": 0.7, "epl": 0.7, "cddl": 0.7,
+    "gpl": 0.5, "agpl": 0.4, "cc-by-sa": 0.5, "cc-by-nd": 0.2, "cc-by-nc": 0.2, "sspl": 0.2, "busl": 0.1,
+}
+UNKNOWN = 0.3
 
 
 def postfix(expression: str) -> list[str] | None:
@@ -95,30 +106,8 @@ def postfix(expression: str) -> list[str] | None:
     return out + stack[::-1]
 
 
-def choices(order: list[str], most: int = 64) -> list[frozenset[str]] | None:
-    """The sets of licences of which one has to be met; None if there are over ``most`` or WITH joins more than two ids."""
-    stack: list[list[frozenset[str]]] = []
-    for token in order:
-        if token not in _RANK:
-            stack.append([frozenset([token])])
-            continue
-        b, a = stack.pop(), stack.pop()
-        if token == "or":
-            both = list(dict.fromkeys(a + b))
-        elif token == "and":
-            both = list(dict.fromkeys(x | y for x in a for y in b))
-        else:
-            if len(a) != 1 or len(b) != 1 or len(a[0]) != 1 or len(b[0]) != 1:
-                return None
-            both = [frozenset([f"{min(a[0])}-with-{min(b[0])}"])]
-        if len(both) > most:
-            return None
-        stack.append(both)
-    return stack[0]
-
-
 def summary(order: list[str]) -> tuple[frozenset[str], frozenset[str]] | None:
-    """(licences of some choice, licences of every choice), without listing ``choices``; they differ if there are several.
+    """(licences of some choice, licences of every choice), without listing the choices; they differ if there are several.
     None if WITH joins more than two ids."""
     stack: list[tuple[frozenset[str], frozenset[str]]] = []
     for token in order:
@@ -135,15 +124,32 @@ def summary(order: list[str]) -> tuple[frozenset[str], frozenset[str]] | None:
     return stack[0]
 
 
-def expression_labels(expression: str) -> tuple[set[str], bool]:
-    """(labels, parses): ``spdx:id`` of every licence named, ``spdx:choice`` where one of several may be taken."""
-    text = _COMMENT_END.sub("", expression)
+def freedom(order: list[str]) -> float:
+    """How free an expression in postfix order is, from 0 to 1."""
+    stack: list[float] = []
+    for token in order:
+        if token not in _RANK:
+            fits = [k for k in FREEDOM if token.startswith(k)]
+            stack.append(FREEDOM[max(fits, key=len)] if fits else UNKNOWN)
+            continue
+        b, a = stack.pop(), stack.pop()
+        stack.append(min(a, b) if token == "and" else max(a, b) if token == "or" else (1 + a) / 2)
+    return stack[0]
+
+
+def expression_labels(expression: str) -> tuple[set[str], float | None]:
+    """(labels, freedom): ``spdx:id`` of every licence named, ``spdx:choice`` where one of several may be taken; no freedom
+    if the expression is broken."""
+    end = _COMMENT_END.search(expression)
+    text = (expression[: end.start()] if end else expression).strip()
     order = postfix(text)
-    found = summary(order) if order else None
+    if not order:
+        ids = {t.lower() for t in _ID.findall(text)} - _RANK.keys()
+        return {f"spdx:{i}" for i in ids if re.search("[a-z]", i)}, None
+    found = summary(order)
     if found is None:
-        ids = {t.lower() for t in _TOKEN.findall(text)} - {"(", ")", *_RANK}
-        return {f"spdx:{i}" for i in ids if re.search("[a-z]", i)} if order is None else {f"spdx:{t}" for t in order if t not in _RANK}, order is not None
-    return {f"spdx:{i}" for i in found[0]} | ({"spdx:choice"} if found[0] != found[1] else set()), True
+        return {f"spdx:{t}" for t in order if t not in _RANK}, freedom(order)
+    return {f"spdx:{i}" for i in found[0]} | ({"spdx:choice"} if found[0] != found[1] else set()), freedom(order)
 
 
 class Scanner:
@@ -155,8 +161,8 @@ class Scanner:
             self.automaton.add_word(f" {phrase} ", phrase)
         self.automaton.make_automaton()
 
-    def scan(self, text: str) -> tuple[int, int, int | None, int | None, str, str, float]:
-        """(n_words, n_base, first_word, last_word, base_labels, labels, score)."""
+    def scan(self, text: str) -> tuple[int, int, int | None, int | None, str, str, float, float | None]:
+        """(n_words, n_base, first_word, last_word, base_labels, labels, score, freedom)."""
         words = _WORD.findall(text.encode("utf-8", "surrogatepass").lower())
         line = " " + b" ".join(words).decode("utf-8", "surrogatepass") + " "
         starts, base, own, tagged = [], set(), set(), False
@@ -176,24 +182,24 @@ class Scanner:
                 own.add(NOTICES[phrase])
             else:
                 tagged = True
-        parsed = False
+        free: list[float] = []
         if tagged:
             for expression in _TAG.findall(text):
-                labels, ok = expression_labels(expression)
+                labels, how = expression_labels(expression)
                 own |= labels
-                parsed |= ok
+                free += [] if how is None else [how]
         labels = base | own
-        if parsed:
+        if free:
             score = 1.0
         elif labels - {"reserved"}:
             score = min(0.9, 0.6 + 0.1 * (len(labels) - 1))
         else:
             score = 0.4 if labels else 0.0
         join = lambda x: ",".join(sorted(x))
-        return len(words), len(starts), min(starts, default=None), max(starts, default=None), join(base), join(labels), round(score, 6)
+        return len(words), len(starts), min(starts, default=None), max(starts, default=None), join(base), join(labels), round(score, 6), min(free, default=None)
 
 
-SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
+SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, freedom double"
 
 
 def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,7 +207,7 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner()
-        kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
+        kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()] * 2
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         for batch in batches:
             found = [scanner.scan(t.as_py() or "") for t in batch.column(1)]

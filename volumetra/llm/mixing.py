@@ -10,8 +10,8 @@ and slice are pre-aggregated, and only the one slice in which a source's share e
 each row takes then follows from its own hash and the row of its source. The water level comes from prefix sums over the sources, which are the rows of a mixture's recipe, not of its data.
 
 Defined results: null text has size 0, a null source is a source of its own, last in order; documents of size 0 take
-nothing; rows of one id are ordered by a hash of the text; identical rows share what is left at
-their place in the order; an empty table gives an empty table; extra columns are ignored.
+nothing; rows of one id are ordered by a hash of the text, rows of one id and text by their place in the table;
+an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,11 +25,14 @@ from volumetra.llm.hostrules import words
 WEIGHTS, MAX_EPOCHS, SEED, BROADCAST_SOURCES = (5, 2, 1), 3, "mix-1", 100_000
 
 
-def sizes(docs: DataFrame, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, source, size, h, t) and the columns ``keep`` of each row: size in words, h its place in the seeded order, t among equal h."""
+def sizes(docs: DataFrame, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, size, h, t, row) and the columns ``keep`` of each row: size in words, h its place in the seeded order, t
+    among equal h, row (a number of its own by default) among equal texts."""
     n = F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     h = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n.alias("size"), h.alias("h"), F.xxhash64(F.col(text_col)).alias("t"), *keep)
+    t = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    number = F.monotonically_increasing_id() if row is None else row
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n.alias("size"), h.alias("h"), t.alias("t"), number.cast("long").alias("row"), *keep)
 
 
 def water_levels(by_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -55,10 +58,10 @@ def water_levels(by_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_e
 
 
 def mixture(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """The recipe, one row per source: (source, source_size, target, epochs, end_h, end_t, rest, tied), from ``sizes``.
+    """The recipe, one row per source: (source, source_size, target, epochs, end_h, end_t, end_row, rest, equal), from ``sizes``.
 
-    Every document is taken ``epochs`` times, once more where its h is below end_h, or at end_h and its t below end_t; the
-    documents at both, ``tied`` words together (one document or identical rows), share the ``rest`` words that are left.
+    Every document is taken ``epochs`` times, once more where its (h, t, row) lies before (end_h, end_t, end_row), and the one
+    there with its first ``rest`` words; ``equal`` rows share its h and t.
     """
     by_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     levels = water_levels(by_source, weights, max_epochs)
@@ -69,19 +72,20 @@ def mixture(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int
     plan = scratch.table(plan, "mixture")
     few = plan.count() <= BROADCAST_SOURCES
 
-    last = _end(rows, plan.select("source", "extra"), "h", F.substring("h", 1, 3), few)
-    last = scratch.table(last.select("source", F.col("end").alias("end_h"), "rest"), "ends")
-    # Where several documents are at end_h, the same among them by text.
-    there = joined(rows, last.select("source", "end_h"), few).filter(F.col("h") == F.col("end_h")).drop("end_h")
-    among = _end(there, last.select("source", F.col("rest").alias("extra")), "t", F.shiftright("t", 52), few)
-    among = among.select(F.col("source").alias("s3"), F.col("end").alias("end_t"), F.col("rest").alias("rest_t"), "tied")
-    last = last.join(among, F.col("source").eqNullSafe(F.col("s3"))).select("source", "end_h", "end_t", F.col("rest_t").alias("rest"), "tied")
+    # Where a source's share ends: in the order of h; where several documents are there, by text; of equal texts, by row.
+    there, ends, budget = rows, None, plan.select("source", "extra")
+    for key, part in (("h", F.substring("h", 1, 3)), ("t", F.substring("t", 1, 3)), ("row", F.shiftright("row", 33))):
+        end = scratch.table(_end(there, budget, key, part, few), "ends")
+        budget = end.select("source", F.col("rest").alias("extra"))
+        named = end.select("source", F.col("end").alias(f"end_{key}"), *([F.col("n").alias("equal")] if key == "t" else []), *(["rest"] if key == "row" else []))
+        there = joined(there, named.select("source", f"end_{key}"), few).filter(F.col(key) == F.col(f"end_{key}")).drop(f"end_{key}")
+        ends = named if ends is None else joined(ends, named, few)
     p = plan.drop("extra").withColumnRenamed("source", "s1")
-    return scratch.table(p.join(last.withColumnRenamed("source", "s2"), F.col("s1").eqNullSafe(F.col("s2")), "left").drop("s2").withColumnRenamed("s1", "source"), "mixture")
+    return scratch.table(p.join(ends.withColumnRenamed("source", "s2"), F.col("s1").eqNullSafe(F.col("s2")), "left").drop("s2").withColumnRenamed("s1", "source"), "mixture")
 
 
 def _end(rows: DataFrame, plan: DataFrame, key: str, part: Column, few: bool) -> DataFrame:
-    """(source, end, rest, tied): in the order of ``key``, cut into the slices ``part``, where each source's ``extra`` words end."""
+    """(source, end, rest, n): in the order of ``key``, cut into the slices ``part``, where each source's ``extra`` words end; n rows are there."""
     rows = rows.withColumn("slice", part)
     by_slice = rows.groupBy("source", "slice").agg(F.sum("size").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, 0))
@@ -89,10 +93,10 @@ def _end(rows: DataFrame, plan: DataFrame, key: str, part: Column, few: bool) ->
     ends = slices.filter((F.col("upto") >= F.col("extra")) & (F.col("upto") - F.col("n") < F.col("extra")))
     ends = ends.select("source", F.col("slice").alias("end_slice"), (F.col("extra") - F.col("upto") + F.col("n")).alias("budget"))
     # The one slice of each source in which its share ends.
-    inside = joined(rows, ends, few).filter(F.col("slice") == F.col("end_slice")).groupBy("source", "budget", key).agg(F.sum("size").alias("tied"))
+    inside = joined(rows, ends, few).filter(F.col("slice") == F.col("end_slice")).groupBy("source", "budget", key).agg(F.sum("size").alias("tied"), F.count("*").alias("n"))
     run = F.sum("tied").over(Window.partitionBy("source").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
     last = inside.withColumn("run", run).filter((F.col("run") >= F.col("budget")) & (F.col("run") - F.col("tied") < F.col("budget")))
-    return last.select("source", F.col(key).alias("end"), (F.col("budget") - F.col("run") + F.col("tied")).alias("rest"), "tied")
+    return last.select("source", F.col(key).alias("end"), (F.col("budget") - F.col("run") + F.col("tied")).alias("rest"), "n")
 
 
 def joined(rows: DataFrame, plan: DataFrame, few: bool) -> DataFrame:
@@ -104,11 +108,13 @@ def joined(rows: DataFrame, plan: DataFrame, few: bool) -> DataFrame:
 def take(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """``rows`` (source, size, h and more) with source_size, target, ``whole`` repetitions and first words ``part``."""
     out = joined(rows, plan, plan.count() <= BROADCAST_SOURCES)
-    extra = F.when((F.col("h") < F.col("end_h")) | (F.col("h") == F.col("end_h")) & (F.col("t") < F.col("end_t")), F.col("size"))
-    extra = F.coalesce(extra.when((F.col("h") == F.col("end_h")) & (F.col("t") == F.col("end_t")), F.floor(F.col("rest") * F.col("size") / F.col("tied"))), F.lit(0)).cast("long")
+    before, same = F.col("h") < F.col("end_h"), F.col("h") == F.col("end_h")
+    for key in ("t", "row"):
+        before, same = before | same & (F.col(key) < F.col(f"end_{key}")), same & (F.col(key) == F.col(f"end_{key}"))
+    extra = F.coalesce(F.when(before, F.col("size")).when(same, F.col("rest")), F.lit(0)).cast("long")
     full = (extra == F.col("size")) & (F.col("size") > 0)
     whole = (F.col("epochs") + full.cast("int")).cast("long")
-    return out.withColumns({"whole": whole, "part": F.when(full, F.lit(0)).otherwise(extra).cast("long")}).drop("epochs", "end_h", "end_t", "rest", "tied", "t")
+    return out.withColumns({"whole": whole, "part": F.when(full, F.lit(0)).otherwise(extra).cast("long")}).drop("epochs", "end_h", "end_t", "end_row", "rest", "equal", "t", "row")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -122,14 +128,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
 
 def repeated(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
     """The mix itself: the rows of ``docs`` (doc_id, text, source and more) once for each repetition, with their text in
-    ``mixed``, and for a part once with its first words there. Texts are read twice and never shuffled."""
-    plan = mixture(scratch.table(sizes(docs, seed), "sizes"), weights, max_epochs)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), *(F.col(c).alias(c) for c in ("doc_id", "text", "source")))
-    sized = sizes(rows, seed, keep=("row",))
-    text = F.coalesce(F.col("row.text"), F.lit(""))
+    ``mixed``, and for a part once with its first words there. Texts are read twice and never shuffled; they are stored
+    once where a source's share ends among rows of one id and text."""
+    plan, row = mixture(scratch.table(sizes(docs, seed), "sizes"), weights, max_epochs), F.lit(0)
+    if plan.filter("equal > 1").isEmpty():
+        plan = plan.withColumn("end_row", F.lit(0).cast("long"))
+    else:  # rows with the same id and text: only their stored number tells them apart
+        docs, row = scratch.table(docs.withColumn("mix_row", F.monotonically_increasing_id()), "rows"), F.col("mix_row")
+        plan = mixture(scratch.table(sizes(docs, seed, row=row), "sizes"), weights, max_epochs)
+    rows = docs.select(F.struct(*(c for c in docs.columns if c != "mix_row")).alias("all"), row.alias("mix_row"), *(F.col(c).alias(c) for c in ("doc_id", "text", "source")))
+    sized = sizes(rows, seed, row=F.col("mix_row"), keep=("all",))
+    text = F.coalesce(F.col("all.text"), F.lit(""))
     part = F.when(F.col("part") > 0, F.array(_first_words(text, F.col("part")))).otherwise(F.array().cast("array<string>"))
     copies = F.concat(F.array_repeat(text, F.col("whole").cast("int")), part)
-    return take(sized, plan).select("row", F.explode(copies).alias("mixed")).select("row.*", "mixed")
+    return take(sized, plan).select("all", F.explode(copies).alias("mixed")).select("all.*", "mixed")
 
 
 def _first_words(text: Column, n: Column) -> Column:
@@ -145,7 +157,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-    md5('mix-1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+    md5('mix-1:' || coalesce(doc_id::VARCHAR, '')) AS h, md5(coalesce(text, '')) AS t FROM documents),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 s AS (SELECT source, source_size, 3.0::DOUBLE * source_size AS cap,
     ([5.0, 2.0, 1.0]::DOUBLE[])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM s0),
@@ -158,7 +170,7 @@ t AS (SELECT source, source_size, least(cap, w * (SELECT max(level) FROM rounds)
 u AS (SELECT *, floor(target / source_size + 1e-12)::BIGINT AS epochs FROM t),
 v AS (SELECT *, greatest(0, round(target - epochs * source_size))::BIGINT AS extra FROM u),
 o AS (SELECT d.*, v.source_size, v.target, v.epochs, v.extra,
-    sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) AS run
+    sum(size) OVER (PARTITION BY d.source ORDER BY h, t ROWS UNBOUNDED PRECEDING) AS run
   FROM d JOIN v ON d.source IS NOT DISTINCT FROM v.source)
 SELECT doc_id, size, source_size, round(target, 6) AS target,
   (epochs * size + greatest(0, least(size, extra - run + size)))::BIGINT AS taken FROM o
