@@ -9,12 +9,12 @@ import argparse
 import json
 import sys
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from volumetra.functions import geometry as g
 from volumetra.functions import options
-from volumetra.operators import blocks, points, registration, select, spatial
+from volumetra.operators import blocks, points, pyramid, registration, select, spatial
 from volumetra.sources import chunks as ch
 from volumetra.sources import container, points_csv
 from volumetra.sources import project as projects
@@ -65,26 +65,43 @@ def resave(spark: SparkSession, a: argparse.Namespace) -> None:
     levels = options.pyramid(a.downsampling) or options.propose_pyramid(tuple(sizes))
     if a.dryRun:
         return
-    ch.write(ch.pyramid(chunks, options.relative_factors(levels), block), a.n5Path or a.output, a.compression)
-    p["properties"] = p["properties"].filter("key <> 'images'").union(spark.createDataFrame([("images", json.dumps(a.n5Path or a.output))], projects.SCHEMAS["properties"]))
+    ch.write_pyramid(chunks, a.n5Path or a.output, options.relative_factors(levels), block, a.compression)
+    facts = [("images", json.dumps(a.n5Path or a.output)), ("levels", json.dumps([list(f) for f in levels]))]
+    p["properties"] = p["properties"].filter("key not in ('images', 'levels')").union(spark.createDataFrame(facts, projects.SCHEMAS["properties"]))
     p.save(a.xmlout or a.xml)
 
 
-def images_of(spark: SparkSession, p: projects.Project, a: argparse.Namespace) -> DataFrame:
-    if a.images:
-        return ch.read(spark, a.images)
-    row = p["properties"].filter("key = 'images'").first()
-    if row is None:
+def images_of(spark: SparkSession, p: projects.Project, a: argparse.Namespace, level: int | None = 0) -> DataFrame:
+    """The chunks of a level of the images, of all levels for None."""
+    facts = properties(p)
+    if not a.images and "images" not in facts:
         raise ValueError("the project names no images; give --images")
-    return ch.read(spark, json.loads(row["value"]))
+    return ch.read(spark, a.images or facts["images"], level)
+
+
+def properties(p: projects.Project) -> dict:
+    return {r["key"]: json.loads(r["value"]) for r in p["properties"].collect()}
+
+
+def levels_of(spark: SparkSession, p: projects.Project, a: argparse.Namespace) -> list[tuple[int, int, int]]:
+    """Factors of the stored levels; full resolution alone where images are given without the project's word for them."""
+    facts = properties(p)
+    known = not a.images or a.images == facts.get("images")
+    return [tuple(f) for f in facts.get("levels", [[1, 1, 1]])] if known else [(1, 1, 1)]
+
+
+def level_table(spark: SparkSession, factors: list[tuple[int, int, int]]) -> DataFrame:
+    return spark.createDataFrame([(i, *map(float, f), pyramid.mipmap(f)) for i, f in enumerate(factors)], "level int, fx double, fy double, fz double, mipmap array<double>")
 
 
 def detect_interestpoints(spark: SparkSession, a: argparse.Namespace) -> None:
     p = projects.load(spark, a.xml)
     views = selected(p["views"], a)
-    chunks = images_of(spark, p, a).join(F.broadcast(views.select("tp", "setup")), ["tp", "setup"], "left_semi")
     factors = (a.downsampleXY, a.downsampleXY, a.downsampleZ)
-    step = factors
+    stored = level_table(spark, levels_of(spark, p, a))
+    level = pyramid.level_for_detection(stored.withColumn("setup", F.lit(0)), factors).first()["level"] or 0
+    chunks = images_of(spark, p, a, level).join(F.broadcast(views.select("tp", "setup")), ["tp", "setup"], "left_semi").withColumn("level", F.lit(0))
+    step = tuple(stored.filter(F.col("level") == level).select(*pyramid.residual_factors(factors)).first())
     while max(step) > 1:
         half = tuple(2 if f > 1 else 1 for f in step)
         chunks, step = ch.downsampled(chunks, half), tuple(f // h for f, h in zip(step, half, strict=True))
@@ -92,14 +109,12 @@ def detect_interestpoints(spark: SparkSession, a: argparse.Namespace) -> None:
     found = found.withColumn("id", F.xxhash64("x", "y", "z"))
     if a.overlappingOnly:
         boxes = projects.view_boxes(p).join(views.select("tp", "setup"), ["tp", "setup"], "left_semi")
+        # Points and intervals are in each view's own image.
+        inside = spatial.local_overlaps(boxes, 512, F.expr("tp = tp_b and channel = channel_b") if a.onlyCompareOverlapTiles else None)
         if a.maxSpots and a.maxSpots > 0 and a.maxSpotsPerOverlap:
-            pairs = overlap_pairs(boxes)
-            if a.onlyCompareOverlapTiles:
-                pairs = pairs.filter("tp = tp_b and channel = channel_b")
-            inside = pairs.select("setup", F.col("setup_b").alias("interval"), *[(F.floor(c) if i == 0 else F.ceil(c)).cast("long").alias(f"{x}{i}") for x in XYZ for i, c in ((0, F.greatest(f"{x}0", f"{x}0_b")), (1, F.least(f"{x}1", f"{x}1_b")))])
             found = points.brightest_per_interval(found, inside, a.maxSpots, 512).drop("interval").dropDuplicates(["tp", "setup", "id"])
         else:
-            found = points.in_other_views(found, boxes.select("setup", *FACES), 512)
+            found = points.in_intervals(found, inside, 512)
     if a.maxSpots and a.maxSpots > 0 and not a.maxSpotsPerOverlap:
         found = points.brightest(found, a.maxSpots, ["tp", "setup"]).drop("new_id")
     found = points.renumbered(found, ["tp", "setup"], ["x", "y", "z"]).withColumn("id", F.col("new_id").cast("long")).withColumn("label", F.lit(a.label))
@@ -128,7 +143,7 @@ def match_interestpoints(spark: SparkSession, a: argparse.Namespace) -> None:
     boxes = projects.view_boxes(p).join(views.select("tp", "setup"), ["tp", "setup"], "left_semi")
     pts = world_points(p, views, a.label)
     if a.interestpointsForReg == "OVERLAPPING_ONLY":
-        pts = points.in_other_views(pts, boxes.select("setup", *FACES), 512)
+        pts = points.in_other_views(pts, boxes.select("tp", "setup", *FACES), 512)
     pairs = registration_pairs(overlap_pairs(boxes, all_pairs=a.viewReg == "ALL_AGAINST_ALL"), a)
     # Groups of views and a label are named by one number; without grouping every view is a group.
     attributes = [c for c, off in (("angle", a.splitTimepoints), ("channel", a.groupChannels or a.splitTimepoints), ("illum", a.groupIllums or a.splitTimepoints), ("tile", a.groupTiles or a.splitTimepoints)) if not off]
@@ -166,19 +181,34 @@ def stitching(spark: SparkSession, a: argparse.Namespace) -> None:
     p = projects.load(spark, a.xml)
     views = selected(p["views"], a)
     boxes = projects.view_boxes(p).join(views.select("tp", "setup"), ["tp", "setup"], "left_semi")
-    pairs = overlap_pairs(boxes).filter("tp = tp_b and angle = angle_b and channel = channel_b and illum = illum_b and tile <> tile_b")
+    # Channels and illuminations of one place are one group, stitched by their combined images, under its first view's name.
+    place = ["tp", "angle", "tile"]
+    members = boxes.join(boxes.groupBy(*place).agg(F.min("setup").alias("leader")), place)
+    leaders = members.filter("setup = leader").drop("leader")
+    pairs = overlap_pairs(leaders).filter("tp = tp_b and angle = angle_b and tile <> tile_b")
     factors = options.vector(a.downsampling)
     chunks, step = images_of(spark, p, a), factors
+    if not members.filter("setup <> leader").isEmpty():
+        chunks = chunks.join(F.broadcast(members.select("tp", "setup")), ["tp", "setup"], "left_semi")
+        by_channel = members.groupBy(*place, "channel").agg(F.min("setup").alias("first"))
+        illums = members.drop("leader").join(by_channel, [*place, "channel"]).select("tp", "setup", F.col("first").alias("leader"))
+        chunks = registration.combined_views(chunks, F.broadcast(illums), a.illumCombine)
+        channels = by_channel.join(members.filter("setup = leader").select(*place, "leader"), place).select("tp", F.col("first").alias("setup"), "leader")
+        chunks = registration.combined_views(chunks, F.broadcast(channels), a.channelCombine)
     while max(step) > 1:
         half = tuple(2 if f > 1 else 1 for f in step)
         chunks, step = ch.downsampled(chunks, half), tuple(f // h for f, h in zip(step, half, strict=True))
     low = {f"{n}{x}{s}": F.floor(c / f).cast("long") for x, f, i in zip(XYZ, factors, range(3), strict=True) for n, s, c in (("t", "", F.col("m")[4 * i + 3]), ("t", "_b", F.col("m_b")[4 * i + 3]))}
     box = {f"i{x}{i}": F.floor(c / f).cast("long") for x, f in zip(XYZ, factors, strict=True) for i, c in ((0, F.greatest(f"{x}0", f"{x}0_b")), (1, F.least(f"{x}1", f"{x}1_b")))}
-    found = registration.stitch_pairs(pairs.select("setup", "setup_b", *[c.alias(n) for n, c in {**low, **box}.items()]), chunks, a.peaksToCheck, not a.disableSubpixelResolution)
-    shifts = found.select("setup", "setup_b", *[(F.col(f"d{x}") * f).alias(f"d{x}") for x, f in zip(XYZ, factors, strict=True)], "r")
+    both = ["tp", "setup", "tp_b", "setup_b"]
+    found = registration.stitch_pairs(pairs.select(*both, *[c.alias(n) for n, c in {**low, **box}.items()]), chunks, a.peaksToCheck, not a.disableSubpixelResolution)
+    shifts = found.select(*both, *[(F.col(f"d{x}") * f).alias(f"d{x}") for x, f in zip(XYZ, factors, strict=True)], "r")
     shifts = points.link_filters(shifts, a.minR, a.maxR, (a.maxShiftX, a.maxShiftY, a.maxShiftZ), a.maxShiftTotal)
-    digest = pairs.select("tp", "setup", "tp_b", "setup_b", g.registration_hash(F.col("m"), F.col("m_b")).alias("reg_hash"))
-    new = shifts.join(digest, ["setup", "setup_b"]).select(*p["links"].columns)
+    # A group's link is one between its members of one channel and illumination.
+    one = members.select("tp", "leader", "channel", "illum", F.col("setup").alias("own"), "m")
+    new = shifts.join(one.withColumnRenamed("leader", "setup"), ["tp", "setup"])
+    new = new.join(spatial.renamed(one.withColumnRenamed("leader", "setup")), ["tp_b", "setup_b"]).filter("channel = channel_b and illum = illum_b")
+    new = new.withColumns({"setup": F.col("own"), "setup_b": F.col("own_b"), "reg_hash": g.registration_hash(F.col("m"), F.col("m_b"))}).select(*p["links"].columns)
     p["links"] = points.upserted(p["links"], new, (["tp", "setup"], ["tp_b", "setup_b"]))
     p.save(a.xml, a.dryRun)
 
@@ -199,12 +229,13 @@ def solver(spark: SparkSession, a: argparse.Namespace) -> None:
         labels = a.label
         weights = dict(zip(labels, options.vector(a.labelweights, len(labels), float) if a.labelweights else [1.0] * len(labels), strict=True))
         pts = world_points(p, views, labels)
-        one = pts.select(*[F.col(c).alias(f"{c}_a") for c in ("tp", "setup", "label", "id")], F.array(*XYZ).alias("p"))
-        two = pts.select(*[F.col(c).alias(f"{c}_b") for c in ("tp", "setup", "label", "id")], F.array(*XYZ).alias("q"))
+        one = pts.select(*[F.col(c).alias(f"{c}_a") for c in ("tp", "setup", "label", "id")], *XYZ)
+        two = pts.select(*[F.col(c).alias(f"{c}_b") for c in ("tp", "setup", "label", "id")], *[F.col(x).alias(f"{x}_b") for x in XYZ])
         c = p["correspondences"].filter(F.struct("tp_a", "setup_a") < F.struct("tp_b", "setup_b"))
         rows = c.join(one, ["tp_a", "setup_a", "label_a", "id_a"]).join(two, ["tp_b", "setup_b", "label_b", "id_b"])
         weight = F.element_at(F.create_map(*[F.lit(v) for kv in weights.items() for v in kv]), F.col("label_a"))
-        links = rows.groupBy(F.array("tp_a", "setup_a").alias("a"), F.array("tp_b", "setup_b").alias("b"), weight.alias("weight")).agg(F.collect_list("p").alias("p"), F.collect_list("q").alias("q"))
+        named = rows.select(F.array("tp_a", "setup_a").alias("a"), F.array("tp_b", "setup_b").alias("b"), weight.alias("weight"), *registration.JOINT)
+        links = registration.link_moments(named, ["a", "b", "weight"])
     links = links.withColumns({c: F.concat_ws(",", c) for c in ("a", "b")})
     name = lambda t: f"{t[0]},{t[1]}"
     # Views of a group move as one tile, named by the group's first view; links within a group say nothing.
@@ -252,7 +283,7 @@ def _world_voxels(spark: SparkSession, p: projects.Project, a: argparse.Namespac
     n = options.vector(a.numCoefficients)
     cells = {f"c{x}": F.floor(F.col(x) * k / F.col(f"n{x}")).cast("long") for x, k in zip(XYZ, n, strict=True)}
     v = v.withColumns(cells)
-    return v.groupBy("setup", *cells, *[F.floor(c * a.renderScale).alias(f"w{x}") for x, c in zip(XYZ, at, strict=True)]).agg(F.avg("v").alias("v"))
+    return v.groupBy("tp", "setup", *cells, *[F.floor(c * a.renderScale).alias(f"w{x}") for x, c in zip(XYZ, at, strict=True)]).agg(F.avg("v").alias("v"))
 
 
 def match_intensities(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -262,26 +293,20 @@ def match_intensities(spark: SparkSession, a: argparse.Namespace) -> None:
     v = v.filter(F.col("v") >= a.minThreshold)
     if a.maxThreshold is not None:
         v = v.filter(F.col("v") <= a.maxThreshold)
-    b = v.select("wx", "wy", "wz", *[F.col(c).alias(f"{c}_b") for c in ("setup", "cx", "cy", "cz", "v")])
-    m = v.join(b, ["wx", "wy", "wz"]).filter("setup < setup_b")
+    b = v.select("wx", "wy", "wz", *[F.col(c).alias(f"{c}_b") for c in ("tp", "setup", "cx", "cy", "cz", "v")])
+    m = v.join(b, ["wx", "wy", "wz"]).filter("struct(tp, setup) < struct(tp_b, setup_b)")
     # A pair of cells is one group: the second view's cell is part of its name.
-    m = m.withColumn("pair", F.xxhash64("setup", "setup_b", "cx_b", "cy_b", "cz_b"))
-    names = m.select("pair", "setup_b", "cx_b", "cy_b", "cz_b").distinct()
-    fit = registration.match_intensities(m.select("setup", F.col("pair").alias("setup_b"), "cx", "cy", "cz", "v", "v_b"), a.method, a.minNumCandidates, **({} if a.method == "HISTOGRAM" else {"iterations": a.numIterations, "max_error": a.maxEpsilon, "min_ratio": a.minInlierRatio, "min_inliers": a.minNumInliers, "trust": a.maxTrust}))
+    m = m.withColumn("pair", F.xxhash64("tp_b", "setup_b", "cx_b", "cy_b", "cz_b"))
+    names = m.select("pair", "tp_b", "setup_b", "cx_b", "cy_b", "cz_b").distinct()
+    fit = registration.match_intensities(m.select("tp", "setup", F.col("pair").alias("setup_b"), "cx", "cy", "cz", "v", "v_b"), a.method, a.minNumCandidates, **({} if a.method == "HISTOGRAM" else {"iterations": a.numIterations, "max_error": a.maxEpsilon, "min_ratio": a.minInlierRatio, "min_inliers": a.minNumInliers, "trust": a.maxTrust}))
     out = fit.withColumnRenamed("setup_b", "pair").join(names, "pair")
     p["intensity_matches"] = out.select(*p["intensity_matches"].columns)
     p.save(a.outputPath or a.xml, a.dryRun)
 
 
 def solve_intensities(spark: SparkSession, a: argparse.Namespace) -> None:
-    from volumetra.operators.kernels import intensities
-
     p = projects.load(spark, a.matchesPath or a.xml)
-    rows = p["intensity_matches"].collect()  # one row per pair of cells
-    cell = lambda r, s: (r[f"setup{s}"], r[f"cx{s}"], r[f"cy{s}"], r[f"cz{s}"])
-    cells = sorted({cell(r, s) for r in rows for s in ("", "_b")})
-    got = intensities.solve([(cell(r, ""), cell(r, "_b"), r["scale"], r["offset"], r["n"] / 100) for r in rows], cells, 0.1, a.maxIterations)
-    p["coefficients"] = spark.createDataFrame([(*k, *v) for k, v in got.items()], "setup long, cx long, cy long, cz long, scale double, offset double").select("setup", *[F.col(c).cast("int") for c in ("cx", "cy", "cz")], "scale", "offset")
+    p["coefficients"] = registration.solve_intensities(p["intensity_matches"], 0.1, a.maxIterations)
     p.save(a.output or a.xml, a.dryRun)
 
 
@@ -305,14 +330,31 @@ def affine_fusion(spark: SparkSession, a: argparse.Namespace) -> None:
     options.fusion_indices(a.timepointIndex, a.channelIndex, any(lists.values()) or bool(a.vi))
     views = container.volume_views(p, a.timepointIndex, a.channelIndex).join(selected(p["views"], a).select("tp", "setup"), ["tp", "setup"], "left_semi")
     views = container.anisotropic(views, props.get("anisotropy_factor"))
-    volumes = views.select("t_index", "c_index").distinct()
-    work = container.blocks(spark, props, options.vector(a.blockScale)).join(F.broadcast(volumes))
+    work = in_volumes(container.blocks(spark, props, options.vector(a.blockScale)), views)
+    # Each view is read at the coarsest level that the output's resolution allows.
+    stored = levels_of(spark, p, a)
+    chunks = images_of(spark, p, a, None if len(stored) > 1 else 0)
+    if len(stored) > 1:
+        each = views.select("tp", "setup", "m", F.explode(F.array(*[F.struct(F.lit(i).alias("level"), *[F.lit(float(v)).alias(f"f{x}") for x, v in zip(XYZ, f, strict=True)], g.affine(pyramid.mipmap(f)).alias("mipmap")) for i, f in enumerate(stored)])).alias("l")).select("tp", "setup", "m", "l.*")
+        each = each.withColumns({f"s{x}": s for x, s in zip(XYZ, g.step_sizes(F.col("m")), strict=True)})
+        best = pyramid.level_for_fusion(each, (F.col("sx"), F.col("sy"), F.col("sz")), by=("tp", "setup"))
+        chosen = each.join(best, ["tp", "setup", "level"]).select("tp", "setup", "level", "mipmap", "fx", "fy", "fz")
+        views = views.join(chosen, ["tp", "setup"])
+        views = views.withColumns({"m": g.compose(F.col("m"), F.col("mipmap")), **{f"n{x}": F.floor(F.col(f"n{x}") / F.col(f"f{x}")).cast("long") for x in XYZ}})
+        chunks = chunks.join(F.broadcast(chosen.select("tp", "setup", "level")), ["tp", "setup", "level"], "left_semi")
     low, high = props.get("min_intensity", 0), props.get("max_intensity", 1)
     coefficients = p["coefficients"] if not p["coefficients"].isEmpty() else None
-    fused = registration.fuse_views(work, views, images_of(spark, p, a), a.fusion, props["data_type"], low, high, coefficients, masks=a.masks, mask_offset=options.vector(a.maskOffset, 3, float))
+    fused = registration.fuse_views(work, views, chunks, a.fusion, props["data_type"], low, high, coefficients, masks=a.masks, mask_offset=options.vector(a.maskOffset, 3, float))
     _save_volumes(fused, props, a.output)
 
 
+def in_volumes(work: DataFrame, views: DataFrame) -> DataFrame:
+    """Blocks once for each volume (t_index, c_index) that has views; volumes are metadata."""
+    volumes = views.select("t_index", "c_index").distinct().collect()
+    each = F.array(*[F.struct(F.lit(r["t_index"]).alias("t_index"), F.lit(r["c_index"]).alias("c_index")) for r in volumes]) if volumes else F.lit(None).cast("array<struct<t_index:int,c_index:int>>")
+    return work.withColumn("v", F.explode(each)).select(*work.columns, "v.*")
+
+
 def _save_volumes(fused: DataFrame, props: dict, path: str) -> None:
     """Full resolution first, then each level from the stored one before."""
     block, codec, spark = tuple(props["block_size"]), options.parquet_codec(props.get("compression", "zstandard")), fused.sparkSession
@@ -339,8 +381,11 @@ def nonrigid_fusion(spark: SparkSession, a: argparse.Namespace) -> None:
     two = pts.select(*[F.col(c).alias(f"{c}_b") for c in ("tp", "setup", "label", "id")], *[F.col(x).alias(f"{x}_b") for x in XYZ])
     # A point ought to lie in the middle of itself and its correspondences.
     pairs = p["correspondences"].join(one, ["tp_a", "setup_a", "label_a", "id_a"]).join(two, ["tp_b", "setup_b", "label_b", "id_b"])
-    common = pairs.groupBy(F.col("setup_a").alias("setup"), "id_a", *XYZ).agg(*[((F.first(x) + F.sum(f"{x}_b")) / (F.count("*") + 1)).alias(f"c{x}") for x in XYZ])
-    fused = registration.fuse_nonrigid(container.blocks(spark, props, options.vector(a.blockScale)), views, images_of(spark, p, a), common.select("setup", *XYZ, "cx", "cy", "cz"), dtype=a.dataType, low=a.minIntensity or 0.0, high=a.maxIntensity or 1.0)
+    common = pairs.groupBy(F.col("tp_a").alias("tp"), F.col("setup_a").alias("setup"), "label_a", "id_a", *XYZ).agg(*[((F.first(x) + F.sum(f"{x}_b")) / (F.count("*") + 1)).alias(f"c{x}") for x in XYZ])
+    # All channels of a timepoint are one volume.
+    views = views.withColumns({"t_index": F.dense_rank().over(Window.orderBy("tp")) - 1, "c_index": F.lit(0)})
+    work = in_volumes(container.blocks(spark, props, options.vector(a.blockScale)), views)
+    fused = registration.fuse_nonrigid(work, views, images_of(spark, p, a), common.select("tp", "setup", *XYZ, "cx", "cy", "cz"), dtype=a.dataType, low=a.minIntensity or 0.0, high=a.maxIntensity or 1.0)
     _save_volumes(fused, props, a.output)
 
 
@@ -348,8 +393,6 @@ def split_images(spark: SparkSession, a: argparse.Namespace) -> None:
     p = projects.load(spark, a.xml)
     v = p["views"].filter("present").withColumns({f"{x}{i}": F.lit(0).cast("long") if i == 0 else F.col(f"n{x}") - 1 for x in XYZ for i in (0, 1)})
     t = blocks.split_tiles(v, options.vector(a.targetImageSize), options.vector(a.targetOverlap))
-    from pyspark.sql import Window
-
     t = t.withColumn("new", F.row_number().over(Window.partitionBy("tp").orderBy("setup", "tx0", "ty0", "tz0")) - 1)
     cut = t.select("tp", F.col("new").cast("long").alias("setup"), "angle", "channel", F.col("tile").alias("illum") if a.assignIlluminations else F.col("illum"), F.col("new").cast("long").alias("tile"), "present", *[(F.col(f"t{x}1") - F.col(f"t{x}0") + 1).alias(f"n{x}") for x in XYZ], "vx", "vy", "vz")
     one, zero = F.lit(1.0), F.lit(0.0)
@@ -411,8 +454,13 @@ def transform_points(spark: SparkSession, a: argparse.Namespace) -> None:
         good, bad = good.unionByName(more), bad.unionByName(worse)
     for r in bad.limit(100).collect():
         print(f"skipped: {r['value']}", file=sys.stderr)
-    to = g.apply(F.col("m"), (F.col("x"), F.col("y"), F.col("z")))
-    out = good.join(F.broadcast(m.select("m"))).select(*[c.alias(x) for x, c in zip(XYZ, to, strict=True)])
+    out = None
+    for r in m.collect():  # the views that were named
+        to = g.apply(g.affine(r["m"]), (F.col("x"), F.col("y"), F.col("z")))
+        moved = good.select(*[c.alias(x) for x, c in zip(XYZ, to, strict=True)])
+        out = moved if out is None else out.unionByName(moved)
+    if out is None:
+        raise ValueError("no such view")
     if a.csvOut:
         points_csv.write(out, a.csvOut)
     else:

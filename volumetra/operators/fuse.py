@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from volumetra.operators import spatial
+
 VOXEL = ("x", "y", "z")
 
 
@@ -49,19 +51,18 @@ def closest(rows: DataFrame, distance: Column, key: tuple[str, ...] = ("setup",)
     return rows.withColumn("__d", distance).groupBy(*by).agg(F.min_by(v, F.struct("__d", *key)).alias("v"))
 
 
-def mask(voxels: DataFrame, views: DataFrame, offset: tuple[float, float, float] = (0.0, 0.0, 0.0), value: float = 255.0) -> DataFrame:
-    """``value`` where some view's box, extended by the offset, holds the voxel, else 0. ``views`` is a project's (small)."""
-    inside = F.lit(True)
-    for x, o in zip("xyz", offset, strict=True):
-        inside = inside & (F.col(x) >= F.col(f"{x}0") - o) & (F.col(x) <= F.col(f"{x}1") + o)
-    hit = voxels.join(F.broadcast(views.select(*[f"{x}{i}" for x in "xyz" for i in (0, 1)])), inside, "left_semi").select(*VOXEL)
-    return voxels.select(*VOXEL).distinct().join(hit.distinct().withColumn("__hit", F.lit(True)), list(VOXEL), "left").select(*VOXEL, F.when(F.col("__hit"), F.lit(value)).otherwise(F.lit(0.0)).alias("v"))
+def mask(voxels: DataFrame, views: DataFrame, offset: tuple[float, float, float] = (0.0, 0.0, 0.0), value: float = 255.0, cell: int = 64) -> DataFrame:
+    """``value`` where some view's box, extended by the offset, holds the voxel, else 0."""
+    places = voxels.select(*VOXEL).distinct()
+    boxes = views.select(*[(F.col(f"{x}{i}") + (o if i else -o)).alias(f"{x}{i}") for x, o in zip("xyz", offset, strict=True) for i in (0, 1)])
+    hit = spatial.points_in_boxes(places, boxes, cell).select(*VOXEL).distinct()
+    return places.join(hit.withColumn("__hit", F.lit(True)), list(VOXEL), "left").select(*VOXEL, F.when(F.col("__hit"), F.lit(value)).otherwise(F.lit(0.0)).alias("v"))
 
 
 def corrected(rows: DataFrame, coefficients: DataFrame, cell: tuple[int, int, int]) -> DataFrame:
     """Intensities with their view's linear coefficients (scale, offset) of the coefficient cell; 1 and 0 where there is none."""
     cells = {f"c{x}": F.floor(F.col(x) / F.lit(s)).cast("int") for x, s in zip("xyz", cell, strict=True)}
-    joined = rows.withColumns(cells).join(coefficients, ["setup", "cx", "cy", "cz"], "left")
+    joined = rows.withColumns(cells).join(coefficients, [*spatial.view_key(rows, coefficients), "cx", "cy", "cz"], "left")
     return joined.withColumn("v", F.coalesce("scale", F.lit(1.0)) * F.col("v") + F.coalesce("offset", F.lit(0.0))).drop("scale", "offset", "cx", "cy", "cz")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 TASK_EDGES = 500_000
 
 
-def _written(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame) -> DataFrame:
     """Cut the lineage of a loop's state with a table in the folder all executors share."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -22,7 +22,7 @@ def _written(df: DataFrame) -> DataFrame:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_loops"
-    path = f"{folder.rstrip('/')}/components-{uuid.uuid4().hex}"
+    path = f"{folder.rstrip('/')}/state-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -46,7 +46,7 @@ def contracted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"a": ids[moved], "b": ids[root[moved]]})
 
 
-def components(nodes: DataFrame, edges: DataFrame, store: Callable[[DataFrame], DataFrame] = _written) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, store: Callable[[DataFrame], DataFrame] = stored) -> DataFrame:
     """(id, subset): the smallest id of each node's component. ``nodes`` has id, ``edges`` has a and b; ``store`` writes the
     state of a loop and reads it again.
 

@@ -2,7 +2,7 @@
 
 Descriptors are sets of vectors to neighbours: as they are (translation), with trials of neighbour subsets (redundancy),
 or by what rotation leaves unchanged, the sorted distances among a point and its neighbours (geometric hashing, Wolfson
-and Rigoutsos 1997; bead descriptors, Preibisch et al. 2010). A match has to be ``significance`` times better than the
+and Rigoutsos 1997). A match has to be ``significance`` times better than the
 second best. Closest points after Besl and McKay 1992.
 """
 

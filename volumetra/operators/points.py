@@ -23,15 +23,16 @@ def renumbered(points: DataFrame, by: list[str], order: list[str]) -> DataFrame:
 def brightest_per_interval(points: DataFrame, intervals: DataFrame, max_spots: int, cell: int, zero_keeps_all: bool = True) -> DataFrame:
     """Points of each interval of their view, as many as its share round(max_spots * size / largest size) of brightness.
 
-    ``intervals``: setup, interval, x0..z1. A share of 0 keeps all points (as the first version did) or none.
+    ``intervals``: the view (tp, setup, or setup alone), interval, x0..z1. A share of 0 keeps all points (as the first version did) or none.
     """
     size = (F.col("x1") - F.col("x0") + 1) * (F.col("y1") - F.col("y0") + 1) * (F.col("z1") - F.col("z0") + 1)
     sized = intervals.withColumn("size", size)
     # A project's intervals: one row each for pairs of overlapping views; the largest size is a single number.
     largest = sized.agg(F.max("size").alias("m")).first()["m"] or 1
     limited = sized.withColumn("spots", F.round(F.lit(max_spots) * F.col("size") / F.lit(largest)).cast("int")).drop("size")
-    inside = spatial.points_in_boxes(points, limited, cell, F.col("setup") == F.col("setup_b"))
-    rank = F.row_number().over(Window.partitionBy("setup", "interval_b").orderBy(F.desc("intensity"), "id"))
+    view = spatial.view_key(points, intervals)
+    inside = spatial.points_in_boxes(points, limited, cell, F.struct(*view) == F.struct(*[f"{c}_b" for c in view]))
+    rank = F.row_number().over(Window.partitionBy(*view, "interval_b").orderBy(F.desc("intensity"), "id"))
     few = F.col("rank") <= F.col("spots_b")
     out = inside.withColumn("rank", rank).filter(few | (F.col("spots_b") == 0) if zero_keeps_all else few)
     return out.select(*points.columns, F.col("interval_b").alias("interval"))
@@ -127,8 +128,16 @@ def ungrouped(matches: DataFrame, members: DataFrame, columns: list[str]) -> Dat
 
 def in_other_views(points: DataFrame, views: DataFrame, cell: int) -> DataFrame:
     """Points that lie in the box of another view than their own."""
-    hits = spatial.points_in_boxes(points, views, cell, F.col("setup") != F.col("setup_b")).select("setup", "id").distinct()
-    return points.join(hits, ["setup", "id"], "left_semi")
+    view = spatial.view_key(points, views)
+    hits = spatial.points_in_boxes(points, views, cell, F.struct(*view) != F.struct(*[f"{c}_b" for c in view])).select(*view, "id").distinct()
+    return points.join(hits, [*view, "id"], "left_semi")
+
+
+def in_intervals(points: DataFrame, intervals: DataFrame, cell: int) -> DataFrame:
+    """Points that lie in one of the intervals of their own view."""
+    view = spatial.view_key(points, intervals)
+    hits = spatial.points_in_boxes(points, intervals, cell, F.struct(*view) == F.struct(*[f"{c}_b" for c in view])).select(*view, "id").distinct()
+    return points.join(hits, [*view, "id"], "left_semi")
 
 
 def resolved(links: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
@@ -145,8 +154,9 @@ def per_pair(links: DataFrame, at_least: int, pair: list[str]) -> DataFrame:
 
 def padded(views: DataFrame, points: DataFrame) -> DataFrame:
     """Number of points of every view, 0 for views without."""
-    n = points.groupBy("setup").agg(F.count("*").alias("n"))
-    return views.select("setup").join(n, "setup", "left").select("setup", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    view = spatial.view_key(views, points)
+    n = points.groupBy(*view).agg(F.count("*").alias("n"))
+    return views.select(*view).join(n, view, "left").select(*view, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def keep_first(stack: DataFrame, n: int, view: list[str]) -> DataFrame:
@@ -200,9 +210,10 @@ def upserted(old: DataFrame, new: DataFrame, pair: tuple[list[str], list[str]])
 
 def without_fixed(pairs: DataFrame, fixed: DataFrame, same_group: Column) -> DataFrame:
     """Pairs of which not both views are fixed and that are not of one group."""
-    f = fixed.select("setup").distinct()
-    a = pairs.join(f.withColumn("__fa", F.lit(True)), "setup", "left")
-    b = a.join(f.select(F.col("setup").alias("setup_b")).withColumn("__fb", F.lit(True)), "setup_b", "left")
+    view = [c for c in spatial.view_key(pairs, fixed) if f"{c}_b" in pairs.columns]
+    f = fixed.select(*view).distinct()
+    a = pairs.join(f.withColumn("__fa", F.lit(True)), view, "left")
+    b = a.join(spatial.renamed(f).withColumn("__fb", F.lit(True)), [f"{c}_b" for c in view], "left")
     both = F.col("__fa").isNotNull() & F.col("__fb").isNotNull()
     return b.filter(~both & ~same_group).select(*pairs.columns)
 
@@ -245,13 +256,15 @@ def ratio_test(two: DataFrame, significance: float) -> DataFrame:
 
 
 def cell_matches(voxels: DataFrame, cell: tuple[int, int, int], low: float | None = None, high: float | None = None) -> DataFrame:
-    """Intensities of two views at the same voxel, with the coefficient cell: (setup, setup_b, cx, cy, cz, v, v_b)."""
+    """Intensities of two views at the same voxel, with the coefficient cell: (setup, setup_b, cx, cy, cz, v, v_b), and the
+    timepoints if there are any."""
     if low is not None:
         voxels = voxels.filter(F.col("v") >= low)
     if high is not None:
         voxels = voxels.filter(F.col("v") <= high)
-    b = voxels.select("x", "y", "z", F.col("setup").alias("setup_b"), F.col("v").alias("v_b"))
-    pairs = voxels.join(b, ["x", "y", "z"]).filter("setup < setup_b")
+    view = spatial.view_key(voxels)
+    b = voxels.select("x", "y", "z", *[F.col(c).alias(f"{c}_b") for c in (*view, "v")])
+    pairs = voxels.join(b, ["x", "y", "z"]).filter(F.struct(*view) < F.struct(*[f"{c}_b" for c in view]))
     return pairs.withColumns({f"c{x}": F.floor(F.col(x) / F.lit(s)).cast("long") for x, s in zip("xyz", cell, strict=True)})
 
 

@@ -30,8 +30,8 @@ def mipmap(factors: tuple[int, int, int]) -> list[float]:
     return m
 
 
-def level_for_fusion(levels: DataFrame, steps: tuple[Column, Column, Column], slack: float = 0.02) -> DataFrame:
-    """(setup, level): the coarsest level whose steps in the output are below 1 + slack or within slack of level 0's.
+def level_for_fusion(levels: DataFrame, steps: tuple[Column, Column, Column], slack: float = 0.02, by: tuple[str, ...] = ("setup",)) -> DataFrame:
+    """(by, level): the coarsest level whose steps in the output are below 1 + slack or within slack of level 0's.
 
     ``levels`` has setup, level, fx, fy, fz; ``steps`` are the output steps of full resolution. Level 0 if none fits.
     """
@@ -39,7 +39,7 @@ def level_for_fusion(levels: DataFrame, steps: tuple[Column, Column, Column], sl
     for x, s in zip("xyz", steps, strict=True):
         ok = ok & ((s * F.col(f"f{x}") < 1 + slack) | (F.abs(s * F.col(f"f{x}") - s) < slack))
     best = F.max_by(F.when(ok, F.col("level")), F.when(ok, F.struct(F.col("fx") * F.col("fy") * F.col("fz"), "level")))
-    return levels.groupBy("setup").agg(F.coalesce(best, F.lit(0)).alias("level"))
+    return levels.groupBy(*by).agg(F.coalesce(best, F.lit(0)).alias("level"))
 
 
 def level_for_detection(levels: DataFrame, wanted: tuple[int, int, int]) -> DataFrame:

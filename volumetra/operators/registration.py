@@ -88,37 +88,68 @@ def detect_points(chunks: DataFrame, sigma: float, threshold: float, low: float,
 
 
 def stitch_pairs(pairs: DataFrame, chunks: DataFrame, peaks: int = 5, subpixel: bool = True, max_shift=(None, None, None), cell: int = 256) -> DataFrame:
-    """(setup, setup_b, dx, dy, dz, r) of pairs of translated views, from what their images show of the overlap.
+    """(tp, setup, tp_b, setup_b, dx, dy, dz, r) of pairs of translated views, from what their images show of the overlap.
 
-    ``pairs``: setup, setup_b, the intersection i{x}0..i{x}1 in world coordinates and each view's translation t{x}, t{x}_b
+    ``pairs``: tp, setup, tp_b, setup_b (timepoint 0 where a pair has none), the intersection i{x}0..i{x}1 in world coordinates and each view's translation t{x}, t{x}_b
     (whole numbers at the level of the chunks). Moving the second view by (dx, dy, dz) brings it onto the first.
     """
+    pairs = pairs.withColumns({c: F.lit(0) for c in ("tp", "tp_b") if c not in pairs.columns})
+    pair = {"tp": "int", "setup": "long", "tp_b": "int", "setup_b": "long"}
+    named = [F.col(c).cast(k).alias(f"p_{c}") for c, k in pair.items()]
     sides = []
-    for side, mine, shift in ((0, "setup", ""), (1, "setup_b", "_b")):
+    for side, shift in ((0, ""), (1, "_b")):
         box = {f"{x}{i}": (F.col(f"i{x}{i}") - F.col(f"t{x}{shift}")).cast("long") for x in "xyz" for i in (0, 1)}
-        sides.append(pairs.select(F.col("setup").alias("pa"), F.col("setup_b").alias("pb"), F.lit(side).alias("side"), F.col(mine).alias("setup"), *[c.alias(n) for n, c in box.items()]))
+        sides.append(pairs.select(*named, F.lit(side).alias("side"), F.col(f"tp{shift}").alias("tp"), F.col(f"setup{shift}").alias("setup"), *[c.alias(n) for n, c in box.items()]))
     wanted = sides[0].unionByName(sides[1])
-    boxed = ch.boxes(chunks).select("setup", "ox", "oy", "oz", "sx", "sy", "sz", "dtype", "payload", *[f"{x}{i}" for x in "xyz" for i in (0, 1)])
-    met = spatial.box_join(wanted, boxed, cell, ["setup"])
-    met = met.select("pa", "pb", "side", *[F.col(f"{x}0").alias(f"c{x}0") for x in "xyz"], *[F.col(f"{x}1").alias(f"c{x}1") for x in "xyz"], *[F.col(f"{c}_b").alias(c) for c in ("ox", "oy", "oz", "sx", "sy", "sz", "dtype", "payload")])
-    parts = _parts(met, {"pa": "long", "pb": "long", "side": "int", "cx0": "long", "cy0": "long", "cz0": "long"})
+    boxed = ch.boxes(chunks).select("tp", "setup", "ox", "oy", "oz", "sx", "sy", "sz", "dtype", "payload", *[f"{x}{i}" for x in "xyz" for i in (0, 1)])
+    met = spatial.box_join(wanted, boxed, cell, ["tp", "setup"])
+    met = met.select(*[f"p_{c}" for c in pair], "side", *[F.col(f"{x}0").alias(f"c{x}0") for x in "xyz"], *[F.col(f"{x}1").alias(f"c{x}1") for x in "xyz"], *[F.col(f"{c}_b").alias(c) for c in ("ox", "oy", "oz", "sx", "sy", "sz", "dtype", "payload")])
+    parts = _parts(met, {**{f"p_{c}": k for c, k in pair.items()}, "side": "int", "cx0": "long", "cy0": "long", "cz0": "long"})
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        images = []
+        images, columns = [], [*pair, "dx", "dy", "dz", "r"]
         for side in (0, 1):
             own = pdf[pdf["side"] == side]
             if own.empty:
-                return pd.DataFrame([], columns=["setup", "setup_b", "dx", "dy", "dz", "r"])
+                return pd.DataFrame([], columns=columns)
             a, lo = _assemble(own)
             images.append((a, np.array(lo) - [own[f"c{x}0"].iat[0] for x in "xyz"]))
         found = stitching.phase_correlation(images[0][0], images[1][0], peaks, subpixel, max_shift)
         if found is None:
-            return pd.DataFrame([], columns=["setup", "setup_b", "dx", "dy", "dz", "r"])
+            return pd.DataFrame([], columns=columns)
         # Missing chunks at the border make the arrays start later than the intersection does.
         shift = found[0] + images[0][1] - images[1][1]
-        return pd.DataFrame([(*key, *shift, found[1])], columns=["setup", "setup_b", "dx", "dy", "dz", "r"])
+        return pd.DataFrame([(*key, *shift, found[1])], columns=columns)
+
+    kinds = ", ".join(f"{c} {k}" for c, k in pair.items())
+    return parts.groupBy(*[f"p_{c}" for c in pair]).applyInPandas(run, f"{kinds}, dx double, dy double, dz double, r double")
+
+
+def combined_views(chunks: DataFrame, members: DataFrame, how: str) -> DataFrame:
+    """Chunks of groups of views as those of one view each: the mean of the group's images (AVERAGE), or those of the view
+    with the brightest mean (PICK_BRIGHTEST).
+
+    ``members``: tp, setup and leader, the setup that the group's chunks get; images of a group have the same chunks.
+    """
+    named = chunks.join(members, ["tp", "setup"])
+    if how == "PICK_BRIGHTEST":
+        def sums(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in parts:
+                yield pd.DataFrame([(r.tp, r.setup, r.leader, float(a.sum(dtype=float)), a.size) for r in pdf.itertuples(index=False) for a in [ch.decode(r.payload, r.dtype, (r.sx, r.sy, r.sz))]], columns=["tp", "setup", "leader", "total", "n"])
+
+        means = named.mapInPandas(sums, "tp int, setup long, leader long, total double, n long").groupBy("tp", "leader", "setup").agg((F.sum("total") / F.sum("n")).alias("mean"))
+        best = means.groupBy("tp", "leader").agg(F.max_by("setup", F.struct("mean", -F.col("setup"))).alias("setup"))
+        return named.join(best, ["tp", "leader", "setup"]).withColumn("setup", F.col("leader")).select(*ch.NAMES)
+    if how != "AVERAGE":
+        raise ValueError("groups are combined by AVERAGE or PICK_BRIGHTEST")
+
+    def mean(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf.sort_values("setup").iloc[0]
+        total = sum(ch.decode(r.payload, r.dtype, (r.sx, r.sy, r.sz)).astype(float) for r in pdf.itertuples(index=False))
+        row = {c: first[c] for c in ch.NAMES} | {"setup": key[1], "payload": ch.encode(total / len(pdf), first["dtype"])}
+        return pd.DataFrame([row], columns=ch.NAMES)
 
-    return parts.groupBy("pa", "pb").applyInPandas(run, "setup long, setup_b long, dx double, dy double, dz double, r double")
+    return named.groupBy("tp", "leader", "level", "gx", "gy", "gz").applyInPandas(mean, ch.SCHEMA)
 
 
 MATCHES = "setup long, setup_b long, consensus int, id long, id_b long, x double, y double, z double, x_b double, y_b double, z_b double, model array<double>"
@@ -164,8 +195,10 @@ def robust_models(candidates: DataFrame, model: str = "AFFINE", multi: bool = Fa
 
 
 def match_intensities(matches: DataFrame, method: str = "RANSAC", at_least: int = 1000, **options) -> DataFrame:
-    """(setup, setup_b, cx, cy, cz, n, scale, offset): linear relations per pair of views and cell, v_b = scale v + offset."""
-    by = ["setup", "setup_b", "cx", "cy", "cz"]
+    """(setup, setup_b, cx, cy, cz, n, scale, offset), with tp and tp_b if there are any: linear relations per pair of views and
+    cell, v_b = scale v + offset."""
+    kinds = {"tp": "int", "setup": "long", "tp_b": "int", "setup_b": "long", "cx": "long", "cy": "long", "cz": "long"}
+    by = [c for c in kinds if c in matches.columns]
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         cols = [*by, "n", "scale", "offset"]
@@ -178,24 +211,55 @@ def match_intensities(matches: DataFrame, method: str = "RANSAC", at_least: int
         found = intensities.ransac(x, y, **options)
         return pd.DataFrame([(*key, int(found[2].sum()), found[0], found[1])] if found else [], columns=cols)
 
-    return matches.groupBy(*by).applyInPandas(run, "setup long, setup_b long, cx long, cy long, cz long, n long, scale double, offset double")
+    return matches.groupBy(*by).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in by) + ", n long, scale double, offset double")
 
 
 def solve_intensities(matches: DataFrame, blend: float = 0.1, iterations: int = 1000) -> DataFrame:
-    """(setup, cx, cy, cz, scale, offset): on the driver, over one row per pair of views and cell."""
-    rows = matches.select("setup", "setup_b", "cx", "cy", "cz", "n", "scale", "offset").collect()
-    cells = sorted({(r[v], r["cx"], r["cy"], r["cz"]) for r in rows for v in ("setup", "setup_b")})
-    got = intensities.solve([((r["setup"], r["cx"], r["cy"], r["cz"]), (r["setup_b"], r["cx"], r["cy"], r["cz"]), r["scale"], r["offset"], r["n"] / 100) for r in rows], cells, blend, iterations)
-    out = [(c[0], int(c[1]), int(c[2]), int(c[3]), s, o) for c, (s, o) in got.items()]
-    return matches.sparkSession.createDataFrame(out, "setup long, cx int, cy int, cz int, scale double, offset double")
+    """(tp, setup, cx, cy, cz, scale, offset), without tp if ``matches`` has none: on the driver, over one row per pair of views
+    and cell. The second view's cell is (cx_b, cy_b, cz_b), or the same where these are not given."""
+    view = spatial.view_key(matches)
+    own = [*view, "cx", "cy", "cz"]
+    theirs = [f"{c}_b" if f"{c}_b" in matches.columns else c for c in own]
+    rows = matches.select(*dict.fromkeys([*own, *theirs, "n", "scale", "offset"])).collect()
+    ends = [(tuple(r[c] for c in own), tuple(r[c] for c in theirs)) for r in rows]
+    got = intensities.solve([(a, b, r["scale"], r["offset"], r["n"] / 100) for (a, b), r in zip(ends, rows, strict=True)], sorted({c for e in ends for c in e}), blend, iterations)
+    kinds = {"tp": "int", "setup": "long", "cx": "int", "cy": "int", "cz": "int"}
+    return matches.sparkSession.createDataFrame([(*map(int, c), s, o) for c, (s, o) in got.items()], ", ".join(f"{c} {kinds[c]}" for c in own) + ", scale double, offset double")
+
+
+JOINT = ("x", "y", "z", "x_b", "y_b", "z_b")
+
+
+def link_moments(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n, mean, cov): of the matched places (x, y, z) and (x_b, y_b, z_b) of each link all that a least-squares fit sees."""
+    cov = [F.covar_pop(a, b) for i, a in enumerate(JOINT) for b in JOINT[i:]]
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.array(*[F.avg(c) for c in JOINT]).alias("mean"), F.array(*cov).alias("cov"))
+
+
+def _sigma_points(mean: list[float], cov: list[float]) -> tuple[np.ndarray, np.ndarray]:
+    """Twelve pairs of places with this mean and covariance: least-squares fits to them are those to all places."""
+    c = np.zeros((6, 6))
+    c[np.triu_indices(6)] = cov
+    c = c + c.T - np.diag(np.diag(c))
+    w, v = np.linalg.eigh(c)
+    step = (v * np.sqrt(6 * np.maximum(w, 0))).T
+    at = np.concatenate([np.array(mean) + step, np.array(mean) - step])
+    return at[:, :3], at[:, 3:]
 
 
 def solve_links(links: DataFrame, tiles: list, fixed: set, method: str = "ONE_ROUND_SIMPLE", weak: list | None = None, relative: float = 3.5, absolute: float = 7.0, **options) -> tuple[dict, float]:
-    """({tile: 3x4 model}, error) from links (a, b, p, q, weight): p and q are lists of matched places in tile coordinates.
+    """({tile: 3x4 model}, error) from links (a, b, weight) with lists p and q of matched places in tile coordinates, or with
+    their ``link_moments``.
 
-    Links are one row per pair of overlapping views; the optimisation runs on the driver.
+    Links are one row per pair of overlapping views, of fixed size with moments; the optimisation runs on the driver. With
+    moments fits are the same as with all places, and errors are those of twelve places of the same spread.
     """
-    rows = [solving.Link(r["a"], r["b"], np.array(r["p"], float), np.array(r["q"], float), r["weight"]) for r in links.collect()]
+    rows = []
+    for r in links.collect():
+        if "cov" in links.columns:
+            rows.append(solving.Link(r["a"], r["b"], *_sigma_points(r["mean"], r["cov"]), r["weight"] * r["n"] / 12))
+        else:
+            rows.append(solving.Link(r["a"], r["b"], np.array(r["p"], float), np.array(r["q"], float), r["weight"]))
     if method == "ONE_ROUND_SIMPLE":
         return solving.solve(rows, tiles, fixed, **options)
     if method == "ONE_ROUND_ITERATIVE":
@@ -231,8 +295,9 @@ def fuse_views(blocks: DataFrame, views: DataFrame, chunks: DataFrame, strategy:
     parts = _parts(cast, keys)
     correct = coefficients is not None
     if correct:
-        c = coefficients.groupBy("setup").agg(F.collect_list(F.struct("cx", "cy", "cz", "scale", "offset")).alias("correction"))
-        parts = parts.join(c, "setup", "left")
+        of_view = spatial.view_key(coefficients)
+        c = coefficients.groupBy(*of_view).agg(F.collect_list(F.struct("cx", "cy", "cz", "scale", "offset")).alias("correction"))
+        parts = parts.join(c, of_view, "left")
 
     masking, offset = masks, np.array(mask_offset, float)
 
@@ -298,24 +363,30 @@ def _corrected(value: np.ndarray, p: np.ndarray, top: np.ndarray, correction, ce
 
 
 def fuse_nonrigid(blocks: DataFrame, views: DataFrame, chunks: DataFrame, points: DataFrame, spacing: float = 10.0, alpha: float = 1.0, dtype: str = "FLOAT32", low: float = 0.0, high: float = 1.0, cell: int = 256, near: int = 50) -> DataFrame:
-    """Output chunks of non-rigid fusion. ``points``: setup and corresponding places in the world, own (x, y, z) after the
-    view's map and common (cx, cy, cz); views are looked up within ``near`` of a block."""
+    """Output chunks of non-rigid fusion. ``points``: the view (tp, setup; or setup alone) and corresponding places in the
+    world, own (x, y, z) after the view's map and common (cx, cy, cz); views are looked up within ``near`` of a block.
+
+    Blocks and views are of a volume (t_index, c_index), and only views of its volume go into a block; without these
+    columns they are of volume (0, 0)."""
     from volumetra.functions import geometry as g
 
-    b = blocks.select("gx", "gy", "gz", *[f"{x}{i}" for x in "xyz" for i in (0, 1)])
-    v = views.select("tp", "setup", "m", g.invert(F.col("m")).alias("back"), "nx", "ny", "nz", *[f"{x}{i}" for x in "xyz" for i in (0, 1)])
-    met = spatial.box_join(b, v, cell, expand=near)
+    volume = ["t_index", "c_index"]
+    blocks, views = (t.withColumns({c: F.lit(0) for c in volume if c not in t.columns}) for t in (blocks, views))
+    b = blocks.select(*volume, "gx", "gy", "gz", *[f"{x}{i}" for x in "xyz" for i in (0, 1)])
+    v = views.select("tp", "setup", *volume, "m", g.invert(F.col("m")).alias("back"), "nx", "ny", "nz", *[f"{x}{i}" for x in "xyz" for i in (0, 1)])
+    met = spatial.box_join(b, v, cell, volume, expand=near)
     back = F.col("back_b")
     lo, hi = g.bounds(back, [F.col(f"{x}0") - near for x in "xyz"], [F.col(f"{x}1") + near for x in "xyz"])
     need = {f"c{x}{i}": (F.floor(a) if i == 0 else F.ceil(c)).cast("long") for x, a, c in zip("xyz", lo, hi, strict=True) for i in (0, 1)}
-    met = met.select("gx", "gy", "gz", *[F.col(f"{x}{i}").alias(f"w{x}{i}") for x in "xyz" for i in (0, 1)], F.col("tp_b").alias("tp"), F.col("setup_b").alias("setup"), F.col("m_b").alias("m"), *[F.col(f"n{x}_b").alias(f"n{x}") for x in "xyz"], *[c.alias(n) for n, c in need.items()])
+    met = met.select(*volume, "gx", "gy", "gz", *[F.col(f"{x}{i}").alias(f"w{x}{i}") for x in "xyz" for i in (0, 1)], F.col("tp_b").alias("tp"), F.col("setup_b").alias("setup"), F.col("m_b").alias("m"), *[F.col(f"n{x}_b").alias(f"n{x}") for x in "xyz"], *[c.alias(n) for n, c in need.items()])
     in_image = met.select(*met.columns, *[F.col(f"c{x}{i}").alias(f"{x}{i}") for x in "xyz" for i in (0, 1)])
     boxed = ch.boxes(chunks).select("tp", "setup", "ox", "oy", "oz", "sx", "sy", "sz", "dtype", "payload", *[f"{x}{i}" for x in "xyz" for i in (0, 1)])
     pieces = spatial.box_join(in_image, boxed, cell, ["tp", "setup"]).select(*met.columns, *[F.col(f"{c}_b").alias(c) for c in ("ox", "oy", "oz", "sx", "sy", "sz", "dtype", "payload")])
-    keys = {"gx": "int", "gy": "int", "gz": "int", **{f"w{x}{i}": "long" for x in "xyz" for i in (0, 1)}, "tp": "int", "setup": "long", "m": "array<double>", "nx": "long", "ny": "long", "nz": "long"}
+    keys = {"t_index": "int", "c_index": "int", "gx": "int", "gy": "int", "gz": "int", **{f"w{x}{i}": "long" for x in "xyz" for i in (0, 1)}, "tp": "int", "setup": "long", "m": "array<double>", "nx": "long", "ny": "long", "nz": "long"}
     cast = pieces.select(*[F.col(c).cast(k) for c, k in keys.items()], *[f"c{x}{i}" for x in "xyz" for i in (0, 1)], "ox", "oy", "oz", "sx", "sy", "sz", "dtype", "payload")
-    lists = points.groupBy("setup").agg(F.sort_array(F.collect_list(F.array(*[F.col(c).cast("double") for c in ("x", "y", "z", "cx", "cy", "cz")]))).alias("pts"))
-    parts = _parts(cast, keys).join(lists, "setup", "left")
+    of_view = spatial.view_key(points)
+    lists = points.groupBy(*of_view).agg(F.sort_array(F.collect_list(F.array(*[F.col(c).cast("double") for c in ("x", "y", "z", "cx", "cy", "cz")]))).alias("pts"))
+    parts = _parts(cast, keys).join(lists, of_view, "left")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         first = pdf.iloc[0]
@@ -337,7 +408,7 @@ def fuse_nonrigid(blocks: DataFrame, views: DataFrame, chunks: DataFrame, points
         if full:
             out = np.clip((out - low) / (high - low), 0, 1) * full
         shape = [q - p + 1 for p, q in zip(w0, w1, strict=True)]
-        return pd.DataFrame([(0, 0, 0, *key, *w0, *shape, dtype, ch.encode(out, dtype))], columns=["t_index", "c_index", *ch.NAMES[2:]])
+        return pd.DataFrame([(*key[:2], 0, *key[2:], *w0, *shape, dtype, ch.encode(out, dtype))], columns=["t_index", "c_index", *ch.NAMES[2:]])
 
     schema = ch.SCHEMA.replace("tp int, setup long", "t_index int, c_index int")
-    return parts.groupBy("gx", "gy", "gz").applyInPandas(run, schema)
+    return parts.groupBy(*volume, "gx", "gy", "gz").applyInPandas(run, schema)

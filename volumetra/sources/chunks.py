@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import gzip
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from volumetra.functions import options
+from volumetra.operators.graph import stored
 
 KEY = ["tp", "setup", "level", "gx", "gy", "gz"]
 SCHEMA = "tp int, setup long, level int, gx int, gy int, gz int, ox long, oy long, oz long, sx long, sy long, sz long, dtype string, payload binary"
@@ -142,15 +143,23 @@ def _regrouped(chunks: DataFrame, block, factors) -> DataFrame:
     return chunks.select(*NAMES).mapInPandas(cut, SCHEMA).groupBy(*KEY).applyInPandas(join, SCHEMA)
 
 
-def pyramid(chunks: DataFrame, relative: list[tuple[int, int, int]], block=(64, 64, 64)) -> DataFrame:
-    """All levels; ``relative`` holds each level's factors against the one before, the first is full resolution."""
-    out = level = chunks
+def pyramid(chunks: DataFrame, relative: list[tuple[int, int, int]], block=(64, 64, 64), store: Callable[[DataFrame], DataFrame] = stored) -> DataFrame:
+    """All levels; ``relative`` holds each level's factors against the one before, the first is full resolution. Each level is
+    written by ``store`` and the next one made of what it reads back."""
+    out = level = store(chunks)
     for f in relative[1:]:
-        level = downsampled(level, f, block)
+        level = store(downsampled(level, f, block))
         out = out.unionByName(level)
     return out
 
 
+def write_pyramid(chunks: DataFrame, path: str, relative: list[tuple[int, int, int]], block=(64, 64, 64), codec: str = "zstandard") -> None:
+    """All levels at ``path``, each made of the stored one before."""
+    write(chunks, path, codec, "append")
+    for i, f in enumerate(relative[1:]):
+        write(downsampled(read(chunks.sparkSession, path, i), f, block), path, codec, "append")
+
+
 def to_voxels(chunks: DataFrame) -> DataFrame:
     """One row per voxel: (tp, setup, level, x, y, z, v)."""
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,7 +52,9 @@ def read(spark: SparkSession, path: str) -> dict:
     """The properties; an error with a hint if there is no container."""
     try:
         rows = spark.read.schema("key string, value string").json(f"{path.rstrip('/')}/properties").collect()
-    except Exception as e:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         raise FileNotFoundError(f"no fusion container at {path}; create one first") from e
     return {r["key"]: json.loads(r["value"]) for r in rows}
 

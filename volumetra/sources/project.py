@@ -22,8 +22,8 @@ SCHEMAS = {
     "points": "tp int, setup long, label string, id long, x double, y double, z double, intensity double",
     "correspondences": "tp_a int, setup_a long, label_a string, id_a long, tp_b int, setup_b long, label_b string, id_b long",
     "links": "tp int, setup long, tp_b int, setup_b long, dx double, dy double, dz double, r double, reg_hash long",
-    "intensity_matches": "setup long, setup_b long, cx long, cy long, cz long, cx_b long, cy_b long, cz_b long, scale double, offset double, n long",
-    "coefficients": "setup long, cx int, cy int, cz int, scale double, offset double",
+    "intensity_matches": "tp int, setup long, tp_b int, setup_b long, cx long, cy long, cz long, cx_b long, cy_b long, cz_b long, scale double, offset double, n long",
+    "coefficients": "tp int, setup long, cx int, cy int, cz int, scale double, offset double",
     "boxes": "title string, seq int, x0 long, x1 long, y0 long, y1 long, z0 long, z1 long",
     "properties": "key string, value string",
 }
