@@ -23,10 +23,10 @@ def rows(columns, data):
     return sorted(tuple(repr(r[i]) for i in order) for r in data)
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.SQL))
+@pytest.mark.parametrize("name", sorted(catalogue.SQL | jobs.SQL))
 def test_same_rows_as_sql(spark, duck, name):
-    df = catalogue.QUERIES[name](spark, SF)
-    want = duck.execute(catalogue.SQL[name])
+    df = (catalogue.QUERIES | jobs.QUERIES)[name](spark, SF)
+    want = duck.execute((catalogue.SQL | jobs.SQL)[name])
     columns = [d[0] for d in want.description]
     assert sorted(columns) == sorted(df.columns)
     assert rows(df.columns, df.collect()) == rows(columns, want.fetchall())
@@ -37,6 +37,12 @@ def test_range_joins_are_equi_joins(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+@pytest.mark.parametrize("name", sorted(catalogue.QUERIES | jobs.QUERIES))
+def test_no_query_plans_a_nested_loop(spark, name):
+    plan = (catalogue.QUERIES | jobs.QUERIES)[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 @pytest.mark.parametrize("name", ["detect_dog", "stitch_phase", "match_ransac", "match_icp", "merge_points", "solve_global", "fuse_affine_blocks", "resave_pyramid"])
 def test_kernel_queries_run(spark, name):
     assert jobs.QUERIES[name](spark, "/root/testdata/sf0.01").count() > 0

@@ -616,7 +616,7 @@ def residual_downsampling(spark: SparkSession, d: str) -> DataFrame:
     return _levels(spark, d).filter("level <= 2").select("setup", "level", *pyramid.residual_factors((4, 4, 4)))
 
 
-@query("SELECT 16::BIGINT AS sx, 16::BIGINT AS sy, 16::BIGINT AS sz")
+@query("SELECT " + ", ".join(f"list_reduce(array_agg(DISTINCT f{x}::BIGINT), lambda a, b: lcm(a, b)) AS s{x}" for x in "xyz") + " FROM LV", fx.V, _LV)
 def minimal_step(spark: SparkSession, d: str) -> DataFrame:
     return pyramid.common_step(_levels(spark, d))
 

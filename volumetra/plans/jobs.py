@@ -1,4 +1,5 @@
-"""Queries whose kernels SQL cannot express, on the fixtures: they return rows, and tests hold the kernels against known truth."""
+"""Queries with numpy kernels on the fixtures. Those with a whole-number form have SQL; of the others tests hold the kernels
+against known truth."""
 
 from __future__ import annotations
 
@@ -18,11 +19,30 @@ QUERIES: dict[str, Query] = {}
 PAIR_TASKS = 96
 
 
-def job(f: Query) -> Query:
+SQL: dict[str, str] = {}
+
+
+def job(f: Query | None = None, sql: str = "") -> Query:
+    if f is None:
+        return lambda g: job(g, sql)
     QUERIES[f.__name__] = f
+    if sql:
+        SQL[f.__name__] = sql
     return f
 
 
+#: The images of ``_images``: every voxel of the four views, 0 where X has none.
+_FULL = f"""WITH {fx.X},
+I AS (SELECT s.setup, gx.x, gy.y, gz.z, coalesce(X.v, 0)::DOUBLE AS v FROM (SELECT unnest(range(4)) AS setup) s, (SELECT unnest(range(64)) AS x) gx,
+  (SELECT unnest(range(64)) AS y) gy, (SELECT unnest(range(8)) AS z) gz LEFT JOIN X ON X.setup = s.setup AND X.x = gx.x AND X.y = gy.y AND X.z = gz.z)
+"""
+
+
+def _non_zero(chunks: DataFrame) -> DataFrame:
+    """(level, x, y, z, v) of the voxels that are not 0."""
+    return ch.to_voxels(chunks.withColumnsRenamed({"t_index": "tp", "c_index": "setup"})).filter("v <> 0")
+
+
 def _images(spark: SparkSession, d: str) -> DataFrame:
     return ch.from_voxels(fx.voxels(spark, d), (32, 32, 8))
 
@@ -123,14 +143,21 @@ def solve_intensity(spark: SparkSession, d: str) -> DataFrame:
     return registration.solve_intensities(m, 0.1, 200)
 
 
-@job
+@job(
+    sql=_FULL
+    + """, W AS (SELECT x + 40 * setup AS x, y + 30 * setup AS y, z, v, (1 - cos(pi() * least(1.0, (least(x, 63 - x) + 1) / 40.0))) / 2
+  * (1 - cos(pi() * least(1.0, (least(y, 63 - y) + 1) / 40.0))) / 2 * (1 - cos(pi() * least(1.0, (least(z, 7 - z) + 1) / 40.0))) / 2 AS b FROM I),
+B AS (SELECT x, y, z, floor(least(1.0, greatest(0.0, sum(b * v) / sum(b) / 400.0)) * 65535 + 0.5) AS v FROM W GROUP BY x, y, z)
+SELECT x, y, z, v FROM B WHERE v <> 0"""
+)
 def fuse_affine_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return registration.fuse_views(_blocks(spark), _places(spark, d), _images(spark, d), "AVG_BLEND", "UINT16", 0.0, 400.0)
+    fused = registration.fuse_views(_blocks(spark), _places(spark, d), _images(spark, d), "AVG_BLEND", "UINT16", 0.0, 400.0)
+    return _non_zero(fused).select("x", "y", "z", "v")
 
 
-@job
+@job(sql="SELECT DISTINCT x + 40 * s AS x, y + 30 * s AS y, z, 255.0::DOUBLE AS v FROM (SELECT unnest(range(4)) AS s), (SELECT unnest(range(64)) AS x), (SELECT unnest(range(64)) AS y), (SELECT unnest(range(8)) AS z)")
 def fuse_masks(spark: SparkSession, d: str) -> DataFrame:
-    return registration.fuse_views(_blocks(spark), _places(spark, d), _images(spark, d), dtype="UINT8", masks=True)
+    return _non_zero(registration.fuse_views(_blocks(spark), _places(spark, d), _images(spark, d), dtype="UINT8", masks=True)).select("x", "y", "z", "v")
 
 
 @job
@@ -140,9 +167,14 @@ def fuse_nonrigid(spark: SparkSession, d: str) -> DataFrame:
     return registration.fuse_nonrigid(_blocks(spark), _places(spark, d), _images(spark, d), p, spacing=16.0)
 
 
-@job
+@job(
+    sql=f"""WITH {fx.X}, L1 AS (SELECT setup, x // 2 AS x, y // 2 AS y, z, sum(v) / 4.0 AS v FROM X GROUP BY ALL),
+L2 AS (SELECT setup, x // 2 AS x, y // 2 AS y, z // 2 AS z, sum(v) / 8.0 AS v FROM L1 GROUP BY ALL)
+SELECT setup, 0 AS level, x, y, z, v::DOUBLE AS v FROM X UNION ALL SELECT setup, 1, x, y, z, v::DOUBLE FROM L1 UNION ALL SELECT setup, 2, x, y, z, v::DOUBLE FROM L2"""
+)
 def resave_pyramid(spark: SparkSession, d: str) -> DataFrame:
-    return ch.pyramid(ch.rechunked(_images(spark, d), (48, 48, 8)), [(1, 1, 1), (2, 2, 1), (2, 2, 2)], (32, 32, 8))
+    all_levels = ch.pyramid(ch.rechunked(_images(spark, d), (48, 48, 8)), [(1, 1, 1), (2, 2, 1), (2, 2, 2)], (32, 32, 8))
+    return _non_zero(all_levels).select("setup", "level", "x", "y", "z", "v")
 
 
 @job
@@ -157,8 +189,48 @@ def split_with_points(spark: SparkSession, d: str) -> DataFrame:
     return blocks.synthetic_points(pairs, high=30)
 
 
-@job
+@job(sql=f"WITH {fx.V} SELECT setup, l AS level, (2 ** l)::DOUBLE AS sx, ((2 ** l) - 1) / 2.0::DOUBLE AS ox, (2 ** greatest(0, l - 1))::DOUBLE AS sz, ((2 ** greatest(0, l - 1)) - 1) / 2.0::DOUBLE AS oz FROM V, (SELECT unnest(range(3)) AS l)")
 def level_maps(spark: SparkSession, d: str) -> DataFrame:
-    """Maps from each pyramid level to full resolution."""
-    rows = [(i, pyramid.mipmap(f)) for i, f in enumerate([(1, 1, 1), (2, 2, 1), (4, 4, 2)])]
-    return spark.createDataFrame(rows, "level int, m array<double>")
+    """Maps from each pyramid level of every view to full resolution: steps and origins along x and z."""
+    maps = F.array(*[F.struct(F.lit(i).cast("long").alias("level"), g.affine(pyramid.mipmap(f)).alias("m")) for i, f in enumerate([(1, 1, 1), (2, 2, 1), (4, 4, 2)])])
+    v = fx.views(spark, d).select("setup", F.explode(maps).alias("l")).select("setup", "l.*")
+    return v.select("setup", "level", *[F.col("m")[i].alias(n) for n, i in (("sx", 0), ("ox", 3), ("sz", 10), ("oz", 11))])
+
+
+def _cloud(spark: SparkSession, d: str, turned: bool) -> DataFrame:
+    """The suppliers as points of view 0, and again in view 1: moved by (300, -200, 50), or turned by a right angle about z first."""
+    k = F.col("s_suppkey")
+    p = spark.read.parquet(f"{d}/supplier.parquet").select(k.alias("id"), ((k * k * 31 + k * 17) % 1009).alias("x"), ((k * k * 57 + k * 91) % 997).alias("y"), ((k * k * 13 + k * 5) % 499).alias("z"))
+    x, y = (-F.col("y"), F.col("x")) if turned else (F.col("x"), F.col("y"))
+    q = p.select(F.lit(1).cast("long").alias("setup"), "id", (x + 300).alias("x"), (y - 200).alias("y"), (F.col("z") + 50).alias("z"))
+    return p.select(F.lit(0).cast("long").alias("setup"), "id", "x", "y", "z").unionByName(q)
+
+
+_SAME = "SELECT s_suppkey AS id, s_suppkey AS id_b FROM supplier"
+
+
+@job(sql=_SAME)
+def match_turned_copy(spark: SparkSession, d: str) -> DataFrame:
+    """Geometric hashing of a cloud and its turned copy finds every point."""
+    found = registration.match_points(_pairs(spark).filter("setup_b = 1"), _cloud(spark, d, True), "FAST_ROTATION", significance=1.5, model="RIGID", min_inliers=5, iterations=500, max_error=0.5)
+    return found.select("id", "id_b")
+
+
+@job(sql=_SAME)
+def match_moved_copy(spark: SparkSession, d: str) -> DataFrame:
+    found = registration.match_points(_pairs(spark).filter("setup_b = 1"), _cloud(spark, d, False), "FAST_TRANSLATION", significance=1.5, model="TRANSLATION", min_inliers=5, iterations=500, max_error=0.5)
+    return found.select("id", "id_b")
+
+
+@job(sql="SELECT t AS tp, t AS tp_b, 0 AS setup, 1 AS setup_b, CASE t WHEN 0 THEN 1.0 ELSE -1.0 END * ((SELECT count(*) FROM lineitem) % 5 + 1) AS dx, 0.0 AS dy FROM (SELECT unnest(range(2)) AS t)")
+def stitch_two_timepoints(spark: SparkSession, d: str) -> DataFrame:
+    """One image seen twice, the second time moved by whole voxels, to the right at timepoint 0 and to the left at timepoint 1."""
+    n = spark.read.parquet(f"{d}/lineitem.parquet").count() % 5 + 1
+    all_views = fx.voxels(spark, d).groupBy("x", "y", "z").agg(F.sum("v").alias("v"))
+    seen = F.array(*[F.struct(F.lit(t).alias("tp"), F.lit(s).cast("long").alias("setup"), F.lit(m).alias("m")) for t, s, m in ((0, 0, 0), (0, 1, -n), (1, 0, 0), (1, 1, n))])
+    v = all_views.withColumn("s", F.explode(seen)).select("s.tp", "s.setup", (F.col("x") + F.col("s.m")).alias("x"), "y", "z", "v").filter("x between 0 and 63")
+    chunks = ch.from_voxels(v, (32, 32, 8))
+    box = {f"i{x}{i}": F.lit((0, top)[i]).cast("long") for x, top in zip("xyz", (63, 63, 7), strict=True) for i in (0, 1)}
+    pairs = spark.range(2).select(F.col("id").cast("int").alias("tp"), F.lit(0).cast("long").alias("setup"), F.col("id").cast("int").alias("tp_b"), F.lit(1).cast("long").alias("setup_b"), *[c.alias(k) for k, c in box.items()], *[F.lit(0).alias(f"t{x}{s}") for x in "xyz" for s in ("", "_b")])
+    found = registration.stitch_pairs(pairs, chunks, subpixel=False)
+    return found.select("tp", "tp_b", "setup", "setup_b", F.round("dx").alias("dx"), F.abs(F.round("dy")).alias("dy"))

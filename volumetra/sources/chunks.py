@@ -53,19 +53,21 @@ def from_arrays(spark: SparkSession, arrays: dict[tuple[int, int], np.ndarray],
 
 
 def from_voxels(voxels: DataFrame, block=(32, 32, 8), dtype: str = "FLOAT32") -> DataFrame:
-    """Chunks of sparse voxels (setup, x, y, z, v); cells without voxel are 0, chunks without voxel are missing."""
-    cells = voxels.select(F.col("setup").cast("long").alias("setup"), "x", "y", "z", F.col("v").cast("double").alias("v"))
+    """Chunks of sparse voxels (tp if there is one, setup, x, y, z, v); cells without voxel are 0, chunks without voxel are
+    missing."""
+    tp = F.col("tp").cast("int") if "tp" in voxels.columns else F.lit(0)
+    cells = voxels.select(tp.alias("tp"), F.col("setup").cast("long").alias("setup"), "x", "y", "z", F.col("v").cast("double").alias("v"))
     cells = cells.withColumns({f"g{x}": F.floor(F.col(x) / b).cast("int") for x, b in zip("xyz", block, strict=True)})
 
     def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        setup, *g = key
+        tp, setup, *g = key
         lo = [int(i) * b for i, b in zip(g, block, strict=True)]
         a = np.zeros(block)
         at = tuple((pdf[x] - o).to_numpy(int) for x, o in zip("xyz", lo, strict=True))
         a[at] = pdf["v"].to_numpy()
-        return pd.DataFrame([(0, setup, 0, *g, *lo, *block, dtype, encode(a, dtype))], columns=NAMES)
+        return pd.DataFrame([(tp, setup, 0, *g, *lo, *block, dtype, encode(a, dtype))], columns=NAMES)
 
-    return cells.groupBy("setup", "gx", "gy", "gz").applyInPandas(build, SCHEMA)
+    return cells.groupBy("tp", "setup", "gx", "gy", "gz").applyInPandas(build, SCHEMA)
 
 
 def boxes(chunks: DataFrame) -> DataFrame:
