@@ -38,10 +38,12 @@ def _spread(parts: Iterator[pd.DataFrame], wanted: list[str]) -> Iterator[pd.Dat
 PART = "px long, py long, pz long, mx long, my long, mz long, dtype string, payload binary"
 
 
-def _assemble(pdf: pd.DataFrame) -> tuple[np.ndarray, list[int]]:
-    """The array made of the parts, and where it starts; voxels of missing chunks are 0."""
-    lo = [int(pdf[f"p{x}"].min()) for x in "xyz"]
-    hi = [int((pdf[f"p{x}"] + pdf[f"m{x}"]).max()) for x in "xyz"]
+def _assemble(pdf: pd.DataFrame, within: tuple[list[int], list[int]] | None = None) -> tuple[np.ndarray, list[int]]:
+    """The array made of the parts, and where it starts; voxels of missing chunks are 0. ``within`` gives its first and last
+    voxels, else it holds just the parts; rows without payload are no parts."""
+    pdf = pdf[pdf["payload"].notna()].astype({f"{c}{x}": "int64" for c in "pm" for x in "xyz"})
+    lo = within[0] if within else [int(pdf[f"p{x}"].min()) for x in "xyz"]
+    hi = [v + 1 for v in within[1]] if within else [int((pdf[f"p{x}"] + pdf[f"m{x}"]).max()) for x in "xyz"]
     a = np.zeros([h - o for h, o in zip(hi, lo, strict=True)])
     for r in pdf.itertuples(index=False):
         at = tuple(slice(p - o, p - o + m) for p, o, m in zip((r.px, r.py, r.pz), lo, (r.mx, r.my, r.mz), strict=True))
@@ -49,6 +51,17 @@ def _assemble(pdf: pd.DataFrame) -> tuple[np.ndarray, list[int]]:
     return a, lo
 
 
+def _needed(r) -> tuple[list[int], list[int]]:
+    """First and last voxels of an image (nx, ny, nz) in the box c{x}0..c{x}1."""
+    return [max(0, int(r[f"c{x}0"])) for x in "xyz"], [min(int(r[f"n{x}"]) - 1, int(r[f"c{x}1"])) for x in "xyz"]
+
+
+def _with_empty(parts: DataFrame, met: DataFrame, keys: dict[str, str]) -> DataFrame:
+    """The parts and a row without payload for every block and view, so that a view counts where its chunks are missing."""
+    none = {n: k for n, k in (x.split() for x in PART.split(", "))}
+    return parts.unionByName(met.select(*[F.col(c).cast(k) for c, k in keys.items()], *[F.lit(None).cast(k).alias(n) for n, k in none.items()]))
+
+
 def _parts(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
     kinds = ", ".join(f"{k} {v}" for k, v in wanted.items())
     return df.mapInPandas(lambda p: _spread(p, list(wanted)), f"{kinds}, {PART}")
@@ -290,9 +303,9 @@ def fuse_views(blocks: DataFrame, views: DataFrame, chunks: DataFrame, strategy:
     in_image = met.select(*met.columns, *[F.col(f"c{x}{i}").alias(f"{x}{i}") for x in "xyz" for i in (0, 1)])
     boxed = ch.boxes(chunks).select("tp", "setup", "ox", "oy", "oz", "sx", "sy", "sz", "dtype", "payload", *[f"{x}{i}" for x in "xyz" for i in (0, 1)])
     pieces = spatial.box_join(in_image, boxed, cell, ["tp", "setup"]).select(*met.columns, *[F.col(f"{c}_b").alias(c) for c in ("ox", "oy", "oz", "sx", "sy", "sz", "dtype", "payload")])
-    keys = {"t_index": "int", "c_index": "int", "gx": "int", "gy": "int", "gz": "int", **{f"w{x}{i}": "long" for x in "xyz" for i in (0, 1)}, "tp": "int", "setup": "long", "back": "array<double>", "nx": "long", "ny": "long", "nz": "long"}
-    cast = pieces.select(*[F.col(c).cast(k) for c, k in keys.items()], *[f"c{x}{i}" for x in "xyz" for i in (0, 1)], "ox", "oy", "oz", "sx", "sy", "sz", "dtype", "payload")
-    parts = _parts(cast, keys)
+    keys = {"t_index": "int", "c_index": "int", "gx": "int", "gy": "int", "gz": "int", **{f"w{x}{i}": "long" for x in "xyz" for i in (0, 1)}, "tp": "int", "setup": "long", "back": "array<double>", "nx": "long", "ny": "long", "nz": "long", **{f"c{x}{i}": "long" for x in "xyz" for i in (0, 1)}}
+    cast = pieces.select(*[F.col(c).cast(k) for c, k in keys.items()], "ox", "oy", "oz", "sx", "sy", "sz", "dtype", "payload")
+    parts = _with_empty(_parts(cast, keys), met, keys)
     correct = coefficients is not None
     if correct:
         of_view = spatial.view_key(coefficients)
@@ -320,7 +333,7 @@ def fuse_views(blocks: DataFrame, views: DataFrame, chunks: DataFrame, strategy:
             inside = ((p >= -1e-9) & (p <= top + 1e-9)).all(axis=1)
             if not inside.any():
                 continue
-            a, lo = _assemble(own)
+            a, lo = _assemble(own, _needed(r))
             value = np.zeros(len(at))
             value[inside] = detection.sample(a, p[inside] - lo)
             if correct and r["correction"] is not None:
@@ -382,11 +395,11 @@ def fuse_nonrigid(blocks: DataFrame, views: DataFrame, chunks: DataFrame, points
     in_image = met.select(*met.columns, *[F.col(f"c{x}{i}").alias(f"{x}{i}") for x in "xyz" for i in (0, 1)])
     boxed = ch.boxes(chunks).select("tp", "setup", "ox", "oy", "oz", "sx", "sy", "sz", "dtype", "payload", *[f"{x}{i}" for x in "xyz" for i in (0, 1)])
     pieces = spatial.box_join(in_image, boxed, cell, ["tp", "setup"]).select(*met.columns, *[F.col(f"{c}_b").alias(c) for c in ("ox", "oy", "oz", "sx", "sy", "sz", "dtype", "payload")])
-    keys = {"t_index": "int", "c_index": "int", "gx": "int", "gy": "int", "gz": "int", **{f"w{x}{i}": "long" for x in "xyz" for i in (0, 1)}, "tp": "int", "setup": "long", "m": "array<double>", "nx": "long", "ny": "long", "nz": "long"}
-    cast = pieces.select(*[F.col(c).cast(k) for c, k in keys.items()], *[f"c{x}{i}" for x in "xyz" for i in (0, 1)], "ox", "oy", "oz", "sx", "sy", "sz", "dtype", "payload")
+    keys = {"t_index": "int", "c_index": "int", "gx": "int", "gy": "int", "gz": "int", **{f"w{x}{i}": "long" for x in "xyz" for i in (0, 1)}, "tp": "int", "setup": "long", "m": "array<double>", "nx": "long", "ny": "long", "nz": "long", **{f"c{x}{i}": "long" for x in "xyz" for i in (0, 1)}}
+    cast = pieces.select(*[F.col(c).cast(k) for c, k in keys.items()], "ox", "oy", "oz", "sx", "sy", "sz", "dtype", "payload")
     of_view = spatial.view_key(points)
     lists = points.groupBy(*of_view).agg(F.sort_array(F.collect_list(F.array(*[F.col(c).cast("double") for c in ("x", "y", "z", "cx", "cy", "cz")]))).alias("pts"))
-    parts = _parts(cast, keys).join(lists, of_view, "left")
+    parts = _with_empty(_parts(cast, keys), met, keys).join(lists, of_view, "left")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         first = pdf.iloc[0]
@@ -394,7 +407,10 @@ def fuse_nonrigid(blocks: DataFrame, views: DataFrame, chunks: DataFrame, points
         images = []
         for _, own in sorted(pdf.groupby(["tp", "setup"]), key=lambda x: x[0]):
             r = own.iloc[0]
-            a, start = _assemble(own)
+            lowest, highest = _needed(r)
+            if any(q < p for p, q in zip(lowest, highest, strict=True)):
+                continue
+            a, start = _assemble(own, (lowest, highest))
             m = np.array(r["m"], float).reshape(3, 4)
             inverse = np.column_stack([np.linalg.inv(m[:, :3]), -np.linalg.inv(m[:, :3]) @ m[:, 3]])
             pts = np.array([list(p) for p in r["pts"]], float) if r["pts"] is not None else np.zeros((0, 6))
@@ -403,6 +419,8 @@ def fuse_nonrigid(blocks: DataFrame, views: DataFrame, chunks: DataFrame, points
             if not len(pts):  # no deformation known: the view's map alone
                 mine = common = models.apply(m, corner)
             images.append({"array": a, "own": models.apply(inverse, mine) - start, "common": common})
+        if not images:
+            return pd.DataFrame([], columns=["t_index", "c_index", *ch.NAMES[2:]])
         out = deformation.fuse_block(images, w0, w1, spacing, alpha)
         full = {"UINT8": 255, "UINT16": 65535}.get(dtype)
         if full:

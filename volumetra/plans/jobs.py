@@ -222,7 +222,7 @@ def match_moved_copy(spark: SparkSession, d: str) -> DataFrame:
     return found.select("id", "id_b")
 
 
-@job(sql="SELECT t AS tp, t AS tp_b, 0 AS setup, 1 AS setup_b, CASE t WHEN 0 THEN 1.0 ELSE -1.0 END * ((SELECT count(*) FROM lineitem) % 5 + 1) AS dx, 0.0 AS dy FROM (SELECT unnest(range(2)) AS t)")
+@job(sql="SELECT t AS tp, t AS tp_b, 0 AS setup, 1 AS setup_b, (CASE t WHEN 0 THEN 1.0 ELSE -1.0 END)::DOUBLE * ((SELECT count(*) FROM lineitem) % 5 + 1)::DOUBLE AS dx, 0.0::DOUBLE AS dy FROM (SELECT unnest(range(2)) AS t)")
 def stitch_two_timepoints(spark: SparkSession, d: str) -> DataFrame:
     """One image seen twice, the second time moved by whole voxels, to the right at timepoint 0 and to the left at timepoint 1."""
     n = spark.read.parquet(f"{d}/lineitem.parquet").count() % 5 + 1
