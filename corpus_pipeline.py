@@ -7,6 +7,8 @@ of documents. Tables that a stage has written for itself are deleted when the ne
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,23 @@ from volumetra.llm.tokencount import vocabulary
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 BROADCAST_IDS = 500_000
+#: Tables of the stage that ran last, and stage outputs that its result may still be read from.
+_TABLES: list[str] = []
+_OUTPUTS: list[str] = []
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def stage(f: Stage) -> Stage:
+    """A stage sees the columns of documents; when it begins, what the stage before it wrote for itself is deleted."""
+
+    @wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        scratch.clear(spark, _TABLES)
+        with scratch.scope(_TABLES):
+            return f(spark, docs.select(*COLUMNS), sf_dir)
+
+    return run
 
 
 def _with_text(df: DataFrame, text: str) -> DataFrame:
@@ -23,26 +42,23 @@ def _with_text(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("text", F.col(text)).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
+@stage
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier: documents go whose probability of label 1 is below one half."""
-    scratch.clear(spark)
-    docs = docs.select(*COLUMNS)
     pooler, network = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.score(docs, pooler, network).filter("score >= 0.5").select(*COLUMNS)
 
 
+@stage
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line dedup: lines that three documents hold stay in the one with the largest id; a document left without lines goes."""
-    scratch.clear(spark)
-    docs = docs.select(*COLUMNS)
     marked = linededup.with_kept_lines(docs)
     return _with_text(marked.filter("n_dropped < n_lines"), "kept")
 
 
+@stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram join: of each class of linked documents the one with the smallest id stays; where ids repeat, rows are documents."""
-    scratch.clear(spark)
-    docs = docs.select(*COLUMNS)
     key = "doc_id"
     if ngramjoin.ids_repeat(docs):
         key, docs = "row", ngramjoin.with_rows(docs)
@@ -55,13 +71,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return docs.join(gone.withColumnRenamed(key, "gone"), F.col(key).eqNullSafe(F.col("gone")), "left_anti").select(*COLUMNS)
 
 
+@stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing: one row for each whole repetition of a document, and one with its first words for a part."""
-    scratch.clear(spark)
-    docs = docs.select(*COLUMNS)
     return _with_text(mixing.repeated(docs), "mixed")
 
 
+@stage
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packing: pieces of token sequences."""
     scratch.clear(spark)
@@ -81,13 +97,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; between stages the rows lie in the shared folder."""
+    """All stages over documents; between stages the rows lie in the shared folder, until the stage after the next begins (the
+    last ones until the next run)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
     folder = f"{scratch.root(spark)}/pipeline-{uuid.uuid4().hex}"
-    for i, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
+    scratch.clear(spark, _OUTPUTS)
+    for i, (_, function) in enumerate(STAGES):
+        out = function(spark, docs, sf_dir)
         if i + 1 == len(STAGES):
             return out
         out.write.parquet(f"{folder}/{i}")
+        scratch.clear(spark, _OUTPUTS)
+        _OUTPUTS.append(f"{folder}/{i}")
         docs = spark.read.schema(out.schema).parquet(f"{folder}/{i}")
     return docs

@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import math
 import random
 import re
 import zlib
@@ -261,6 +262,9 @@ def test_token_counts_equal_the_library(spark):
     rows = [(i, t, "s") for i, t in enumerate([None, *texts[:20]])]
     got = {r.doc_id: r.n_tokens for r in tokencount.with_token_counts(table(spark, rows), path).collect()}
     assert got == {i: len(library.encode(t or "", add_special_tokens=False).ids) for i, t, _ in rows}
+    for r in tokencount.query(spark, "/root/testdata/sf0.001").join(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text"), "doc_id").collect():
+        n = len(library.encode(r.text, add_special_tokens=False).ids)
+        assert (r.n_tokens, r.n_bytes, r.over_limit) == (n, len(r.text.encode()), n > 1024)
     assert tokencount.with_token_counts(table(spark, rows).limit(0), path).count() == 0
 
 
@@ -282,6 +286,13 @@ def test_quality_odd_tables(spark):
     assert len(got) == 6 and all(r.score is not None and not np.isnan(r.score) for r in got)
     assert {r.score for r in quality.classify(docs, labels.limit(0)).collect()} == {0.5}
     assert quality.classify(docs.limit(0), labels).count() == 0
+    # The pooled features of one text, plainly: the mean of its words' vectors, the share of distinct words, their log number.
+    words = ["ab", "cd"]
+    pooler = quality.Pooler(words, np.arange((2 + 24) * 3, dtype=float).reshape(26, 3))
+    text = "ab cd ab zz9 !"
+    found = ["ab", "cd", "ab", "zz", "9", "!"]
+    want = np.mean([pooler.vectors[words.index(w) if w in words else 2 + quality.shape(w)] for w in found], axis=0)
+    assert np.allclose(pooler.pool([text, ""]), [[*want, 5 / 6, math.log1p(6) / 10], [0] * 5])
     a, b = (sorted((r.doc_id or -1, r.score) for r in quality.classify(docs, labels).collect()) for _ in range(2))
     assert a == b
 
@@ -312,3 +323,45 @@ def test_pipeline_stages(spark, tmp_path):
             assert tuple(docs.columns) == cp.COLUMNS and docs.count() > 0.5 * before
     assert docs.agg(F.sum("length")).first()[0] > 0
     assert scratch.clear(spark) >= 0
+
+
+ODD_ROWS = [(1, None, None), (None, "", "s"), (None, "kept words of a row without id", None), (2, "one two three four five six", "s"), (2, "one two three four five six", "s"), (3, "x " * 20_000, "s"), (4, " \n\t", "t"), (5, "# " * 40, "t"), (6, "é" * 30_000, "t")]
+
+
+@pytest.mark.parametrize("place", range(5))
+def test_pipeline_stages_on_odd_tables(spark, place):
+    """Null ids, texts and sources, empty and long texts, repeated rows, further columns with clashing names; no rows."""
+    import corpus_pipeline as cp
+
+    names = "lang string, n_chars long, kept string, mixed string, row long, c long, class_id long, score double, h int, t int, runs int, gone int, size int"
+    docs = spark.createDataFrame([(*r, "en", 1, "k", "m", 7, 7, 7, 0.5, 1, 1, 1, 1, 1) for r in ODD_ROWS], f"doc_id long, text string, source string, {names}")
+    name, stage = cp.STAGES[place]
+    for table_ in (docs, docs.limit(0)):
+        out = stage(spark, table_, "/root/testdata/sf0.001")
+        rows = out.collect()
+        if place < 4:
+            assert tuple(out.columns) == cp.COLUMNS
+        if table_ is not docs:
+            assert rows == []
+    rows = stage(spark, docs, "/root/testdata/sf0.001").collect()
+    texts = Counter((r.doc_id, r.text) for r in rows) if place < 4 else None
+    given = Counter((i, t) for i, t, _ in ODD_ROWS)
+    if name == "quality classifier":
+        assert all(given[k] >= n for k, n in texts.items())
+    elif name == "line dedup":
+        assert texts == Counter({k if k[1] is not None else (k[0], ""): n for k, n in given.items()}) or set(texts) <= {(i, t or "") for i, t in given}
+    elif name == "n-gram join":
+        assert texts == Counter(set(given))
+    elif name == "mix sources":
+        assert sum(len(t.split()) for (_, t), n in texts.items() for _ in range(n)) == pytest.approx(sum(brute_targets(Counter({s: sum(len((t or "").split()) for _, t, z in ODD_ROWS if z == s) for s in ("s", "t", None)})).values()), abs=3)
+    else:
+        assert sum(r.length for r in rows if r.doc_id == 2) == 2 * 7 and {r.doc_id for r in rows} == {i for i, _, _ in ODD_ROWS}
+
+
+def test_scopes_delete_their_own_tables(spark):
+    mine: list[str] = []
+    outer = scratch.table(spark.range(3), "outer")
+    with scratch.scope(mine):
+        inner = scratch.table(spark.range(4), "inner")
+    assert inner.count() == 4 and scratch.clear(spark, mine) == 1 and not mine
+    assert outer.count() == 3

@@ -193,34 +193,26 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN, label_col: st
     return pooler, Network(x, y, pooled["aside"].to_numpy(bool))
 
 
-def score(docs: DataFrame, pooler: Pooler, network: Network | Constant, text_col: str = "text", out_col: str = "score") -> DataFrame:
-    """``docs`` with ``out_col``, the probability of label 1."""
+def score(docs: DataFrame, pooler: Pooler, network: Network | Constant, text_col: str = "text", out_col: str = "score", keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with ``out_col``, the probability of label 1."""
     model = docs.sparkSession.sparkContext.broadcast((pooler, network))
-    names = [c for c in docs.columns if c != out_col]
-    at = names.index(text_col)
+    kept = [c for c in (docs.columns if keep is None else keep) if c != out_col]
+    names = [*kept, *({text_col} - set(kept))]
+    at, places = names.index(text_col), [names.index(c) for c in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pooler, network = model.value
         for batch in batches:
             x = pooler.pool([t or "" for t in batch.column(at).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.round(network.score(x), 6))], [*names, out_col])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in places), pa.array(np.round(network.score(x), 6))], [*kept, out_col])
 
-    return docs.select(*names).mapInArrow(run, docs.select(*names).schema.add(out_col, "double"))
+    return docs.select(*names).mapInArrow(run, docs.select(*kept).schema.add(out_col, "double"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The operator: (doc_id, held_out, score, predicted) of each row."""
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    pooler, network = fit(texts, labels)
-    model = docs.sparkSession.sparkContext.broadcast((pooler, network))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pooler, network = model.value
-        for batch in batches:
-            x = pooler.pool([t or "" for t in batch.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.round(network.score(x), 6))], ["doc_id", "score"])
-
-    out = texts.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, score double")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    out = score(texts, *fit(texts, labels), keep=["doc_id"])
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

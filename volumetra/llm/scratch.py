@@ -1,22 +1,38 @@
 """Tables that cut lineage: written once to the folder all executors share, then read back.
 
 The folder is ``spark.checkpoint.dir`` of the session. Where that is unset (plain local tests) a folder
-of its own below the warehouse is taken, so no machine-local temporary path is ever used on a cluster.
+of its own below the warehouse is taken; on a cluster that is an error, so no machine-local path is ever used there.
+Whoever calls operators may name a list in which the paths of their tables are noted (``scope``), to delete just these.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_WRITTEN: list[str] = []
+#: The innermost list takes the paths; the outermost is that of callers without a scope.
+_SCOPES: list[list[str]] = [[]]
+
+
+@contextmanager
+def scope(paths: list[str]) -> Iterator[list[str]]:
+    """Tables written inside are noted in ``paths``."""
+    _SCOPES.append(paths)
+    try:
+        yield paths
+    finally:
+        _SCOPES.pop()
 
 
 def root(spark: SparkSession) -> str:
     """The shared folder of this session."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return folder.rstrip("/") + "/volumetra"
 
@@ -26,15 +42,17 @@ def table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _WRITTEN.append(path)
+    _SCOPES[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear(spark: SparkSession) -> int:
-    """Delete every table written so far by this driver; call it once their readers have been stored."""
+def clear(spark: SparkSession, paths: list[str] | None = None) -> int:
+    """Delete the tables noted in ``paths`` (by default those written outside of any scope); call it once what reads them
+    has been stored."""
     jvm, conf, n = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf(), 0
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+    paths = _SCOPES[0] if paths is None else paths
+    while paths:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
         n += bool(path.getFileSystem(conf).delete(path, True))
     return n
 

@@ -5,8 +5,8 @@ worker that holds what the table lacks, encoded by the tokenizer's own library.
 with the single space before it: pre-tokens never cross its ends, so the counts of pieces add up to the count of the
 text. No piece is ever shuffled; the plan is one scan and one Arrow map.
 
-The table comes from a sample of ``SAMPLE_DOCS`` documents, at most ``TABLE_ROWS`` pieces. It only saves work: any
-table gives the same counts.
+The table comes from a sample of about ``SAMPLE_DOCS`` documents from all partitions, whose pieces are counted where they
+lie; it has at most ``TABLE_ROWS`` pieces. It only saves work: any table gives the same counts.
 
 Defined results: null text counts as empty (0 bytes, 0 tokens); repeated rows give repeated rows; extra columns are
 ignored; strings of special tokens inside a text are read as the library reads them by default.
@@ -25,7 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SAMPLE_DOCS, TABLE_ROWS, CACHE_ROWS, BATCH_CHARS, MISSES = 512, 60_000, 150_000, 200_000, 4096
+SAMPLE_DOCS, TABLE_ROWS, CACHE_ROWS, BATCH_CHARS, MISSES = 4096, 60_000, 150_000, 200_000, 4096
+#: Pieces that a task tells of, and characters of a piece that is kept in a table or cache.
+TASK_PIECES, KEPT_CHARS = 20_000, 40
 #: Where a text is not a plain run of words parted by single spaces and line feeds; such texts are cut by _CAREFUL.
 _ODD = re.compile(r"\s\s|^\s|\s$|[^\S \n]")
 #: A piece that stands alone wherever it is: a run without white space, with its one space, or all the rest.
@@ -96,11 +98,15 @@ class PieceCounter:
         if misses:
             self.known.update(zip(misses, self.encode(misses), strict=True))
         of = self.known.__getitem__
-        return [self.encode([t])[0] if c is None else sum(map(of, c)) for t, c in zip(texts, cut, strict=True)]
+        out = [self.encode([t])[0] if c is None else sum(map(of, c)) for t, c in zip(texts, cut, strict=True)]
+        for p in misses:  # short pieces alone stay, so that the cache's rows bound its bytes
+            if len(p) > KEPT_CHARS:
+                del self.known[p]
+        return out
 
 
 def frequent_pieces(docs: DataFrame, text_col: str, path: str) -> dict[str, int]:
-    """Lengths of the most frequent pieces of a bounded sample; counted on the executors, TABLE_ROWS rows at most."""
+    """Lengths of the most frequent pieces of a bounded sample: counted by task, then summed; TABLE_ROWS rows at most."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import Counter
@@ -108,12 +114,15 @@ def frequent_pieces(docs: DataFrame, text_col: str, path: str) -> dict[str, int]
         counter, found = PieceCounter(path, {}), Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                found.update(p for p in counter.pieces(text or "") or [] if len(p) <= 40)
-        top = [p for p, n in found.most_common(TABLE_ROWS) if n > 1]
-        yield pa.RecordBatch.from_arrays([pa.array(top, pa.string()), pa.array(counter.encode(top) if top else [], pa.int32())], ["piece", "n"])
+                found.update(p for p in counter.pieces(text or "") or [] if len(p) <= KEPT_CHARS)
+        top = [(p, n) for p, n in found.most_common(TASK_PIECES) if n > 1]
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["piece", "n"])
 
-    rows = docs.select(F.col(text_col).alias("text")).limit(SAMPLE_DOCS).mapInArrow(cut, "piece string, n int").collect()
-    return {r["piece"]: r["n"] for r in rows}
+    every = max(1, docs.count() // SAMPLE_DOCS)
+    rows = docs.select(F.col(text_col).alias("text")).filter(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(every)) == 0)
+    counted = rows.mapInArrow(cut, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    top = [r["piece"] for r in counted.orderBy(F.desc("n"), "piece").limit(TABLE_ROWS).collect()]
+    return dict(zip(top, PieceCounter(path, {}).encode(top), strict=True))
 
 
 def runs_of(sizes: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
@@ -133,12 +142,13 @@ def small_batches(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
     return runs_of(map(len, texts), most)
 
 
-def with_token_counts(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "n_tokens") -> DataFrame:
-    """``docs`` with ``out_col``, the number of tokens of ``text_col``."""
+def with_token_counts(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "n_tokens", keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with ``out_col``, the number of tokens of ``text_col``."""
     spark = docs.sparkSession
     table, key = spark.sparkContext.broadcast(frequent_pieces(docs, text_col, path)), uuid.uuid4().hex
-    names = [c for c in docs.columns if c != out_col]
-    at = names.index(text_col)
+    kept = [c for c in (docs.columns if keep is None else keep) if c != out_col]
+    names = [*kept, *({text_col} - set(kept))]
+    at, places = names.index(text_col), [names.index(c) for c in kept]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = of_worker((path, key), lambda: PieceCounter(path, table.value))
@@ -147,28 +157,17 @@ def with_token_counts(docs: DataFrame, path: str, text_col: str = "text", out_co
             n = np.zeros(len(texts), np.int64)
             for a, b in small_batches(texts, BATCH_CHARS):
                 n[a:b] = counter.count(texts[a:b])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n)], [*names, out_col])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in places), pa.array(n)], [*kept, out_col])
 
-    schema = docs.select(*names).schema.add(out_col, "long")
+    schema = docs.select(*kept).schema.add(out_col, "long")
     return docs.select(*names).mapInArrow(count, schema)
 
 
 def count_query(path: str, limit: int = 1024) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-        table, key = spark.sparkContext.broadcast(frequent_pieces(docs, "text", path)), uuid.uuid4().hex
-
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            counter = of_worker((path, key), lambda: PieceCounter(path, table.value))
-            for batch in batches:
-                texts = batch.column(1).to_pylist()
-                n = np.zeros(len(texts), np.int64)
-                for a, b in small_batches(texts, BATCH_CHARS):
-                    n[a:b] = counter.count(texts[a:b])
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n)], ["doc_id", "n_bytes", "n_tokens"])
-
         sized = docs.select("doc_id", "text", F.octet_length("text").cast("long").alias("n_bytes"))
-        out = sized.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long")
+        out = with_token_counts(sized, path, keep=["doc_id", "n_bytes"])
         return out.withColumn("over_limit", F.col("n_tokens") > limit)
 
     return query
