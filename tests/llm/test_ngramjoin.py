@@ -64,10 +64,13 @@ def test_groups_chains_and_odd_rows(spark):
     assert run(spark, rows) == brute(rows)
 
 
-def test_open_buckets_are_compared_exhaustively(spark, monkeypatch):
+@pytest.mark.parametrize("few", [0, 16])
+def test_open_buckets_are_compared_exhaustively(spark, monkeypatch, few):
     """With one short prefix nearly all texts share buckets, so that most links come from the blocks."""
     monkeypatch.setattr(ngramjoin, "SMALL", 2)
     monkeypatch.setattr(ngramjoin, "BLOCK", 8)
+    monkeypatch.setattr(ngramjoin, "FEW", few)
+    monkeypatch.setattr(ngramjoin, "LISTED", 3)
     monkeypatch.setattr(ngramjoin, "prefix_length", lambda *_: 1)
     rng = random.Random(6)
     shared = [f"s{i}" for i in range(60)]

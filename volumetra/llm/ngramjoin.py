@@ -17,9 +17,10 @@ Groups are never expanded into all pairs of rows:
   texts it holds, has to meet in one task;
 * connected components of the verified pairs are found by contraction on tables in the shared folder;
 * large nodes that still hold several components, and components whose links are not all verified yet, are compared block
-  against block in numpy (``_meetings``): blocks gather about ``BLOCK`` texts of similar size and equal smallest shingle, and
-  two blocks meet only if their sizes allow the similarity and some of their texts share a shingle among their smallest
-  fifth (prefix filter: exact). So no link between different texts is lost, and a chain costs in proportion to its length.
+  against block in numpy (``_meetings``): blocks gather about ``BLOCK`` texts of similar size and equal smallest shingle. Two
+  blocks meet only if their sizes allow the similarity and, in groups of over ``FEW`` blocks, some of their texts share a
+  shingle among their smallest fifth (prefix filter; both tests are exact). So no link between different texts is lost, and a
+  long chain costs in proportion to its length.
 Nothing but counts, and ids below a stated number for a broadcast, reaches the driver.
 
 Words are runs of non-white-space with A-Z lower-cased. Defined results: a text of one to four words is one shingle; null
@@ -43,8 +44,8 @@ from volumetra.llm.linededup import LOWER, NO_ID, UPPER
 from volumetra.operators import graph
 
 SHINGLE, TREES, DEPTH, RECALL, SPARSE, SMALL, NEAR, BLOCK, BROADCAST_IDS = 5, 20, 8, 0.9995, 4, 8, 2, 256, 500_000
-#: Entries of a tree that a task looks at together, and blocks of one shingle that are listed.
-CHUNK, LISTED = 200_000, 64
+#: Entries of a tree that a task looks at together, blocks of one shingle that are listed, blocks that meet without a filter.
+CHUNK, LISTED, FEW = 200_000, 64, 16
 #: Similarity as a fraction of whole numbers, so that the test is exact.
 THRESHOLD = (4, 5)
 
@@ -262,7 +263,7 @@ def _meetings(rows: DataFrame, sets: DataFrame) -> DataFrame:
     # Sizes at the similarity are in the same class of the logarithm or in the next; s[0] is the smallest shingle.
     level = F.floor(F.log(F.size("s").cast("double")) / F.lit(float(np.log(THRESHOLD[1] / THRESHOLD[0] * 1.0001)))).cast("int")
     prefix = F.slice("s", 1, F.size("s") - F.expr(f"({THRESHOLD[0]} * size(s) + {THRESHOLD[1] - 1}) div {THRESHOLD[1]}") + 1)
-    own = rows.join(sets, "c").select(*rows.columns, level.alias("level"), F.xxhash64(F.col("s")[0]).alias("like"), prefix.alias("prefix"))
+    own = rows.join(sets, "c").select(*rows.columns, level.alias("level"), F.xxhash64(F.col("s")[0]).alias("like"))
     own = scratch.table(own, "members")
     parts = F.ceil(F.col("m") / F.lit(BLOCK)).cast("long")
     for name, by, of in (("u", ["g", "level"], F.col("like")), ("v", ["g", "level", "u"], F.xxhash64("c", F.lit(1)))):
@@ -271,15 +272,20 @@ def _meetings(rows: DataFrame, sets: DataFrame) -> DataFrame:
         own = own.withColumn(name, F.coalesce(F.pmod(of, F.col("parts")), F.lit(0))).drop("parts")
     own = scratch.table(own.withColumn("own", F.xxhash64("g", "level", "u", "v")), "members")
 
-    blocks = own.groupBy("g", "level", "own").agg(F.count("*").alias("m"))
-    shared = scratch.table(own.select("g", "level", "own", F.explode("prefix").alias("p")).distinct(), "prefixes")
+    blocks = scratch.table(own.groupBy("g", "level", "own").agg(F.count("*").alias("m")), "blocks")
+    several = blocks.groupBy("g").agg(F.count("*").alias("k"))
+    filtered = _small(scratch.table(several.filter(F.col("k") > FEW).select("g"), "filtered"))
+    far = own.join(filtered, "g", "left_semi").select("g", "level", "own", "c").join(sets, "c")
+    shared = scratch.table(far.select("g", "level", "own", F.explode(prefix).alias("p")).distinct(), "prefixes")
     wide = shared.groupBy("g", "p").agg(F.count("*").alias("m")).filter(F.col("m") > 1)
     few = shared.join(wide.filter(F.col("m") <= LISTED).drop("m"), ["g", "p"])
     lists = few.groupBy("g", "p").agg(F.sort_array(F.collect_list(F.struct("own", "level"))).alias("l"))
     each = F.flatten(F.transform("l", lambda x, i: F.transform(F.slice("l", i + 2, F.lit(LISTED)), lambda y: F.struct(x["own"].alias("bi"), y["own"].alias("bj"), F.abs(x["level"] - y["level"]).alias("far")))))
     met = lists.select(F.explode(each).alias("x")).select("x.*").filter("far <= 1").select("bi", "bj")
-    # Blocks of a shingle that more of them share meet wherever their sizes allow.
-    many = scratch.table(shared.join(_small(scratch.table(wide.filter(F.col("m") > LISTED).drop("m"), "wide")), ["g", "p"], "left_semi").select("g", "level", "own").distinct(), "wide")
+    # Blocks of a shingle that more of them share, and the few of a small group, meet wherever their sizes allow.
+    close = blocks.join(several.filter(F.col("k").between(2, FEW)).select("g"), "g", "left_semi").select("g", "level", "own")
+    many = close.unionAll(shared.join(_small(scratch.table(wide.filter(F.col("m") > LISTED).drop("m"), "wide")), ["g", "p"], "left_semi").select("g", "level", "own").distinct())
+    many = scratch.table(many, "wide")
     other = many.select("g", F.explode(F.array("level", F.col("level") - 1)).alias("level"), F.col("own").alias("bj"), F.col("level").alias("theirs"))
     dense = many.join(other, ["g", "level"]).filter((F.col("level") < F.col("theirs")) | (F.col("own") < F.col("bj")))
     met = met.union(dense.select(F.least("own", "bj").alias("bi"), F.greatest("own", "bj").alias("bj"))).distinct()
