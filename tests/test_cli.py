@@ -86,3 +86,26 @@ def test_refusals(data):
         run("clear-registrations", "-x", top / "project")
     with pytest.raises(ValueError):
         run("solver", "-x", top / "project", "-s", "STITCHING", "--tileId", "77")
+
+
+def test_zarr_to_fusion_to_zarr(spark, data):
+    """One image resaved as zarr with a pyramid, fused where it lies into a zarr container, is the image, voxel by voxel."""
+    top, scene = data
+    p = projects.Project(spark)
+    p["views"] = spark.createDataFrame([(0, 5, 0, 0, 0, 0, True, 60, 40, 16, 1.0, 1.0, 1.0)], projects.SCHEMAS["views"])
+    p.save(str(top / "one"))
+    image = scene[:60].copy()
+    image[32:, 16:, :] = 0  # chunks of zeros are not stored
+    ch.write(ch.from_arrays(spark, {(0, 5): image}, (32, 32, 16)), str(top / "one_images"))
+    run("resave", "-x", top / "one", "--images", top / "one_images", "-o", f"file://{top}/one.zarr", "--blockSize", "16,16,16", "-ds", "1,1,1;2,2,1")
+    stored = ch.read_zarr_arrays(spark, f"file://{top}/one.zarr", [(0, 5, 0), (0, 5, 1)])
+    assert {r.level for r in stored.select("level").collect()} == {0, 1} and stored.filter("level = 0").count() < 12
+    run("create-fusion-container", "-x", top / "one", "-o", f"file://{top}/fused.zarr", "--blockSize", "16,16,16", "-ds", "1,1,1;2,2,2")
+    run("affine-fusion", "-o", f"file://{top}/fused.zarr", "-f", "AVG")
+    got = np.zeros(image.shape)
+    for r in ch.read_zarr(spark, f"file://{top}/fused.zarr/volumes.zarr", 0, 0).collect():
+        got[r.ox : r.ox + r.sx, r.oy : r.oy + r.sy, r.oz : r.oz + r.sz] = ch.decode(r.payload, r.dtype, (r.sx, r.sy, r.sz))
+    assert np.array_equal(got, image.astype("f4"))
+    assert ch.read_zarr(spark, f"file://{top}/fused.zarr/volumes.zarr", 0, 0, 1).count() > 0
+    with pytest.raises(ValueError):
+        run("resave", "-x", top / "one", "--images", top / "one_images", "-o", top / "one.n5")

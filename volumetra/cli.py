@@ -60,7 +60,7 @@ def registration_pairs(pairs: DataFrame, a: argparse.Namespace) -> DataFrame:
 def resave(spark: SparkSession, a: argparse.Namespace) -> None:
     p = projects.load(spark, a.xml)
     block = options.vector(a.blockSize)
-    chunks = ch.rechunked(ch.read(spark, a.images), block)
+    chunks = ch.rechunked(images_of(spark, p, a), block)
     sizes = p["views"].agg(*[F.max(f"n{x}").alias(x) for x in XYZ]).first()
     levels = options.pyramid(a.downsampling) or options.propose_pyramid(tuple(sizes))
     if a.dryRun:
@@ -76,7 +76,9 @@ def images_of(spark: SparkSession, p: projects.Project, a: argparse.Namespace, l
     facts = properties(p)
     if not a.images and "images" not in facts:
         raise ValueError("the project names no images; give --images")
-    return ch.read(spark, a.images or facts["images"], level)
+    path = a.images or facts["images"]
+    views = [(r["tp"], r["setup"]) for r in p["views"].filter("present").select("tp", "setup").collect()] if ch.is_zarr(path) else []
+    return ch.read_images(spark, path, views, level, len(levels_of(spark, p, a)))
 
 
 def properties(p: projects.Project) -> dict:
@@ -362,6 +364,9 @@ def _save_volumes(fused: DataFrame, props: dict, path: str) -> None:
     fused = fused.withColumns({f"o{x}": F.col(f"o{x}") - o for x, o in zip(XYZ, origin, strict=True)})
     named = fused.withColumnsRenamed({"t_index": "tp", "c_index": "setup"}).select(*[F.col(c).cast(k) for c, k in (x.split() for x in ch.SCHEMA.split(", "))])
     out = f"{path.rstrip('/')}/volumes"
+    if ch.is_zarr(path):  # arrays timepoint/channel/level
+        ch.write_pyramid(ch.rechunked(named, block), f"{out}.zarr", options.relative_factors([x["factors"] for x in props["levels"]]), block, props.get("compression", "zstandard"))
+        return
     ch.rechunked(named, block).write.mode("append").partitionBy("level").option("compression", codec).parquet(out)
     for i, step in enumerate(options.relative_factors([x["factors"] for x in props["levels"]])[1:]):
         level = ch.downsampled(spark.read.schema(ch.SCHEMA).parquet(out).filter(F.col("level") == i), step, block)

@@ -156,10 +156,13 @@ def pyramid(chunks: DataFrame, relative: list[tuple[int, int, int]], block=(64,
 
 
 def write_pyramid(chunks: DataFrame, path: str, relative: list[tuple[int, int, int]], block=(64, 64, 64), codec: str = "zstandard") -> None:
-    """All levels at ``path``, each made of the stored one before."""
-    write(chunks, path, codec, "append")
+    """All levels at ``path``, a chunk table or a zarr container, each made of the stored one before."""
+    spark, zarr = chunks.sparkSession, is_zarr(path)
+    put = (lambda c: write_zarr(c, path, block, codec)) if zarr else (lambda c: write(c, path, codec, "append"))
+    put(chunks)
+    views = [(r["tp"], r["setup"]) for r in chunks.select("tp", "setup").distinct().collect()] if zarr else []  # one row per image
     for i, f in enumerate(relative[1:]):
-        write(downsampled(read(chunks.sparkSession, path, i), f, block), path, codec, "append")
+        put(downsampled(read_images(spark, path, views, i), f, block))
 
 
 def to_voxels(chunks: DataFrame) -> DataFrame:
@@ -207,7 +210,8 @@ def write_zarr(chunks: DataFrame, path: str, block, codec: str = "gzip") -> None
                 n += 1
         yield pd.DataFrame({"n": [n]})
 
-    rechunked(chunks, block).mapInPandas(save, "n long").agg(F.sum("n")).collect()
+    # Chunks of zeros are the fill value: they are left out.
+    non_empty(rechunked(chunks, block)).mapInPandas(save, "n long").agg(F.sum("n")).collect()
 
 
 def _pack(data: bytes, codec: str) -> bytes:
@@ -222,23 +226,32 @@ def _pack(data: bytes, codec: str) -> bytes:
 
 def read_zarr(spark: SparkSession, path: str, tp: int, setup: int, level: int = 0, dtype: str | None = None) -> DataFrame:
     """Chunks of one array; chunks that are not there are missing (all fill value)."""
-    folder = f"{path.rstrip('/')}/{tp}/{setup}/{level}"
+    return read_zarr_arrays(spark, path, [(tp, setup, level)], dtype)
+
+
+def read_zarr_arrays(spark: SparkSession, path: str, arrays: list[tuple[int, int, int]], dtype: str | None = None) -> DataFrame:
+    """Chunks of the arrays (tp, setup, level) below ``path``, in one scan; their metadata is read on the driver."""
     import pyarrow.fs
 
-    fs, root = pyarrow.fs.FileSystem.from_uri(folder)  # Spark's readers skip files whose names begin with a dot
-    with fs.open_input_stream(f"{root}/.zarray") as f:
-        info = json.loads(f.read())
-    kind = dtype or {np.dtype(v).str: k for k, v in NUMPY.items()}[np.dtype(info["dtype"]).str]
-    codec = (info["compressor"] or {"id": "raw"})["id"]
-    if codec not in ("raw", "gzip", "zlib", "zstd"):
-        raise ValueError(f"no codec for {codec!r} chunks")
-    shape, block = info["shape"], info["chunks"]
+    infos = {}
+    for a in arrays:
+        fs, root = pyarrow.fs.FileSystem.from_uri("/".join([path.rstrip("/"), *map(str, a)]))  # Spark's readers skip files whose names begin with a dot
+        with fs.open_input_stream(f"{root}/.zarray") as f:
+            infos[a] = json.loads(f.read())
+        codec = (infos[a]["compressor"] or {"id": "raw"})["id"]
+        if codec not in ("raw", "gzip", "zlib", "zstd"):
+            raise ValueError(f"no codec for {codec!r} chunks")
+    kinds = {np.dtype(v).str: k for k, v in NUMPY.items()}
 
     def load(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             rows = []
             for name, data in zip(pdf["path"], pdf["content"], strict=True):
-                g = [int(x) for x in name.rsplit("/", 1)[1].split(info.get("dimension_separator", "."))]
+                *_, tp, setup, level, own = name.split("/")
+                key = int(tp), int(setup), int(level)
+                info = infos[key]
+                codec, shape, block = (info["compressor"] or {"id": "raw"})["id"], info["shape"], info["chunks"]
+                g = [int(x) for x in own.split(info.get("dimension_separator", "."))]
                 if codec in ("gzip", "zlib"):
                     import zlib
 
@@ -250,8 +263,29 @@ def read_zarr(spark: SparkSession, path: str, tp: int, setup: int, level: int =
                 lo = [i * b for i, b in zip(g, block, strict=True)]
                 n = [min(b, s - o) for b, s, o in zip(block, shape, lo, strict=True)]
                 a = np.frombuffer(data, info["dtype"]).reshape(block)[tuple(slice(0, k) for k in n)]
-                rows.append((tp, setup, level, *g, *lo, *n, kind, np.ascontiguousarray(a).tobytes()))
+                rows.append((*key, *g, *lo, *n, dtype or kinds[np.dtype(info["dtype"]).str], np.ascontiguousarray(a).tobytes()))
             yield pd.DataFrame(rows, columns=NAMES)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "[0-9]*").load(folder).select("path", "content")
+    folders = ["/".join([path.rstrip("/"), *map(str, a)]) for a in arrays]
+    if not folders:
+        return spark.createDataFrame([], SCHEMA)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "[0-9]*").load(folders).select("path", "content")
     return files.mapInPandas(load, SCHEMA)
+
+
+def is_zarr(path: str) -> bool:
+    """Whether a path is a zarr container; a chunk table else. Other formats are refused."""
+    try:
+        kind = options.storage_format(path)
+    except ValueError:
+        return False
+    if kind in ("N5", "HDF5"):
+        raise ValueError(f"{kind} images are not read or written here; resave them as zarr")
+    return kind == "ZARR"
+
+
+def read_images(spark: SparkSession, path: str, views: list[tuple[int, int]], level: int | None = 0, levels: int = 1) -> DataFrame:
+    """The chunks of a level (of all ``levels`` for None) of the views, from a chunk table or a zarr container."""
+    if not is_zarr(path):
+        return read(spark, path, level)
+    return read_zarr_arrays(spark, path, [(t, s, i) for t, s in views for i in (range(levels) if level is None else [level])])
