@@ -80,7 +80,6 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @stage
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packing: pieces of token sequences."""
-    scratch.clear(spark)
     return packing.pack(docs, vocabulary("word_bpe_49k.json"))
 
 
