@@ -56,10 +56,19 @@ def test_lines(spark, monkeypatch):
         return sorted(tuple(r) for r in out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256)).collect())
 
     assert run() == brute_lines(rows)
-    monkeypatch.setattr(linededup, "HOT_SHARE", 0)  # no line is hot
+    monkeypatch.setattr(linededup, "hot_from", lambda n: n + 1)  # no line is hot
     assert run() == brute_lines(rows)
-    monkeypatch.setattr(linededup, "HOT_SHARE", 10**9)  # every line is hot
+    monkeypatch.setattr(linededup, "hot_from", lambda n: 1)  # every line is hot
     assert run() == brute_lines(rows)
+    monkeypatch.setattr(linededup, "hot_from", lambda n: 60)  # some are, as a sample has it
+    monkeypatch.setattr(linededup, "SAMPLED", 30)
+    assert run() == brute_lines(rows)
+
+
+def test_hot_lines_are_few_and_below_a_task():
+    for n in (0, 1, 999, 10**6, 10**9, 10**12, 10**15):
+        assert 1 <= linededup.hot_from(n) <= max(linededup.TASK_ROWS, n // linededup.MOST_HOT, 1)
+        assert n / linededup.hot_from(n) <= linededup.MOST_HOT + linededup.HOT_SHARE * 2
 
 
 def test_lines_of_null_and_repeated_ids(spark):

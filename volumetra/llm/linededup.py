@@ -4,10 +4,10 @@ Method: each long line becomes a 128-bit hash with its document and position. Th
 a secondary sort by document (largest first) and position, and one pass over each partition meets the first document
 of every hash before the others. What comes back is a run-length bitmap for each document, never text.
 
-Skew: a frequent-items sketch (fixed size, merged map-side) names the hashes that hold over 1/1000 of all lines, at
-most 1024 of them. For these the number of documents and the largest document are pre-aggregated and broadcast (at
-most 1024 hash values), so that no hot hash meets in one task; every other hash is below 1/1000 of the lines. Which
-way a hash takes does not change the result.
+Skew: a hash is hot if it has more rows than one task should stream: about a million, less in small tables and, beyond
+10^11 lines, 1/131072 of them. Which hashes may be hot is counted on a sample of the rows, so that at most about 262,144
+of them (two longs each) are broadcast. For these the number of documents and the largest document are pre-aggregated
+map-side over all rows, so that no hot hash meets in one task. Which way a hash takes does not change the result.
 
 Defined results: null or empty text is one empty line; a null doc_id counts as the smallest document; rows that
 repeat a doc_id count as one document; extra columns are ignored.
@@ -24,7 +24,9 @@ from volumetra.llm import scratch
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NO_ID = -(2**63)
-HOT_KEYS, HOT_SHARE, TRACKED = 1024, 1000, 65536
+# A hash is hot from TASK_ROWS rows on, from 1/HOT_SHARE of the rows in small tables, and 1/MOST_HOT of them in huge ones; of
+# that many rows about SAMPLED are looked at.
+TASK_ROWS, HOT_SHARE, MOST_HOT, SAMPLED = 2**20, 1000, 2**17, 64
 
 
 def line_key(line: Column) -> Column:
@@ -51,28 +53,32 @@ def line_hashes(docs: DataFrame, min_chars: int = 20, id_col: str = "doc_id", te
     return lines.select("d", "rid", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
 
 
-def _hot(hashes: DataFrame) -> list[int]:
-    """First halves of the hashes that may hold over 1/HOT_SHARE of the rows: HOT_KEYS at most."""
-    top = hashes.agg(F.expr(f"approx_top_k(h1, {HOT_KEYS}, {TRACKED})").alias("top"), F.count("*").alias("n")).first()
-    return [x["item"] for x in top["top"] or [] if x["count"] * HOT_SHARE > top["n"]]
+def hot_from(n: int) -> int:
+    """Rows from which a hash is hot among ``n`` rows."""
+    return max(1, n // MOST_HOT, min(n // HOT_SHARE, TASK_ROWS))
+
+
+def _hot(hashes: DataFrame) -> DataFrame:
+    """(h1, h2) of the hashes that may be hot: those with half as many sampled rows as a hot one should have, so at most
+    about two for each ``hot_from`` rows. The sample decides only how a hash is counted."""
+    least = hot_from(hashes.count())
+    rate = min(1.0, SAMPLED / least)
+    seen = hashes if rate == 1.0 else hashes.sample(rate, seed=1)
+    return scratch.table(seen.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter(F.col("n") * 2 >= rate * least).select("h1", "h2"), "hot")
 
 
 def dropped_lines(hashes: DataFrame, min_docs: int = 3) -> DataFrame:
-    """(d, rid, pos) of the lines that go: their hash is in ``min_docs`` documents and not here in the largest."""
-    hot = _hot(hashes)
-    out = []
-    cold = hashes.filter(~F.col("h1").isin(hot)) if hot else hashes
-    ordered = cold.repartitionByRange("h1", "h2").sortWithinPartitions("h1", "h2", F.desc("d"), "pos")
-    rank = F.dense_rank().over(Window.partitionBy("h1", "h2").orderBy(F.desc("d")))
+    """(d, rid, pos) of the lines that go: their hash is in ``min_docs`` documents and not here in the largest. ``hashes`` is
+    a stored table, as it is read several times."""
+    hot, key = F.broadcast(_hot(hashes)), ["h1", "h2"]
+    ordered = hashes.join(hot, key, "left_anti").repartitionByRange("h1", "h2").sortWithinPartitions("h1", "h2", F.desc("d"), "pos")
     group = Window.partitionBy("h1", "h2")
-    ranked = ordered.select("d", "rid", "pos", "h1", "h2", rank.alias("rank")).withColumn("docs", F.max("rank").over(group))
-    out.append(ranked.filter((F.col("rank") > 1) & (F.col("docs") >= min_docs)).select("d", "rid", "pos"))
-    if hot:
-        rows = hashes.filter(F.col("h1").isin(hot))
-        known = rows.select("h1", "h2", "d").distinct().groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("d").alias("last"))
-        known = known.filter(F.col("n") >= min_docs)
-        out.append(rows.join(F.broadcast(known), ["h1", "h2"]).filter("d < last").select("d", "rid", "pos"))
-    return out[0] if len(out) == 1 else out[0].unionAll(out[1])
+    ranked = ordered.withColumn("rank", F.dense_rank().over(group.orderBy(F.desc("d")))).withColumn("docs", F.max("rank").over(group))
+    cold = ranked.filter((F.col("rank") > 1) & (F.col("docs") >= min_docs)).select("d", "rid", "pos")
+    rows = hashes.join(hot, key, "left_semi")
+    known = rows.select("h1", "h2", "d").distinct().groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("d").alias("last"))
+    known = F.broadcast(known.filter(F.col("n") >= min_docs))
+    return cold.unionAll(rows.join(known, key).filter("d < last").select("d", "rid", "pos"))
 
 
 def drop_bitmaps(dropped: DataFrame) -> DataFrame:
