@@ -27,12 +27,13 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from volumetra.llm import scratch
 from volumetra.llm.tokencount import MISSES, of_worker, open_tokenizer, runs_of, vocabulary
 
-WINDOW, END_ID, CACHE_ROWS, MAX_REPEAT, BROADCAST_OFFSETS = 4096, 2, 400_000, 8, 1_000_000
-BATCH_BYTES, KEPT_CHARS = 8_000_000, 64
+WINDOW, END_ID, CACHE_ROWS, MAX_REPEAT, BROADCAST_OFFSETS = 4096, 2, 200_000, 8, 1_000_000
+BATCH_BYTES, KEPT_CHARS = 2_000_000, 64
 #: Arrow and str.split() part words here too, the tokenizer's own \\s does not.
 _NOT_SPACE = "[\x1c-\x1f]"
 _SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -52,8 +53,8 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
-        self.library, self.model, self.known, self.older = open_tokenizer(path), open_tokenizer(path), {"": b""}, {}
-        self.model.normalizer = self.model.pre_tokenizer = None
+        self.library, self.known, self.older = open_tokenizer(path), {"": b""}, {}
+        self.model = Tokenizer(self.library.model)  # the same tables in memory, without normal form and pre-tokens
         names = self.library.get_vocab()
         if max(names.values()) > 65535:
             raise ValueError("ids of this vocabulary do not fit two bytes")

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 MAX_TRAIN, VOCABULARY, WIDTH, NONZERO, HIDDEN, FIT_PARTS, SEED = 4000, 3000, 64, 4, 24, 12, 7
 _WORD = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
-_SHAPES = 24
+_SHAPES, PAIRS = 24, 65_536
 
 
 def shape(word: str) -> int:
@@ -167,7 +167,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN, label_col: st
                 for gap in (1, 2):
                     a, b = ids[:-gap], ids[gap:]
                     pairs, times = np.unique(np.concatenate([a * len(index) + b, b * len(index) + a]), return_counts=True)
-                    np.add.at(total, pairs // len(index), index[pairs % len(index)] * times[:, None])
+                    for i in range(0, len(pairs), PAIRS):  # a bounded part of a long text's pairs at once
+                        p, k = pairs[i : i + PAIRS], times[i : i + PAIRS, None]
+                        np.add.at(total, p // len(index), index[p % len(index)] * k)
         yield pa.RecordBatch.from_arrays([pa.array([total.astype("<f8").tobytes()], pa.binary())], ["sums"])
 
     sums = np.zeros((n + _SHAPES, WIDTH))
