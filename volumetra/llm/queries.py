@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from volumetra.llm import centroids, hostrules, htmltext, infill, licences, linededup, mixing, ngramjoin, packing, quality, tokencount, topk
+from volumetra.llm import centroids, hostrules, htmltext, infill, licences, linededup, mixing, ngramjoin, packing, quality, suffixtree, tokencount, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_window_packing": packing.query,
         "op9_licence_scan": licences.query,
         "op10_exact_topk": topk.query,
+        "op11_suffix_tree": suffixtree.query,
         "op12_centroid_clusters": centroids.query,
         "op13_fill_in_middle": infill.query,
     }
