@@ -108,4 +108,4 @@ def test_zarr_to_fusion_to_zarr(spark, data):
     assert np.array_equal(got, image.astype("f4"))
     assert ch.read_zarr(spark, f"file://{top}/fused.zarr/volumes.zarr", 0, 0, 1).count() > 0
     with pytest.raises(ValueError):
-        run("resave", "-x", top / "one", "--images", top / "one_images", "-o", top / "one.n5")
+        run("resave", "-x", top / "one", "--images", top / "one_images", "-o", top / "one.h5")

@@ -65,7 +65,7 @@ def resave(spark: SparkSession, a: argparse.Namespace) -> None:
     levels = options.pyramid(a.downsampling) or options.propose_pyramid(tuple(sizes))
     if a.dryRun:
         return
-    ch.write_pyramid(chunks, a.n5Path or a.output, options.relative_factors(levels), block, a.compression)
+    ch.write_pyramid(chunks, a.n5Path or a.output, levels, block, a.compression, a.compressionLevel, present(p))
     facts = [("images", json.dumps(a.n5Path or a.output)), ("levels", json.dumps([list(f) for f in levels]))]
     p["properties"] = p["properties"].filter("key not in ('images', 'levels')").union(spark.createDataFrame(facts, projects.SCHEMAS["properties"]))
     p.save(a.xmlout or a.xml)
@@ -77,8 +77,12 @@ def images_of(spark: SparkSession, p: projects.Project, a: argparse.Namespace, l
     if not a.images and "images" not in facts:
         raise ValueError("the project names no images; give --images")
     path = a.images or facts["images"]
-    views = [(r["tp"], r["setup"]) for r in p["views"].filter("present").select("tp", "setup").collect()] if ch.is_zarr(path) else []
-    return ch.read_images(spark, path, views, level, len(levels_of(spark, p, a)))
+    return ch.read_images(spark, path, list(present(p)) if ch.is_container(path) else [], level, len(levels_of(spark, p, a)))
+
+
+def present(p: projects.Project) -> dict[tuple[int, int], tuple[int, int, int]]:
+    """The sizes of present views; metadata."""
+    return {(r["tp"], r["setup"]): (r["nx"], r["ny"], r["nz"]) for r in p["views"].filter("present").select("tp", "setup", "nx", "ny", "nz").collect()}
 
 
 def properties(p: projects.Project) -> dict:
@@ -319,8 +323,10 @@ def create_fusion_container(spark: SparkSession, a: argparse.Namespace) -> None:
     box = None
     if a.boundingBox:
         box = select.named_box(p["boxes"], a.boundingBox).select(*FACES).first().asDict()
-    props = container.properties_of(p, a.xml, dtype=a.dataType, block=options.vector(a.blockSize), box=box, channels=a.numChannels, timepoints=a.numTimepoints, low=a.minIntensity, high=a.maxIntensity, anisotropy=a.preserveAnisotropy, factor=a.anisotropyFactor, multires=a.multiRes, pyramid=a.downsampling, codec=a.compression, xml_out=a.xmlout)
+    props = container.properties_of(p, a.xml, dtype=a.dataType, block=options.vector(a.blockSize), box=box, channels=a.numChannels, timepoints=a.numTimepoints, low=a.minIntensity, high=a.maxIntensity, anisotropy=a.preserveAnisotropy, factor=a.anisotropyFactor, multires=a.multiRes, pyramid=a.downsampling, codec=a.compression, level=a.compressionLevel, xml_out=a.xmlout)
     container.create(spark, a.output, props | {"multiscales": container.multiscales(props)})
+    if a.xmlout:
+        container.output_project(spark, a.output, props).save(a.xmlout)
 
 
 def affine_fusion(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -332,7 +338,8 @@ def affine_fusion(spark: SparkSession, a: argparse.Namespace) -> None:
     options.fusion_indices(a.timepointIndex, a.channelIndex, any(lists.values()) or bool(a.vi))
     views = container.volume_views(p, a.timepointIndex, a.channelIndex).join(selected(p["views"], a).select("tp", "setup"), ["tp", "setup"], "left_semi")
     views = container.anisotropic(views, props.get("anisotropy_factor"))
-    work = in_volumes(container.blocks(spark, props, options.vector(a.blockScale)), views)
+    volumes = volumes_of(views)
+    work = in_volumes(container.blocks(spark, props, options.vector(a.blockScale)), volumes)
     # Each view is read at the coarsest level that the output's resolution allows.
     stored = levels_of(spark, p, a)
     chunks = images_of(spark, p, a, None if len(stored) > 1 else 0)
@@ -347,30 +354,35 @@ def affine_fusion(spark: SparkSession, a: argparse.Namespace) -> None:
     low, high = props.get("min_intensity", 0), props.get("max_intensity", 1)
     coefficients = p["coefficients"] if not p["coefficients"].isEmpty() else None
     fused = registration.fuse_views(work, views, chunks, a.fusion, props["data_type"], low, high, coefficients, masks=a.masks, mask_offset=options.vector(a.maskOffset, 3, float))
-    _save_volumes(fused, props, a.output)
+    _save_volumes(fused, props, a.output, volumes)
+
+
+def volumes_of(views: DataFrame) -> list[tuple[int, int]]:
+    """The volumes (t_index, c_index) that have views; metadata."""
+    return sorted((r["t_index"], r["c_index"]) for r in views.select("t_index", "c_index").distinct().collect())
 
 
-def in_volumes(work: DataFrame, views: DataFrame) -> DataFrame:
-    """Blocks once for each volume (t_index, c_index) that has views; volumes are metadata."""
-    volumes = views.select("t_index", "c_index").distinct().collect()
-    each = F.array(*[F.struct(F.lit(r["t_index"]).alias("t_index"), F.lit(r["c_index"]).alias("c_index")) for r in volumes]) if volumes else F.lit(None).cast("array<struct<t_index:int,c_index:int>>")
+def in_volumes(work: DataFrame, volumes: list[tuple[int, int]]) -> DataFrame:
+    """Blocks once for each volume."""
+    each = F.array(*[F.struct(F.lit(t).alias("t_index"), F.lit(c).alias("c_index")) for t, c in volumes]) if volumes else F.lit(None).cast("array<struct<t_index:int,c_index:int>>")
     return work.withColumn("v", F.explode(each)).select(*work.columns, "v.*")
 
 
-def _save_volumes(fused: DataFrame, props: dict, path: str) -> None:
-    """Full resolution first, then each level from the stored one before."""
-    block, codec, spark = tuple(props["block_size"]), options.parquet_codec(props.get("compression", "zstandard")), fused.sparkSession
-    origin = props["box_min"]
+def _save_volumes(fused: DataFrame, props: dict, path: str, volumes: list[tuple[int, int]]) -> None:
+    """Full resolution first, then each level from the stored one before: a chunk table, N5, or one five-dimensional image."""
+    block, codec, level, spark = tuple(props["block_size"]), props.get("compression", "zstandard"), props.get("compression_level"), fused.sparkSession
+    origin, factors = props["box_min"], [tuple(x["factors"]) for x in props["levels"]]
     fused = fused.withColumns({f"o{x}": F.col(f"o{x}") - o for x, o in zip(XYZ, origin, strict=True)})
     named = fused.withColumnsRenamed({"t_index": "tp", "c_index": "setup"}).select(*[F.col(c).cast(k) for c, k in (x.split() for x in ch.SCHEMA.split(", "))])
-    out = f"{path.rstrip('/')}/volumes"
-    if ch.is_zarr(path):  # arrays timepoint/channel/level
-        ch.write_pyramid(ch.rechunked(named, block), f"{out}.zarr", options.relative_factors([x["factors"] for x in props["levels"]]), block, props.get("compression", "zstandard"))
+    out, chunks = container.volumes(path), ch.rechunked(named, block)
+    if ch.is_container(path):
+        n5 = options.storage_format(path) == "N5"
+        counts = props.get("num_timepoints", 1), props.get("num_channels", 1)
+        ch.write_container(chunks, out, factors, block, codec, level, volumes, "n5" if n5 else "ngff", None if n5 else counts, dict.fromkeys(volumes, tuple(b - a + 1 for a, b in zip(origin, props["box_max"], strict=True))))
         return
-    ch.rechunked(named, block).write.mode("append").partitionBy("level").option("compression", codec).parquet(out)
-    for i, step in enumerate(options.relative_factors([x["factors"] for x in props["levels"]])[1:]):
-        level = ch.downsampled(spark.read.schema(ch.SCHEMA).parquet(out).filter(F.col("level") == i), step, block)
-        level.write.mode("append").partitionBy("level").option("compression", codec).parquet(out)
+    ch.write(chunks, out, codec, "append", level, ("level",))
+    for i, step in enumerate(options.relative_factors(factors)[1:]):
+        ch.write(ch.downsampled(ch.read(spark, out, i), step, block), out, codec, "append", level, ("level",))
 
 
 def nonrigid_fusion(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -389,9 +401,10 @@ def nonrigid_fusion(spark: SparkSession, a: argparse.Namespace) -> None:
     common = pairs.groupBy(F.col("tp_a").alias("tp"), F.col("setup_a").alias("setup"), "label_a", "id_a", *XYZ).agg(*[((F.first(x) + F.sum(f"{x}_b")) / (F.count("*") + 1)).alias(f"c{x}") for x in XYZ])
     # All channels of a timepoint are one volume.
     views = views.withColumns({"t_index": F.dense_rank().over(Window.orderBy("tp")) - 1, "c_index": F.lit(0)})
-    work = in_volumes(container.blocks(spark, props, options.vector(a.blockScale)), views)
+    volumes = volumes_of(views)
+    work = in_volumes(container.blocks(spark, props, options.vector(a.blockScale)), volumes)
     fused = registration.fuse_nonrigid(work, views, images_of(spark, p, a), common.select("tp", "setup", *XYZ, "cx", "cy", "cz"), dtype=a.dataType, low=a.minIntensity or 0.0, high=a.maxIntensity or 1.0)
-    _save_volumes(fused, props, a.output)
+    _save_volumes(fused, props, a.output, volumes)
 
 
 def split_images(spark: SparkSession, a: argparse.Namespace) -> None:

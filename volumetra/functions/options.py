@@ -98,6 +98,14 @@ def parquet_codec(name: str) -> str:
     return PARQUET_CODECS[name.lower()]
 
 
+def parquet_level(codec: str, level: int) -> dict[str, str]:
+    """The writer's option for a codec's level; an error for codecs without one."""
+    names = {"zstd": "parquet.compression.codec.zstd.level", "gzip": "zlib.compress.level"}
+    if parquet_codec(codec) not in names:
+        raise ValueError(f"{codec} has no level")
+    return {names[parquet_codec(codec)]: str(level)}
+
+
 def block_name(low, high) -> str:
     """A name made of a box."""
     return "_".join(str(x) for x in (*low, *high)).replace("-", "m")

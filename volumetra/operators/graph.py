@@ -7,22 +7,27 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Edges that one task contracts at a time.
 TASK_EDGES = 500_000
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a loop's state with a table in the folder all executors share."""
-    spark = df.sparkSession
+def shared(spark: SparkSession) -> str:
+    """The folder that all executors share."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_loops"
-    path = f"{folder.rstrip('/')}/state-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a loop's state with a table in the shared folder."""
+    spark = df.sparkSession
+    path = f"{shared(spark)}/state-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -3,6 +3,7 @@ against known truth."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 
 from volumetra.functions import geometry as g
 from volumetra.operators import blocks, points, pyramid, registration
+from volumetra.operators.graph import shared
 from volumetra.plans import fixtures as fx
+from volumetra.sources import arrays
 from volumetra.sources import chunks as ch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -177,6 +180,30 @@ def resave_pyramid(spark: SparkSession, d: str) -> DataFrame:
     return _non_zero(all_levels).select("setup", "level", "x", "y", "z", "v")
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that all executors share."""
+    return f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@job(sql=SQL["resave_pyramid"])
+def resave_n5(spark: SparkSession, d: str) -> DataFrame:
+    """The images written as N5 with a pyramid, then read from there, all levels in one scan."""
+    path = _folder(spark, "resaved") + ".n5"
+    views = [(0, s) for s in range(4)]
+    ch.write_container(ch.rechunked(_images(spark, d), (32, 32, 8)), path, [(1, 1, 1), (2, 2, 1), (4, 4, 2)], (32, 32, 8), "gzip", views=views, layout="n5", sizes=dict.fromkeys(views, (64, 64, 8)))
+    return _non_zero(arrays.read(spark, path, [(*v, i) for v in views for i in range(3)], "n5")).select("setup", "level", "x", "y", "z", "v")
+
+
+@job(sql=SQL["fuse_affine_blocks"])
+def fuse_to_ngff(spark: SparkSession, d: str) -> DataFrame:
+    """The four views fused into a five-dimensional OME-NGFF image with a coarser level, and its full resolution read from there."""
+    path, block = _folder(spark, "fused") + ".zarr", (64, 64, 8)
+    fused = registration.fuse_views(_blocks(spark), _places(spark, d), _images(spark, d), "AVG_BLEND", "UINT16", 0.0, 400.0)
+    named = fused.withColumnsRenamed({"t_index": "tp", "c_index": "setup"}).select(*[F.col(c).cast(k) for c, k in (x.split() for x in ch.SCHEMA.split(", "))])
+    ch.write_container(ch.rechunked(named, block), path, [(1, 1, 1), (2, 2, 2)], block, views=[(0, 0)], layout="ngff", counts=(1, 1), sizes={(0, 0): (184, 154, 8)})
+    return _non_zero(arrays.read(spark, path, [(0, 0, 0)], "ngff")).select("x", "y", "z", "v")
+
+
 @job
 def split_with_points(spark: SparkSession, d: str) -> DataFrame:
     """Tiles of all views, and made-up points where neighbours of one view overlap."""

@@ -1,13 +1,11 @@
 """Images as tables of chunks: one row per chunk with its array as bytes (x, y, z in C order).
 
 Chunk tables are Parquet, partitioned by setup and level, with the chunk's box as plain columns whose statistics prune
-row groups. ``read_zarr`` and ``write_zarr`` exchange version-2 zarr arrays with raw, gzip or zstd chunks.
+row groups. N5 and zarr containers are read and written by the data source of ``arrays``.
 """
 
 from __future__ import annotations
 
-import gzip
-import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,11 +15,10 @@ from pyspark.sql import functions as F
 
 from volumetra.functions import options
 from volumetra.operators.graph import stored
+from volumetra.sources import arrays
+from volumetra.sources.arrays import NAMES, NUMPY, SCHEMA
 
 KEY = ["tp", "setup", "level", "gx", "gy", "gz"]
-SCHEMA = "tp int, setup long, level int, gx int, gy int, gz int, ox long, oy long, oz long, sx long, sy long, sz long, dtype string, payload binary"
-NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
-NUMPY = {"UINT8": "u1", "UINT16": "<u2", "UINT32": "<u4", "UINT64": "<u8", "INT8": "i1", "INT16": "<i2", "INT32": "<i4", "INT64": "<i8", "FLOAT32": "<f4", "FLOAT64": "<f8"}
 
 
 def decode(payload: bytes, dtype: str, shape) -> np.ndarray:
@@ -41,10 +38,10 @@ def encode(a: np.ndarray, dtype: str) -> bytes:
     return np.ascontiguousarray(converted(a, dtype)).tobytes()
 
 
-def from_arrays(spark: SparkSession, arrays: dict[tuple[int, int], np.ndarray], block=(64, 64, 64), dtype: str = "FLOAT32") -> DataFrame:
+def from_arrays(spark: SparkSession, images: dict[tuple[int, int], np.ndarray], block=(64, 64, 64), dtype: str = "FLOAT32") -> DataFrame:
     """Small images as chunks, keyed by (tp, setup): for tests and made-up data."""
     rows = []
-    for (tp, setup), a in arrays.items():
+    for (tp, setup), a in images.items():
         for o in np.ndindex(*[-(-n // b) for n, b in zip(a.shape, block, strict=True)]):
             lo = [i * b for i, b in zip(o, block, strict=True)]
             part = a[tuple(slice(x, x + b) for x, b in zip(lo, block, strict=True))]
@@ -85,8 +82,10 @@ def non_empty(chunks: DataFrame) -> DataFrame:
     return chunks.filter(F.length(F.regexp_replace(F.hex("payload"), "0", "")) > 0)
 
 
-def write(chunks: DataFrame, path: str, codec: str = "zstandard", mode: str = "errorifexists") -> None:
-    chunks.write.mode(mode).partitionBy("setup", "level").option("compression", options.parquet_codec(codec)).parquet(path)
+def write(chunks: DataFrame, path: str, codec: str = "zstandard", mode: str = "errorifexists", level: int | None = None, by=("setup", "level")) -> None:
+    """A chunk table; ``level`` is that of the codec, where Parquet's has one."""
+    more = {} if level is None else options.parquet_level(codec, level)
+    chunks.write.mode(mode).partitionBy(*by).option("compression", options.parquet_codec(codec)).options(**more).parquet(path)
 
 
 def read(spark: SparkSession, path: str, level: int | None = 0) -> DataFrame:
@@ -133,7 +132,7 @@ def _regrouped(chunks: DataFrame, block, factors) -> DataFrame:
             yield pd.DataFrame(rows, columns=NAMES)
 
     def join(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        lo = [int(pdf[f"o{x}"].min()) for x in "xyz"]
+        lo = [int(g) * b for g, b in zip(key[3:], block, strict=True)]  # what is missing is 0
         hi = [int((pdf[f"o{x}"] + pdf[f"s{x}"]).max()) for x in "xyz"]
         dtype = pdf["dtype"].iat[0]
         a = np.zeros([h - x for h, x in zip(hi, lo, strict=True)], NUMPY[dtype])
@@ -155,14 +154,15 @@ def pyramid(chunks: DataFrame, relative: list[tuple[int, int, int]], block=(64,
     return out
 
 
-def write_pyramid(chunks: DataFrame, path: str, relative: list[tuple[int, int, int]], block=(64, 64, 64), codec: str = "zstandard") -> None:
-    """All levels at ``path``, a chunk table or a zarr container, each made of the stored one before."""
-    spark, zarr = chunks.sparkSession, is_zarr(path)
-    put = (lambda c: write_zarr(c, path, block, codec)) if zarr else (lambda c: write(c, path, codec, "append"))
-    put(chunks)
-    views = [(r["tp"], r["setup"]) for r in chunks.select("tp", "setup").distinct().collect()] if zarr else []  # one row per image
-    for i, f in enumerate(relative[1:]):
-        put(downsampled(read_images(spark, path, views, i), f, block))
+def write_pyramid(chunks: DataFrame, path: str, factors: list[tuple[int, int, int]], block=(64, 64, 64), codec: str = "zstandard", level: int | None = None, sizes: dict[tuple[int, int], tuple] | None = None) -> None:
+    """All levels at ``path``, a chunk table or a container, each made of the stored one before; ``factors`` are against
+    full resolution."""
+    if is_container(path):
+        write_container(chunks, path, factors, block, codec, level, list(sizes) if sizes else None, sizes=sizes)
+        return
+    write(chunks, path, codec, "append", level)
+    for i, f in enumerate(options.relative_factors(factors)[1:]):
+        write(downsampled(read(chunks.sparkSession, path, i), f, block), path, codec, "append", level)
 
 
 def to_voxels(chunks: DataFrame) -> DataFrame:
@@ -178,114 +178,74 @@ def to_voxels(chunks: DataFrame) -> DataFrame:
     return chunks.select(*NAMES).mapInPandas(explode, "tp int, setup long, level int, x long, y long, z long, v double")
 
 
-# --- zarr, version 2 ---------------------------------------------------------------------------------------------
+# --- containers of arrays ----------------------------------------------------------------------------------------
 
 
-def write_zarr(chunks: DataFrame, path: str, block, codec: str = "gzip") -> None:
-    """One array per (tp, setup, level) at ``path``/tp/setup/level, chunks written by the tasks that hold them."""
-    if codec not in ("raw", "gzip", "zstandard"):
-        raise ValueError("zarr chunks are raw, gzip or zstandard here")
-    import pyarrow.fs
+def write_zarr(chunks: DataFrame, path: str, block, codec: str = "gzip", level: int | None = None) -> None:
+    """One array per (tp, setup, level) at ``path``/tp/setup/level, along x, y, z."""
+    arrays.write(rechunked(chunks, block), path, "zarr", block, codec, level)
 
-    meta = image_sizes(chunks).join(chunks.groupBy("tp", "setup", "level").agg(F.first("dtype").alias("dtype")), ["tp", "setup", "level"])
-    fs, root = pyarrow.fs.FileSystem.from_uri(path)
-    compressor = {"raw": None, "gzip": {"id": "gzip", "level": 1}, "zstandard": {"id": "zstd", "level": 3}}[codec]
-    for r in meta.collect():  # one row per array
-        folder = f"{root}/{r['tp']}/{r['setup']}/{r['level']}"
-        fs.create_dir(folder)
-        info = {"zarr_format": 2, "shape": [r["nx"], r["ny"], r["nz"]], "chunks": list(block), "dtype": np.dtype(NUMPY[r["dtype"]]).str, "compressor": compressor, "fill_value": 0, "order": "C", "filters": None, "dimension_separator": "."}
-        with fs.open_output_stream(f"{folder}/.zarray") as out:
-            out.write(json.dumps(info).encode())
 
-    def save(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fs, root = pyarrow.fs.FileSystem.from_uri(path)
-        n = 0
-        for pdf in parts:
-            for r in pdf.itertuples(index=False):
-                a = np.zeros(block, NUMPY[r.dtype])
-                part = decode(r.payload, r.dtype, (r.sx, r.sy, r.sz))
-                a[tuple(slice(0, s) for s in part.shape)] = part
-                with fs.open_output_stream(f"{root}/{r.tp}/{r.setup}/{r.level}/{r.gx}.{r.gy}.{r.gz}") as out:
-                    out.write(_pack(a.tobytes(), codec))
-                n += 1
-        yield pd.DataFrame({"n": [n]})
-
-    # Chunks of zeros are the fill value: they are left out.
-    non_empty(rechunked(chunks, block)).mapInPandas(save, "n long").agg(F.sum("n")).collect()
-
-
-def _pack(data: bytes, codec: str) -> bytes:
-    if codec == "gzip":
-        return gzip.compress(data, 1)
-    if codec == "zstandard":
-        import zstandard
-
-        return zstandard.ZstdCompressor(level=3).compress(data)
-    return data
-
-
-def read_zarr(spark: SparkSession, path: str, tp: int, setup: int, level: int = 0, dtype: str | None = None) -> DataFrame:
+def read_zarr(spark: SparkSession, path: str, tp: int, setup: int, level: int = 0) -> DataFrame:
     """Chunks of one array; chunks that are not there are missing (all fill value)."""
-    return read_zarr_arrays(spark, path, [(tp, setup, level)], dtype)
+    return read_zarr_arrays(spark, path, [(tp, setup, level)])
 
 
-def read_zarr_arrays(spark: SparkSession, path: str, arrays: list[tuple[int, int, int]], dtype: str | None = None) -> DataFrame:
-    """Chunks of the arrays (tp, setup, level) below ``path``, in one scan; their metadata is read on the driver."""
-    import pyarrow.fs
+def read_zarr_arrays(spark: SparkSession, path: str, wanted: list[tuple[int, int, int]]) -> DataFrame:
+    """Chunks of the arrays (tp, setup, level) below ``path``, in one scan."""
+    return arrays.read(spark, path, wanted, arrays.layout_of(path))
 
-    infos = {}
-    for a in arrays:
-        fs, root = pyarrow.fs.FileSystem.from_uri("/".join([path.rstrip("/"), *map(str, a)]))  # Spark's readers skip files whose names begin with a dot
-        with fs.open_input_stream(f"{root}/.zarray") as f:
-            infos[a] = json.loads(f.read())
-        codec = (infos[a]["compressor"] or {"id": "raw"})["id"]
-        if codec not in ("raw", "gzip", "zlib", "zstd"):
-            raise ValueError(f"no codec for {codec!r} chunks")
-    kinds = {np.dtype(v).str: k for k, v in NUMPY.items()}
 
-    def load(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            rows = []
-            for name, data in zip(pdf["path"], pdf["content"], strict=True):
-                *_, tp, setup, level, own = name.split("/")
-                key = int(tp), int(setup), int(level)
-                info = infos[key]
-                codec, shape, block = (info["compressor"] or {"id": "raw"})["id"], info["shape"], info["chunks"]
-                g = [int(x) for x in own.split(info.get("dimension_separator", "."))]
-                if codec in ("gzip", "zlib"):
-                    import zlib
-
-                    data = zlib.decompress(data, 47)
-                elif codec == "zstd":
-                    import zstandard
-
-                    data = zstandard.ZstdDecompressor().decompress(data, max_output_size=int(np.prod(block)) * 16)
-                lo = [i * b for i, b in zip(g, block, strict=True)]
-                n = [min(b, s - o) for b, s, o in zip(block, shape, lo, strict=True)]
-                a = np.frombuffer(data, info["dtype"]).reshape(block)[tuple(slice(0, k) for k in n)]
-                rows.append((*key, *g, *lo, *n, dtype or kinds[np.dtype(info["dtype"]).str], np.ascontiguousarray(a).tobytes()))
-            yield pd.DataFrame(rows, columns=NAMES)
-
-    folders = ["/".join([path.rstrip("/"), *map(str, a)]) for a in arrays]
-    if not folders:
-        return spark.createDataFrame([], SCHEMA)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "[0-9]*").load(folders).select("path", "content")
-    return files.mapInPandas(load, SCHEMA)
-
-
-def is_zarr(path: str) -> bool:
-    """Whether a path is a zarr container; a chunk table else. Other formats are refused."""
+def is_container(path: str) -> bool:
+    """Whether a path is an N5 or zarr container; a chunk table else. HDF5 is refused."""
     try:
         kind = options.storage_format(path)
     except ValueError:
         return False
-    if kind in ("N5", "HDF5"):
-        raise ValueError(f"{kind} images are not read or written here; resave them as zarr")
-    return kind == "ZARR"
-
-
-def read_images(spark: SparkSession, path: str, views: list[tuple[int, int]], level: int | None = 0, levels: int = 1) -> DataFrame:
-    """The chunks of a level (of all ``levels`` for None) of the views, from a chunk table or a zarr container."""
-    if not is_zarr(path):
-        return read(spark, path, level)
-    return read_zarr_arrays(spark, path, [(t, s, i) for t, s in views for i in (range(levels) if level is None else [level])])
+    if kind == "HDF5":
+        raise ValueError("HDF5 images are not read or written here; resave them as N5 or zarr")
+    return kind in ("N5", "ZARR")
+
+
+def read_images(spark: SparkSession, path: str, views: list[tuple[int, int]], level: int | None = 0, levels: int = 1, box: tuple | None = None) -> DataFrame:
+    """The chunks of a level (of all ``levels`` for None) of the views, from a chunk table or a container; only those that
+    touch ``box`` (at that level, inclusive) if it is given."""
+    if is_container(path):
+        return arrays.read(spark, path, [(t, s, i) for t, s in views for i in (range(levels) if level is None else [level])], arrays.layout_of(path), box)
+    df = read(spark, path, level)
+    if box is not None:
+        for x, low, high in zip("xyz", *box, strict=True):
+            df = df.filter((F.col(f"o{x}") <= high) & (F.col(f"o{x}") + F.col(f"s{x}") > low))
+    return df
+
+
+def _views(chunks: DataFrame) -> list[tuple[int, int]]:
+    return [(r["tp"], r["setup"]) for r in chunks.select("tp", "setup").distinct().collect()]  # one row per image
+
+
+def write_container(chunks: DataFrame, path: str, factors: list[tuple[int, int, int]], block=(64, 64, 64), codec: str = "zstandard", level: int | None = None, views: list[tuple[int, int]] | None = None, layout: str | None = None, counts: tuple[int, int] | None = None, sizes: dict[tuple[int, int], tuple] | None = None) -> None:
+    """A pyramid of arrays with ``factors`` against full resolution, each level made of the stored one before; the files that
+    make it an image come with the last level. ``chunks`` lie on the grid of ``block``; ``sizes`` of full resolution
+    by (tp, setup) are needed where chunks of zeros may be missing."""
+    spark, steps = chunks.sparkSession, options.relative_factors(factors)
+    layout = layout or arrays.layout_of(path, "ngff-views")
+    views = _views(chunks) if views is None else views
+    for i, step in enumerate(steps):
+        part = chunks if i == 0 else downsampled(arrays.read(spark, path, [(t, s, i - 1) for t, s in views], layout), step, block)
+        attributes = _group(layout, views, factors) if i + 1 == len(steps) else None
+        shapes = {v: [max(1, n // f) for n, f in zip(size, factors[i], strict=True)] for v, size in (sizes or {}).items()}
+        arrays.write(part, path, layout, block, codec, level, counts, shapes, attributes)
+
+
+def _group(layout: str, views: list[tuple[int, int]], factors) -> dict:
+    from volumetra.sources.container import multiscales
+
+    if layout == "n5":
+        return arrays.n5_attributes(views, factors)
+    image = multiscales({"levels": [{"factors": list(f)} for f in factors]}, "image")
+    if layout == "ngff":
+        return arrays.ngff_attributes(image)
+    out: dict = {".zgroup": {"zarr_format": 2}}
+    for tp, setup in views if layout == "ngff-views" else []:
+        out |= arrays.ngff_attributes(image, arrays.LAYOUTS[layout].of(tp, setup, 0).rsplit("/", 1)[0])
+    return out

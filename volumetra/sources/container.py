@@ -15,7 +15,7 @@ from volumetra.sources import project as projects
 TYPES = ("UINT8", "UINT16", "FLOAT32")
 
 
-def properties_of(project: projects.Project, source: str, *, dtype: str = "FLOAT32", block=(128, 128, 128), box: dict | None = None, channels: int | None = None, timepoints: int | None = None, low: float | None = None, high: float | None = None, anisotropy: bool = False, factor: float | None = None, multires: bool = False, pyramid: str | None = None, codec: str = "zstandard", xml_out: str | None = None) -> dict:
+def properties_of(project: projects.Project, source: str, *, dtype: str = "FLOAT32", block=(128, 128, 128), box: dict | None = None, channels: int | None = None, timepoints: int | None = None, low: float | None = None, high: float | None = None, anisotropy: bool = False, factor: float | None = None, multires: bool = False, pyramid: str | None = None, codec: str = "zstandard", level: int | None = None, xml_out: str | None = None) -> dict:
     """The properties of a new container. Unset numbers are left out; whole-number types get their full range by default."""
     if dtype not in TYPES:
         raise ValueError(f"output is one of {', '.join(TYPES)}")
@@ -38,7 +38,7 @@ def properties_of(project: projects.Project, source: str, *, dtype: str = "FLOAT
     out = {
         "source": source, "num_channels": channels or counts["c"], "num_timepoints": timepoints or counts["t"], "box_min": [box[f"{x}0"] for x in "xyz"], "box_max": [box[f"{x}1"] for x in "xyz"],
         "preserve_anisotropy": anisotropy, "anisotropy_factor": factor if anisotropy else None, "data_type": dtype, "block_size": list(block), "min_intensity": low, "max_intensity": high,
-        "levels": [{"factors": list(f), "size": [max(1, n // k) for n, k in zip(size, f, strict=True)]} for f in levels], "compression": codec, "project_out": xml_out,
+        "levels": [{"factors": list(f), "size": [max(1, n // k) for n, k in zip(size, f, strict=True)]} for f in levels], "compression": codec, "compression_level": level, "project_out": xml_out,
     }
     return {k: v for k, v in out.items() if v is not None}
 
@@ -70,6 +70,28 @@ def multiscales(properties: dict, name: str = "fused") -> dict:
     return {"multiscales": [{"version": "0.4", "name": name, "axes": axes, "datasets": datasets}]}
 
 
+def volumes(path: str) -> str:
+    """Where a container's images lie: an image group in it that viewers open, N5 arrays, or a chunk table."""
+    root = path.rstrip("/")
+    try:
+        kind = options.storage_format(root)
+    except ValueError:
+        kind = ""
+    return f"{root}/volumes" + {"ZARR": ".zarr", "N5": ".n5"}.get(kind, "")
+
+
+def output_project(spark: SparkSession, path: str, properties: dict) -> projects.Project:
+    """A project of the output: a setup for each channel, with the size of the output box, unmoved, and its images' place."""
+    size = [b - a + 1 for a, b in zip(properties["box_min"], properties["box_max"], strict=True)]
+    deep = float(properties.get("anisotropy_factor", 1.0))
+    views = [(t, c, 0, c, 0, 0, True, *size, 1.0, 1.0, deep) for t in range(properties["num_timepoints"]) for c in range(properties["num_channels"])]
+    facts = {"images": volumes(path), "levels": [x["factors"] for x in properties["levels"]]}
+    out = projects.Project(spark)
+    out["views"] = spark.createDataFrame(views, projects.SCHEMAS["views"])
+    out["properties"] = spark.createDataFrame([(k, json.dumps(v)) for k, v in facts.items()], projects.SCHEMAS["properties"])
+    return out
+
+
 def blocks(spark: SparkSession, properties: dict, scale=(2, 2, 1)) -> DataFrame:
     """Compute blocks of the output box in world coordinates, from one row."""
     from volumetra.operators import blocks as b

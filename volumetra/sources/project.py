@@ -7,6 +7,7 @@ sizes, timepoints, missing views, registrations).
 
 from __future__ import annotations
 
+import json
 import uuid
 import xml.etree.ElementTree as ET
 from dataclasses import dataclass, field
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Root element of the XML form; readers take any.
 ROOT = "Project"
+#: Elements that hold the images' place, and the formats of their loaders.
+LOADERS = {"n5": "bdv.n5", "zarr": "bdv.multimg.zarr", "table": "chunks"}
 SCHEMAS = {
     "views": "tp int, setup long, angle long, channel long, illum long, tile long, present boolean, nx long, ny long, nz long, vx double, vy double, vz double",
     "transforms": "tp int, setup long, seq int, name string, affine array<double>",
@@ -47,9 +50,17 @@ class Project:
         self.tables[name] = df.select(*want)
 
     def save(self, path: str, dry_run: bool = False) -> str | None:
-        """Write all tables as a new version; nothing with ``dry_run``."""
+        """Write all tables as a new version, or views, registrations and the images' place to an XML file; nothing with
+        ``dry_run``."""
         if dry_run:
             return None
+        if path.rstrip("/").endswith(".xml"):
+            from volumetra.sources import arrays
+
+            fs, file = arrays.open_folder(path)
+            fs.create_dir(file.rsplit("/", 1)[0])
+            arrays._put(fs, file, to_xml(self).encode())
+            return None
         version = uuid.uuid4().hex
         for name in SCHEMAS:
             df = self[name]
@@ -118,6 +129,14 @@ def from_xml(spark: SparkSession, path: str) -> Project:
         for i, x in enumerate(r.iter("ViewTransform")):
             transforms.append((int(r.get("timepoint")), int(r.get("setup")), i, (x.findtext("Name") or "").strip(), numbers(x.find("affine"))))
     out = Project(spark)
+    facts = {}
+    loader = root.find(".//ImageLoader")
+    place = next((e for e in loader if e.tag in LOADERS) if loader is not None else iter(()), None)
+    if place is not None:
+        facts["images"] = f"{path.rstrip('/').rsplit('/', 1)[0]}/{place.text}" if place.get("type") == "relative" else place.text
+    if loader is not None and (levels := loader.findtext("levels")):
+        facts["levels"] = [[int(x) for x in f.split(",")] for f in levels.split(";")]
+    out["properties"] = spark.createDataFrame([(k, json.dumps(v)) for k, v in facts.items()], SCHEMAS["properties"])
     out["views"] = spark.createDataFrame(views, SCHEMAS["views"])
     out["transforms"] = spark.createDataFrame(transforms, SCHEMAS["transforms"])
     return out
@@ -127,6 +146,12 @@ def to_xml(project: Project) -> str:
     """The XML form of views and registrations."""
     root = ET.Element(ROOT, version="0.2")
     seq = ET.SubElement(root, "SequenceDescription")
+    facts = {r["key"]: json.loads(r["value"]) for r in project["properties"].collect()}
+    if "images" in facts:
+        kind = next((k for k in LOADERS if facts["images"].rstrip("/").lower().endswith(f".{k}")), "table")
+        loader = ET.SubElement(seq, "ImageLoader", format=LOADERS[kind], version="1.0")
+        ET.SubElement(loader, kind, type="absolute").text = facts["images"]
+        ET.SubElement(loader, "levels").text = ";".join(",".join(map(str, f)) for f in facts.get("levels", [[1, 1, 1]]))
     holder = ET.SubElement(seq, "ViewSetups")
     views = [r.asDict() for r in project["views"].orderBy("setup", "tp").collect()]
     for s in {v["setup"]: v for v in views}.values():
