@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from volumetra.operators import spatial
+from volumetra.operators import knn, spatial
 
 
 def brightest(points: DataFrame, n: int, by: list[str]) -> DataFrame:
@@ -219,35 +219,8 @@ def without_fixed(pairs: DataFrame, fixed: DataFrame, same_group: Column) -> Dat
 
 
 def best_two(a: DataFrame, b: DataFrame, vector: str, block: int = 4096) -> DataFrame:
-    """(id_a, id_b, d1, d2): each descriptor of ``a`` with the nearest of ``b`` and the squared distances of the two nearest.
-
-    ``b`` is packed into blocks of about ``block`` rows; every row of ``a`` meets every block as a matrix product, and
-    only two rows per meeting go on. Ties go to the smaller id.
-    """
-    n_blocks, n_parts = max(1, -(-b.count() // block)), max(1, -(-a.count() // block))
-    deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = a.select(F.col("id").alias("id"), F.col(vector).alias("w"), deal(n_parts).alias("part")).withColumn("blk", every(n_blocks))
-    right = b.select(F.col("id").alias("id"), F.col(vector).alias("w"), deal(n_blocks).alias("blk")).withColumn("part", every(n_parts))
-
-    def run(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if x.empty or y.empty:
-            return pd.DataFrame({"id_a": [], "id_b": [], "d": []})
-        y = y.sort_values("id")
-        p, q = np.stack(x["w"].to_list()).astype(float), np.stack(y["w"].to_list()).astype(float)
-        out = []
-        for i in range(0, len(p), 512):
-            d = (p[i : i + 512, None, :] - q[None, :, :]) ** 2 if q.size * 512 <= 2**24 else None
-            d = d.sum(axis=2) if d is not None else np.stack([((v - q) ** 2).sum(axis=1) for v in p[i : i + 512]])
-            two = np.argsort(d, axis=1, kind="stable")[:, :2]
-            for k in range(two.shape[1]):
-                out.append(pd.DataFrame({"id_a": x["id"].to_numpy()[i : i + 512], "id_b": y["id"].to_numpy()[two[:, k]], "d": np.take_along_axis(d, two[:, k : k + 1], 1)[:, 0]}))
-        return pd.concat(out)
-
-    found = left.groupBy("blk", "part").cogroup(right.groupBy("blk", "part")).applyInPandas(run, "id_a long, id_b long, d double")
-    rank = F.row_number().over(Window.partitionBy("id_a").orderBy("d", "id_b"))
-    top = found.withColumn("rank", rank).filter("rank <= 2").groupBy("id_a")
-    return top.agg(F.max(F.when(F.col("rank") == 1, F.col("id_b"))).alias("id_b"), F.min("d").alias("d1"), F.max(F.when(F.col("rank") == 2, F.col("d"))).alias("d2"))
+    """(id_a, id_b, d1, d2): each descriptor of ``a`` with the nearest of ``b`` and the squared distances of the two nearest."""
+    return knn.nearest_two(a, b, vector, block=block)
 
 
 def ratio_test(two: DataFrame, significance: float) -> DataFrame:
