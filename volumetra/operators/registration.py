@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from volumetra.operators import spatial
+from volumetra.operators import coefficients, spatial
 from volumetra.operators.kernels import deformation, detection, intensities, matching, models, solving, stitching
 from volumetra.sources import chunks as ch
 
@@ -227,17 +227,15 @@ def match_intensities(matches: DataFrame, method: str = "RANSAC", at_least: int
     return matches.groupBy(*by).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in by) + ", n long, scale double, offset double")
 
 
-def solve_intensities(matches: DataFrame, blend: float = 0.1, iterations: int = 1000) -> DataFrame:
-    """(tp, setup, cx, cy, cz, scale, offset), without tp if ``matches`` has none: on the driver, over one row per pair of views
-    and cell. The second view's cell is (cx_b, cy_b, cz_b), or the same where these are not given."""
-    view = spatial.view_key(matches)
-    own = [*view, "cx", "cy", "cz"]
-    theirs = [f"{c}_b" if f"{c}_b" in matches.columns else c for c in own]
-    rows = matches.select(*dict.fromkeys([*own, *theirs, "n", "scale", "offset"])).collect()
-    ends = [(tuple(r[c] for c in own), tuple(r[c] for c in theirs)) for r in rows]
-    got = intensities.solve([(a, b, r["scale"], r["offset"], r["n"] / 100) for (a, b), r in zip(ends, rows, strict=True)], sorted({c for e in ends for c in e}), blend, iterations)
+def solve_intensities(matches: DataFrame, blend: float = 0.1, iterations: int = 1000, local: int = coefficients.LOCAL) -> DataFrame:
+    """(tp, setup, cx, cy, cz, scale, offset), without tp if ``matches`` has none. The second view's cell is (cx_b, cy_b, cz_b),
+    or the same where these are not given."""
     kinds = {"tp": "int", "setup": "long", "cx": "int", "cy": "int", "cz": "int"}
-    return matches.sparkSession.createDataFrame([(*map(int, c), s, o) for c, (s, o) in got.items()], ", ".join(f"{c} {kinds[c]}" for c in own) + ", scale double, offset double")
+    own = [*spatial.view_key(matches), "cx", "cy", "cz"]
+    theirs = [f"{c}_b" if f"{c}_b" in matches.columns else c for c in own]
+    ends = [F.struct(*[F.col(c).cast(kinds[k]).alias(k) for c, k in zip(names, own, strict=True)]) for names in (own, theirs)]
+    rows = matches.select(ends[0].alias("a"), ends[1].alias("b"), F.col("scale").alias("k"), F.col("offset").alias("d"), (F.col("n") / 100).alias("w"))
+    return coefficients.solve(rows, blend, iterations, local=local).select("cell.*", "scale", "offset")
 
 
 JOINT = ("x", "y", "z", "x_b", "y_b", "z_b")
