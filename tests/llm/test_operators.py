@@ -374,3 +374,15 @@ def test_scopes_delete_their_own_tables(spark):
         inner = scratch.table(spark.range(4), "inner")
     assert inner.count() == 4 and scratch.clear(spark, mine) == 1 and not mine
     assert outer.count() == 3
+
+
+def test_quality_is_fitted_on_each_labelled_document_once(spark):
+    """A labelled id that many rows repeat gives one training row."""
+    rows = [(i, f"text of row {i}", "s") for i in range(60)] + [(3, f"other text {i}", "s") for i in range(500)] + [(3, None, "s")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    for docs in (table(spark, rows), table(spark, rows).repartition(7)):
+        got = {r.doc_id: r.text for r in quality.training_rows(docs, labels, 40).collect()}
+        assert quality.training_rows(docs, labels, 40).count() == len(got) <= 40
+        every = quality.training_rows(docs, labels, 1000).collect()
+        assert len(every) == len({r.doc_id for r in every}) and (3 in {r.doc_id for r in every}) != (zlib.crc32(b"3") % 3 == 1)
+    assert got == {r.doc_id: r.text for r in quality.training_rows(table(spark, rows), labels, 40).collect()}

@@ -82,3 +82,9 @@ def test_shards_are_not_multiplied_by_query_blocks(spark, monkeypatch):
     monkeypatch.setattr(topk, "stored_trees", lambda dealt, leaf_rows: built.append(real(dealt, leaf_rows)) or built[0])
     assert run(spark, rows, shard_rows=100, leaf_rows=16) == brute(rows, 10)
     assert built[0].count() == 6
+
+
+def test_empty_vectors_score_zero(spark):
+    got = sorted(run(spark, [(0, []), (100, [1.0, 0.5]), (1, [-1.0]), (2, []), (3, None)]))
+    assert got == [(0, 1, 1, 0), (0, 2, 2, 0), (0, 3, 100, 0), (100, 1, 0, 0), (100, 2, 2, 0), (100, 3, 1, -(1024**2))]
+    assert sorted(run(spark, [(0, []), (1, [])])) == [(0, 1, 1, 0)]

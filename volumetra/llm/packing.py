@@ -110,6 +110,10 @@ class WordEncoder:
         known.update((w, b"".join(map(known.__getitem__, p))) for w, p in parts.items())
         known.update(zip(others, self._ids(others), strict=True))
 
+    def forget(self) -> None:
+        """Drops the words kept, not the tokenizer."""
+        self.known, self.older = {"": b""}, {}
+
     def _bytes_of(self, words: list[str]) -> list[bytes]:
         if len(self.known) > CACHE_ROWS:
             self.known, self.older = {"": b""}, self.known
@@ -176,6 +180,8 @@ def tokenized(docs: DataFrame, path: str, end_id: int = END_ID, window: int = WI
                 data = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((2 * bounds).astype(np.int32)), pa.py_buffer(ids)])
                 cols = [batch.column(0).slice(a, b - a), pa.array([task] * (b - a), pa.int32()), pa.array(left, pa.int32()), pa.array(rank, pa.int64()), data]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "task", "left", "rank", "ids"])
+        encoder.forget()
+        scratch.give_back()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInArrow(encode, "doc_id long, task int, left int, rank long, ids binary")
@@ -274,7 +280,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID,
     for r in counts.groupBy("left").agg(F.sum("n").alias("n")).collect():  # at most ``window`` rows
         hist[r["left"]] = r["n"]
     hist[0] = 0
-    plan = spark.sparkContext.broadcast(plan_windows(hist, window))
+    plan = scratch.share(spark, plan_windows(hist, window))
     offsets = counts.select("task", "left", "from")
     if offsets.count() <= BROADCAST_OFFSETS:
         offsets = F.broadcast(offsets)

@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from volumetra.llm import scratch
+
 MAX_TRAIN, VOCABULARY, WIDTH, NONZERO, HIDDEN, FIT_PARTS, SEED = 4000, 3000, 64, 4, 24, 12, 7
 _WORD = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 _SHAPES, PAIRS = 24, 65_536
@@ -130,19 +132,19 @@ def held_out(id_col: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN, label_col: str = "quality") -> DataFrame:
-    """(doc_id, text, y, aside): at most ``most`` labelled rows that are not held out, each document once."""
+    """(doc_id, text, y, aside): at most ``most`` labelled rows that are not held out; of rows that repeat an id, the one whose
+    text has the smallest hash."""
     y = labels.filter(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     y = y.groupBy(F.col("doc_id").alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     chosen = y.orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(most)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
+    one = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least"), F.max("y").alias("y"))
     aside = F.pmod(F.xxhash64("doc_id", F.lit("aside")), F.lit(5)) == 0
-    return rows.select("doc_id", "text", "y", aside.alias("aside"))
+    return one.select("doc_id", "least.text", "y", aside.alias("aside"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN, label_col: str = "quality") -> tuple[Pooler, Network | Constant]:
     """Vocabulary, then word vectors, then the network; each from one pass over the training rows."""
-    from volumetra.llm import scratch
-
     rows = scratch.table(training_rows(docs, labels, most, label_col), "training")
     parts = rows.coalesce(FIT_PARTS)
 
@@ -197,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN, label_col: st
 
 def score(docs: DataFrame, pooler: Pooler, network: Network | Constant, text_col: str = "text", out_col: str = "score", keep: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``keep``) with ``out_col``, the probability of label 1."""
-    model = docs.sparkSession.sparkContext.broadcast((pooler, network))
+    model = scratch.share(docs.sparkSession, (pooler, network))
     kept = [c for c in (docs.columns if keep is None else keep) if c != out_col]
     names = [*kept, *({text_col} - set(kept))]
     at, places = names.index(text_col), [names.index(c) for c in kept]
@@ -207,6 +209,7 @@ def score(docs: DataFrame, pooler: Pooler, network: Network | Constant, text_col
         for batch in batches:
             x = pooler.pool([t or "" for t in batch.column(at).to_pylist()])
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in places), pa.array(np.round(network.score(x), 6))], [*kept, out_col])
+        scratch.give_back()
 
     return docs.select(*names).mapInArrow(run, docs.select(*kept).schema.add(out_col, "double"))
 

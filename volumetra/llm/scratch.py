@@ -14,12 +14,12 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 #: The innermost list takes the paths; the outermost is that of callers without a scope.
-_SCOPES: list[list[str]] = [[]]
+_SCOPES: list[list] = [[]]
 
 
 @contextmanager
-def scope(paths: list[str]) -> Iterator[list[str]]:
-    """Tables written inside are noted in ``paths``."""
+def scope(paths: list) -> Iterator[list]:
+    """Tables written and values shared inside are noted in ``paths``."""
     _SCOPES.append(paths)
     try:
         yield paths
@@ -46,17 +46,42 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear(spark: SparkSession, paths: list[str] | None = None) -> int:
-    """Delete the tables noted in ``paths`` (by default those written outside of any scope); call it once what reads them
-    has been stored."""
+def share(spark: SparkSession, value):
+    """A broadcast value that ``clear`` takes back from driver and executors."""
+    shared = spark.sparkContext.broadcast(value)
+    _SCOPES[-1].append(shared)
+    return shared
+
+
+def clear(spark: SparkSession, paths: list | None = None) -> int:
+    """Delete the tables and take back the values noted in ``paths`` (by default those made outside of any scope); call it once
+    what reads them has been stored. The number of tables is returned."""
     jvm, conf, n = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf(), 0
     paths = _SCOPES[0] if paths is None else paths
     while paths:
-        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
+        item = paths.pop()
+        if not isinstance(item, str):
+            item.destroy()
+            continue
+        path = jvm.org.apache.hadoop.fs.Path(item)
         n += bool(path.getFileSystem(conf).delete(path, True))
     return n
 
 
+def give_back() -> None:
+    """Hands a worker's freed memory back to the system, at the end of a task: workers live on, and their peaks would add up."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # of glibc alone
+        trim(0)
+
+
 def let(value, body):
     """``body(value)`` with ``value`` computed once, for use below a lambda that would compute it per element."""
     from pyspark.sql import functions as F

@@ -13,9 +13,9 @@ Scale: queries lie in blocks of ``BLOCK_QUERIES``, one binary row each, which ar
 is copied (a stated query set against all rows, in blocks). A shard returns at most k rows for each query. Nothing but
 counts reaches the driver.
 
-Defined results: vectors that are null, empty, or hold null or non-finite components take no part, nor do those of which
+Defined results: vectors that are null or hold null or non-finite components take no part, nor do those of which
 a quantized component is beyond 2**62; scores outside the range of a long count as its ends; ties go to the smaller id,
-repeated ids to either row; of vectors of unequal length the shorter counts as padded with zeros; extra columns are
+repeated ids to either row; of vectors of unequal length the shorter counts as padded with zeros, so that empty ones score 0; extra columns are
 ignored.
 """
 
@@ -43,12 +43,12 @@ def quantized(vectors: DataFrame, id_col: str, vector_col: str, scale: int = SCA
     x = F.transform(F.col(vector_col), lambda e: e.cast("double"))
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x"))
     finite = F.forall("x", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(2.0**62 / scale)))
-    rows = rows.filter(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & (F.size("x") > 0)).filter(finite)
+    rows = rows.filter(F.col("vec_id").isNotNull() & F.col("x").isNotNull()).filter(finite)
     return rows.select("vec_id", F.transform("x", lambda e: F.floor(e * F.lit(float(scale)))).cast("array<long>").alias("v"))
 
 
 def _matrix(rows: pd.Series) -> np.ndarray:
-    width = max((len(v) for v in rows), default=0)
+    width = max((len(v) for v in rows), default=0) or 1
     out = np.zeros((len(rows), width), np.int64)
     for i, v in enumerate(rows):
         out[i, : len(v)] = v
@@ -258,7 +258,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
   FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
