@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages over ``documents``, each by one operator of volumetra.llm.
 
 Every stage gets what its predecessor kept, written as Parquet and read again, and all but the last return the columns
-of documents. Tables that a stage has written for itself are deleted when the next stage begins.
+of documents. Tables that a stage has written for itself, and values it has shared, are deleted when the next stage begins.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from volumetra.llm.tokencount import vocabulary
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 BROADCAST_IDS = 500_000
+#: Rows that go to Python at once: whole texts and their words, so that a worker's peak is that of few documents.
+BATCH_ROWS = 1000
 #: Tables of the stage that ran last, and stage outputs that its result may still be read from.
 _TABLES: list[str] = []
 _OUTPUTS: list[str] = []
@@ -31,6 +33,7 @@ def stage(f: Stage) -> Stage:
     @wraps(f)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         scratch.clear(spark, _TABLES)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
         with scratch.scope(_TABLES):
             return f(spark, docs.select(*COLUMNS), sf_dir)
 
