@@ -6,6 +6,7 @@ numpy kernel runs on each group, and what it finds stays distributed.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,9 @@ def _spread(parts: Iterator[pd.DataFrame], wanted: list[str]) -> Iterator[pd.Dat
 
 
 PART = "px long, py long, pz long, mx long, my long, mz long, dtype string, payload binary"
+PARTS = [c.split()[0] for c in PART.split(", ")]
+#: Voxels of a block of detection: its halo adds about two fifths, and a task holds a few arrays of 40 MB.
+DETECTION_BLOCK = (192, 192, 96)
 
 
 def _assemble(pdf: pd.DataFrame, within: tuple[list[int], list[int]] | None = None) -> tuple[np.ndarray, list[int]]:
@@ -67,37 +71,49 @@ def _parts(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
     return df.mapInPandas(lambda p: _spread(p, list(wanted)), f"{kinds}, {PART}")
 
 
-def detect_points(chunks: DataFrame, sigma: float, threshold: float, low: float, high: float, kind: str = "MAX", localization: str = "QUADRATIC", median: int | None = None, level_factors: tuple[int, int, int] = (1, 1, 1)) -> DataFrame:
+def detect_points(chunks: DataFrame, sigma: float, threshold: float, low: float, high: float, kind: str = "MAX", localization: str = "QUADRATIC", median: int | None = None, level_factors: tuple[int, int, int] = (1, 1, 1), block: tuple[int, int, int] = DETECTION_BLOCK) -> DataFrame:
     """(tp, setup, x, y, z, intensity) of the blobs of all images, in full-resolution coordinates.
 
-    Every chunk is a block; its neighbours send it the slabs of its halo, and it keeps what lies in its own voxels, so
-    that the result does not depend on where chunks end.
+    Images are cut into blocks of a grid. A chunk sends each block what it holds of it and of the slabs of its halo, and the
+    block keeps what lies in its own voxels, so that the result does not depend on where chunks end: one shuffle of the
+    images and their slabs, no join.
     """
     reach = detection.halo(sigma) + (median or 0)
-    own = chunks.select("tp", "setup", *[F.col(c).alias(f"b{c}") for c in ("gx", "gy", "gz")], *[F.col(f"o{x}").alias(f"b{x}0") for x in "xyz"], *[(F.col(f"o{x}") + F.col(f"s{x}") - 1).alias(f"b{x}1") for x in "xyz"])
-    # Chunks of one image have equal sizes but for the last, so neighbours lie within the halo in whole chunks.
-    boxed = ch.boxes(chunks)
-    blocks = own.select("tp", "setup", "bgx", "bgy", "bgz", *[F.col(f"b{x}{i}").alias(f"{x}{i}") for x in "xyz" for i in (0, 1)])
-    cell = 256
-    met = spatial.box_join(blocks, boxed.select("tp", "setup", "ox", "oy", "oz", "sx", "sy", "sz", "dtype", "payload", *[f"{x}{i}" for x in "xyz" for i in (0, 1)]), cell, ["tp", "setup"], expand=reach)
-    met = met.select("tp", "setup", "bgx", "bgy", "bgz", *[F.col(f"{x}{i}").alias(f"k{x}{i}") for x in "xyz" for i in (0, 1)], *[F.col(f"{c}_b").alias(c) for c in ("ox", "oy", "oz", "sx", "sy", "sz", "dtype", "payload")], *[(F.col(f"{x}0") - reach).alias(f"c{x}0") for x in "xyz"], *[(F.col(f"{x}1") + reach).alias(f"c{x}1") for x in "xyz"])
-    keys = {"tp": "int", "setup": "long", "bgx": "int", "bgy": "int", "bgz": "int", **{f"k{x}{i}": "long" for x in "xyz" for i in (0, 1)}}
+
+    def slabs(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                o, s = (r.ox, r.oy, r.oz), (r.sx, r.sy, r.sz)
+                a = ch.decode(r.payload, r.dtype, s)
+                first = [max(0, (p - reach) // b) for p, b in zip(o, block, strict=True)]
+                last = [(p + n - 1 + reach) // b for p, n, b in zip(o, s, block, strict=True)]
+                for g in itertools.product(*[range(p, q + 1) for p, q in zip(first, last, strict=True)]):
+                    lo = [max(p, i * b - reach) for p, i, b in zip(o, g, block, strict=True)]
+                    hi = [min(p + n, (i + 1) * b + reach) for p, n, i, b in zip(o, s, g, block, strict=True)]
+                    own = all(p < (i + 1) * b and q > i * b for p, q, i, b in zip(lo, hi, g, block, strict=True))
+                    part = a[tuple(slice(p - x, q - x) for p, q, x in zip(lo, hi, o, strict=True))]
+                    rows.append((r.tp, r.setup, *g, own, *lo, *part.shape, r.dtype, np.ascontiguousarray(part).tobytes()))
+            yield pd.DataFrame(rows, columns=["tp", "setup", "bx", "by", "bz", "own", *PARTS])
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        if not pdf["own"].any():
+            return pd.DataFrame([], columns=["tp", "setup", "x", "y", "z", "intensity"])
         a, lo = _assemble(pdf)
         if median:
             a = detection.median_ratio(a, median)
         at, values = detection.detect(a, sigma, threshold, low, high, kind, localization)
         at = at + lo
-        first = pdf.iloc[0]
         # The block a voxel belongs to is that of the whole-number extremum nearest to the subpixel place.
         inside = np.ones(len(at), bool)
-        for i, x in enumerate("xyz"):
-            inside &= (np.floor(at[:, i] + 0.5) >= first[f"k{x}0"]) & (np.floor(at[:, i] + 0.5) <= first[f"k{x}1"])
+        for i, b in enumerate(block):
+            inside &= np.floor((np.floor(at[:, i] + 0.5)) / b) == key[2 + i]
         at = at[inside] * np.array(level_factors) + (np.array(level_factors) - 1) / 2
         return pd.DataFrame({"tp": key[0], "setup": key[1], "x": at[:, 0], "y": at[:, 1], "z": at[:, 2], "intensity": values[inside]})
 
-    return _parts(met, keys).groupBy("tp", "setup", "bgx", "bgy", "bgz").applyInPandas(run, POINTS)
+    wanted = chunks.select("tp", "setup", "ox", "oy", "oz", "sx", "sy", "sz", "dtype", "payload")
+    cut = wanted.mapInPandas(slabs, f"tp int, setup long, bx int, by int, bz int, own boolean, {PART}")
+    return cut.groupBy("tp", "setup", "bx", "by", "bz").applyInPandas(run, POINTS)
 
 
 def stitch_pairs(pairs: DataFrame, chunks: DataFrame, peaks: int = 5, subpixel: bool = True, max_shift=(None, None, None), cell: int = 256) -> DataFrame:
