@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from volumetra.operators import knn, spatial
+from volumetra.operators import graph, knn, spatial
+from volumetra.operators.graph import stored
 
 
 def brightest(points: DataFrame, n: int, by: list[str]) -> DataFrame:
@@ -55,67 +59,58 @@ def far_from(points: DataFrame, others: DataFrame, distance: int, by: list[str])
     return a.join(b, near & (d <= distance * distance), "left_anti").select(*points.columns)
 
 
-def dedupe_lists(points: DataFrame, distance: float, by: list[str], order: str) -> DataFrame:
+def dedupe_lists(points: DataFrame, distance: float, by: list[str], order: str, store: Callable[[DataFrame], DataFrame] = stored) -> DataFrame:
     """Points list by list in the order of ``order``: one is taken if none taken from earlier lists is within ``distance``.
 
-    Points of one list are never compared. Sequential per view, so a numpy pass over each view's points (a view's points
-    are what one detection job holds in memory); accepted points are kept in grid cells.
+    Points of one list are never compared. A round for each list: an anti join over grid cells with what was taken before,
+    which is stored; lists are a project's labels, a few.
     """
+    taken: list[DataFrame] = []
+    for r in points.select(order).distinct().orderBy(order).collect():
+        own = points.filter(F.col(order).eqNullSafe(F.lit(r[0])))
+        taken.append(store(far_from(own, reduce(DataFrame.unionByName, taken), distance, by) if taken else own))
+    return reduce(DataFrame.unionByName, taken) if taken else points
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        cells: dict[tuple[int, int, int], list[np.ndarray]] = {}
-        keep = np.zeros(len(pdf), bool)
-        pdf = pdf.sort_values([order, "id"], kind="stable").reset_index(drop=True)
-        xyz = pdf[["x", "y", "z"]].to_numpy(float)
-        steps = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
-        for _, own in pdf.groupby(order, sort=True).groups.items():
-            taken = []
-            for i in own:
-                c = tuple(np.floor(xyz[i] / distance).astype(int))
-                near = (q for s in steps for q in cells.get((c[0] + s[0], c[1] + s[1], c[2] + s[2]), ()))
-                if all(((q - xyz[i]) ** 2).sum() > distance**2 for q in near):
-                    keep[i] = True
-                    taken.append((c, xyz[i]))
-            for c, q in taken:
-                cells.setdefault(c, []).append(q)
-        return pdf[keep]
-
-    return points.groupBy(*by).applyInPandas(run, points.schema)
 
+def clustered(points: DataFrame, radius: float, by: list[str], out: str = "gid", block: int = 16, store: Callable[[DataFrame], DataFrame] = stored) -> DataFrame:
+    """Points with the number ``out`` of their cluster: those linked by steps of at most ``radius`` within a group share one.
 
-def merged(points: DataFrame, radius: float, by: list[str]) -> DataFrame:
-    """Points of a group of views merged: clusters of points linked by steps of at most ``radius`` become their mean."""
+    A group's space is cut into blocks of ``block`` radii; a point goes to its block and to those within a radius. A block links
+    its points as stars, and the stars that share border points are joined as connected components.
+    """
+    side = block * max(radius, 1e-9)
+    rows = store(points.withColumn("__n", F.monotonically_increasing_id()))
+    near = rows.select(*by, "__n", *[F.col(x).cast("double").alias(x) for x in "xyz"])
+    for x in "xyz":
+        near = near.withColumn(f"__b{x}", F.explode(F.array_distinct(F.array(F.floor((F.col(x) - radius) / side), F.floor((F.col(x) + radius) / side)))))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
         from volumetra.operators.kernels.models import clusters
 
-        xyz = pdf[["x", "y", "z"]].to_numpy(float)
-        label = clusters(xyz, radius)
-        out = pdf.assign(__l=label).groupby("__l", sort=True)
-        first = out[by].first().reset_index(drop=True)
-        mean = out[["x", "y", "z"]].mean().reset_index(drop=True)
-        ids = out["id"].min().reset_index(drop=True)
-        return pd.concat([first, ids, mean, out.size().reset_index(drop=True).rename("n")], axis=1)
+        _, label = np.unique(clusters(pdf[["x", "y", "z"]].to_numpy(float), radius), return_inverse=True)
+        n = pdf["__n"].to_numpy(np.int64)
+        root = np.full(label.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(root, label, n)
+        return pd.DataFrame({"a": n, "b": root[label]})[n != root[label]]
 
-    kinds = ", ".join(f"{c} {dict(points.dtypes)[c]}" for c in by)
-    return points.groupBy(*by).applyInPandas(run, f"{kinds}, id long, x double, y double, z double, n long")
+    edges = near.groupBy(*by, "__bx", "__by", "__bz").applyInPandas(link, "a long, b long")
+    found = graph.components(rows.select(F.col("__n").alias("id")), edges, store).select(F.col("id").alias("__n"), F.col("subset").alias(out))
+    return rows.join(found, "__n").drop("__n")
+
+
+def merged(points: DataFrame, radius: float, by: list[str]) -> DataFrame:
+    """Points of a group of views merged: clusters of points linked by steps of at most ``radius`` become their mean."""
+    found = clustered(points.select(*by, "id", "x", "y", "z"), radius, by, "__g")
+    out = found.groupBy(*by, "__g").agg(F.min("id").alias("id"), *[F.avg(x).alias(x) for x in "xyz"], F.count("*").alias("n"))
+    return out.select(*by, "id", "x", "y", "z", "n")
 
 
 def grouped(points: DataFrame, radius: float, by: list[str]) -> DataFrame:
     """Points with the cluster of their group they fall into: ``gid`` and its mean (mx, my, mz). ``merged`` keeps the clusters
     alone; here the members stay, so that matches of clusters can be handed back to the points of each view."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        from volumetra.operators.kernels.models import clusters
-
-        pdf = pdf.sort_values(["tp", "setup", "id"]).reset_index(drop=True)
-        label = clusters(pdf[["x", "y", "z"]].to_numpy(float), radius)
-        _, number = np.unique(label, return_inverse=True)
-        means = pdf.groupby(number)[["x", "y", "z"]].mean().to_numpy()[number]
-        return pdf.assign(gid=number, mx=means[:, 0], my=means[:, 1], mz=means[:, 2])
-
-    schema = ", ".join(f"{c} {k}" for c, k in points.dtypes) + ", gid long, mx double, my double, mz double"
-    return points.groupBy(*by).applyInPandas(run, schema)
+    found = clustered(points, radius, by)
+    means = found.groupBy("gid").agg(*[F.avg(x).alias(f"m{x}") for x in "xyz"])
+    return found.join(means, "gid").select(*points.columns, "gid", "mx", "my", "mz")
 
 
 def ungrouped(matches: DataFrame, members: DataFrame, columns: list[str]) -> DataFrame:

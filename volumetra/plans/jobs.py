@@ -116,15 +116,31 @@ def match_precise_translation(spark: SparkSession, d: str) -> DataFrame:
     return registration.match_points(_pairs(spark), _places_of_points(spark, d), "PRECISE_TRANSLATION", tasks=PAIR_TASKS, significance=1.5, model="TRANSLATION", min_inliers=3, iterations=500, search_radius=60.0)
 
 
-@job
+#: Points of a view within 5 of each other reach the smallest id among all they are linked to.
+_MERGED = f"""WITH RECURSIVE {fx.P},
+E AS (SELECT a.setup, a.id AS a, b.id AS b FROM P a JOIN P b ON a.setup = b.setup AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2 <= 25),
+R AS (SELECT DISTINCT m.a AS id, m.a AS root FROM E m WHERE NOT EXISTS (SELECT 1 FROM E q WHERE q.a = m.a AND q.b < m.a)
+  UNION SELECT m.b AS id, R.root FROM R JOIN E m ON m.a = R.id),
+G AS (SELECT id, min(root) AS g FROM R GROUP BY id)
+SELECT setup, min(P.id) AS id, round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(avg(z), 6) AS z, count(*) AS n FROM P JOIN G ON G.id = P.id GROUP BY setup, g"""
+_LISTS = 8
+_NEAR = "t.setup = p.setup AND (t.x - p.x) ** 2 + (t.y - p.y) ** 2 + (t.z - p.z) ** 2 <= 16"
+#: One list after the other, against all that was taken before.
+_DEDUPED = f"""WITH {fx.P}, N AS (SELECT *, dense_rank() OVER (ORDER BY label) AS k FROM P), T1 AS MATERIALIZED (SELECT * FROM N WHERE k = 1),
+""" + ",\n".join(f"T{k} AS MATERIALIZED (SELECT * FROM T{k - 1} UNION ALL SELECT * FROM N p WHERE k = {k} AND NOT EXISTS (SELECT 1 FROM T{k - 1} t WHERE {_NEAR}))" for k in range(2, _LISTS + 1)) + f"""
+SELECT setup, id, label FROM T{_LISTS}"""
+
+
+@job(sql=_MERGED)
 def merge_points(spark: SparkSession, d: str) -> DataFrame:
-    return points.merged(fx.points(spark, d).select("setup", "id", "x", "y", "z").repartition(32, "setup"), 5.0, ["setup"])
+    out = points.merged(fx.points(spark, d).select("setup", "id", "x", "y", "z"), 5.0, ["setup"])
+    return out.select("setup", "id", *[F.round(x, 6).alias(x) for x in "xyz"], "n")
 
 
-@job
+@job(sql=_DEDUPED)
 def dedupe_many_lists(spark: SparkSession, d: str) -> DataFrame:
     p = fx.points(spark, d).select("setup", "id", "label", *[F.col(x).cast("double").alias(x) for x in "xyz"])
-    return points.dedupe_lists(p, 4.0, ["setup"], "label")
+    return points.dedupe_lists(p, 4.0, ["setup"], "label").select("setup", "id", "label")
 
 
 @job
