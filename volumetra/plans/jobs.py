@@ -50,12 +50,12 @@ def _images(spark: SparkSession, d: str) -> DataFrame:
     return ch.from_voxels(fx.voxels(spark, d), (32, 32, 8))
 
 
-def _places(spark: SparkSession, d: str) -> DataFrame:
-    """The four views, each moved by (40, 30) against the one before."""
+def _places(spark: SparkSession, d: str, step: int = 40) -> DataFrame:
+    """The four views, each moved by (``step``, 30) against the one before."""
     s = F.col("id")
     v = spark.range(4).select(F.lit(0).alias("tp"), s.alias("setup"), F.lit(0).alias("t_index"), F.lit(0).alias("c_index"), *[F.lit(n).cast("long").alias(f"n{x}") for x, n in zip("xyz", (64, 64, 8), strict=True)])
     zero, one = F.lit(0.0), F.lit(1.0)
-    v = v.withColumn("m", F.array(one, zero, zero, F.col("setup") * 40.0, zero, one, zero, F.col("setup") * 30.0, zero, zero, one, zero))
+    v = v.withColumn("m", F.array(one, zero, zero, F.col("setup") * float(step), zero, one, zero, F.col("setup") * 30.0, zero, zero, one, zero))
     lo, hi = g.containing_box(F.col("m"), [F.lit(0.0)] * 3, [(F.col(f"n{x}") - 1).cast("double") for x in "xyz"])
     return v.withColumns({f"{x}{i}": c for x, a, b in zip("xyz", lo, hi, strict=True) for i, c in ((0, a), (1, b))})
 
@@ -174,9 +174,15 @@ def fuse_affine_blocks(spark: SparkSession, d: str) -> DataFrame:
     return _non_zero(fused).select("x", "y", "z", "v")
 
 
-@job(sql="SELECT DISTINCT x + 40 * s AS x, y + 30 * s AS y, z, 255.0::DOUBLE AS v FROM (SELECT unnest(range(4)) AS s), (SELECT unnest(range(64)) AS x), (SELECT unnest(range(64)) AS y), (SELECT unnest(range(8)) AS z)")
+@job(
+    sql=f"""WITH {fx.X} SELECT DISTINCT x + step * s AS x, y + 30 * s AS y, z, 255.0::DOUBLE AS v FROM (SELECT DISTINCT setup AS s FROM X), (SELECT 30 + count(*) % 11 AS step FROM lineitem),
+  (SELECT unnest(range(64)) AS x), (SELECT unnest(range(64)) AS y), (SELECT unnest(range(8)) AS z)"""
+)
 def fuse_masks(spark: SparkSession, d: str) -> DataFrame:
-    return _non_zero(registration.fuse_views(_blocks(spark), _places(spark, d), _images(spark, d), dtype="UINT8", masks=True)).select("x", "y", "z", "v")
+    """Where the views that have voxels lie, their step being of the table."""
+    step = 30 + spark.read.parquet(f"{d}/lineitem.parquet").count() % 11
+    views = _places(spark, d, step).join(fx.voxels(spark, d).select("setup").distinct(), "setup", "left_semi")
+    return _non_zero(registration.fuse_views(_blocks(spark), views, _images(spark, d), dtype="UINT8", masks=True)).select("x", "y", "z", "v")
 
 
 @job
