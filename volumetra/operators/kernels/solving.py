@@ -1,4 +1,4 @@
-"""Global optimisation of tile positions: relaxation of all tiles to their neighbours' matches (Saalfeld et al. 2010),
+"""Global optimisation of tile positions: relaxation of all tiles to the matches of their neighbours,
 with removal of the worst link, and a second round that places tiles without links by their metadata.
 
 The links of a project are few (pairs of overlapping views), so this runs on the driver.
