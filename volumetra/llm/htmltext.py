@@ -1,17 +1,19 @@
 """Main text of web pages: boosted trees over DOM nodes, decoded along the hierarchy.
 
 A small parser builds the tree of each page (raw-text elements, void elements, implied end tags, comments). Each block
-element gets features: its tag, the words of its attributes by kind, the same for its ancestors, depth, text and link
-density of its subtree, and where it stands among its siblings. Gradient-boosted trees give the probability that it
+element, and each run of text that stands directly in the root, html or body, gets features: its tag, the words of its
+attributes by kind, the same for its ancestors, depth, text and link density of its subtree, how much of that is in
+paragraphs and headings, and where it stands among its siblings and after the page's first headings. Gradient-boosted trees give the probability that it
 belongs to the article. The decoder then maximizes the likelihood of keep and drop over the whole tree under the rule
 that nothing is kept below a dropped element, so ancestors and descendants never contradict each other.
 
-The trees are trained here, on pages that ``sample_page`` composes with known roles (own layouts, seeded); the model is
-a few kilobytes and is broadcast. The job is one scan and one Arrow map of whole pages.
+The trees are trained here, on pages that ``sample_page`` composes with known roles (own layouts, seeded; articles in
+telling elements, bare in the body, in unnamed divs and in cells of layout tables); the model is a few kilobytes and is broadcast. The job is one scan and one Arrow map of whole pages.
 
 Defined results: null or empty html gives an empty text; white space (Unicode's) inside a block is one space; character
 references are decoded run by run of text; inline, foreign and fallback content (math, svg, object, canvas, noscript) is text
-of the block it stands in, and goes or stays with it; pages without article give an empty text; repeated rows are extracted one by one; extra columns are ignored. Elements may
+of the block it stands in, and goes or stays with it; quotes in a tag count after an equals sign and if they are closed, and
+a tag that does not end drops the rest of the page, as browsers do, so that parsing is one pass over any text; pages without article give an empty text; repeated rows are extracted one by one; extra columns are ignored. Elements may
 be nested to any depth.
 """
 
@@ -32,9 +34,11 @@ from pyspark.sql import functions as F
 
 from volumetra.llm.tokencount import small_batches
 
-TREES, TREE_DEPTH, RATE, TRAIN_PAGES, SEED = 40, 4, 0.3, 320, 5
+TREES, TREE_DEPTH, RATE, TRAIN_PAGES, SEED = 60, 4, 0.3, 500, 5
 
-_MARKUP = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
+_MARKUP = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)|<[!?/][^>]*+(?:>|\Z)", re.S)
+# The rest of a tag up to its ">": no value is read twice, and an unclosed quote is an ordinary character.
+_REST = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)*+")
 _ATTRIBUTE = re.compile(r"(?:class|id|role|aria-label|itemprop|itemtype)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _PART = re.compile(r"[a-z]+")
 
@@ -47,7 +51,7 @@ CLOSES_P = BLOCKS - frozenset("html head body td th tr li dt dd option select bu
 CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",)), "tbody": ("thead tbody tr td th", ("table",)), "tfoot": ("tbody tr td th", ("table",))}
 
 # Kinds of tags and of attribute words.
-TAG_KINDS = {"root": "html body", "article": "article main", "section": "section", "div": "div center", "p": "p", "heading": "h1 h2 h3 h4 h5 h6 hgroup", "list": "ul ol dl menu", "item": "li dt dd", "table": "table caption thead tbody tfoot tr td th", "nav": "nav search", "header": "header", "footer": "footer", "aside": "aside", "form": "form fieldset legend select option button label dialog", "quote": "blockquote pre", "figure": "figure figcaption", "head": "head", "other": ""}
+TAG_KINDS = {"root": "html body", "article": "article main", "section": "section", "div": "div center", "p": "p", "heading": "h1 h2 h3 h4 h5 h6 hgroup", "list": "ul ol dl menu", "item": "li dt dd", "table": "table caption thead tbody tfoot tr td th", "nav": "nav search", "header": "header", "footer": "footer", "aside": "aside", "form": "form fieldset legend select option button label dialog", "quote": "blockquote pre", "figure": "figure figcaption", "head": "head", "loose": "", "other": ""}
 WORD_KINDS = {
     "main": "article content post entry story main text body prose maincontent articlebody postbody",
     "ad": "ad ads advert adverts advertisement adsense sponsor sponsored promo promoted promotion banner dfp",
@@ -63,18 +67,24 @@ WORD_KINDS = {
 _TAG_NUMBER = {t: i for i, ts in enumerate(TAG_KINDS.values()) for t in ts.split()}
 _WORD_NUMBER = {w: i for i, ws in enumerate(WORD_KINDS.values()) for w in ws.split()}
 OTHER, N_TAGS, N_WORDS = len(TAG_KINDS) - 1, len(TAG_KINDS), len(WORD_KINDS)
+LOOSE = list(TAG_KINDS).index("loose")
+HEADING = _TAG_NUMBER["h1"]
+PROSE = frozenset(_TAG_NUMBER[t] for t in ("p", "h1", "blockquote"))
 BAD_TAGS = sum(1 << i for i, k in enumerate(TAG_KINDS) if k in ("nav", "header", "footer", "aside", "form", "head"))
 
 
 class Page:
-    """The block elements of a page in order, and its blocks of text with the elements they stand in."""
+    """The block elements of a page in order, and its blocks of text with the elements they stand in.
+
+    A run of text right in the root, html or body is an element of its own, with the tag and depth of that one.
+    """
 
     def __init__(self, source: str):
         self.parent, self.tag, self.kind, self.words, self.depth = [-1], ["#root"], [0], [0], [0]
         self.chars, self.linked = [0], [0]
         self.blocks: list[tuple[int, str]] = []
         self._run: list[str] = []
-        self._links = 0
+        self._links = self._linked = 0
         self._parse(source)
 
     def _flush(self, node: int) -> None:
@@ -83,8 +93,22 @@ class Page:
             self._run = []
             text = " ".join(text.split())
             if text:
+                if self.tag[node] in ("#root", "html", "body"):
+                    node = self._add(node, self.tag[node], LOOSE, 0, self.depth[node])
                 self.blocks.append((node, text))
                 self.chars[node] += len(text)
+            self.linked[node] += self._linked
+            self._linked = 0
+
+    def _add(self, parent: int, tag: str, kind: int, words: int, depth: int) -> int:
+        self.parent.append(parent)
+        self.tag.append(tag)
+        self.kind.append(kind)
+        self.words.append(words)
+        self.depth.append(depth)
+        self.chars.append(0)
+        self.linked.append(0)
+        return len(self.parent) - 1
 
     def _parse(self, source: str) -> None:
         stack: list[tuple[str, int]] = [("#root", 0)]  # open block elements
@@ -104,18 +128,23 @@ class Page:
                 # References end with their run of text: what markup parts is not one reference.
                 self._run.append(entities.unescape(piece) if "&" in piece else piece)
                 if self._links:
-                    self.linked[stack[-1][1]] += len(piece)
+                    self._linked += len(piece)
             if not m:
                 break
             at = m.end()
-            tag = m[2] or m[5]
+            tag = m[2]
             if not tag:
                 continue
-            tag, closing = tag.lower(), bool(m[1] or m[4])
+            tag, closing = tag.lower(), bool(m[1])
+            rest = _REST.match(source, at)
+            at = rest.end() + 1
+            if at > end:
+                break
+            rest = rest[0]
             if tag in FOREIGN:
-                foreign = 0 if closing or (m[3] or m[6] or "").endswith("/") else 1
+                foreign = 0 if closing or rest.endswith("/") else 1
             if tag in RAW and not closing:
-                if foreign and (m[3] or m[6] or "").endswith("/"):
+                if foreign and rest.endswith("/"):
                     continue  # inside foreign elements a tag may close itself
                 # Up to its end tag; without one, all the rest.
                 low = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(source, at)
@@ -151,14 +180,7 @@ class Page:
                 if tag == "hr":
                     continue
                 parent = stack[-1][1]
-                self.parent.append(parent)
-                self.tag.append(tag)
-                self.kind.append(_TAG_NUMBER.get(tag, OTHER))
-                self.words.append(self._attribute_words(m[3] or m[6] or ""))
-                self.depth.append(self.depth[parent] + 1)
-                self.chars.append(0)
-                self.linked.append(0)
-                stack.append((tag, len(self.parent) - 1))
+                stack.append((tag, self._add(parent, tag, _TAG_NUMBER.get(tag, OTHER), self._attribute_words(rest), self.depth[parent] + 1)))
                 opened[tag] += 1
         self._flush(stack[-1][1])
 
@@ -182,11 +204,17 @@ class Page:
             tags_up[i] = tags_up[p] | 1 << self.kind[p]
             words_up[i] = words_up[p] | self.words[p]
         chars, linked, below = list(self.chars), list(self.linked), [1] * n
+        prose, heads = [c if k in PROSE else 0 for c, k in zip(chars, self.kind, strict=True)], [int(k == HEADING) for k in self.kind]
+        before = np.minimum(3, np.cumsum(heads) - heads)  # headings so far on the page
+        most = [0] * n  # of the children
         for i in range(n - 1, 0, -1):
             p = self.parent[i]
             chars[p] += chars[i]
             linked[p] += linked[i]
             below[p] += below[i]
+            prose[p] += prose[i]
+            heads[p] += heads[i]
+            most[p] = max(most[p], chars[i])
         chars_a, linked_a, below_a = np.array(chars, float), np.array(linked, float), np.array(below, float)
         up = np.maximum(parent, 0)
         siblings = np.bincount(up[1:], minlength=n)[up].astype(float)
@@ -200,6 +228,8 @@ class Page:
         numbers = np.column_stack([
             np.array(self.depth), np.log1p(chars_a), np.log1p(below_a), np.log1p(chars_a / below_a), np.minimum(1, linked_a / np.maximum(1, chars_a)),
             chars_a / max(1.0, chars_a[0]), siblings, place / np.maximum(1, siblings - 1), of_parent, np.log1p(np.array(self.chars)), (tags_a & BAD_TAGS) > 0,
+            np.array(prose) / np.maximum(1, chars_a), np.log1p(np.array(prose)), np.minimum(3, heads), np.minimum(3, np.array(heads)[up]), before, chars_a / np.maximum(1, np.array(most)[up]),
+            np.array(prose) / np.maximum(1, np.array(prose)[up]), np.array(prose)[up] / np.maximum(1, chars_a[up]),
         ])
         return np.column_stack([numbers, kind[:, None] == np.arange(N_TAGS), bits(words, N_WORDS), bits(tags_a, N_TAGS), bits(words_a, N_WORDS)]).astype(np.float32)
 
@@ -312,8 +342,24 @@ def sample_page(seed: int) -> tuple[str, list[int]]:
 
         return body
 
+    def loose(role: int, lo: int, hi: int) -> None:
+        roles.append(role)
+        out.append(f"</p>{text(lo, hi)}" + (f"<br><br>{text(lo, hi)}" if role and r.random() < 0.5 else ""))
+
+    def unnamed(kind: str) -> None:
+        """A menu, a site's name or a last line in elements that tell nothing, each told by its text and place."""
+        if kind == "menu":
+            element(r.choice(["div", "ul"]), 0, links(0, r.randint(2, 8), r.choice(["li", "div", "p"])))
+        elif kind == "inline menu":
+            element(r.choice(["div", "p"]), 0, lambda: out.append(r.choice([" | ", " ", " &middot; "]).join(f'<a href="/">{text(1, 3)}</a>' for _ in range(r.randint(2, 8)))))
+        else:
+            element("div", 0, words(1, 9))
+
     def boilerplate(kind: str) -> None:
         any_body = r.choice([words(1, 60), paragraphs(0, 1, 40), lambda: element("ul", 0, links(0, r.randint(2, 8))), links(0, r.randint(1, 5), "p")])
+        if headed := r.random() < 0.3:
+            rest = any_body
+            any_body = lambda: (element(r.choice(["h2", "h3", "h4"]), 0, words(1, 4)), rest())
         plain = r.random() < 0.4
         if kind == "menu":
             if r.random() < 0.6:
@@ -333,10 +379,20 @@ def sample_page(seed: int) -> tuple[str, list[int]]:
                 element(kind, 0, any_body, "" if plain else WORD_KINDS[kind])
             else:
                 element("div", 0, any_body, WORD_KINDS[kind])
-        elif kind == "side" and r.random() < 0.5:
+        elif kind == "related":
+            def teasers() -> None:
+                element(r.choice(["h2", "h3", "h4", "p"]), 0, words(1, 4))
+                if r.random() < 0.6:
+                    element("ul", 0, links(0, r.randint(1, 6)))
+                else:
+                    for _ in range(r.randint(1, 4)):
+                        element(r.choice(["div", "article"]), 0, lambda: (element(r.choice(["h3", "h4"]), 0, lambda: out.append(f'<a href="/">{text(1, 6)}</a>')), element("p", 0, words(3, 30))))
+
+            element(r.choice(["div", "section", "aside"]), 0, teasers, "related related-posts related-articles more-stories recommended recommendations trending popular")
+        elif kind == "side" and r.random() < 0.65:
             element("aside", 0, any_body, "" if plain else WORD_KINDS["side"])
         else:
-            element(r.choice(["div", "div", "section", "p"]) if kind != "side" else "div", 0, words(1, 60) if r.random() < 0.5 else any_body, WORD_KINDS[kind])
+            element(r.choice(["div", "div", "section", "div" if headed else "p"]) if kind != "side" else "div", 0, words(1, 60) if r.random() < 0.5 else any_body, WORD_KINDS[kind])
 
     def article() -> None:
         if r.random() < 0.85:
@@ -344,47 +400,100 @@ def sample_page(seed: int) -> tuple[str, list[int]]:
             (element("header", 1, lambda: element(heading, 1, words(1, 12))) if r.random() < 0.12 else element(heading, 1, words(1, 12), "title headline" if r.random() < 0.2 else ""))
         for _ in range(r.randint(1, 14)):
             x = r.random()
-            if x < 0.78:
+            if x < 0.75:
                 element("p", 1, inline(1, 120), "lead text intro" if r.random() < 0.08 else "")
-            elif x < 0.82:
+            elif x < 0.79:
                 element(r.choice(["h2", "h3"]), 1, words(1, 8))
-            elif x < 0.86:
+            elif x < 0.83:
                 element("ul", 1, lambda: [element("li", 1, inline(1, 20)) for _ in range(r.randint(1, 5))])
-            elif x < 0.89:
+            elif x < 0.86:
                 element(r.choice(["blockquote", "pre"]), 1, words(2, 40))
-            elif x < 0.91:
+            elif x < 0.88:
                 element("figure", 1, lambda: element("figcaption", 1, words(2, 12)))
-            elif x < 0.93:
+            elif x < 0.90:
                 element("table", 1, lambda: [element("tr", 1, lambda: [element("td", 1, words(1, 4)) for _ in range(3)]) for _ in range(2)])
-            elif x < 0.95:
+            elif x < 0.92:
                 element(r.choice(["div", "section"]), 1, lambda: element("p", 1, inline(2, 80)))
             else:
-                boilerplate(r.choice(["ad", "ad", "side", "notice", "share", "form"]))
+                boilerplate(r.choice(["ad", "ad", "side", "side", "related", "notice", "share", "form"]))
+        if r.random() < 0.2:
+            boilerplate(r.choice(["side", "related", "comment", "form", "share"]))
+
+    def framed(levels: int) -> None:
+        """The article in unnamed divs, the outer ones with something beside it."""
+        def inside() -> None:
+            if levels == 1:
+                return article()
+            beside = r.choice([None, "menu", "inline menu", "line"])
+            if beside and r.random() < 0.5:
+                unnamed(beside)
+            framed(levels - 1)
+            if beside and r.random() < 0.5:
+                unnamed(beside)
+
+        element(r.choice(["div", "div", "section"]), 1, inside)
+
+    def cells() -> None:
+        """The article in a cell of a layout table."""
+        def row() -> None:
+            if r.random() < 0.5:
+                element("td", 0, r.choice([links(0, r.randint(2, 7), "p"), lambda: unnamed("inline menu"), lambda: element("ul", 0, links(0, r.randint(2, 7))), lambda: out.append("<br>".join(f'<a href="/">{text(1, 4)}</a>' for _ in range(r.randint(2, 8))))]))
+            element("td", 1, article)
+            if r.random() < 0.4:
+                element("td", 0, lambda: unnamed(r.choice(["menu", "line", "inline menu"])))
+
+        def rows() -> None:
+            if r.random() < 0.5:
+                element("tr", 0, lambda: element("td", 0, r.choice([words(1, 8), lambda: out.append(f'<a href="/">{text(1, 4)}</a>')])))
+            element("tr", 1, row)
+            if r.random() < 0.7:
+                element("tr", 0, lambda: element("td", 0, words(1, 9)))
+
+        element("table", 1, rows)
+
+    def bare() -> None:
+        """The article right in the body, some of it as loose text."""
+        article()
+        if r.random() < 0.15 and not wrapped:
+            loose(1, 20, 150)
+            element("p", 1, inline(5, 60))
 
     def main() -> None:
         x = r.random()
-        if x < 0.5:
-            element("article", 1, article, "" if r.random() < 0.6 else WORD_KINDS["main"])
-        elif x < 0.65:
-            element("main", 1, lambda: element("article", 1, article) if r.random() < 0.5 else article())
+        if telling:
+            if x < 0.45:
+                element("article", 1, article, "" if r.random() < 0.6 else WORD_KINDS["main"])
+            elif x < 0.65:
+                element("main", 1, lambda: element("article", 1, article) if r.random() < 0.5 else article())
+            else:
+                element(r.choice(["div", "section", "div"]), 1, article, WORD_KINDS["main"])
+        elif x < 0.4:
+            bare()
+        elif x < 0.75:
+            framed(r.randint(1, 4))
         else:
-            element(r.choice(["div", "section", "div"]), 1, article, WORD_KINDS["main"])
+            cells()
 
-    has, fragment = r.random() < 0.85, r.random() < 0.15
+    has, fragment, telling = r.random() < 0.85, r.random() < 0.15, r.random() < 0.6
+    wrapped = not fragment and r.random() < 0.3
 
     def body() -> None:
         most = 1 if fragment else 5  # fragments are a part or two of a page, without its frame
         before = r.sample(["menu", "header", "ad", "notice", "side", "form", "share"], r.randint(0, min(4, most)))
         after = r.sample(["comment", "footer", "side", "ad", "form", "notice", "menu", "share"], r.randint(0, most))
-        wrapped = not fragment and r.random() < 0.3
 
         def inside() -> None:
+            stray = 1 if wrapped else r.random()
             for k in before:
-                boilerplate(k)
+                boilerplate(k) if telling or r.random() < 0.6 else unnamed(r.choice(["menu", "inline menu", "line"]))
+            if stray < 0.12:
+                loose(0, 1, 9)
             if has:
                 main()
+            if 0.12 < stray < 0.25 and (telling or not has):
+                loose(0, 1, 12)
             for k in after:
-                boilerplate(k)
+                boilerplate(k) if telling or r.random() < 0.6 else unnamed(r.choice(["menu", "inline menu", "line"]))
 
         element("div", int(has), inside, "wrapper page container site" if r.random() < 0.6 else "") if wrapped else inside()
 
