@@ -1,3 +1,5 @@
+import json
+
 import numpy as np
 import pytest
 
@@ -109,3 +111,25 @@ def test_zarr_to_fusion_to_zarr(spark, data):
     assert ch.read_zarr(spark, f"file://{top}/fused.zarr/volumes.zarr", 0, 0, 1).count() > 0
     with pytest.raises(ValueError):
         run("resave", "-x", top / "one", "--images", top / "one_images", "-o", top / "one.h5")
+
+
+def test_stitching_of_turned_and_scaled_views(spark, tmp_path):
+    """Views with a right angle or a scale in their maps are rendered; others are shifted by parts of steps too; a stored level is read."""
+    idx = np.stack(np.meshgrid(*[np.arange(n) for n in (96, 40, 16)], indexing="ij"), axis=-1)
+    scene = sum(150 * np.exp(-0.5 * ((idx - c) ** 2).sum(axis=-1) / 2.5**2) for c in RNG.uniform([3, 3, 3], [93, 37, 13], (60, 3)))
+    b = scene[41:]
+    chunks = ch.from_arrays(spark, {(0, 0): scene[:60], (0, 1): np.rot90(b, axes=(0, 1)).copy(), (0, 2): b}, (32, 40, 16))
+    ch.write(ch.pyramid(chunks, [(1, 1, 1), (2, 2, 1)], (32, 32, 16)), str(tmp_path / "images"))
+    p = projects.Project(spark)
+    p["views"] = spark.createDataFrame([(0, s, 0, 0, 0, s, True, *n, 16, 1.0, 1.0, 1.0) for s, n in ((0, (60, 40)), (1, (40, 55)), (2, (55, 40)))], projects.SCHEMAS["views"])
+    # rot90 puts voxel (x, y) to (39 - y, x); both maps put it 3 too far.
+    maps = [(0, 1, 0, "turned", [float(v) for v in (0, 1, 0, 44, -1, 0, 0, 39, 0, 0, 1, 0)]), (0, 2, 0, "moved", [float(v) for v in (1, 0, 0, 44, 0, 1, 0, 0, 0, 0, 1, 0)])]
+    p["transforms"] = spark.createDataFrame(maps, projects.SCHEMAS["transforms"])
+    p["properties"] = spark.createDataFrame([("images", json.dumps(str(tmp_path / "images"))), ("levels", "[[1, 1, 1], [2, 2, 1]]")], projects.SCHEMAS["properties"])
+    p.save(str(tmp_path / "project"))
+    for wanted in ("1,1,1", "2,2,1"):
+        run("stitching", "-x", tmp_path / "project", "-ds", wanted, "--minR", "0.5")
+        links = {(r.setup, r.setup_b): (r.dx, r.dy, r.dz) for r in projects.load(spark, str(tmp_path / "project"))["links"].collect()}
+        assert set(links) == {(0, 1), (0, 2), (1, 2)}
+        for pair, want in (((0, 1), (-3, 0, 0)), ((0, 2), (-3, 0, 0)), ((1, 2), (0, 0, 0))):
+            assert np.abs(np.array(links[pair]) - want).max() < 0.5, (wanted, pair, links[pair])

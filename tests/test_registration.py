@@ -154,3 +154,42 @@ def test_intensities(spark):
     solved = {(r.setup, r.cx, r.cy): r for r in reg.solve_intensities(reg.match_intensities(m, at_least=100), 0.01).collect()}
     a, b = solved[(0, 0, 0)], solved[(1, 0, 0)]
     assert abs(a.scale * 100 + a.offset - (b.scale * 160 + b.offset)) < 3
+
+
+def turned(degrees, at):
+    """The map that turns about z around the origin and then moves."""
+    c, s = np.cos(np.radians(degrees)), np.sin(np.radians(degrees))
+    return [float(v) for v in (c, -s, 0, at[0], s, c, 0, at[1], 0, 0, 1, at[2])]
+
+
+def seen_through(scene, m, shape):
+    """What a view with this map to the world shows of the scene; 0 outside of it."""
+    m = np.array(m).reshape(3, 4)
+    at = np.stack(np.meshgrid(*[np.arange(n, dtype=float) for n in shape], indexing="ij"), axis=-1).reshape(-1, 3) @ m[:, :3].T + m[:, 3]
+    inside = ((at >= 0) & (at <= np.array(scene.shape) - 1)).all(axis=1)
+    return np.where(inside, detection.sample(scene, np.where(inside[:, None], at, 0)), 0).reshape(shape)
+
+
+@pytest.mark.parametrize(("degrees", "factors"), [(10, (1, 1, 1)), (-10, (2, 2, 1)), (90, (1, 1, 1))])
+def test_stitching_of_turned_views(spark, scene, degrees, factors):
+    true = turned(degrees, (70, 5, 1) if degrees != 90 else (110, 2, 1))
+    said = list(true)
+    for i, off in ((3, 4.0), (7, -3.0), (11, 1.0)):
+        said[i] += off
+    sizes = {0: (90, 60, 24), 1: (48, 48, 22) if degrees != 90 else (48, 60, 22)}
+    views = [turned(0, (0, 0, 0)), true]
+    arrays = {(0, s): seen_through(scene, views[s], sizes[s]) for s in (0, 1)}
+    chunks = ch.from_arrays(spark, arrays, (32, 32, 16))
+    if factors != (1, 1, 1):
+        chunks = ch.downsampled(chunks, factors, (16, 16, 16))
+    v = fusion_input(spark, sizes, [views[0], said])
+    from volumetra.functions import geometry as g
+    from volumetra.operators import spatial
+
+    pairs = spatial.overlapping_pairs(v.drop("t_index", "c_index"), 64)
+    pairs = pairs.select("tp", "setup", "tp_b", "setup_b", "m", "m_b", *[f"n{x}{s}" for x in "xyz" for s in ("", "_b")], *g.intersection())
+    [link] = reg.stitch_rendered(pairs, chunks, factors).collect()
+    assert np.abs(np.array([link.dx, link.dy, link.dz]) - [-4, 3, -1]).max() < 0.5 and link.r > 0.8
+    # A pair that shares nothing, and no pairs at all.
+    far = pairs.withColumn("m_b", g.affine(turned(degrees, (5000, 0, 0))))
+    assert reg.stitch_rendered(far, chunks, factors).count() == 0 == reg.stitch_rendered(pairs.limit(0), chunks, factors).count()

@@ -37,7 +37,7 @@ def selected(views: DataFrame, a: argparse.Namespace) -> DataFrame:
 
 
 def overlap_pairs(views: DataFrame, cell: int = 512, all_pairs: bool = False) -> DataFrame:
-    v = views.select("tp", "setup", "channel", "angle", "illum", "tile", "m", *FACES)
+    v = views.select("tp", "setup", "channel", "angle", "illum", "tile", "m", "nx", "ny", "nz", *FACES)
     if all_pairs:
         return v.join(spatial.renamed(v), F.struct("tp", "setup") < F.struct("tp_b", "setup_b"))
     return spatial.overlapping_pairs(v, cell)
@@ -100,6 +100,22 @@ def level_table(spark: SparkSession, factors: list[tuple[int, int, int]]) -> Dat
     return spark.createDataFrame([(i, *map(float, f), pyramid.mipmap(f)) for i, f in enumerate(factors)], "level int, fx double, fy double, fz double, mipmap array<double>")
 
 
+def stored_images(spark: SparkSession, p: projects.Project, a: argparse.Namespace, wanted: tuple[int, int, int]) -> tuple[DataFrame, tuple[int, int, int]]:
+    """The chunks of the coarsest stored level that is not coarser than ``wanted``, and its factors."""
+    known = levels_of(spark, p, a)
+    level = pyramid.level_for_detection(level_table(spark, known).withColumn("setup", F.lit(0)), wanted).first()["level"] or 0
+    return images_of(spark, p, a, level).withColumn("level", F.lit(0)), known[level]
+
+
+def halved_to(chunks: DataFrame, factors: tuple[int, int, int], wanted: tuple[int, int, int]) -> tuple[DataFrame, tuple[int, int, int]]:
+    """The images halved from ``factors`` while that stays within ``wanted``, and the factors they have then."""
+    factors = tuple(int(f) for f in factors)
+    while any(2 * f <= w for f, w in zip(factors, wanted, strict=True)):
+        half = tuple(2 if 2 * f <= w else 1 for f, w in zip(factors, wanted, strict=True))
+        chunks, factors = ch.downsampled(chunks, half), tuple(f * h for f, h in zip(factors, half, strict=True))
+    return chunks, factors
+
+
 def detect_interestpoints(spark: SparkSession, a: argparse.Namespace) -> None:
     p = projects.load(spark, a.xml)
     views = selected(p["views"], a)
@@ -192,8 +208,8 @@ def stitching(spark: SparkSession, a: argparse.Namespace) -> None:
     members = boxes.join(boxes.groupBy(*place).agg(F.min("setup").alias("leader")), place)
     leaders = members.filter("setup = leader").drop("leader")
     pairs = overlap_pairs(leaders).filter("tp = tp_b and angle = angle_b and tile <> tile_b")
-    factors = options.vector(a.downsampling)
-    chunks, step = images_of(spark, p, a), factors
+    wanted = options.vector(a.downsampling)
+    chunks, stored = stored_images(spark, p, a, wanted)
     if not members.filter("setup <> leader").isEmpty():
         chunks = chunks.join(F.broadcast(members.select("tp", "setup")), ["tp", "setup"], "left_semi")
         by_channel = members.groupBy(*place, "channel").agg(F.min("setup").alias("first"))
@@ -201,14 +217,22 @@ def stitching(spark: SparkSession, a: argparse.Namespace) -> None:
         chunks = registration.combined_views(chunks, F.broadcast(illums), a.illumCombine)
         channels = by_channel.join(members.filter("setup = leader").select(*place, "leader"), place).select("tp", F.col("first").alias("setup"), "leader")
         chunks = registration.combined_views(chunks, F.broadcast(channels), a.channelCombine)
-    while max(step) > 1:
-        half = tuple(2 if f > 1 else 1 for f in step)
-        chunks, step = ch.downsampled(chunks, half), tuple(f // h for f, h in zip(step, half, strict=True))
+    chunks, factors = halved_to(chunks, stored, wanted)
     low = {f"{n}{x}{s}": F.floor(c / f).cast("long") for x, f, i in zip(XYZ, factors, range(3), strict=True) for n, s, c in (("t", "", F.col("m")[4 * i + 3]), ("t", "_b", F.col("m_b")[4 * i + 3]))}
     box = {f"i{x}{i}": F.floor(c / f).cast("long") for x, f in zip(XYZ, factors, strict=True) for i, c in ((0, F.greatest(f"{x}0", f"{x}0_b")), (1, F.least(f"{x}1", f"{x}1_b")))}
     both = ["tp", "setup", "tp_b", "setup_b"]
-    found = registration.stitch_pairs(pairs.select(*both, *[c.alias(n) for n, c in {**low, **box}.items()]), chunks, a.peaksToCheck, not a.disableSubpixelResolution)
-    shifts = found.select(*both, *[(F.col(f"d{x}") * f).alias(f"d{x}") for x, f in zip(XYZ, factors, strict=True)], "r")
+    # Views that are only moved are compared as they are; all others are rendered into one frame of their pair.
+    plain = lambda m: F.greatest(*[F.abs(m[i] - g.IDENTITY[i]) for i in range(12) if i % 4 < 3]) < 1e-6
+    only_moved = F.transform(F.array("m"), plain)[0] & F.transform(F.array("m_b"), plain)[0]
+    moved = pairs.filter(only_moved).select(*both, "m", "m_b", *[c.alias(n) for n, c in {**low, **box}.items()])
+    found = registration.stitch_pairs(moved.drop("m", "m_b"), chunks, a.peaksToCheck, not a.disableSubpixelResolution).join(moved, both)
+    # Places are whole steps there: what they leave of the maps' translations is put back.
+    rest = [F.col(f"t{x}_b") * f - F.col("m_b")[4 * i + 3] - F.col(f"t{x}") * f + F.col("m")[4 * i + 3] for i, (x, f) in enumerate(zip(XYZ, factors, strict=True))]
+    shifts = found.select(*both, *[(F.col(f"d{x}") * f + c).alias(f"d{x}") for x, f, c in zip(XYZ, factors, rest, strict=True)], "r")
+    turned = pairs.filter(~only_moved)
+    if not turned.isEmpty():
+        frames = turned.select(*both, "m", "m_b", *[f"n{x}{s}" for x in XYZ for s in ("", "_b")], *g.intersection())
+        shifts = shifts.unionByName(registration.stitch_rendered(frames, chunks, factors, a.peaksToCheck, not a.disableSubpixelResolution))
     shifts = points.link_filters(shifts, a.minR, a.maxR, (a.maxShiftX, a.maxShiftY, a.maxShiftZ), a.maxShiftTotal)
     # A group's link is one between its members of one channel and illumination.
     one = members.select("tp", "leader", "channel", "illum", F.col("setup").alias("own"), "m")

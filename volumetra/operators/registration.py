@@ -154,6 +154,95 @@ def stitch_pairs(pairs: DataFrame, chunks: DataFrame, peaks: int = 5, subpixel:
     return parts.groupBy(*[f"p_{c}" for c in pair]).applyInPandas(run, f"{kinds}, dx double, dy double, dz double, r double")
 
 
+def stitch_rendered(pairs: DataFrame, chunks: DataFrame, factors: tuple[int, int, int] = (1, 1, 1), peaks: int = 5, subpixel: bool = True, max_shift=(None, None, None), cell: int = 256) -> DataFrame:
+    """(tp, setup, tp_b, setup_b, dx, dy, dz, r) of pairs of views placed by any affine maps; shifts are in world units.
+
+    ``pairs``: tp, setup, tp_b, setup_b, the intersection i{x}0..i{x}1 of the views' boxes in world coordinates, each view's map
+    m from its image at full resolution to the world and its size n{x} there (m_b, n{x}_b); ``chunks``: the images downsampled
+    by ``factors``. Both views are sampled on one grid over the intersection, in steps of ``factors``, from just those parts of
+    their chunks that it touches; a view is its mean where it shows nothing. ``max_shift`` counts steps. Pairs that share no
+    voxel of the grid give no row.
+    """
+    from volumetra.functions import geometry as g
+
+    pair = {"tp": "int", "setup": "long", "tp_b": "int", "setup_b": "long"}
+    step = dict(zip("xyz", factors, strict=True))
+    half = {x: (f - 1) / 2 for x, f in step.items()}
+    grid = {f"k{x}": F.floor((F.col(f"i{x}1") - F.col(f"i{x}0") + 1) / f).cast("long") for x, f in step.items()}
+
+    def to_level(back):
+        """From places of the grid to voxels of the downsampled image; ``back`` maps the world to the image."""
+        origin = [F.col(f"i{x}0") + half[x] for x in "xyz"]
+        cells = []
+        for r, x in enumerate("xyz"):
+            cells += [back[4 * r + c] * (step[y] / step[x]) for c, y in enumerate("xyz")]
+            cells.append((sum((back[4 * r + c] * o for c, o in enumerate(origin)), back[4 * r + 3]) - half[x]) / step[x])
+        return F.array(*cells)
+
+    sides = []
+    for side, s in ((0, ""), (1, "_b")):
+        # Bound variables, so that no map is written out once for each of its uses.
+        to = F.transform(F.transform(F.array(F.col(f"m{s}")), g.invert), to_level)[0]
+        size = {f"n{x}": F.greatest(F.lit(1), F.floor(F.col(f"n{x}{s}") / f)).cast("long") for x, f in step.items()}
+        named = [F.col(c).cast(k).alias(f"p_{c}") for c, k in pair.items()]
+        sides.append(pairs.select(*named, F.lit(side).alias("side"), F.col(f"tp{s}").cast("int").alias("tp"), F.col(f"setup{s}").cast("long").alias("setup"), to.alias("to"), *[c.alias(n) for n, c in {**grid, **size}.items()]))
+    met = sides[0].unionByName(sides[1]).filter("least(kx, ky, kz) > 0")
+
+    def touched(to):
+        """First and last voxels of the image that the grid touches."""
+        lo, hi = g.bounds(to, [F.lit(0.0)] * 3, [(F.col(f"k{x}") - 1).cast("double") for x in "xyz"])
+        first, last = [F.greatest(F.floor(a), F.lit(0)) for a in lo], [F.least(F.floor(b) + 1, F.col(f"n{x}") - 1) for b, x in zip(hi, "xyz", strict=True)]
+        return F.array(*[c.cast("long") for c in (*first, *last)])
+
+    met = met.withColumn("box", F.transform(F.array("to"), touched)[0])
+    need = {f"c{x}{i}": F.col("box")[3 * i + a] for a, x in enumerate("xyz") for i in (0, 1)}
+    met = met.withColumns(need)
+    keys = {**{f"p_{c}": k for c, k in pair.items()}, "side": "int", "to": "array<double>", **{f"{n}{x}": "long" for n in "kn" for x in "xyz"}, **{f"c{x}{i}": "long" for x in "xyz" for i in (0, 1)}}
+    in_image = met.select(*met.columns, *[F.col(f"c{x}{i}").alias(f"{x}{i}") for x in "xyz" for i in (0, 1)])
+    boxed = ch.boxes(chunks).select("tp", "setup", "ox", "oy", "oz", "sx", "sy", "sz", "dtype", "payload", *[f"{x}{i}" for x in "xyz" for i in (0, 1)])
+    pieces = spatial.box_join(in_image, boxed, cell, ["tp", "setup"]).select(*keys, *[F.col(f"{c}_b").alias(c) for c in ("ox", "oy", "oz", "sx", "sy", "sz", "dtype", "payload")])
+    parts = _with_empty(_parts(pieces, keys), met, keys)
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame([], columns=[*pair, "dx", "dy", "dz", "r"])
+        images, seen = [], []
+        for side in (0, 1):
+            own = pdf[pdf["side"] == side]
+            r = own.iloc[0]
+            lowest, highest = _needed(r)
+            if any(q < p for p, q in zip(lowest, highest, strict=True)):
+                return none
+            shape = [int(r[f"k{x}"]) for x in "xyz"]
+            size = np.array([r["nx"], r["ny"], r["nz"]], float)
+            a, start = _assemble(own, (lowest, highest))
+            to = np.array(r["to"], float).reshape(3, 4)
+            image, inside = np.zeros(shape), np.zeros(shape, bool)
+            plane = np.stack(np.meshgrid(*[np.arange(n, dtype=float) for n in shape[:2]], indexing="ij"), axis=-1).reshape(-1, 2)
+            for z in range(shape[2]):  # plane by plane, so that places take little memory
+                p = models.apply(to, np.column_stack([plane, np.full(len(plane), float(z))]))
+                shows = ((p >= -0.5 - 1e-9) & (p <= size - 0.5 + 1e-9)).all(axis=1)
+                values = np.zeros(len(p))
+                values[shows] = detection.sample(a, p[shows] - start)
+                image[:, :, z], inside[:, :, z] = values.reshape(shape[:2]), shows.reshape(shape[:2])
+            images.append(image)
+            seen.append(inside)
+        both = seen[0] & seen[1]
+        if not both.any():
+            return none
+        cut = []
+        for axis in range(3):
+            at = np.flatnonzero(both.any(axis=tuple(i for i in range(3) if i != axis)))
+            cut.append(slice(at[0], at[-1] + 1))
+        a, b = (np.where(own[tuple(cut)], image[tuple(cut)], image[tuple(cut)][own[tuple(cut)]].mean()) for image, own in zip(images, seen, strict=True))
+        found = stitching.phase_correlation(a, b, peaks, subpixel, max_shift)
+        if found is None:
+            return none
+        return pd.DataFrame([(*key, *(found[0] * np.array(factors)), found[1])], columns=none.columns)
+
+    kinds = ", ".join(f"{c} {k}" for c, k in pair.items())
+    return parts.groupBy(*[f"p_{c}" for c in pair]).applyInPandas(run, f"{kinds}, dx double, dy double, dz double, r double")
+
+
 def combined_views(chunks: DataFrame, members: DataFrame, how: str) -> DataFrame:
     """Chunks of groups of views as those of one view each: the mean of the group's images (AVERAGE), or those of the view
     with the brightest mean (PICK_BRIGHTEST).

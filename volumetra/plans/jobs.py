@@ -283,3 +283,19 @@ def stitch_two_timepoints(spark: SparkSession, d: str) -> DataFrame:
     pairs = spark.range(2).select(F.col("id").cast("int").alias("tp"), F.lit(0).cast("long").alias("setup"), F.col("id").cast("int").alias("tp_b"), F.lit(1).cast("long").alias("setup_b"), *[c.alias(k) for k, c in box.items()], *[F.lit(0).alias(f"t{x}{s}") for x in "xyz" for s in ("", "_b")])
     found = registration.stitch_pairs(pairs, chunks, subpixel=False)
     return found.select("tp", "tp_b", "setup", "setup_b", F.round("dx").alias("dx"), F.abs(F.round("dy")).alias("dy"))
+
+
+@job(sql=f"WITH {fx.X} SELECT setup, setup + 4 AS setup_b, -(2 + setup)::DOUBLE AS dx, 1.0::DOUBLE AS dy, 0.0::DOUBLE AS dz, 1.0::DOUBLE AS r FROM X GROUP BY setup")
+def stitch_turned_copy(spark: SparkSession, d: str) -> DataFrame:
+    """Each view and its copy, whose image is turned by a right angle and whose map turns it back, but (2 + setup, -1, 0) too far."""
+    v = fx.voxels(spark, d)
+    whole = F.col("setup").cast("long")
+    copy = v.select((whole + 4).alias("setup"), (63 - F.col("y")).alias("x"), F.col("x").alias("y"), "z", "v")
+    chunks = ch.from_voxels(v.select(whole.alias("setup"), "x", "y", "z", "v").unionByName(copy), (32, 32, 8))
+    zero, one, minus = F.lit(0.0), F.lit(1.0), F.lit(-1.0)
+    back = F.array(zero, one, zero, whole + 2.0, minus, zero, zero, F.lit(62.0), zero, zero, one, zero)
+    size = {f"n{x}{s}": F.lit(n).cast("long") for x, n in zip("xyz", (64, 64, 8), strict=True) for s in ("", "_b")}
+    box = {f"i{x}{i}": F.lit(n).cast("long") for x, lo, hi in zip("xyz", (0, 0, 0), (63, 63, 7), strict=True) for i, n in ((0, lo), (1, hi))}
+    pairs = v.select("setup").distinct().select(F.lit(0).alias("tp"), whole.alias("setup"), F.lit(0).alias("tp_b"), (whole + 4).alias("setup_b"), g.affine(g.IDENTITY).alias("m"), back.alias("m_b"), *[c.alias(n) for n, c in {**size, **box}.items()])
+    found = registration.stitch_rendered(pairs, chunks, subpixel=False)
+    return found.select("setup", "setup_b", *[(F.round(f"d{x}") + 0.0).alias(f"d{x}") for x in "xyz"], F.round("r", 6).alias("r"))
