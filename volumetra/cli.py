@@ -222,8 +222,10 @@ def stitching(spark: SparkSession, a: argparse.Namespace) -> None:
     box = {f"i{x}{i}": F.floor(c / f).cast("long") for x, f in zip(XYZ, factors, strict=True) for i, c in ((0, F.greatest(f"{x}0", f"{x}0_b")), (1, F.least(f"{x}1", f"{x}1_b")))}
     both = ["tp", "setup", "tp_b", "setup_b"]
     # Views that are only moved are compared as they are; all others are rendered into one frame of their pair.
-    plain = lambda m: F.greatest(*[F.abs(m[i] - g.IDENTITY[i]) for i in range(12) if i % 4 < 3]) < 1e-6
-    only_moved = F.transform(F.array("m"), plain)[0] & F.transform(F.array("m_b"), plain)[0]
+    only_moved = F.lit(True)
+    for m in ("m", "m_b"):
+        for i in (i for i in range(12) if i % 4 < 3):
+            only_moved = only_moved & (F.abs(F.col(m)[i] - g.IDENTITY[i]) < 1e-6)
     moved = pairs.filter(only_moved).select(*both, "m", "m_b", *[c.alias(n) for n, c in {**low, **box}.items()])
     found = registration.stitch_pairs(moved.drop("m", "m_b"), chunks, a.peaksToCheck, not a.disableSubpixelResolution).join(moved, both)
     # Places are whole steps there: what they leave of the maps' translations is put back.
