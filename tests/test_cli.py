@@ -63,6 +63,12 @@ def test_register_and_fuse(spark, data, capsys):
     got = a[5 - lo[0] : 90 - lo[0], 3 - lo[1] : 36 - lo[1], 2 - lo[2] : 13 - lo[2]]
     assert np.corrcoef(got.ravel(), scene[5:90, 3:36, 2:13].ravel())[0, 1] > 0.99
 
+    run("match-intensities", "-x", p, *images, "--numCoefficients", "2,2,1", "--renderScale", "0.5", "--minNumCandidates", "50", "-o", top / "bright")
+    fit = projects.load(spark, str(top / "bright"))["intensity_matches"].collect()
+    assert fit and all(abs(r.scale - 1) < 0.1 and r.setup == 0 and r.setup_b == 1 for r in fit)
+    run("solve-intensities", "-x", top / "bright")
+    assert all(abs(r.scale - 1) < 0.1 for r in projects.load(spark, str(top / "bright"))["coefficients"].collect())
+
     run("transform-points", "-x", p, "-vi", "0,1", "-p", "1,2,3", "bad")
     assert capsys.readouterr().out.strip().splitlines()[-1].startswith("4")
     run("clear-registrations", "-x", p, "--keep", "1")

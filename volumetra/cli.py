@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from volumetra.functions import geometry as g
 from volumetra.functions import options
-from volumetra.operators import blocks, points, pyramid, registration, select, spatial
+from volumetra.operators import blocks, points, pyramid, registration, rendered, select, spatial
 from volumetra.sources import chunks as ch
 from volumetra.sources import container, points_csv
 from volumetra.sources import project as projects
@@ -308,31 +308,35 @@ def solver(spark: SparkSession, a: argparse.Namespace) -> None:
     p.save(a.xml, a.dryRun)
 
 
-def _world_voxels(spark: SparkSession, p: projects.Project, a: argparse.Namespace, views: DataFrame) -> DataFrame:
-    """Voxels at the render scale on whole world coordinates, with the coefficient cell of their view."""
-    v = ch.to_voxels(images_of(spark, p, a)).join(F.broadcast(views.select("tp", "setup", "m", "nx", "ny", "nz")), ["tp", "setup"])
-    at = g.apply(F.col("m"), (F.col("x"), F.col("y"), F.col("z")))
-    n = options.vector(a.numCoefficients)
-    cells = {f"c{x}": F.floor(F.col(x) * k / F.col(f"n{x}")).cast("long") for x, k in zip(XYZ, n, strict=True)}
-    v = v.withColumns(cells)
-    return v.groupBy("tp", "setup", *cells, *[F.floor(c * a.renderScale).alias(f"w{x}") for x, c in zip(XYZ, at, strict=True)]).agg(F.avg("v").alias("v"))
+def at_best_levels(spark: SparkSession, p: projects.Project, a: argparse.Namespace, views: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(views, chunks), each view at the coarsest stored level that the steps of its map m allow: m and its size n{x} are those
+    of the level, whose factors are f{x}; the size at full resolution is full_n{x}."""
+    stored = levels_of(spark, p, a)
+    chunks = images_of(spark, p, a, None if len(stored) > 1 else 0)
+    views = views.withColumns({f"full_n{x}": F.col(f"n{x}") for x in XYZ})
+    if len(stored) == 1:
+        return views.withColumns({f"f{x}": F.lit(1.0) for x in XYZ}), chunks
+    each = views.select("tp", "setup", "m", F.explode(F.array(*[F.struct(F.lit(i).alias("level"), *[F.lit(float(v)).alias(f"f{x}") for x, v in zip(XYZ, f, strict=True)], g.affine(pyramid.mipmap(f)).alias("mipmap")) for i, f in enumerate(stored)])).alias("l")).select("tp", "setup", "m", "l.*")
+    each = each.withColumns({f"s{x}": s for x, s in zip(XYZ, g.step_sizes(F.col("m")), strict=True)})
+    best = pyramid.level_for_fusion(each, (F.col("sx"), F.col("sy"), F.col("sz")), by=("tp", "setup"))
+    chosen = each.join(best, ["tp", "setup", "level"]).select("tp", "setup", "level", "mipmap", "fx", "fy", "fz")
+    views = views.join(chosen, ["tp", "setup"])
+    views = views.withColumns({"m": g.compose(F.col("m"), F.col("mipmap")), **{f"n{x}": F.floor(F.col(f"n{x}") / F.col(f"f{x}")).cast("long") for x in XYZ}})
+    return views, chunks.join(F.broadcast(chosen.select("tp", "setup", "level")), ["tp", "setup", "level"], "left_semi")
 
 
 def match_intensities(spark: SparkSession, a: argparse.Namespace) -> None:
     p = projects.load(spark, a.xml)
     views = projects.view_boxes(p).join(selected(p["views"], a).select("tp", "setup"), ["tp", "setup"], "left_semi")
-    v = _world_voxels(spark, p, a, views)
-    v = v.filter(F.col("v") >= a.minThreshold)
-    if a.maxThreshold is not None:
-        v = v.filter(F.col("v") <= a.maxThreshold)
-    b = v.select("wx", "wy", "wz", *[F.col(c).alias(f"{c}_b") for c in ("tp", "setup", "cx", "cy", "cz", "v")])
-    m = v.join(b, ["wx", "wy", "wz"]).filter("struct(tp, setup) < struct(tp_b, setup_b)")
-    # A pair of cells is one group: the second view's cell is part of its name.
-    m = m.withColumn("pair", F.xxhash64("tp_b", "setup_b", "cx_b", "cy_b", "cz_b"))
-    names = m.select("pair", "tp_b", "setup_b", "cx_b", "cy_b", "cz_b").distinct()
-    fit = registration.match_intensities(m.select("tp", "setup", F.col("pair").alias("setup_b"), "cx", "cy", "cz", "v", "v_b"), a.method, a.minNumCandidates, **({} if a.method == "HISTOGRAM" else {"iterations": a.numIterations, "max_error": a.maxEpsilon, "min_ratio": a.minInlierRatio, "min_inliers": a.minNumInliers, "trust": a.maxTrust}))
-    out = fit.withColumnRenamed("setup_b", "pair").join(names, "pair")
-    p["intensity_matches"] = out.select(*p["intensity_matches"].columns)
+    pairs = overlap_pairs(views)
+    # The grid has renderScale cells a world unit; a level has to be no coarser than it.
+    grid = views.withColumn("m", F.transform("m", lambda c: c * a.renderScale))
+    grid, chunks = at_best_levels(spark, p, a, grid)
+    grid = grid.select("tp", "setup", "m", "fx", "fy", "fz", *[F.col(f"full_n{x}").alias(f"n{x}") for x in XYZ])
+    cells = options.vector(a.numCoefficients)
+    values = rendered.cell_values(pairs, grid, chunks, cells, a.renderScale, a.minThreshold, a.maxThreshold)
+    fit = rendered.match_cells(values, cells, a.method, a.minNumCandidates, **({} if a.method == "HISTOGRAM" else {"iterations": a.numIterations, "max_error": a.maxEpsilon, "min_ratio": a.minInlierRatio, "min_inliers": a.minNumInliers, "trust": a.maxTrust}))
+    p["intensity_matches"] = fit.select(*p["intensity_matches"].columns)
     p.save(a.outputPath or a.xml, a.dryRun)
 
 
@@ -367,16 +371,7 @@ def affine_fusion(spark: SparkSession, a: argparse.Namespace) -> None:
     volumes = volumes_of(views)
     work = in_volumes(container.blocks(spark, props, options.vector(a.blockScale)), volumes)
     # Each view is read at the coarsest level that the output's resolution allows.
-    stored = levels_of(spark, p, a)
-    chunks = images_of(spark, p, a, None if len(stored) > 1 else 0)
-    if len(stored) > 1:
-        each = views.select("tp", "setup", "m", F.explode(F.array(*[F.struct(F.lit(i).alias("level"), *[F.lit(float(v)).alias(f"f{x}") for x, v in zip(XYZ, f, strict=True)], g.affine(pyramid.mipmap(f)).alias("mipmap")) for i, f in enumerate(stored)])).alias("l")).select("tp", "setup", "m", "l.*")
-        each = each.withColumns({f"s{x}": s for x, s in zip(XYZ, g.step_sizes(F.col("m")), strict=True)})
-        best = pyramid.level_for_fusion(each, (F.col("sx"), F.col("sy"), F.col("sz")), by=("tp", "setup"))
-        chosen = each.join(best, ["tp", "setup", "level"]).select("tp", "setup", "level", "mipmap", "fx", "fy", "fz")
-        views = views.join(chosen, ["tp", "setup"])
-        views = views.withColumns({"m": g.compose(F.col("m"), F.col("mipmap")), **{f"n{x}": F.floor(F.col(f"n{x}") / F.col(f"f{x}")).cast("long") for x in XYZ}})
-        chunks = chunks.join(F.broadcast(chosen.select("tp", "setup", "level")), ["tp", "setup", "level"], "left_semi")
+    views, chunks = at_best_levels(spark, p, a, views)
     low, high = props.get("min_intensity", 0), props.get("max_intensity", 1)
     coefficients = p["coefficients"] if not p["coefficients"].isEmpty() else None
     fused = registration.fuse_views(work, views, chunks, a.fusion, props["data_type"], low, high, coefficients, masks=a.masks, mask_offset=options.vector(a.maskOffset, 3, float))

@@ -43,6 +43,16 @@ def histogram(x: np.ndarray, y: np.ndarray, steps: int = 64) -> tuple[float, flo
     return linear(np.quantile(x, q), np.quantile(y, q))
 
 
+def relation(x: np.ndarray, y: np.ndarray, method: str = "RANSAC", **options) -> tuple[int, float, float] | None:
+    """(values it rests on, scale, offset), whatever the order of the values."""
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    if method == "HISTOGRAM":
+        return (len(x), *histogram(x, y))
+    found = ransac(x, y, **options)
+    return (int(found[2].sum()), found[0], found[1]) if found else None
+
+
 def solve(matches: list[tuple[object, object, float, float, float]], cells: list, blend: float = 0.1, iterations: int = 1000) -> dict:
     """{cell: (scale, offset)} for matches (a, b, scale, offset, weight) with I_b = scale I_a + offset.
 

@@ -322,12 +322,8 @@ def match_intensities(matches: DataFrame, method: str = "RANSAC", at_least: int
         cols = [*by, "n", "scale", "offset"]
         if len(pdf) < at_least:
             return pd.DataFrame([], columns=cols)
-        pdf = pdf.sort_values(["v", "v_b"])
-        x, y = pdf["v"].to_numpy(float), pdf["v_b"].to_numpy(float)
-        if method == "HISTOGRAM":
-            return pd.DataFrame([(*key, len(pdf), *intensities.histogram(x, y))], columns=cols)
-        found = intensities.ransac(x, y, **options)
-        return pd.DataFrame([(*key, int(found[2].sum()), found[0], found[1])] if found else [], columns=cols)
+        found = intensities.relation(pdf["v"].to_numpy(float), pdf["v_b"].to_numpy(float), method, **options)
+        return pd.DataFrame([(*key, *found)] if found else [], columns=cols)
 
     return matches.groupBy(*by).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in by) + ", n long, scale double, offset double")
 

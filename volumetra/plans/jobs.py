@@ -4,13 +4,14 @@ against known truth."""
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from volumetra.functions import geometry as g
-from volumetra.operators import blocks, points, pyramid, registration
+from volumetra.operators import blocks, points, pyramid, registration, rendered, spatial
 from volumetra.operators.graph import shared
 from volumetra.plans import fixtures as fx
 from volumetra.sources import arrays
@@ -73,8 +74,6 @@ def detect_dog(spark: SparkSession, d: str) -> DataFrame:
 @job
 def stitch_phase(spark: SparkSession, d: str) -> DataFrame:
     v = _places(spark, d)
-    from volumetra.operators import spatial
-
     pairs = spatial.overlapping_pairs(v.select("tp", "setup", "m", *[f"{x}{i}" for x in "xyz" for i in (0, 1)]), 64)
     moved = {f"t{x}{s}": F.col(f"m{s}")[4 * i + 3].cast("long") for i, x in enumerate("xyz") for s in ("", "_b")}
     return registration.stitch_pairs(pairs.select("setup", "setup_b", *g.intersection(), *[c.alias(n) for n, c in moved.items()]), _images(spark, d))
@@ -156,6 +155,28 @@ def match_intensity_ransac(spark: SparkSession, d: str) -> DataFrame:
     return registration.match_intensities(points.cell_matches(fx.voxels(spark, d), (32, 32, 8)), "RANSAC", at_least=50, iterations=200, max_error=20.0)
 
 
+@job(
+    sql=_FULL
+    + """, W AS (SELECT setup, (x + 40 * setup) // 2 AS wx, (y + 30 * setup) // 2 AS wy, z // 2 AS wz, (x // 32 * 4 + y // 32 * 2 + z // 4)::INTEGER AS cell, avg(v) AS v FROM I GROUP BY ALL HAVING avg(v) BETWEEN 1 AND 1000)
+SELECT a.setup::BIGINT AS setup, b.setup::BIGINT AS setup_b, a.cell, b.cell AS cell_b, count(*) AS n, sum(a.v) AS v, sum(b.v) AS v_b FROM W a JOIN W b ON a.setup < b.setup AND a.wx = b.wx AND a.wy = b.wy AND a.wz = b.wz GROUP BY ALL"""
+)
+def rendered_cell_values(spark: SparkSession, d: str) -> DataFrame:
+    """Sums of what two views show in the cells of a grid of half the resolution, by pair of coefficient cells."""
+    v = _places(spark, d)
+    both = v.select("tp", "setup", *[f"{x}{i}" for x in "xyz" for i in (0, 1)])
+    pairs = spatial.overlapping_pairs(both, 64)
+    grid = v.withColumns({"m": F.transform("m", lambda c: c * 0.5), **{f"f{x}": F.lit(1.0) for x in "xyz"}})
+    values = rendered.cell_values(pairs, grid, _images(spark, d), (2, 2, 2), 0.5, 1.0, 1000.0, 16)
+
+    def sums(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            at = [rendered.unpacked([v]) for v in pdf["v"]]
+            yield pdf.drop(columns="v").assign(v=[float(x.sum()) for x, _ in at], v_b=[float(y.sum()) for _, y in at])
+
+    each = values.select("setup", "setup_b", "cell", "cell_b", "n", "v").mapInPandas(sums, "setup long, setup_b long, cell int, cell_b int, n long, v double, v_b double")
+    return each.groupBy("setup", "setup_b", "cell", "cell_b").agg(*[F.sum(c).alias(c) for c in ("n", "v", "v_b")])
+
+
 @job
 def solve_intensity(spark: SparkSession, d: str) -> DataFrame:
     m = registration.match_intensities(points.cell_matches(fx.voxels(spark, d), (32, 32, 8)), "HISTOGRAM", at_least=50)
@@ -229,8 +250,6 @@ def fuse_to_ngff(spark: SparkSession, d: str) -> DataFrame:
 @job
 def split_with_points(spark: SparkSession, d: str) -> DataFrame:
     """Tiles of all views, and made-up points where neighbours of one view overlap."""
-    from volumetra.operators import spatial
-
     v = fx.views(spark, d)
     t = blocks.split_tiles(v, (64, 64, 32), (16, 16, 8))
     t = t.select(F.col("setup").alias("tp"), F.xxhash64("setup", "tx0", "ty0", "tz0").alias("setup"), *[F.col(f"t{x}{i}").alias(f"{x}{i}") for x in "xyz" for i in (0, 1)])
