@@ -97,3 +97,23 @@ def test_nothing(spark, data):
     _, chunks, views, pairs = data
     for some in ((pairs.limit(0), views, chunks), (pairs, views.limit(0), chunks), (pairs, views, chunks.limit(0))):
         assert rendered.match_cells(rendered.cell_values(*some, CELLS), CELLS, "HISTOGRAM", 1).count() == 0
+
+
+def test_stored_level(spark):
+    """Means of a level's voxels are those of full resolution where its cells lie in the grid's."""
+    images = {(0, 0): RNG.integers(0, 200, (32, 16, 8)).astype("f4"), (0, 1): RNG.integers(0, 200, (24, 16, 8)).astype("f4")}
+    chunks = ch.pyramid(ch.from_arrays(spark, images, (16, 16, 8)), [(1, 1, 1), (2, 2, 1)], (8, 8, 8))
+    world = {(0, 0): (1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0), (0, 1): (1, 0, 0, 12, 0, 1, 0, 4, 0, 0, 1, 0)}
+    pairs = spark.createDataFrame([(0, 0, 0, 1, 0, 31, 0, 15, 0, 7, 12, 35, 4, 19, 0, 7)], "tp int, setup long, tp_b int, setup_b long, " + ", ".join(f"{x}{i}{s} long" for s in ("", "_b") for x in "xyz" for i in (0, 1)))
+    got = []
+    for level, f in ((0, (1, 1, 1)), (1, (2, 2, 1))):
+        rows = []
+        for k, m in world.items():
+            m = np.array(m, float).reshape(3, 4)
+            m[:, 3] += m[:, :3] @ ((np.array(f) - 1) / 2) + 0.5
+            m[:, :3] *= f
+            rows.append((*k, (m * 0.25).ravel().tolist(), *[float(v) for v in f], *images[k].shape))
+        views = spark.createDataFrame(rows, "tp int, setup long, m array<double>, fx double, fy double, fz double, nx long, ny long, nz long")
+        values = rendered.cell_values(pairs, views, chunks.filter(f"level = {level}"), (2, 2, 1), 0.25, block=4).collect()
+        got.append(sorted((r.cell, r.cell_b, *v) for r in values for v in zip(*[x.round(3).tolist() for x in rendered.unpacked([r.v])], strict=True)))
+    assert got[0] == got[1] and len(got[0]) > 20

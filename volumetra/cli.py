@@ -308,16 +308,16 @@ def solver(spark: SparkSession, a: argparse.Namespace) -> None:
     p.save(a.xml, a.dryRun)
 
 
-def at_best_levels(spark: SparkSession, p: projects.Project, a: argparse.Namespace, views: DataFrame) -> tuple[DataFrame, DataFrame]:
+def at_best_levels(spark: SparkSession, p: projects.Project, a: argparse.Namespace, views: DataFrame, finer: int = 1) -> tuple[DataFrame, DataFrame]:
     """(views, chunks), each view at the coarsest stored level that the steps of its map m allow: m and its size n{x} are those
-    of the level, whose factors are f{x}; the size at full resolution is full_n{x}."""
+    of the level, whose factors are f{x}; the size at full resolution is full_n{x}. Levels are ``finer`` times as fine as m asks."""
     stored = levels_of(spark, p, a)
     chunks = images_of(spark, p, a, None if len(stored) > 1 else 0)
     views = views.withColumns({f"full_n{x}": F.col(f"n{x}") for x in XYZ})
     if len(stored) == 1:
         return views.withColumns({f"f{x}": F.lit(1.0) for x in XYZ}), chunks
     each = views.select("tp", "setup", "m", F.explode(F.array(*[F.struct(F.lit(i).alias("level"), *[F.lit(float(v)).alias(f"f{x}") for x, v in zip(XYZ, f, strict=True)], g.affine(pyramid.mipmap(f)).alias("mipmap")) for i, f in enumerate(stored)])).alias("l")).select("tp", "setup", "m", "l.*")
-    each = each.withColumns({f"s{x}": s for x, s in zip(XYZ, g.step_sizes(F.col("m")), strict=True)})
+    each = each.withColumns({f"s{x}": s * finer for x, s in zip(XYZ, g.step_sizes(F.col("m")), strict=True)})
     best = pyramid.level_for_fusion(each, (F.col("sx"), F.col("sy"), F.col("sz")), by=("tp", "setup"))
     chosen = each.join(best, ["tp", "setup", "level"]).select("tp", "setup", "level", "mipmap", "fx", "fy", "fz")
     views = views.join(chosen, ["tp", "setup"])
@@ -329,9 +329,10 @@ def match_intensities(spark: SparkSession, a: argparse.Namespace) -> None:
     p = projects.load(spark, a.xml)
     views = projects.view_boxes(p).join(selected(p["views"], a).select("tp", "setup"), ["tp", "setup"], "left_semi")
     pairs = overlap_pairs(views)
-    # The grid has renderScale cells a world unit; a level has to be no coarser than it.
-    grid = views.withColumn("m", F.transform("m", lambda c: c * a.renderScale))
-    grid, chunks = at_best_levels(spark, p, a, grid)
+    # The grid has renderScale cells a world unit, which end between voxels, so that a small shift moves few of them to another
+    # cell. A level's voxels have to be at most half a cell, as each goes to the cell it lies in.
+    grid = views.withColumn("m", F.transform("m", lambda c, i: (c + F.when(i % 4 == 3, 0.5).otherwise(0.0)) * a.renderScale))
+    grid, chunks = at_best_levels(spark, p, a, grid, 2)
     grid = grid.select("tp", "setup", "m", "fx", "fy", "fz", *[F.col(f"full_n{x}").alias(f"n{x}") for x in XYZ])
     cells = options.vector(a.numCoefficients)
     values = rendered.cell_values(pairs, grid, chunks, cells, a.renderScale, a.minThreshold, a.maxThreshold)
