@@ -114,3 +114,22 @@ def _all(tests: list[Column]) -> Column:
 def registration_hash(*maps: Column) -> Column:
     """Names the maps a link was computed with."""
     return F.xxhash64(*maps)
+
+
+def boxes_meet(m: Column, lo: list[Column], hi: list[Column], other_lo: list[Column], other_hi: list[Column]) -> Column:
+    """Whether the box lo..hi, taken by the map m, meets the box other_lo..other_hi: no axis separates them, of the faces of
+    either and of all pairs of their edges. Touching boxes meet."""
+    middle, other = ([(a + b) / 2 for a, b in zip(*x, strict=True)] for x in ((lo, hi), (other_lo, other_hi)))
+    half = [(b - a) / 2 for a, b in zip(other_lo, other_hi, strict=True)]
+    away = [a - b for a, b in zip(apply(m, middle), other, strict=True)]
+    # Edges of the mapped box, from its middle to a face.
+    edges = [[m[4 * r + c] * (hi[c] - lo[c]) / 2 for r in range(3)] for c in range(3)]
+    dot = lambda a, b: sum((x * y for x, y in zip(a[1:], b[1:], strict=True)), a[0] * b[0])
+    cross = lambda a, b: [a[(i + 1) % 3] * b[(i + 2) % 3] - a[(i + 2) % 3] * b[(i + 1) % 3] for i in range(3)]
+    unit = [[F.lit(float(i == j)) for j in range(3)] for i in range(3)]
+    axes = [*unit, *[cross(edges[i], edges[(i + 1) % 3]) for i in range(3)], *[cross(u, e) for u in unit for e in edges]]
+    met = F.lit(True)
+    for axis in axes:
+        reach = sum((F.abs(dot(axis, e)) for e in edges), sum((F.abs(a) * h for a, h in zip(axis, half, strict=True)), F.lit(0.0)))
+        met = met & (F.abs(dot(axis, away)) <= reach * (1 + 1e-9) + 1e-9)
+    return met

@@ -401,7 +401,9 @@ def fuse_views(blocks: DataFrame, views: DataFrame, chunks: DataFrame, strategy:
     met = met.select(*volume, "gx", "gy", "gz", *[F.col(f"{x}{i}").alias(f"w{x}{i}") for x in "xyz" for i in (0, 1)], F.col("tp_b").alias("tp"), F.col("setup_b").alias("setup"), back.alias("back"), *[F.col(f"n{x}_b").alias(f"n{x}") for x in "xyz"], *[c.alias(n) for n, c in need.items()])
     in_image = met.select(*met.columns, *[F.col(f"c{x}{i}").alias(f"{x}{i}") for x in "xyz" for i in (0, 1)])
     boxed = ch.boxes(chunks).select("tp", "setup", "ox", "oy", "oz", "sx", "sy", "sz", "dtype", "payload", *[f"{x}{i}" for x in "xyz" for i in (0, 1)])
-    pieces = spatial.box_join(in_image, boxed, cell, ["tp", "setup"]).select(*met.columns, *[F.col(f"{c}_b").alias(c) for c in ("ox", "oy", "oz", "sx", "sy", "sz", "dtype", "payload")])
+    # The mapped block is no box along the axes of a turned view: chunks that only its bounds meet are not sent.
+    touched = g.boxes_meet(F.col("back"), *[[F.col(f"w{x}{i}").cast("double") for x in "xyz"] for i in (0, 1)], *[[(F.col(f"{x}{i}_b") + d).cast("double") for x in "xyz"] for i, d in ((0, -1), (1, 1))])
+    pieces = spatial.box_join(in_image, boxed, cell, ["tp", "setup"], touched).select(*met.columns, *[F.col(f"{c}_b").alias(c) for c in ("ox", "oy", "oz", "sx", "sy", "sz", "dtype", "payload")])
     keys = {"t_index": "int", "c_index": "int", "gx": "int", "gy": "int", "gz": "int", **{f"w{x}{i}": "long" for x in "xyz" for i in (0, 1)}, "tp": "int", "setup": "long", "back": "array<double>", "nx": "long", "ny": "long", "nz": "long", **{f"c{x}{i}": "long" for x in "xyz" for i in (0, 1)}}
     cast = pieces.select(*[F.col(c).cast(k) for c, k in keys.items()], "ox", "oy", "oz", "sx", "sy", "sz", "dtype", "payload")
     parts = _with_empty(_parts(cast, keys), met, keys)
