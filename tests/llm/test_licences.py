@@ -4,7 +4,7 @@ import time
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from volumetra.llm.licences import BASE, Scanner, expression_labels, freedom, postfix, scan_licences
+from volumetra.llm.licences import BASE, FAMILIES, FREEDOM, NOTICES, OPENINGS, Scanner, expression_labels, freedom, postfix, scan_licences
 
 
 def brute(text):
@@ -110,3 +110,22 @@ def test_long_runs_of_blanks_take_linear_time():
     Scanner().scan(f"SPDX-License-Identifier:{blanks}:{blanks}")
     Scanner().scan(f"SPDX-License-Identifier{blanks}" * 5)
     assert time.time() - start < 1
+
+
+def test_licence_texts():
+    scan = lambda t: Scanner().scan(t)[5:7]
+    assert scan("Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software") == ("mit", 0.6)
+    assert scan("Redistribution and use in source and binary forms, with or without modification,") == ("bsd", 0.6)
+    assert scan("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee") == ("isc", 0.6)
+    assert scan("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License") == ("gpl,gpl-notice", 0.7)
+    assert scan("Creative Commons Attribution-ShareAlike 4.0")[0] == "cc-by-sa,cc-notice"
+    assert scan("Redistribution and use of these forms") == ("", 0.0)
+    for phrase in [*NOTICES, *OPENINGS]:
+        assert (NOTICES | OPENINGS)[phrase] in scan(f"x {phrase.upper()}, y")[0].split(","), phrase
+        assert phrase == " ".join(phrase.lower().split()) and phrase.isascii()
+
+
+def test_families():
+    assert len(FREEDOM) == sum(len(ids.split()) for ids in FAMILIES.values())
+    want = {"artistic-2.0": 0.7, "eupl-1.2": 0.5, "ofl-1.1": 0.7, "postgresql": 0.9, "mit-0": 1.0, "mit": 0.9, "gpl-3.0-or-later": 0.5, "cc-by-4.0": 0.9, "cc-by-nc-sa-4.0": 0.2, "cecill-c": 0.7, "cecill-2.1": 0.5, "some-other": 0.3}
+    assert {i: freedom([i]) for i in want} == want

@@ -1,15 +1,15 @@
 """Licence scans: an automaton finds identifier tags and notice phrases, a parser evaluates licence expressions.
 
 Words are runs of ASCII letters and digits (A-Z lower-cased) and non-ASCII characters. One Aho-Corasick automaton holds
-all phrases, padded by spaces, and runs over the words joined by single spaces, so that a phrase is found wherever its
-words stand one after the other. Behind a ``SPDX-License-Identifier`` tag stands an expression: it is read from the text
+all phrases (names of licences and what their texts begin with), padded by spaces, and runs over the words joined by
+single spaces, so that a phrase is found wherever its words stand one after the other. Behind a ``SPDX-License-Identifier`` tag stands an expression: it is read from the text
 as it is, and a shunting-yard parser turns it into postfix order (WITH binds before AND, AND before OR), which gives its
 labels, whether there is a choice, and its freedom: AND is as free as its less free side, OR as its freer side, as one may
 choose, and WITH halves what its licence lacks. A broken expression gives the labels of the ids it names.
 
 Score: 0 without finding; 0.4 with a phrase that only reserves rights; 0.6 and 0.1 more for every further label, up to
 0.9, with notices; 1 with an expression that parses. ``freedom`` is the least of the text's expressions, from 0 to 1, null
-if none parses (``FREEDOM``; an unknown id counts ``UNKNOWN``).
+if none parses: that of the heaviest duty of a licence's family (``DUTIES``, ``FAMILIES``; an unknown id counts ``UNKNOWN``).
 
 Defined results: null or empty text has no words, no labels (empty strings), null first and last word and freedom, score 0;
 repeated rows are scanned one by one; extra columns are ignored. One scan and one Arrow map, no shuffle.
@@ -46,6 +46,55 @@ NOTICES = {
     "cc by nc sa": "cc-by-nc-sa",
     "cc by nc nd": "cc-by-nc-nd",
     "public domain": "public-domain",
+    "apache licence": "apache",
+    "mit licence": "mit",
+    "bsd licence": "bsd",
+    "bsd 2 clause license": "bsd-2-clause",
+    "bsd 3 clause license": "bsd-3-clause",
+    "isc license": "isc",
+    "zlib license": "zlib",
+    "boost software license": "bsl-1.0",
+    "postgresql license": "postgresql",
+    "python software foundation license": "psf",
+    "academic free license": "afl",
+    "artistic license": "artistic",
+    "eclipse public license": "epl",
+    "common development and distribution license": "cddl",
+    "mozilla public license version 2 0": "mpl-2.0",
+    "sil open font license": "ofl",
+    "gnu general public licence": "gpl-notice",
+    "gnu lesser general public license version 2 1": "lgpl-2.1",
+    "gnu lesser general public license version 3": "lgpl-3.0",
+    "gnu free documentation license": "gfdl",
+    "european union public licence": "eupl",
+    "open software license": "osl",
+    "open database license": "odbl",
+    "open data commons attribution license": "odc-by",
+    "server side public license": "sspl",
+    "elastic license": "elastic",
+    "business source license": "busl",
+    "creative commons attribution sharealike": "cc-by-sa",
+    "creative commons attribution share alike": "cc-by-sa",
+    "creative commons attribution noncommercial": "cc-by-nc",
+    "creative commons attribution non commercial": "cc-by-nc",
+    "creative commons attribution noderivatives": "cc-by-nd",
+    "creative commons attribution no derivatives": "cc-by-nd",
+}
+# What the texts of common licences, and the notices that they ask for, begin with.
+OPENINGS = {
+    "permission is hereby granted free of charge to any person obtaining a copy": "mit",
+    "permission is hereby granted free of charge to any person or organization obtaining a copy": "bsl-1.0",
+    "redistribution and use in source and binary forms": "bsd",
+    "permission to use copy modify and or distribute this software for any purpose": "isc",
+    "permission to use copy modify and distribute this software and its documentation for any purpose": "hpnd",
+    "this software is provided as is without any express or implied warranty": "zlib",
+    "unless required by applicable law or agreed to in writing software distributed under the license": "apache",
+    "this program is free software you can redistribute it and or modify it": "gpl-notice",
+    "this library is free software you can redistribute it and or modify it": "lgpl",
+    "this source code form is subject to the terms of the mozilla public": "mpl",
+    "this is free and unencumbered software released into the public domain": "unlicense",
+    "do what the fuck you want to public license": "wtfpl",
+    "this work is licensed under a creative commons": "cc-notice",
 }
 TAG = "spdx license identifier"
 _TAG = re.compile(r"spdx-license-identifier\s*:[ \t]*([^\r\n]*)", re.I)
@@ -55,13 +104,21 @@ _ID = re.compile(r"[A-Za-z0-9.+:-]+")
 _RANK = {"or": 1, "and": 2, "with": 3}
 #: Endings of comments that may follow a tag in its line.
 _COMMENT_END = re.compile(r"\*/|-->|#}|\"\"\"|'''")
-#: How freely what stands under a licence may be used, by the beginning of its id; the longest that fits counts.
-FREEDOM = {
-    "cc0": 1.0, "unlicense": 1.0, "0bsd": 1.0, "wtfpl": 1.0, "pddl": 1.0,
-    "mit": 0.9, "bsd": 0.9, "isc": 0.9, "zlib": 0.9, "apache": 0.9, "python": 0.9, "psf": 0.9, "bsl-1.0": 0.9, "cc-by": 0.9,
-    "mpl": 0.7, "lgpl": 0.7, "epl": 0.7, "cddl": 0.7,
-    "gpl": 0.5, "agpl": 0.4, "cc-by-sa": 0.5, "cc-by-nd": 0.2, "cc-by-nc": 0.2, "sspl": 0.2, "busl": 0.1,
-}
+#: How freely what stands under a licence may be used, by the heaviest duty that it lays on users.
+DUTIES = {"none": 1.0, "notice": 0.9, "share changed files": 0.7, "share the whole work": 0.5, "share what is served": 0.4, "restricted use": 0.2, "use by agreement": 0.1}
+# Beginnings of licence ids (all versions and variants follow) by that duty; the longest that fits counts.
+FAMILIES = {
+    "none": "0bsd cc-pddc cc0 mit-0 pddl unlicense wtfpl",
+    "notice": "aal adsl afl apache beerware blueoak bsd bsl-1.0 cc-by cdla-permissive cnri curl ecl efl fsfap ftl hpnd icu ijg imagemagick info-zip intel isc "
+    "libpng libtiff linux-openib mit ms-pl mulanpsl naist ncsa nist ntp odc-by oldap openssl php postgresql psf pil python ruby saxpath sgi-b tcl unicode upl "
+    "vim w3c x11 xfree86 xnet zend zlib zpl",
+    "share changed files": "apsl artistic cddl cecill-c clartistic cpl eclipse epl erlpl ipl lgpl lppl lpl mpl ms-rl nasa npl nokia ofl sissl spl",
+    "share the whole work": "cc-by-sa cdla-sharing cecill eupl gfdl gpl odbl qpl sleepycat",
+    "share what is served": "agpl cpal osl rpl",
+    "restricted use": "cc-by-nc cc-by-nd elastic json polyform sspl",
+    "use by agreement": "busl",
+}
+FREEDOM = {i: DUTIES[duty] for duty, ids in FAMILIES.items() for i in ids.split()}
 UNKNOWN = 0.3
 
 
@@ -157,7 +214,7 @@ class Scanner:
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
-        for phrase in [*BASE, *NOTICES, TAG]:
+        for phrase in [*BASE, *NOTICES, *OPENINGS, TAG]:
             self.automaton.add_word(f" {phrase} ", phrase)
         self.automaton.make_automaton()
 
@@ -178,8 +235,8 @@ class Scanner:
                     start = line.count(" ", 0, begin + 1) - 1
                 starts.append(start)
                 base.add(BASE[phrase])
-            elif phrase in NOTICES:
-                own.add(NOTICES[phrase])
+            elif phrase != TAG:
+                own.add(NOTICES.get(phrase) or OPENINGS[phrase])
             else:
                 tagged = True
         free: list[float] = []
