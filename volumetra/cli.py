@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from volumetra.functions import geometry as g
 from volumetra.functions import options
-from volumetra.operators import blocks, points, pyramid, registration, rendered, select, spatial
+from volumetra.operators import blocks, consensus, points, pyramid, registration, rendered, select, spatial
 from volumetra.sources import chunks as ch
 from volumetra.sources import container, points_csv
 from volumetra.sources import project as projects
@@ -266,8 +266,8 @@ def solver(spark: SparkSession, a: argparse.Namespace) -> None:
         c = p["correspondences"].filter(F.struct("tp_a", "setup_a") < F.struct("tp_b", "setup_b"))
         rows = c.join(one, ["tp_a", "setup_a", "label_a", "id_a"]).join(two, ["tp_b", "setup_b", "label_b", "id_b"])
         weight = F.element_at(F.create_map(*[F.lit(v) for kv in weights.items() for v in kv]), F.col("label_a"))
-        named = rows.select(F.array("tp_a", "setup_a").alias("a"), F.array("tp_b", "setup_b").alias("b"), weight.alias("weight"), *registration.JOINT)
-        links = registration.link_moments(named, ["a", "b", "weight"])
+        named = rows.select(F.array("tp_a", "setup_a").alias("a"), F.array("tp_b", "setup_b").alias("b"), weight.alias("weight"), *consensus.PLACES)
+        links = consensus.link_moments(named, ["a", "b", "weight"])
     links = links.withColumns({c: F.concat_ws(",", c) for c in ("a", "b")})
     name = lambda t: f"{t[0]},{t[1]}"
     # Views of a group move as one tile, named by the group's first view; links within a group say nothing.

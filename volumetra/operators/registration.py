@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from volumetra.operators import coefficients, spatial
+from volumetra.operators.consensus import large_models, link_moments, sigma_points
 from volumetra.operators.kernels import deformation, detection, intensities, matching, models, solving, stitching
 from volumetra.sources import chunks as ch
 
@@ -300,8 +301,14 @@ def match_points(pairs: DataFrame, points: DataFrame, method: str = "FAST_ROTATI
     return rows.groupBy("pa", "pb").applyInPandas(run, MATCHES)
 
 
-def robust_models(candidates: DataFrame, model: str = "AFFINE", multi: bool = False, **options) -> DataFrame:
-    """(setup, setup_b, consensus, n, model): consensus models of the candidate pairs (x, y, z to x_b, y_b, z_b) of two views."""
+def robust_models(candidates: DataFrame, model: str = "AFFINE", multi: bool = False, local: int = 200_000, **options) -> DataFrame:
+    """(setup, setup_b, consensus, n, model): consensus models of the candidate pairs (x, y, z to x_b, y_b, z_b) of two views.
+    Pairs of more than ``local`` candidates (counted) are solved by passes over all their rows, others in a task each."""
+    pair = ["setup", "setup_b"]
+    large = candidates.groupBy(*pair).agg(F.count("*").alias("n")).filter(F.col("n") > local).select(*pair)
+    if not large.isEmpty():
+        small = robust_models(candidates.join(large, pair, "left_anti"), model, multi, 2**62, **options)
+        return small.unionByName(large_models(candidates.join(large, pair, "left_semi"), model, multi, **options))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["x", "y", "z", "x_b", "y_b", "z_b"])
@@ -339,26 +346,6 @@ def solve_intensities(matches: DataFrame, blend: float = 0.1, iterations: int =
     return coefficients.solve(rows, blend, iterations, local=local).select("cell.*", "scale", "offset")
 
 
-JOINT = ("x", "y", "z", "x_b", "y_b", "z_b")
-
-
-def link_moments(rows: DataFrame, by: list[str]) -> DataFrame:
-    """(by, n, mean, cov): of the matched places (x, y, z) and (x_b, y_b, z_b) of each link all that a least-squares fit sees."""
-    cov = [F.covar_pop(a, b) for i, a in enumerate(JOINT) for b in JOINT[i:]]
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.array(*[F.avg(c) for c in JOINT]).alias("mean"), F.array(*cov).alias("cov"))
-
-
-def _sigma_points(mean: list[float], cov: list[float]) -> tuple[np.ndarray, np.ndarray]:
-    """Twelve pairs of places with this mean and covariance: least-squares fits to them are those to all places."""
-    c = np.zeros((6, 6))
-    c[np.triu_indices(6)] = cov
-    c = c + c.T - np.diag(np.diag(c))
-    w, v = np.linalg.eigh(c)
-    step = (v * np.sqrt(6 * np.maximum(w, 0))).T
-    at = np.concatenate([np.array(mean) + step, np.array(mean) - step])
-    return at[:, :3], at[:, 3:]
-
-
 def solve_links(links: DataFrame, tiles: list, fixed: set, method: str = "ONE_ROUND_SIMPLE", weak: list | None = None, relative: float = 3.5, absolute: float = 7.0, **options) -> tuple[dict, float]:
     """({tile: 3x4 model}, error) from links (a, b, weight) with lists p and q of matched places in tile coordinates, or with
     their ``link_moments``.
@@ -369,7 +356,7 @@ def solve_links(links: DataFrame, tiles: list, fixed: set, method: str = "ONE_RO
     rows = []
     for r in links.collect():
         if "cov" in links.columns:
-            rows.append(solving.Link(r["a"], r["b"], *_sigma_points(r["mean"], r["cov"]), r["weight"] * r["n"] / 12))
+            rows.append(solving.Link(r["a"], r["b"], *sigma_points(r["mean"], r["cov"]), r["weight"] * r["n"] / 12))
         else:
             rows.append(solving.Link(r["a"], r["b"], np.array(r["p"], float), np.array(r["q"], float), r["weight"]))
     if method == "ONE_ROUND_SIMPLE":

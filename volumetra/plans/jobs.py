@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from volumetra.functions import geometry as g
-from volumetra.operators import blocks, points, pyramid, registration, rendered, spatial
+from volumetra.operators import blocks, consensus, points, pyramid, registration, rendered, spatial
 from volumetra.operators.graph import shared
 from volumetra.plans import fixtures as fx
 from volumetra.sources import arrays
@@ -90,6 +90,21 @@ def match_ransac(spark: SparkSession, d: str) -> DataFrame:
     return registration.robust_models(_candidates(spark, d), "TRANSLATION", iterations=500, max_error=10.0, min_ratio=0.01, min_inliers=5)
 
 
+#: Places of lineitems, and where they are seen again: a third of them anywhere, the others moved.
+_SEEN = """SELECT l_linenumber AS setup_b, l_partkey % 1009 AS x, l_suppkey % 97 AS y, l_orderkey % 499 AS z,
+  CASE WHEN l_orderkey % 3 = 0 THEN l_orderkey * 7 % 1013 ELSE l_partkey % 1009 + 300 END AS x_b, CASE WHEN l_orderkey % 3 = 0 THEN l_partkey * 5 % 1019 ELSE l_suppkey % 97 - 200 END AS y_b,
+  CASE WHEN l_orderkey % 3 = 0 THEN l_suppkey * 3 % 499 ELSE l_orderkey % 499 + 50 END AS z_b FROM {lineitem}"""
+
+
+@job(sql=f"""SELECT setup_b::BIGINT AS setup_b, count(*) AS n, 300.0::DOUBLE AS dx, -200.0::DOUBLE AS dy, 50.0::DOUBLE AS dz FROM ({_SEEN.format(lineitem="lineitem")})
+WHERE x_b = x + 300 AND y_b = y - 200 AND z_b = z + 50 GROUP BY ALL""")
+def large_consensus(spark: SparkSession, d: str) -> DataFrame:
+    """Seven pairs of views, each with a seventh of the table as candidates, solved by passes over all rows."""
+    seen = spark.sql(_SEEN.format(lineitem=f"parquet.`{d}/lineitem.parquet`")).withColumn("setup", F.lit(0))
+    found = consensus.large_models(seen, "TRANSLATION", iterations=200, max_error=0.5)
+    return found.select("setup_b", "n", *[F.round(F.col("model")[i], 6).alias(c) for c, i in (("dx", 3), ("dy", 7), ("dz", 11))])
+
+
 def _places_of_points(spark: SparkSession, d: str) -> DataFrame:
     """All points; of points at one place of a view the one with the smallest id."""
     return fx.points(spark, d).groupBy("setup", "x", "y", "z").agg(F.min("id").alias("id")).select("setup", "id", "x", "y", "z")
