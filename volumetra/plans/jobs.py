@@ -305,6 +305,13 @@ def match_moved_copy(spark: SparkSession, d: str) -> DataFrame:
     return found.select("id", "id_b")
 
 
+@job(sql=_SAME)
+def match_precise_copy(spark: SparkSession, d: str) -> DataFrame:
+    """Redundant descriptors within a search radius find every point of a cloud and its moved copy."""
+    found = registration.match_points(_pairs(spark).filter("setup_b = 1"), _cloud(spark, d, False), "PRECISE_TRANSLATION", significance=1.5, model="TRANSLATION", min_inliers=5, iterations=500, max_error=0.5, search_radius=400.0)
+    return found.select("id", "id_b")
+
+
 @job(sql="SELECT t AS tp, t AS tp_b, 0 AS setup, 1 AS setup_b, (CASE t WHEN 0 THEN 1.0 ELSE -1.0 END)::DOUBLE * ((SELECT count(*) FROM lineitem) % 5 + 1)::DOUBLE AS dx, 0.0::DOUBLE AS dy FROM (SELECT unnest(range(2)) AS t)")
 def stitch_two_timepoints(spark: SparkSession, d: str) -> DataFrame:
     """One image seen twice, the second time moved by whole voxels, to the right at timepoint 0 and to the left at timepoint 1."""
