@@ -44,8 +44,12 @@ def box_join(a: DataFrame, b: DataFrame, cell: int, on: list[str] = (), where: C
 
 
 def overlapping_pairs(views: DataFrame, cell: int, on: list[str] = (), axes: tuple[str, ...] = g.AXES) -> DataFrame:
-    """Each unordered pair of views with overlapping boxes once."""
-    return box_join(views, views, cell, on, F.struct("tp", "setup") < F.struct("tp_b", "setup_b"), axes=axes)
+    """Each unordered pair of views with overlapping boxes once.
+
+    Both sides are shuffled: by the size of its file a table of views would be broadcast with all its cells, and one task for
+    each file would meet all pairs.
+    """
+    return box_join(views, views.hint("merge"), cell, on, F.struct("tp", "setup") < F.struct("tp_b", "setup_b"), axes=axes)
 
 
 def overlapping_some(a: DataFrame, b: DataFrame, cell: int, key: list[str], expand: int = 0) -> DataFrame:
