@@ -30,3 +30,11 @@ def test_clusters_over_blocks(spark, block):
     assert len(members) == len(xyz) and len({r.gid for r in members}) == len(want)
     assert points.merged(table.limit(0), 1.5, ["setup"]).count() == 0
     assert points.dedupe_lists(table.limit(0), 1.5, ["setup"], "id").count() == 0
+
+
+def test_lists_are_deduplicated_without_broadcasts(spark):
+    """What was taken is shuffled, and of points at one place all are kept or none."""
+    rows = [(0, i, label, float(x), 0.0, 0.0) for i, (label, x) in enumerate([("a", 0), ("a", 0), ("b", 3), ("b", 9), ("b", 9), ("c", 12.5), ("c", 13.5), (None, 20), ("b", 20.5)])]
+    table = spark.createDataFrame(rows, "setup int, id long, label string, x double, y double, z double")
+    assert "Broadcast" not in points.far_from(table, table.filter("label = 'a'"), 4, ["setup"])._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.id for r in points.dedupe_lists(table, 4.0, ["setup"], "label").collect()) == [0, 1, 3, 4, 6, 7]

@@ -43,12 +43,15 @@ def brightest_per_interval(points: DataFrame, intervals: DataFrame, max_spots: i
 
 
 def far_from(points: DataFrame, others: DataFrame, distance: int, by: list[str]) -> DataFrame:
-    """Points with none of ``others`` (of the same group) within ``distance``: an anti join over grid cells."""
-    cell = max(1, distance)
-    around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    b = others.select(*[F.col(c).alias(f"{c}_b") for c in (*by, "x", "y", "z")])
+    """Points with none of ``others`` (of the same group) within ``distance``: an anti join over grid cells.
+
+    A cell is two distances wide, so that one of ``others`` is met in eight. Both sides are shuffled: what is read from a small
+    file would be broadcast with all its cells.
+    """
+    cell = 2 * max(distance, 0.5)
+    b = others.select(*[F.col(c).alias(f"{c}_b") for c in (*by, "x", "y", "z")]).distinct()
     for x in "xyz":
-        b = b.withColumn(f"__c{x}", F.floor(F.col(f"{x}_b") / cell)).withColumn(f"__s{x}", F.explode(around)).withColumn(f"__c{x}", F.col(f"__c{x}") + F.col(f"__s{x}")).drop(f"__s{x}")
+        b = b.withColumn(f"__c{x}", F.explode(F.array_distinct(F.array(*[F.floor((F.col(f"{x}_b") + s) / cell) for s in (-distance, distance)]))))
     a = points.withColumns({f"__p{x}": F.floor(F.col(x) / cell) for x in "xyz"})
     near = F.lit(True)
     for c in by:
@@ -56,20 +59,26 @@ def far_from(points: DataFrame, others: DataFrame, distance: int, by: list[str])
     for x in "xyz":
         near = near & (F.col(f"__p{x}") == F.col(f"__c{x}"))
     d = sum(((F.col(x) - F.col(f"{x}_b")) ** 2 for x in "yz"), (F.col("x") - F.col("x_b")) ** 2)
-    return a.join(b, near & (d <= distance * distance), "left_anti").select(*points.columns)
+    return a.join(b.hint("merge"), near & (d <= distance * distance), "left_anti").select(*points.columns)
 
 
 def dedupe_lists(points: DataFrame, distance: float, by: list[str], order: str, store: Callable[[DataFrame], DataFrame] = stored) -> DataFrame:
     """Points list by list in the order of ``order``: one is taken if none taken from earlier lists is within ``distance``.
 
-    Points of one list are never compared. A round for each list: an anti join over grid cells with what was taken before,
-    which is stored; lists are a project's labels, a few.
+    Points of one list are never compared, so those at one place share their fate: places are decided, then points looked up.
+    A round for each list: an anti join over grid cells with what was taken before, which is stored; lists are a project's labels,
+    a few.
     """
-    taken: list[DataFrame] = []
-    for r in points.select(order).distinct().orderBy(order).collect():
-        own = points.filter(F.col(order).eqNullSafe(F.lit(r[0])))
-        taken.append(store(far_from(own, reduce(DataFrame.unionByName, taken), distance, by) if taken else own))
-    return reduce(DataFrame.unionByName, taken) if taken else points
+    key = [*by, order, "x", "y", "z"]
+    places, taken = store(points.select(*key).distinct()), None
+    for r in places.select(order).distinct().orderBy(order).collect():
+        own = places.filter(F.col(order).eqNullSafe(F.lit(r[0])))
+        new = far_from(own, taken, distance, by) if taken is not None else own
+        taken = store(new if taken is None else taken.unionByName(new))
+    if taken is None:
+        return points
+    kept = taken.select(*[F.col(c).alias(f"__{c}") for c in key]).hint("merge")
+    return points.join(kept, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in key]), "left_semi")
 
 
 def clustered(points: DataFrame, radius: float, by: list[str], out: str = "gid", block: int = 16, store: Callable[[DataFrame], DataFrame] = stored) -> DataFrame:
