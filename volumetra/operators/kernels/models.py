@@ -103,8 +103,19 @@ def multi_consensus(p: np.ndarray, q: np.ndarray, **options) -> list[tuple[np.nd
 
 
 def clusters(points: np.ndarray, radius: float) -> np.ndarray:
-    """A label for each point; points linked by steps of at most ``radius`` share one. Cells of that size bound the search."""
-    parent = list(range(len(points)))
+    """A label for each point; points linked by steps of at most ``radius`` share one.
+
+    All points of a cell whose diagonal is the radius are linked. Two cells within reach are met only while they are not linked
+    already, so dense heaps cost no more than their points.
+    """
+    if not len(points):
+        return np.zeros(0, int)
+    side = max(radius, 1e-9) / np.sqrt(3) * (1 - 1e-9)
+    cells, of = np.unique(np.floor(points / side).astype(np.int64), axis=0, return_inverse=True)
+    of = of.reshape(-1)
+    order = np.argsort(of, kind="stable")
+    members = np.split(order, np.cumsum(np.bincount(of))[:-1])
+    parent = list(range(len(cells)))
 
     def find(x: int) -> int:
         while parent[x] != x:
@@ -112,14 +123,22 @@ def clusters(points: np.ndarray, radius: float) -> np.ndarray:
             x = parent[x]
         return x
 
-    cells: dict[tuple[int, ...], list[int]] = {}
-    for i, c in enumerate(map(tuple, np.floor(points / max(radius, 1e-9)).astype(int).tolist())):
-        around = [cells.get((c[0] + dx, c[1] + dy, c[2] + dz), ()) for dx in (-1, 0, 1) for dy in (-1, 0, 1) for dz in (-1, 0, 1)]
-        near = np.fromiter(itertools.chain.from_iterable(around), int)
-        for j in near[((points[i] - points[near]) ** 2).sum(axis=1) <= radius * radius].tolist():
-            parent[find(i)] = find(j)
-        cells.setdefault(c, []).append(i)
-    return np.array([find(i) for i in range(len(points))], int)
+    def meet(a: np.ndarray, b: np.ndarray) -> bool:
+        step = max(1, 2**20 // len(b))
+        return any((((a[i : i + step, None, :] - b[None, :, :]) ** 2).sum(axis=2) <= radius * radius).any() for i in range(0, len(a), step))
+
+    at = {c: i for i, c in enumerate(map(tuple, cells.tolist()))}
+    # Nearer cells first: they link most of what further ones would have to be met for.
+    around = sorted((o for o in itertools.product(range(-2, 3), repeat=3) if o > (0, 0, 0)), key=lambda o: sum(v * v for v in o))
+    for dx, dy, dz in around:
+        for (x, y, z), i in at.items():
+            j = at.get((x + dx, y + dy, z + dz))
+            if j is None:
+                continue
+            a, b = find(i), find(j)
+            if a != b and meet(points[members[i]], points[members[j]]):
+                parent[max(a, b)] = min(a, b)
+    return np.array([find(i) for i in range(len(cells))], int)[of]
 
 
 def _top(p: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

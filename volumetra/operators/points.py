@@ -84,12 +84,13 @@ def dedupe_lists(points: DataFrame, distance: float, by: list[str], order: str,
 def clustered(points: DataFrame, radius: float, by: list[str], out: str = "gid", block: int = 16, store: Callable[[DataFrame], DataFrame] = stored) -> DataFrame:
     """Points with the number ``out`` of their cluster: those linked by steps of at most ``radius`` within a group share one.
 
-    A group's space is cut into blocks of ``block`` radii; a point goes to its block and to those within a radius. A block links
-    its points as stars, and the stars that share border points are joined as connected components.
+    A group's space is cut into blocks of ``block`` radii; a place goes to its block and to those within a radius. A block links
+    its places as stars, and the stars that share border places are joined as connected components. Points at one place, however
+    many, are one place.
     """
-    side = block * max(radius, 1e-9)
-    rows = store(points.withColumn("__n", F.monotonically_increasing_id()))
-    near = rows.select(*by, "__n", *[F.col(x).cast("double").alias(x) for x in "xyz"])
+    side, key = block * max(radius, 1e-9), [*by, "x", "y", "z"]
+    places = store(points.groupBy(*key).agg(F.count("*").alias("__m")).withColumn("__n", F.monotonically_increasing_id()))
+    near = places.select(*by, "__n", *[F.col(x).cast("double").alias(x) for x in "xyz"])
     for x in "xyz":
         near = near.withColumn(f"__b{x}", F.explode(F.array_distinct(F.array(F.floor((F.col(x) - radius) / side), F.floor((F.col(x) + radius) / side)))))
 
@@ -103,14 +104,16 @@ def clustered(points: DataFrame, radius: float, by: list[str], out: str = "gid",
         return pd.DataFrame({"a": n, "b": root[label]})[n != root[label]]
 
     edges = near.groupBy(*by, "__bx", "__by", "__bz").applyInPandas(link, "a long, b long")
-    found = graph.components(rows.select(F.col("__n").alias("id")), edges, store).select(F.col("id").alias("__n"), F.col("subset").alias(out))
-    return rows.join(found, "__n").drop("__n")
+    found = graph.components(places.select(F.col("__n").alias("id")), edges, store).select(F.col("id").alias("__n"), F.col("subset").alias(out))
+    named = places.join(found, "__n").select(F.col(out), *[F.col(c).alias(f"__{c}") for c in key])
+    return points.join(named, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in key])).select(*points.columns, out)
 
 
 def merged(points: DataFrame, radius: float, by: list[str]) -> DataFrame:
     """Points of a group of views merged: clusters of points linked by steps of at most ``radius`` become their mean."""
-    found = clustered(points.select(*by, "id", "x", "y", "z"), radius, by, "__g")
-    out = found.groupBy(*by, "__g").agg(F.min("id").alias("id"), *[F.avg(x).alias(x) for x in "xyz"], F.count("*").alias("n"))
+    places = points.groupBy(*by, "x", "y", "z").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    found = clustered(stored(places), radius, by, "__g")
+    out = found.groupBy(*by, "__g").agg(F.min("id").alias("id"), *[(F.sum(F.col(x) * F.col("n")) / F.sum("n")).alias(x) for x in "xyz"], F.sum("n").alias("n"))
     return out.select(*by, "id", "x", "y", "z", "n")
 
 
