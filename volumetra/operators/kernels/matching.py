@@ -18,11 +18,13 @@ from volumetra.operators.kernels import models
 def _neighbours(p: np.ndarray, n: int) -> np.ndarray:
     """Indices of the n nearest other points of each point."""
     _, i = models.nearest(p, p, n + 1)
-    out = np.zeros((len(p), n), int)
-    for row in range(len(p)):
-        others = [j for j in i[row] if j != row][:n]
-        out[row] = others + [others[-1]] * (n - len(others)) if others else row
-    return out
+    own = np.arange(len(p))
+    if i.shape[1] < 2:
+        return np.tile(own[:, None], (1, n))
+    # The others in their order, then the point itself; or, if that is not among them, all but the last.
+    order = np.argsort(i == own[:, None], axis=1, kind="stable")
+    others = np.take_along_axis(i, order, 1)[:, : i.shape[1] - 1]
+    return others[:, np.minimum(np.arange(n), others.shape[1] - 1)]
 
 
 def _subsets(neighbours: int, redundancy: int) -> list[tuple[int, ...]]:
@@ -58,15 +60,34 @@ def candidates(p: np.ndarray, q: np.ndarray, method: str = "FAST_ROTATION", sign
     make = rotation_descriptors if method == "FAST_ROTATION" else translation_descriptors
     op, dp = make(p, neighbours, redundancy)
     oq, dq = make(q, neighbours, redundancy)
-    dist, near = models.nearest(dp, dq, min(len(dq), 2 + len(dq) // max(1, len(q))))
-    found = set()
-    for i in range(len(dp)):
-        best = oq[near[i, 0]]
-        # The second best is of another point: several descriptors of one point are alike.
-        second = next((d for d, j in zip(dist[i, 1:], near[i, 1:], strict=True) if oq[j] != best), None)
-        if (second is None or dist[i, 0] * significance < second) and (search_radius is None or ((p[op[i]] - q[best]) ** 2).sum() <= search_radius**2):
-            found.add((int(op[i]), int(best)))
-    return np.array(sorted(found), int).reshape(-1, 2)
+    i, j = _distinct(dp, dq, oq, significance, min(len(dq), 2 + len(dq) // max(1, len(q))))
+    i = op[i]
+    if search_radius is not None:
+        close = ((p[i] - q[j]) ** 2).sum(axis=1) <= search_radius**2
+        i, j = i[close], j[close]
+    return np.unique(np.column_stack([i, j]), axis=0).reshape(-1, 2)
+
+
+def _distinct(dp: np.ndarray, dq: np.ndarray, oq: np.ndarray, significance: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of dp, points): descriptors and the point of the nearest of ``dq``, if it is ``significance`` times nearer than any of
+    another point. Those that have an equal one need no search: it is nearest, and distinct if no other point has it too."""
+    both, of = np.unique(np.concatenate([dq, dp]), axis=0, return_inverse=True)
+    of, best, many = of.reshape(-1), np.full(len(both), -1), np.zeros(len(both), bool)
+    cq, cp = of[: len(dq)], of[len(dq) :]
+    best[cq[::-1]] = oq[::-1]
+    many[cq[oq != best[cq]]] = True
+    equal = best[cp] >= 0
+    found = np.flatnonzero(equal & ~many[cp])
+    rest = np.flatnonzero(~equal)
+    if not len(rest):
+        return found, best[cp[found]]
+    dist, near = models.nearest(dp[rest], dq, k)
+    owner = oq[near]
+    # The second best is of another point: several descriptors of one point are alike.
+    other = owner != owner[:, :1]
+    second = np.where(other.any(axis=1), np.take_along_axis(dist, other.argmax(axis=1)[:, None], 1)[:, 0], np.inf)
+    good = dist[:, 0] * significance < second
+    return np.concatenate([found, rest[good]]), np.concatenate([best[cp[found]], owner[good, 0]])
 
 
 def match(p: np.ndarray, q: np.ndarray, method: str = "FAST_ROTATION", significance: float = 3.0, redundancy: int = 1, neighbours: int = 3, search_radius: float | None = None, multi: bool = False, **ransac) -> list[tuple[np.ndarray, np.ndarray]]:

@@ -13,6 +13,8 @@ import numpy as np
 NEEDED = {"TRANSLATION": 1, "RIGID": 3, "AFFINE": 4}
 #: Points of a group in the search for nearest ones.
 LEAF = 128
+#: Points that one group meets at once: bounds the memory of a search.
+PART = 16_384
 
 
 def apply(m: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -180,7 +182,13 @@ def _nearest_by_leaves(p: np.ndarray, q: np.ndarray, k: int, size: int) -> np.nd
         first = np.argsort((np.maximum(0, np.maximum(lo - mid, mid - hi)) ** 2).sum(axis=1), kind="stable")[: 2 + k // (size // 2)]
         far = _top(own, q[np.concatenate([groups[x] for x in first])], k)[0].max()
         near = np.sort(np.concatenate([groups[x] for x in np.flatnonzero(gap <= far + 1e-9 * scale)]))
-        i_out[g] = near[_top(own, q[near], k)[1]]
+        d_best, i_best = np.zeros((len(g), 0)), np.zeros((len(g), 0), int)
+        for a in range(0, len(near), PART):
+            d, i = _top(own, q[near[a : a + PART]], min(k, len(near) - a))
+            d_best, i_best = np.concatenate([d_best, d], axis=1), np.concatenate([i_best, near[a : a + PART][i]], axis=1)
+            first = np.lexsort((i_best, d_best), axis=1)[:, :k]
+            d_best, i_best = np.take_along_axis(d_best, first, 1), np.take_along_axis(i_best, first, 1)
+        i_out[g] = i_best
     return i_out
 
 
@@ -189,7 +197,12 @@ def nearest(p: np.ndarray, q: np.ndarray, k: int = 1, block: int = 512) -> tuple
     k = min(k, len(q))
     if k and k <= 16 and len(q) > 4 * LEAF and len(p) > LEAF:
         rows, back = np.unique(p, axis=0, return_inverse=True)
-        i_out = _nearest_by_leaves(rows, q, k, LEAF)[back.reshape(-1)]
+        # Of equal points of q only the first k can be among the k nearest.
+        _, same = np.unique(q, axis=0, return_inverse=True)
+        order = np.argsort(same.reshape(-1), kind="stable")
+        sizes = np.bincount(same.reshape(-1))
+        some = np.sort(order[np.arange(len(q)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < k])
+        i_out = some[_nearest_by_leaves(rows, q[some], k, LEAF)][back.reshape(-1)]
         # Differences instead of products: what is equally far gets the same distance.
         d_out = np.sqrt(((p[:, None, :] - q[i_out]) ** 2).sum(axis=2))
         order = np.lexsort((i_out, d_out), axis=1)

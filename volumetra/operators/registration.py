@@ -291,11 +291,13 @@ def match_points(pairs: DataFrame, points: DataFrame, method: str = "FAST_ROTATI
             sets = [found] if found else []
         else:
             sets = matching.match(p, q, method, **options)
-        out = []
+        names = [c.split()[0] for c in MATCHES.split(", ")]
+        out = [pd.DataFrame([], columns=names)]
         for n, (m, at) in enumerate(sets):
-            for i, j in at:
-                out.append((*key, n, int(a["id"].iat[i]), int(b["id"].iat[j]), *p[i], *q[j], m.ravel().tolist()))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in MATCHES.split(", ")])
+            i, j = np.asarray(at, int).reshape(-1, 2).T
+            places = dict(zip(names[5:11], [*p[i].T, *q[j].T], strict=True))
+            out.append(pd.DataFrame({"setup": key[0], "setup_b": key[1], "consensus": n, "id": a["id"].to_numpy()[i], "id_b": b["id"].to_numpy()[j], **places, "model": [m.ravel().tolist()] * len(i)}))
+        return pd.concat(out[1:]) if len(out) > 1 else out[0]
 
     rows = rows.repartition(tasks, "pa", "pb") if tasks else rows
     return rows.groupBy("pa", "pb").applyInPandas(run, MATCHES)
