@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from volumetra.operators import coefficients, spatial
 from volumetra.operators.consensus import large_models, link_moments, sigma_points
+from volumetra.operators.graph import stored
 from volumetra.operators.kernels import deformation, detection, intensities, matching, models, solving, stitching
 from volumetra.sources import chunks as ch
 
@@ -307,6 +308,8 @@ def robust_models(candidates: DataFrame, model: str = "AFFINE", multi: bool = Fa
     """(setup, setup_b, consensus, n, model): consensus models of the candidate pairs (x, y, z to x_b, y_b, z_b) of two views.
     Pairs of more than ``local`` candidates (counted) are solved by passes over all their rows, others in a task each."""
     pair = ["setup", "setup_b"]
+    if local < 2**62:  # read up to four times below
+        candidates = stored(candidates)
     large = candidates.groupBy(*pair).agg(F.count("*").alias("n")).filter(F.col("n") > local).select(*pair)
     if not large.isEmpty():
         small = robust_models(candidates.join(large, pair, "left_anti"), model, multi, 2**62, **options)

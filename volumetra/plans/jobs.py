@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from volumetra.functions import geometry as g
 from volumetra.operators import blocks, consensus, points, pyramid, registration, rendered, spatial
-from volumetra.operators.graph import shared
+from volumetra.operators.graph import shared, stored
 from volumetra.plans import fixtures as fx
 from volumetra.sources import arrays
 from volumetra.sources import chunks as ch
@@ -330,7 +330,8 @@ def stitch_two_timepoints(spark: SparkSession, d: str) -> DataFrame:
 @job(sql=f"WITH {fx.X} SELECT setup, setup + 4 AS setup_b, -(2 + setup)::DOUBLE AS dx, 1.0::DOUBLE AS dy, 0.0::DOUBLE AS dz, 1.0::DOUBLE AS r FROM X GROUP BY setup")
 def stitch_turned_copy(spark: SparkSession, d: str) -> DataFrame:
     """Each view and its copy, whose image is turned by a right angle and whose map turns it back, but (2 + setup, -1, 0) too far."""
-    v = fx.voxels(spark, d)
+    # Every view's voxels are few, the rows they are summed from many: these are read once.
+    v = stored(fx.voxels(spark, d))
     whole = F.col("setup").cast("long")
     copy = v.select((whole + 4).alias("setup"), (63 - F.col("y")).alias("x"), F.col("x").alias("y"), "z", "v")
     chunks = ch.from_voxels(v.select(whole.alias("setup"), "x", "y", "z", "v").unionByName(copy), (32, 32, 8))
