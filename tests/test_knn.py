@@ -62,3 +62,12 @@ def test_bounds_hold():
         assert most[i] >= second - 1e-9 and list(bounds[i]) == sorted(bounds[i])
         assert all(d[i][home == c].min() >= low - 1e-9 for c, low in zip(of[i], bounds[i], strict=True))
         assert all(d[i][home == c].min() > second - 1e-9 for c in set(range(20)) - set(of[i]))
+
+
+def test_whole_numbers_are_multiplied(monkeypatch):
+    """The same distances, to the last digit, without a difference for each pair and dimension."""
+    rng = np.random.default_rng(7)
+    p, q = rng.integers(-900, 900, (40, 64)).astype(float), rng.integers(-900, 900, (5000, 64)).astype(float)
+    want = ((p[:, None] - q[None]) ** 2).sum(axis=2)
+    monkeypatch.setattr(knn.np, "empty", None)
+    assert (knn.squared(p, q) == want).all()

@@ -27,7 +27,13 @@ FOUND = "id_a long, id_b long, d double"
 
 
 def squared(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Squared distances as sums of squares, in parts of bounded size."""
+    """Squared distances as sums of squares, in parts of bounded size.
+
+    Of whole numbers whose squares add up exactly, products give the same numbers faster.
+    """
+    most = max((np.abs(v).max(initial=0.0) for v in (p, q)))
+    if 4 * most * most * max(1, p.shape[1]) < 2**53 and all((v == np.rint(v)).all() for v in (p, q)):
+        return ((p * p).sum(axis=1)[:, None] + (q * q).sum(axis=1)) - 2 * (p @ q.T)
     out = np.empty((len(p), len(q)))
     step = max(1, 2**22 // max(1, q.size))
     for i in range(0, len(p), step):
