@@ -71,8 +71,8 @@ def candidates(p: np.ndarray, q: np.ndarray, method: str = "FAST_ROTATION", sign
 def _distinct(dp: np.ndarray, dq: np.ndarray, oq: np.ndarray, significance: float, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(rows of dp, points): descriptors and the point of the nearest of ``dq``, if it is ``significance`` times nearer than any of
     another point. Those that have an equal one need no search: it is nearest, and distinct if no other point has it too."""
-    both, of = np.unique(np.concatenate([dq, dp]), axis=0, return_inverse=True)
-    of, best, many = of.reshape(-1), np.full(len(both), -1), np.zeros(len(both), bool)
+    both, of = models.distinct(np.concatenate([dq, dp]))
+    best, many = np.full(len(both), -1), np.zeros(len(both), bool)
     cq, cp = of[: len(dq)], of[len(dq) :]
     best[cq[::-1]] = oq[::-1]
     many[cq[oq != best[cq]]] = True

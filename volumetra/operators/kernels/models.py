@@ -15,6 +15,8 @@ NEEDED = {"TRANSLATION": 1, "RIGID": 3, "AFFINE": 4}
 LEAF = 128
 #: Points that one group meets at once: bounds the memory of a search.
 PART = 16_384
+#: Distances that a search among few points holds at once.
+HELD = 2**21
 
 
 def apply(m: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -154,6 +156,19 @@ def _top(p: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return d_out, i_out
 
 
+def distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the first of each set of equal rows, a code for each row): codes number the sets in the order of their rows.
+
+    Columns are sorted one after the other: no row is copied."""
+    order = np.lexsort(rows.T[::-1])
+    new = np.arange(len(rows)) == 0
+    for x in rows.T:
+        new[1:] |= x[order[1:]] != x[order[:-1]]
+    codes = np.empty(len(rows), int)
+    codes[order] = np.cumsum(new) - 1
+    return order[new], codes
+
+
 def leaves(p: np.ndarray, size: int) -> list[np.ndarray]:
     """The rows of p in groups of up to ``size`` that lie close together: halved at the median of the widest axis."""
     out, todo = [], [np.arange(len(p))]
@@ -196,19 +211,24 @@ def nearest(p: np.ndarray, q: np.ndarray, k: int = 1, block: int = 512) -> tuple
     """(distances, indices) of the k nearest of q for each of p, ties to the smaller index; many points by groups."""
     k = min(k, len(q))
     if k and k <= 16 and len(q) > 4 * LEAF and len(p) > LEAF:
-        rows, back = np.unique(p, axis=0, return_inverse=True)
+        first, back = distinct(p)
+        rows = p[first]
         # Of equal points of q only the first k can be among the k nearest.
-        _, same = np.unique(q, axis=0, return_inverse=True)
-        order = np.argsort(same.reshape(-1), kind="stable")
-        sizes = np.bincount(same.reshape(-1))
+        _, same = distinct(q)
+        order = np.argsort(same, kind="stable")
+        sizes = np.bincount(same)
         some = np.sort(order[np.arange(len(q)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < k])
-        i_out = some[_nearest_by_leaves(rows, q[some], k, LEAF)][back.reshape(-1)]
-        # Differences instead of products: what is equally far gets the same distance.
-        d_out = np.sqrt(((p[:, None, :] - q[i_out]) ** 2).sum(axis=2))
-        order = np.lexsort((i_out, d_out), axis=1)
-        return np.take_along_axis(d_out, order, 1), np.take_along_axis(i_out, order, 1)
+        i_out = some[_nearest_by_leaves(rows, q[some], k, LEAF)][back]
+        d_out = np.zeros(i_out.shape)
+        for a in range(0, len(p), PART):
+            # Differences instead of products: what is equally far gets the same distance.
+            d = np.sqrt(((p[a : a + PART, None, :] - q[i_out[a : a + PART]]) ** 2).sum(axis=2))
+            order = np.lexsort((i_out[a : a + PART], d), axis=1)
+            d_out[a : a + PART], i_out[a : a + PART] = np.take_along_axis(d, order, 1), np.take_along_axis(i_out[a : a + PART], order, 1)
+        return d_out, i_out
     d_out, i_out = np.zeros((len(p), k)), np.zeros((len(p), k), int)
     qq = (q**2).sum(axis=1)
+    block = max(1, min(block, HELD // max(1, len(q))))
     for i in range(0, len(p), block):
         d = np.maximum(0, (p[i : i + block] ** 2).sum(axis=1)[:, None] + qq - 2 * p[i : i + block] @ q.T)
         top = np.argsort(d, axis=1, kind="stable")[:, :k]
