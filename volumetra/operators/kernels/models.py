@@ -17,6 +17,8 @@ LEAF = 128
 PART = 16_384
 #: Distances that a search among few points holds at once.
 HELD = 2**21
+#: Points of three cells in a row beyond which these are left to the search by groups.
+CROWDED = 64
 
 
 def apply(m: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -207,9 +209,65 @@ def _nearest_by_leaves(p: np.ndarray, q: np.ndarray, k: int, size: int) -> np.nd
     return i_out
 
 
-def nearest(p: np.ndarray, q: np.ndarray, k: int = 1, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """(distances, indices) of the k nearest of q for each of p, ties to the smaller index; many points by groups."""
+def _nearest_in_cells(p: np.ndarray, q: np.ndarray, side: float) -> np.ndarray:
+    """The index of the nearest of q for each of p, from the 27 cells around it; -1 where a point beyond these could be as near, or
+    where they are crowded."""
+    i_out, lo = np.full(len(p), -1), q.min(axis=0)
+    size = np.floor((q.max(axis=0) - lo) / side) + 5
+    if not (size.prod() < 2**62 and side * 1e-9 > 1e-15 * max(np.abs(p).max(), np.abs(q).max())):
+        return i_out
+    at = (p - lo) / side
+    cell = np.floor(at)
+    inside = np.flatnonzero(((cell >= -1) & (cell <= size - 4)).all(axis=1))
+    size = size.astype(np.int64)
+
+    def code(c: np.ndarray) -> np.ndarray:
+        x, y, z = c.astype(np.int64).T + 2
+        return (x * size[1] + y) * size[2] + z
+
+    codes = code(np.floor((q - lo) / side))
+    order = np.argsort(codes, kind="stable")
+    codes, own = codes[order], code(cell[inside])
+    best, near, crowded = np.full(len(inside), np.inf), np.full(len(inside), -1), np.zeros(len(inside), bool)
+    for dx, dy in itertools.product((-1, 0, 1), repeat=2):
+        # Three cells along z follow each other.
+        middle = own + (dx * size[1] + dy) * size[2]
+        a, b = np.searchsorted(codes, middle - 1), np.searchsorted(codes, middle + 1, side="right")
+        crowded |= b - a > CROWDED
+        b = np.minimum(b, a + CROWDED)
+        while len(some := np.flatnonzero(a < b)):
+            j = order[a[some]]
+            d = ((p[inside[some]] - q[j]) ** 2).sum(axis=1)
+            nearer = (d < best[some]) | ((d == best[some]) & (j < near[some]))
+            best[some[nearer]], near[some[nearer]] = d[nearer], j[nearer]
+            a[some] += 1
+    into = (at - cell)[inside]
+    border = side * (1 + np.minimum(into, 1 - into).min(axis=1))
+    good = ~crowded & (np.sqrt(best) < border * (1 - 1e-9))
+    i_out[inside[good]] = near[good]
+    return i_out
+
+
+def _nearest_one(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``nearest`` of many places for k = 1: by cells of about one point, then of about eight; the rest by groups."""
+    wide = np.ptp(q, axis=0)
+    wide = wide[wide > 0]
+    spacing = (wide.prod() / len(q)) ** (1 / len(wide)) if len(wide) else 1.0
+    i_out = _nearest_in_cells(p, q, spacing)
+    rest = np.flatnonzero(i_out < 0)
+    if len(rest):
+        i_out[rest] = _nearest_in_cells(p[rest], q, 2 * spacing)
+        rest = np.flatnonzero(i_out < 0)
+    if len(rest):
+        i_out[rest] = nearest(p[rest], q, 1, cells=False)[1][:, 0]
+    return np.sqrt(((p - q[i_out]) ** 2).sum(axis=1))[:, None], i_out[:, None]
+
+
+def nearest(p: np.ndarray, q: np.ndarray, k: int = 1, block: int = 512, cells: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(distances, indices) of the k nearest of q for each of p, ties to the smaller index; many points by cells or groups."""
     k = min(k, len(q))
+    if cells and k == 1 and p.shape[1] == 3 and len(q) > 4 * LEAF and len(p) > LEAF:
+        return _nearest_one(p, q)
     if k and k <= 16 and len(q) > 4 * LEAF and len(p) > LEAF:
         first, back = distinct(p)
         rows = p[first]
