@@ -54,3 +54,15 @@ def test_both_ways_in_one_call(spark):
 def test_nothing(spark):
     assert consensus.large_models(rows(spark, {(0, 1): cloud(3, MOVED, 0.0)}), "RIGID").count() == 0
     assert consensus.large_models(rows(spark, {(0, 1): cloud(3, MOVED, 0.0)}).limit(0), "RIGID", True).count() == 0
+
+
+def test_models_are_counted_without_a_row_for_each(spark):
+    """Every model's count is that of the kernel; candidates are not multiplied by models, nor sorted."""
+    groups = {(0, 1): cloud(500, MOVED, 0.5), (0, 2): cloud(40, MOVED, 0.2)}
+    tried = {(0, 1): [MOVED, TURNED, np.eye(3, 4).ravel()], (0, 2): [MOVED]}
+    guesses = spark.createDataFrame([(*k, [[float(x) for x in m] for m in ms]) for k, ms in tried.items()], "setup long, setup_b long, ms array<array<double>>")
+    found = consensus.counted(rows(spark, groups), guesses, 2.0)
+    want = {(*k, h): int((models.errors(np.array(m, float).reshape(3, 4), groups[k][:, :3], groups[k][:, 3:]) <= 2.0).sum()) for k, ms in tried.items() for h, m in enumerate(ms)}
+    assert {(r.setup, r.setup_b, r.h): r.n for r in found.collect()} == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate") and "first(" not in plan

@@ -48,10 +48,21 @@ def _near(m: Column, max_error: float) -> Column:
     return away[0] * away[0] + away[1] * away[1] + away[2] * away[2] <= max_error**2
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """A stored table of models, marked for broadcast if it was counted to be small."""
+def _small(df: DataFrame, each: int = 1) -> DataFrame:
+    """A stored table of ``each`` models a row, marked for broadcast if it was counted to be small."""
     df = graph.stored(df)
-    return F.broadcast(df) if df.count() <= BROADCAST_MODELS else df
+    return F.broadcast(df) if df.count() * each <= BROADCAST_MODELS else df
+
+
+def counted(rows: DataFrame, guesses: DataFrame, max_error: float) -> DataFrame:
+    """(setup, setup_b, h, n, m): how many rows of its pair each of a pair's models (array ``ms``, h its place there) holds for.
+
+    A row is met once, whatever the number of models: each has a count of its own in the aggregate.
+    """
+    counts = [F.count_if(_near(F.get("ms", F.lit(h)), max_error)) for h in range(FINALISTS)]
+    n = rows.join(guesses, PAIR).groupBy(*PAIR).agg(F.array(*counts).alias("n"))
+    each = n.join(guesses, PAIR).select(*PAIR, "n", F.posexplode("ms").alias("h", "m"))
+    return each.withColumn("n", F.get("n", F.col("h")))
 
 
 def sampled(rows: DataFrame, sizes: DataFrame, size: int = SAMPLE, seed: int = 1) -> DataFrame:
@@ -73,15 +84,15 @@ def _consensus(rows: DataFrame, sizes: DataFrame, model: str, regularizer: str,
                 pick = rng.choice(len(p), needed, replace=False)
                 m = models.fit_regularized(p[pick], q[pick], model, regularizer, blend)
                 found = sorted([*found, (-int((models.errors(m, p, q) <= max_error).sum()), len(found), m.ravel().tolist())], key=lambda x: x[:2])[:FINALISTS]
-        return pd.DataFrame([(*key, i, m) for i, (_, _, m) in enumerate(found)], columns=[*PAIR, "h", "m"])
+        return pd.DataFrame([(*key, [m for _, _, m in found])], columns=[*PAIR, "ms"])
 
     def fit(parts):
         for pdf in parts:
             out = [models.fit_regularized(*sigma_points(r.mean, r.cov), model, regularizer, blend).ravel().tolist() for r in pdf.itertuples(index=False)]
             yield pdf[[*PAIR, "n"]].assign(m=out)
 
-    guesses = _small(sampled(rows, sizes, sample, seed).groupBy(*PAIR).applyInPandas(hypotheses, f"{KEY}, h int, m array<double>"))
-    counts = rows.join(guesses, PAIR).filter(_near(F.col("m"), max_error)).groupBy(*PAIR, "h").agg(F.count("*").alias("n"), F.first("m").alias("m"))
+    guesses = _small(sampled(rows, sizes, sample, seed).groupBy(*PAIR).applyInPandas(hypotheses, f"{KEY}, ms array<array<double>>"), FINALISTS)
+    counts = counted(rows, guesses, max_error)
     now = _small(counts.groupBy(*PAIR).agg(F.max_by(F.struct("n", "m"), F.struct("n", -F.col("h"))).alias("best")).select(*PAIR, "best.*").filter(F.col("n") >= max(needed, min_inliers)))
     for _ in range(rounds):
         inliers = rows.join(now.drop("n"), PAIR).filter(_near(F.col("m"), max_error))
