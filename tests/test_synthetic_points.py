@@ -32,3 +32,18 @@ def test_views_meet_views_by_a_shuffle(spark):
     """However small the file of the views is."""
     pairs = spatial.overlapping_pairs(fixtures.views(spark, SF), 150)
     assert "Broadcast" not in plan(pairs) and "SortMergeJoin" in plan(pairs)
+
+
+def test_views_with_maps_meet_by_a_shuffle(spark):
+    v = fixtures.views(spark, SF).selectExpr("*", "array(1D, 0D, 0D, 0D, 0D, 1D, 0D, 0D, 0D, 0D, 1D, 0D) as m", *[f"{x}1 - {x}0 + 1 as n{x}" for x in "xyz"])
+    met = plan(spatial.local_overlaps(v, 150))
+    assert "Broadcast" not in met and "SortMergeJoin" in met
+
+
+def test_views_of_two_hops_meet_by_a_shuffle(spark, monkeypatch):
+    """The join of views with views, without the one with blocks."""
+    real, met = spatial.box_join, []
+    monkeypatch.setattr(spatial, "box_join", lambda *a, **kw: (met.append(real(*a, **kw)), met[-1])[1])
+    v = fixtures.views(spark, SF)
+    spatial.two_hop(v.limit(5), v, 150, ["tile"])
+    assert "Broadcast" not in plan(met[1]) and "SortMergeJoin" in plan(met[1])

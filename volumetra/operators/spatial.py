@@ -71,10 +71,10 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, cell: int, where: Colum
 def two_hop(blocks: DataFrame, views: DataFrame, cell: int, key: list[str], near: int = 50, further: int = 25) -> DataFrame:
     """(key, tp, setup): per block the views within ``near``, and every view that, both expanded by ``further``, overlaps one.
 
-    Views meet views once, whatever the number of blocks; a view meets itself too, so the second hop holds the first.
+    Views meet views once, by a shuffle, whatever the number of blocks; a view meets itself too, so the second hop holds the first.
     """
     first = box_join(blocks, views, cell, expand=near).select(*key, F.col("tp_b").alias("tp"), F.col("setup_b").alias("setup"))
-    second = box_join(views, views, cell, expand=2 * further).select("tp", "setup", "tp_b", "setup_b")
+    second = box_join(views, views.hint("merge"), cell, expand=2 * further).select("tp", "setup", "tp_b", "setup_b")
     return first.join(second, ["tp", "setup"]).select(*key, F.col("tp_b").alias("tp"), F.col("setup_b").alias("setup")).distinct()
 
 
@@ -91,7 +91,7 @@ def local_overlaps(views: DataFrame, cell: int, where: Column | None = None) ->
     """
     v = views.withColumn("back", g.invert(F.col("m")))
     other = F.struct("tp", "setup") != F.struct("tp_b", "setup_b")
-    met = box_join(v, v, cell, where=other if where is None else other & where)
+    met = box_join(v, v.hint("merge"), cell, where=other if where is None else other & where)
     lo, hi = g.containing_box(g.compose(F.col("back"), F.col("m_b")), [F.lit(0.0)] * 3, [(F.col(f"n{x}_b") - 1).cast("double") for x in g.AXES])
     box = {f"{x}{i}": c for x, a, b in zip(g.AXES, lo, hi, strict=True) for i, c in ((0, F.greatest(a, F.lit(0))), (1, F.least(b, F.col(f"n{x}") - 1)))}
     out = met.select("tp", "setup", F.concat_ws(",", "tp_b", "setup_b").alias("interval"), *[c.alias(n) for n, c in box.items()])
