@@ -1,7 +1,7 @@
 import itertools
 
 from volumetra.operators import blocks, spatial
-from volumetra.plans import fixtures
+from volumetra.plans import fixtures, jobs
 
 SF = "/root/testdata/sf0.001"
 BOX = [f"i{x}{i}" for x in "xyz" for i in (0, 1)]
@@ -47,3 +47,17 @@ def test_views_of_two_hops_meet_by_a_shuffle(spark, monkeypatch):
     v = fixtures.views(spark, SF)
     spatial.two_hop(v.limit(5), v, 150, ["tile"])
     assert "Broadcast" not in plan(met[1]) and "SortMergeJoin" in plan(met[1])
+
+
+def test_tiles_meet_in_the_row_of_their_image(spark):
+    """All pairs of tiles that overlap, without a join; images are dealt over tasks however small their file is."""
+    images = spark.createDataFrame([(0, 0, 149, 90, 200, 3, 52), (1, -7, 20, 5, 5, 0, 31), (2, 10, 73, 0, 64, 0, 16)], "setup long, " + ", ".join(f"{x}{i} long" for x in "xyz" for i in (0, 1)))
+    sides = [f"t{x}{i}" for x in "xyz" for i in (0, 1)]
+    for size, overlap, step in [((64, 64, 32), (16, 16, 8), (1, 1, 1)), ((30, 50, 9), (20, 0, 5), (4, 4, 4))]:
+        met = blocks.tile_pairs(images, size, overlap, step)
+        assert "Join" not in plan(met) and "Exchange" not in plan(met)
+        tiles = [(r.setup, *[r[c] for c in sides]) for r in blocks.split_tiles(images, size, overlap, step).collect()]
+        want = [(a, b) for a, b in itertools.product(tiles, tiles) if a[0] == b[0] and all(a[i] <= b[i + 1] and b[i] <= a[i + 1] for i in (1, 3, 5))]
+        assert sorted(((r.setup, *[r[c] for c in sides]), (r.setup, *[r[f"{c}_b"] for c in sides])) for r in met.collect()) == sorted(want)
+    query = jobs.split_with_points(spark, SF)
+    assert "Join" not in plan(query) and query.rdd.getNumPartitions() >= jobs.PAIR_TASKS

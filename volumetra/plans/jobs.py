@@ -21,6 +21,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 #: So many that few of the 28 pairs of views share a task.
 PAIR_TASKS = 96
+#: Views that one task cuts into tiles.
+VIEWS_OF_TASK = 1 << 14
 
 
 SQL: dict[str, str] = {}
@@ -266,10 +268,12 @@ def fuse_to_ngff(spark: SparkSession, d: str) -> DataFrame:
 def split_with_points(spark: SparkSession, d: str) -> DataFrame:
     """Tiles of all views, and made-up points where neighbours of one view overlap."""
     v = fx.views(spark, d)
-    t = blocks.split_tiles(v, (64, 64, 32), (16, 16, 8))
-    t = t.select(F.col("setup").alias("tp"), F.xxhash64("setup", "tx0", "ty0", "tz0").alias("setup"), *[F.col(f"t{x}{i}").alias(f"{x}{i}") for x in "xyz" for i in (0, 1)])
-    # Tiles of one view lie within 160 of each other, so nearly all of them share their cell.
-    pairs = spatial.overlapping_pairs(t, 1024, ["tp"]).select("setup", "setup_b", *g.intersection())
+    # A view is one short row and gives some 200 points; its file may be a single split.
+    v = v.repartition(max(PAIR_TASKS, v.count() // VIEWS_OF_TASK), "setup")
+    t = blocks.tile_pairs(v, (64, 64, 32), (16, 16, 8))
+    name = lambda s: F.xxhash64("setup", *[f"t{x}0{s}" for x in "xyz"]).alias(f"setup{s}")
+    t = t.select(name(""), name("_b"), *[F.col(f"t{x}{i}{s}").alias(f"{x}{i}{s}") for s in ("", "_b") for x in "xyz" for i in (0, 1)])
+    pairs = t.filter("setup < setup_b").select("setup", "setup_b", *g.intersection())
     return blocks.synthetic_points(pairs, high=30)
 
 
